@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityspark.llm import packing, simhash, telephony
-from entityspark.llm.textio import table
+from entityspark.llm import language, packing, quality, simhash, telephony
+from entityspark.llm.textio import fold, table
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold("doc_id", 3) != 1))
+    return language.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
@@ -28,10 +35,24 @@ def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.features(telephony.store(table(spark, sf_dir, "documents")))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.FactorisationMachine:
+    """The machine learned from labelled documents of two folds."""
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
+    return quality.train(quality.labelled_sample(table(spark, sf_dir, "documents"), labels))
+
+
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op2_language_bitmask": op2_language_bitmask,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_telephony_audio": op5_telephony_audio,
+    "op8_factorisation_machine": op8_factorisation_machine,
 }
 
 ORACLE_SQL: dict[str, str] = {}
