@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityspark.llm import language, packing, quality, simhash, telephony
+from entityspark.llm import language, lm, packing, quality, simhash, telephony, winnowing
 from entityspark.llm.textio import fold, table
 
 
@@ -35,6 +35,13 @@ def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.features(telephony.store(table(spark, sf_dir, "documents")))
 
 
+def op7_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and byte-model scores of every document; learned from nine tenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, docs.where(fold("doc_id", 10) != 0))
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.FactorisationMachine:
     """The machine learned from labelled documents of two folds."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
@@ -47,12 +54,19 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items in every document."""
+    return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_language_bitmask": op2_language_bitmask,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_telephony_audio": op5_telephony_audio,
+    "op7_partial_matching": op7_partial_matching,
     "op8_factorisation_machine": op8_factorisation_machine,
+    "op10_winnowing": op10_winnowing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
