@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityspark.llm import language, lm, packing, quality, simhash, telephony, winnowing
+from entityspark.llm import language, lm, packing, quality, simhash, substrings, telephony, winnowing
 from entityspark.llm.textio import fold, table
 
 
@@ -54,6 +54,11 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_backward_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that an earlier one has."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), least=50)
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items in every document."""
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_telephony_audio": op5_telephony_audio,
     "op7_partial_matching": op7_partial_matching,
     "op8_factorisation_machine": op8_factorisation_machine,
+    "op9_backward_extension": op9_backward_extension,
     "op10_winnowing": op10_winnowing,
 }
 
