@@ -165,3 +165,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("chosen_id"), F.col(label_col).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("chosen_id"), "label").limit(sample_rows).dropDuplicates(["chosen_id"])
     return docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("own_id") == F.col("chosen_id")).select("text", "label")
+
+
+def keep_good(docs: DataFrame, machine: FactorisationMachine, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in steps(batches, text_col):
+            rows = [own.features(*row_features(t)) for t in texts(batch, text_col)]
+            lengths = np.array([len(r[0]) for r in rows])
+            margin, _, _ = own.margins(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.cumsum(lengths) - lengths)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))) >= least))
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))

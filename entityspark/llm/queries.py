@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityspark.llm import language, lm, packing, quality, simhash, substrings, telephony, winnowing
+from entityspark.llm import disclosure, language, lm, packing, quality, secrets, simhash, substrings, telephony, winnowing
 from entityspark.llm.textio import fold, table
 
 
@@ -30,11 +30,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's decision."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.scanner(docs, docs.where(fold("doc_id", 3) != 1)))
+
+
 def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document stored as telephony audio and read back."""
     return telephony.features(telephony.store(table(spark, sf_dir, "documents")))
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it in every document."""
+    return disclosure.digests(disclosure.spans_of(table(spark, sf_dir, "documents")))
+
+
 def op7_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and byte-model scores of every document; learned from nine tenths of them."""
     docs = table(spark, sf_dir, "documents")
@@ -68,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_language_bitmask": op2_language_bitmask,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_secret_forest": op4_secret_forest,
     "op5_telephony_audio": op5_telephony_audio,
+    "op6_disclosure": op6_disclosure,
     "op7_partial_matching": op7_partial_matching,
     "op8_factorisation_machine": op8_factorisation_machine,
     "op9_backward_extension": op9_backward_extension,
