@@ -2,8 +2,9 @@
 
 Which documents share a string of ``least`` bytes is found by minimizers: of every ``least``
 bytes the smallest hash of their 26-byte strings is selected, so equal strings select the same
-one. A first shuffle, by hash, tells which selected hashes occur in two rows; a second brings
-the bytes around these together (equal surroundings once per task).
+one. A first shuffle, by hash, tells which selected hashes occur in two texts; a second brings
+the bytes around these together (equal surroundings once per task). Equal texts are one text in
+both: only the row with the smallest id is compared, the others lose everything.
 
 In a group, surroundings are compared through a Burrows-Wheeler transform: intervals of suffixes
 are extended backwards breadth first, so common prefixes come out by increasing length, each
@@ -133,12 +134,31 @@ def shared_prefix_blocks(data: np.ndarray, least: int) -> tuple[np.ndarray, np.n
     return order, np.cumsum(closed[:n]) - 1
 
 
-def _packed(part: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+def _listed(names: list[str], part: np.ndarray, *values: np.ndarray) -> pa.Table:
     """One row per distinct part: the part, and a list of each value."""
     by = np.argsort(part, kind="stable")
-    names, first = np.unique(part[by], return_index=True)
+    parts, first = np.unique(part[by], return_index=True)
     offsets = pa.array(np.append(first, len(by)).astype(np.int32))
-    return [pa.array(names), *(pa.ListArray.from_arrays(offsets, pa.array(v[by])) for v in values)]
+    return pa.Table.from_arrays([pa.array(parts), *(pa.ListArray.from_arrays(offsets, pa.array(v[by])) for v in values)], names=names)
+
+
+def _dealt(names: list[str], slots: int, part: np.ndarray, *values: np.ndarray) -> pa.Table:
+    """One row per slot of the parts: the slot, its parts and values as bytes. Their number doesn't grow with the parts."""
+    slot = part % slots
+    by = np.argsort(slot, kind="stable")
+    groups = np.split(by, np.flatnonzero(np.diff(slot[by])) + 1) if len(by) else []
+    columns = [pa.array([x[g].tobytes() for g in groups], pa.binary()) for x in (part, *values)]
+    return pa.Table.from_arrays([pa.array([int(slot[g[0]]) for g in groups], pa.int32()), *columns], names=["slot", *names])
+
+
+def _gathered(names: list[str], kinds: list[type]):  # noqa: ANN202
+    """Of a slot: one row per part with the lists of all buckets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        columns = [np.concatenate([np.frombuffer(x, k) for x in group.column(c).to_pylist()]) for c, k in zip(names, kinds)]
+        return _listed(names, *columns)
+
+    return run
 
 
 def _seed_rows(buckets: int, least: int):  # noqa: ANN202
@@ -171,8 +191,12 @@ def _seed_rows(buckets: int, least: int):  # noqa: ANN202
     return run
 
 
-def _repeated_seeds(group: pa.Table) -> pa.Table:
-    """The hashes of a bucket that two rows have, by row."""
+def _repeated_seeds(slots: int):  # noqa: ANN202
+    """The hashes of a bucket that two different texts have, by text."""
+    return lambda group: _dealt(["part", "codes"], slots, *_seeds_of_two(group))
+
+
+def _seeds_of_two(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     code, part = [], []
     for c, w, p in zip(*(group.column(x).to_pylist() for x in ("codes", "who", "parts"))):
         code.append(np.frombuffer(c, np.uint32))
@@ -184,7 +208,7 @@ def _repeated_seeds(group: pa.Table) -> pa.Table:
     many = np.minimum.reduceat(part, first) < np.maximum.reduceat(part, first)
     chosen = np.repeat(many, np.diff(np.append(first, len(code))))
     bucket = group.column("bucket")[0].as_py()
-    return pa.Table.from_arrays(_packed(part[chosen], np.int64(bucket) << 32 | code[chosen].astype(np.int64)), names=["part", "codes"])
+    return part[chosen], np.int64(bucket) << 32 | code[chosen].astype(np.int64)
 
 
 def _surroundings(buckets: int, least: int):  # noqa: ANN202
@@ -198,14 +222,14 @@ def _surroundings(buckets: int, least: int):  # noqa: ANN202
             for piece in steps(iter([batch]), "t"):
                 raw, offsets = text_buffer(piece.column(2))
                 lists = piece.column(3)
-                lengths = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
-                if not len(raw) or not lengths.sum():
+                own = piece.column(4).to_numpy(zero_copy_only=False)
+                if not len(raw) or not np.diff(lists.offsets.to_numpy())[own].sum():
                     continue
                 at, hashes = minimizers(raw, offsets, least)
                 row = np.searchsorted(offsets, at, "right") - 1
                 code = (hashes % np.uint64(buckets)).astype(np.int64) << 32 | (hashes >> np.uint64(32)).astype(np.int64)
                 values, begins = lists.values.to_numpy(), lists.offsets.to_numpy()
-                chosen = np.concatenate([np.empty(0, np.int64), *(i + np.flatnonzero(np.isin(code[i:j], values[begins[r] : begins[r + 1]])) for r, i, j in zip(range(piece.num_rows), np.searchsorted(row, np.arange(piece.num_rows)), np.searchsorted(row, np.arange(piece.num_rows), "right")) if begins[r] < begins[r + 1] and i < j)])
+                chosen = np.concatenate([np.empty(0, np.int64), *(i + np.flatnonzero(np.isin(code[i:j], values[begins[r] : begins[r + 1]])) for r, i, j in zip(range(piece.num_rows), np.searchsorted(row, np.arange(piece.num_rows)), np.searchsorted(row, np.arange(piece.num_rows), "right")) if own[r] and begins[r] < begins[r + 1] and i < j)])
                 if not len(chosen):
                     continue
                 at, row, code = at[chosen], row[chosen], code[chosen]
@@ -221,7 +245,7 @@ def _surroundings(buckets: int, least: int):  # noqa: ANN202
                 text, which = _distinct(around[chosen], shape[chosen])
                 names, first, who = np.unique(part[chosen], return_index=True, return_inverse=True)
                 columns = (around[chosen][text], shape[chosen][text], which.astype(np.uint32), who.astype(np.uint32), start[chosen].astype(np.int32), names, ids[chosen][first])
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[chosen[0]])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=["bucket", *_AROUND])
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[chosen[0]])], pa.int32()), pa.array([pa.compress(columns[0].tobytes(), codec="zstd", asbytes=True)], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in columns[1:])], names=["bucket", *_AROUND])
 
     return run
 
@@ -242,7 +266,7 @@ def _distinct(around: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.nda
     return by[new], which
 
 
-def _decided(least: int):  # noqa: ANN202
+def _decided(slots: int, least: int):  # noqa: ANN202
     """Of a bucket: the runs of string starts in each row that a row with a smaller id has too."""
     side = least - SEED_BYTES
     whole = SEED_BYTES + 2 * side
@@ -251,7 +275,8 @@ def _decided(least: int):  # noqa: ANN202
         around, shape, text, part, ids, start = [], [], [], [], [], []
         known = 0
         for row in zip(*(group.column(x).to_pylist() for x in _AROUND)):
-            a, s, w, who, st, p, d = (np.frombuffer(x, k) for x, k in zip(row, (np.uint8, np.uint16, np.uint32, np.uint32, np.int32, np.int64, np.int64)))
+            s, w, who, st, p, d = (np.frombuffer(x, k) for x, k in zip(row[1:], (np.uint16, np.uint32, np.uint32, np.int32, np.int64, np.int64)))
+            a = np.frombuffer(pa.decompress(row[0], len(s) * whole, codec="zstd", asbytes=True), np.uint8)
             around.append(a.reshape(-1, whole))
             shape.append(s)
             text.append(w.astype(np.int64) + known)
@@ -289,7 +314,7 @@ def _decided(least: int):  # noqa: ANN202
             lengths.append(end - begin)
             owners.append(part[j][row])
         begins, lengths, owners = (np.concatenate(x) for x in (begins, lengths, owners))
-        return pa.Table.from_arrays(_packed(owners, begins.astype(np.int32), lengths.astype(np.int32)), names=["part", "begins", "lengths"])
+        return _dealt(["part", "begins", "lengths"], slots, owners, begins.astype(np.int32), lengths.astype(np.int32))
 
     return run
 
@@ -319,29 +344,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if it lies in a string of ``least`` bytes that also starts in a row with a smaller
     id. Ids are integers. Null texts count as empty. Rows without an id neither lose bytes nor make others lose
-    any. Rows that repeat an id never take bytes from each other. Other columns are not read.
+    any. Rows that repeat an id never take bytes from each other. Other columns are not read. Texts
+    are told apart by two 64-bit hashes.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    given = docs.select(F.xxhash64(text).alias("part"), F.xxhash64(F.lit(1), text).alias("proof"), F.col(id_col).alias("id"), text.alias("t"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-int(total) // GROUP_BYTES))
+    slotted = lambda kinds: ", ".join(["slot int", *(f"{k} binary" for k in kinds)])
     seeds = given.where(F.col("id").isNotNull()).select("part", "t").mapInArrow(_seed_rows(buckets, least), "bucket int, codes binary, who binary, parts binary")
-    repeated = seeds.groupBy("bucket").applyInArrow(_repeated_seeds, "part long, codes array<long>")
-    of_row = keep(repeated.groupBy("part").agg(F.flatten(F.collect_list("codes")).alias("codes")))
-    near = given.join(of_row, "part", "left").select("part", F.col("id").cast("long").alias("id"), "t", "codes")
+    repeated = seeds.groupBy("bucket").applyInArrow(_repeated_seeds(buckets), slotted(("part", "codes")))
+    of_text = repeated.groupBy("slot").applyInArrow(_gathered(["part", "codes"], [np.int64, np.int64]), "part long, codes array<long>")
+    first = given.groupBy("part", "proof").agg(F.min("id").alias("first"))
+    known = keep(first.join(of_text, "part", "left"))
+    near = given.join(known, ["part", "proof"], "left").select("part", F.col("id").cast("long").alias("id"), "t", "codes", F.coalesce(F.col("id") == F.col("first"), F.lit(False)).alias("own"))
     around = near.mapInArrow(_surroundings(buckets, least), "bucket int, " + ", ".join(f"{x} binary" for x in _AROUND))
-    found = around.groupBy("bucket").applyInArrow(_decided(least), "part long, begins array<int>, lengths array<int>")
-    spans = found.groupBy("part").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("lengths")).alias("lengths"))
+    found = around.groupBy("bucket").applyInArrow(_decided(buckets, least), slotted(("part", "begins", "lengths")))
+    spans = found.groupBy("slot").applyInArrow(_gathered(["part", "begins", "lengths"], [np.int64, np.int32, np.int32]), "part long, begins array<int>, lengths array<int>")
+    decided = known.select("part", "proof", "first").join(spans, "part", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "t"):
             raw, offsets = text_buffer(batch.column(1))
             n, removed, runs, digest, kept = [], [], [], [], []
-            begins, lengths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            begins, lengths, copy = (batch.column(c).to_pylist() for c in (2, 3, 4))
             for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
                 text = raw[a:b]
                 gone = np.zeros(len(text) + 1, np.int32)
-                if begins[i]:
+                if copy[i] and len(text) >= least:
+                    gone[0] = 1
+                elif begins[i] and not copy[i]:
                     begin = np.array(begins[i])
                     np.add.at(gone, begin, 1)
                     np.add.at(gone, begin + np.array(lengths[i]) + least - 1, -1)
@@ -356,5 +389,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_text, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
-    joined = given.join(spans, "part", "left").select("id", "t", "begins", "lengths")
+    joined = given.join(decided, ["part", "proof"], "left").select("id", "t", F.when(F.col("id").isNotNull(), F.col("begins")).alias("begins"), "lengths", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy"))
     return joined.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
