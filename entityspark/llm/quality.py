@@ -109,7 +109,7 @@ class FactorisationMachine:
                 self.bias -= rate * slope.sum() / np.sqrt(seen_b)
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample_rows: int = 12_000, factors: int = 8) -> FactorisationMachine:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample_rows: int = 8_000, factors: int = 8) -> FactorisationMachine:
     """Fits a machine on at most ``sample_rows`` rows of ``labelled`` (a documented bound), as given.
 
     Rows with a null label are left out. Features are built in the tasks; only they reach the driver.
@@ -157,7 +157,7 @@ def score(docs: DataFrame, machine: FactorisationMachine, id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = 12_000, text_col: str = "text") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = 8_000, text_col: str = "text") -> DataFrame:
     """``(text, label)`` of at most ``sample_rows`` labelled documents, chosen by a hash of the id.
 
     The ids are chosen first and sent to the documents (their number is the bound), so no text is shuffled.
