@@ -40,15 +40,16 @@ def resolve_pending(rows: DataFrame, resolver: Resolver, schema: str, batch: str
         for attempt in range(1, retries + 2):
             try:
                 result = resolver(pdf, model, error)
-                log.append(result.assign(**{batch: key, "attempt": attempt, "status": "success", "error": None}))
+                log += [{**r, batch: key, "attempt": attempt, "status": "success"} for r in result.to_dict("records")]
                 break
             except Exception as e:  # noqa: BLE001  the resolver's failures are data here
                 status = getattr(e, "status", None)
                 kind = "api_error" if status is not None and (status == 429 or status >= 500) else "validation_error"
-                log.append(pd.DataFrame({batch: [key], "attempt": [attempt], "status": ["failed"], "error": [kind]}))
+                log.append({batch: key, "attempt": attempt, "status": "failed", "error": kind})
                 if kind != "api_error":
                     model, error = "fallback", str(e)
-        return pd.concat(log).reindex(columns=[batch, "attempt", "status", "error", *names])
+        columns = [batch, "attempt", "status", "error", *names]
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in log], dtype=object) for c in columns})
 
     return rows.groupBy(batch).applyInPandas(one, f"{batch} long, attempt int, status string, error string, {schema}")
 

@@ -4,13 +4,368 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from entityspark.functions import text as fx
+from entityspark.operators import checks, identity, ledger, merge, pii, resolve, rules
+from entityspark.plans import views
+from entityspark.plans.views import WITH, contacts, free_text, keyed, processed, read
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def over_contacts(name: str, value: Callable[[], Column] | Column, sql: str, where: str = "true") -> None:
+    """A query of one computed column over all contacts."""
+    make = value if callable(value) else lambda: value
+    query(name, f"{WITH} SELECT row_id, {sql} AS value FROM keyed WHERE {where}")(lambda s, d: keyed(s, d).where(where).select("row_id", make().alias("value")))
+
+
+def joined(c: Column) -> Column:
+    return F.array_join(c, "|")
+
+
+c = lambda n: F.col(n)  # noqa: E731  shorthand for the table below
+SPLIT = "list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> '')"
+CANON = "CASE lower(trim(action_type)) WHEN 'action_web_read' THEN 'web_read' WHEN 'web_read' THEN 'web_read' WHEN 'newsletter_click' THEN 'newsletter_click' ELSE action_type END"
+
+# scalar functions, predicates and mapping (2.3 - 2.6): name, Spark column, SQL
+for _name, _value, _sql in [
+    ("t_trim", lambda: fx.js_trim(c("primaryEmail")), 'trim("primaryEmail")'),
+    ("t_lowercase", lambda: F.lower(c("primaryEmail")), 'lower("primaryEmail")'),
+    ("t_uppercase", lambda: F.upper(c("tags")), "upper(tags)"),
+    ("t_split", lambda: joined(fx.t_split(c("tags"))), f"array_to_string({SPLIT}, '|')"),
+    ("t_unique", lambda: joined(fx.t_unique(fx.t_split(c("tags")))), f"array_to_string(list_filter({SPLIT}, lambda x, i: list_position(list_transform({SPLIT}, lambda y: lower(y)), lower(x)) = i), '|')"),
+    ("t_filter_empty", lambda: joined(fx.t_filter_empty(F.split(c("tags"), ","))), "array_to_string(list_filter(string_split(tags, ','), lambda x: trim(x) <> ''), '|')"),
+    ("t_map", lambda: fx.t_map(c("action_type"), {"NewsletterClick": "newsletter_click"}), "CASE WHEN lower(action_type) = 'newsletterclick' THEN 'newsletter_click' ELSE action_type END"),
+    ("t_to_number", lambda: fx.t_to_number(c("action_timeSpent")), "TRY_CAST(trim(\"action_timeSpent\") AS double)"),
+    ("t_seconds_to_duration", lambda: fx.t_seconds_to_duration(fx.t_to_number(c("action_timeSpent")) / 7), "'PT' || cast(cast(floor(TRY_CAST(trim(\"action_timeSpent\") AS double) / 7 + 0.5) AS bigint) AS varchar) || 'S'"),
+    ("transform_chain", lambda: joined(rules.apply_steps(c("tags"), ("trim", "lowercase", "split", "unique"))[0]), "array_to_string(list_filter(list_transform(string_split(lower(tags), ','), lambda x: trim(x)), lambda x, i: x <> '' AND list_position(list_transform(string_split(lower(tags), ','), lambda y: trim(y)), x) = i), '|')"),
+    ("split_values", lambda: joined(fx.split_values(c("additionalEmails"))), "array_to_string(list_filter(list_transform(regexp_split_to_array(\"additionalEmails\", '[,|;]+'), lambda x: trim(x)), lambda x: x <> ''), '|')"),
+    ("normalize_field_name", lambda: fx.normalize_field_name(c("action_type")), "lower(regexp_replace(action_type, '[^a-zA-Z0-9]', '', 'g'))"),
+    ("normalize_pii_key", lambda: fx.normalize_pii_key(c("tags")), "regexp_replace(lower(tags), '\\s+', '', 'g')"),
+    ("array_add_if_missing", lambda: joined(fx.add_if_missing(fx.t_split(c("tags")), F.lit("1-URGENT"))), f"array_to_string(CASE WHEN list_contains({SPLIT}, '1-URGENT') THEN {SPLIT} ELSE list_append({SPLIT}, '1-URGENT') END, '|')"),
+    ("array_union_ordered", lambda: joined(F.array_distinct(F.concat(fx.t_split(c("tags")), F.array(F.lit("x"), F.upper(F.split(c("tags"), ",")[0]))))), f"array_to_string({SPLIT} || ['x'], '|')"),
+    ("strip_result_prefix", lambda: fx.strip_result_prefix(F.concat(F.lit("results."), c("row_id").cast("string"), F.lit(".person.name"))), "'person.name'"),
+    ("value_at_path", lambda: F.get_json_object(F.to_json(F.struct(F.struct(c("tags")).alias("person"))), "$.person.tags"), "tags"),
+    ("parse_result_json", lambda: F.from_json(F.to_json(F.struct("givenName", "row_id")), "givenName string, row_id bigint")["givenName"], '"givenName"'),
+    ("row_to_json", lambda: F.to_json(F.struct("row_id", "tags")), "'{\"row_id\":' || row_id || ',\"tags\":\"' || tags || '\"}'"),
+    ("error_type_of", lambda: fx.error_type(F.when(c("row_id") % 4 == 0, "Required field x").when(c("row_id") % 4 == 1, "bad enum"), F.when(c("row_id") % 4 == 2, 429)), "CASE row_id % 4 WHEN 0 THEN 'required_field_error' WHEN 1 THEN 'validation_error' WHEN 2 THEN 'api_error' ELSE 'network_error' END"),
+    ("when_not_empty", lambda: rules.condition(["givenName"], {"type": "notEmpty", "column": "givenName"}), "trim(\"givenName\") <> ''"),
+    ("when_equals", lambda: rules.condition(["action_type"], {"type": "equals", "column": "action_type", "value": "zine"}), "action_type = 'zine'"),
+    ("when_matches", lambda: rules.condition(["tags"], {"type": "matches", "column": "tags", "value": "BUILD|1-"}), "regexp_matches(tags, 'BUILD|1-')"),
+    ("when_all", lambda: fx.all_of([rules.condition(["tags", "givenName"], {"type": "notEmpty", "column": "givenName"}), rules.condition(["tags"], {"type": "matches", "column": "tags", "value": "1-"})]), "trim(\"givenName\") <> '' AND regexp_matches(tags, '1-')"),
+    ("is_empty_value", lambda: fx.is_blank(c("givenName")), "trim(\"givenName\") = ''"),
+    ("check_not_empty", lambda: c("givenName").isNotNull() & (c("givenName") != ""), "\"givenName\" <> ''"),
+    ("map_source", lambda: rules.value_of(["givenName"], rules.Rule("givenName"))[0], '"givenName"'),
+    ("map_coalesce_sources", lambda: rules.value_of(["givenName", "action_type", "tags"], rules.Rule(["givenName", "action_type", "tags"]))[0], "CASE WHEN trim(\"givenName\") <> '' THEN \"givenName\" WHEN trim(action_type) <> '' THEN action_type ELSE tags END"),
+    ("map_literal", lambda: rules.value_of(["tags"], rules.Rule("tags", literal="crm"))[0], "'crm'"),
+    ("map_fallback", lambda: rules.value_of(["action_type"], rules.Rule("action_type", fallback="web_read"))[0], "CASE WHEN trim(action_type) = '' THEN 'web_read' ELSE action_type END"),
+    ("taxonomy_normalize", lambda: rules.taxonomy_normalize(c("action_type"), views.ACTIONS), CANON),
+    ("wrap_required", lambda: F.to_json(F.struct(c("tags").alias("value"), c("tags").isNotNull().alias("present"))), "'{\"value\":\"' || tags || '\",\"present\":true}'"),
+    ("unwrap_required", lambda: rules.unwrap_required(F.struct(c("tags").alias("value"), (c("row_id") % 2 == 0).alias("present"))), "CASE WHEN row_id % 2 = 0 THEN tags END"),
+    ("extract_emails", lambda: joined(c("emails")), "array_to_string(emails, '|')"),
+    ("extract_id_values", lambda: joined(fx.id_values(["primaryEmail", "additionalEmails", "givenName"], "givenName")), "CASE WHEN trim(\"givenName\") <> '' THEN lower(trim(\"givenName\")) ELSE array_to_string(emails, '|') END"),
+    ("uuid_v5", lambda: c("uuid"), "uuid"),
+    ("uuid_random", lambda: fx.uuid_v5(F.concat(F.lit("row:"), c("row_id").cast("string"))).isNotNull() & c("uuid").isNull(), "uuid IS NULL"),
+    ("identity_events", lambda: F.when(c("key").isNull(), "fallback_to_random").otherwise("generated"), "CASE WHEN key IS NULL THEN 'fallback_to_random' ELSE 'generated' END"),
+    ("row_hash", lambda: F.sha2(F.concat_ws("|", "tags", "action_type"), 256), "sha256(tags || '|' || action_type)"),
+]:
+    over_contacts(_name, _value, _sql)
+
+RULES = rules.RuleSet(
+    {
+        "person.name": rules.Rule("givenName", transforms=("trim",)),
+        "person.tags": rules.Rule("tags", transforms=("split", "unique")),
+        "action.type": rules.Rule("action_type", transforms=({"type": "map", "values": {"newsletterClick": "newsletter_click"}},), fallback="web_read", taxonomy=views.ACTIONS),
+        "action.duration": rules.Rule("action_timeSpent", transforms=("toNumber", "secondsToDuration")),
+        "action.published": rules.Rule("obj_published", when=({"type": "matches", "column": "tags", "value": "1-|2-"},)),
+    },
+    required=("person.name", "action.published", "person.userID"),
+    model_fields=("person.gender",),
+)
+NAME_SQL = "trim(\"givenName\")"
+TYPE_SQL = "CASE WHEN trim(action_type) = '' THEN 'web_read' WHEN lower(action_type) = 'newsletterclick' THEN 'newsletter_click' WHEN lower(trim(action_type)) IN ('web_read', 'action_web_read') THEN 'web_read' ELSE action_type END"
+PUBLISHED_SQL = "CASE WHEN regexp_matches(tags, '1-|2-') THEN obj_published END"
+MISSING_SQL = f"list_filter([CASE WHEN {NAME_SQL} = '' THEN 'person.name' END, CASE WHEN {PUBLISHED_SQL} IS NULL THEN 'action.published' END, 'person.userID'], lambda x: x IS NOT NULL)"
+
+
+@query("transform_row", f"{WITH} SELECT row_id, {NAME_SQL} AS name, {TYPE_SQL} AS type, 'PT' || cast(cast(TRY_CAST(trim(\"action_timeSpent\") AS double) AS bigint) AS varchar) || 'S' AS duration, {PUBLISHED_SQL} AS published, array_to_string({MISSING_SQL}, ',') AS missing FROM keyed")
+def transform_row(s: SparkSession, d: str) -> DataFrame:
+    out = rules.transform_row(contacts(s, d), RULES)
+    return out.select("row_id", "mapped.person.name", "mapped.action.type", "mapped.action.duration", "mapped.action.published", F.array_join("missing", ",").alias("missing"))
+
+
+@query("nest_paths", f"{WITH} SELECT row_id, {NAME_SQL} AS name FROM keyed")
+def nest_paths(s: SparkSession, d: str) -> DataFrame:
+    return contacts(s, d).select("row_id", *rules.nest({"person.name": fx.js_trim(F.col("givenName")), "action.at": F.col("obj_published")})).select("row_id", "person.name")
+
+
+@query("missing_required", f"{WITH} SELECT row_id, len({MISSING_SQL}) AS n_missing FROM keyed")
+def missing_required(s: SparkSession, d: str) -> DataFrame:
+    return rules.transform_row(contacts(s, d), RULES).select("row_id", F.size("missing").cast("bigint").alias("n_missing"))
+
+
+@query("pending_fields", f"{WITH} SELECT row_id, array_to_string(['person.gender'] || {MISSING_SQL}, ',') AS pending FROM keyed")
+def pending_fields(s: SparkSession, d: str) -> DataFrame:
+    return rules.transform_row(contacts(s, d), RULES).select("row_id", F.array_join("pending", ",").alias("pending"))
+
+
+@query("split_resolved_pending", f"{WITH} SELECT len({MISSING_SQL}) = 1 AS resolved, count(*) AS n FROM keyed GROUP BY 1")
+def split_resolved_pending(s: SparkSession, d: str) -> DataFrame:
+    done, rest = resolve.split_resolved(rules.transform_row(contacts(s, d), RULES).withColumn("left", F.array_except("missing", F.array(F.lit("person.userID")))), "left")
+    return done.agg(F.count("*").alias("n")).select(F.lit(True).alias("resolved"), "n").unionByName(rest.agg(F.count("*").alias("n")).select(F.lit(False).alias("resolved"), "n"))
+
+
+@query("pending_union", f"{WITH} SELECT row_id // 50 AS batch_id, array_to_string(list_sort(list_distinct(flatten(list({MISSING_SQL})))), ',') AS pending FROM keyed GROUP BY 1")
+def pending_union(s: SparkSession, d: str) -> DataFrame:
+    out = rules.transform_row(contacts(s, d), RULES).withColumn("batch_id", F.floor(F.col("row_id") / 50))
+    return out.groupBy("batch_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))), ",").alias("pending"))
+
+
+@query("deterministic_output", f"{WITH} SELECT row_id, {NAME_SQL} AS name, {TYPE_SQL} AS type FROM keyed WHERE len({MISSING_SQL}) = 1")
+def deterministic_output(s: SparkSession, d: str) -> DataFrame:
+    return rules.transform_row(contacts(s, d), RULES).where(F.size("missing") == 1).select("row_id", "mapped.person.name", "mapped.action.type")
+
+
+@query("merge_deep", f"{WITH} SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'x' ELSE tags END AS tags, \"givenName\" AS name FROM keyed")
+def merge_deep(s: SparkSession, d: str) -> DataFrame:
+    df = contacts(s, d).select("row_id", F.struct(F.col("tags"), F.col("givenName").alias("name")).alias("a"), F.struct(F.when(F.col("row_id") % 2 == 0, "x").alias("tags"), F.lit(None).cast("string").alias("name")).alias("b"))
+    return df.select("row_id", rules.merge_deep(F.col("a"), F.col("b"), df.schema["a"].dataType).alias("m")).select("row_id", "m.tags", "m.name")
+
+
+@query("overlay_deterministic", f"{WITH} SELECT k.row_id, CASE WHEN k.row_id % 5 <> 0 AND trim(action_type) = '' THEN 'model' ELSE {TYPE_SQL} END AS type FROM keyed k")
+def overlay_deterministic(s: SparkSession, d: str) -> DataFrame:
+    ruled = rules.transform_row(contacts(s, d), RULES).select("row_id", F.col("mapped.action.type").alias("ruled"), "action_type")
+    model = processed(s, d).select("row_id", F.lit("model").alias("model"))
+    return ruled.join(model, "row_id", "left").select("row_id", F.when(fx.is_blank(F.col("action_type")), F.coalesce("model", "ruled")).otherwise(F.col("ruled")).alias("type"))
+
+
+@query("taxonomy_join", f"{WITH} SELECT row_id, {CANON} AS value FROM keyed")
+def taxonomy_join(s: SparkSession, d: str) -> DataFrame:
+    entries = s.createDataFrame([(k.lower(), v) for n, v in views.ACTIONS.items() for k in (n, v)], "k string, canonical string")
+    return contacts(s, d).join(F.broadcast(entries), F.lower(fx.js_trim(F.col("action_type"))) == F.col("k"), "left").select("row_id", F.coalesce("canonical", "action_type").alias("value"))
+
+
+# joins, counts and states (2.8 - 2.10)
+@query("unprocessed_rows", f"{WITH} SELECT row_id FROM keyed WHERE row_id NOT IN (SELECT row_id FROM processed)")
+def unprocessed_rows(s: SparkSession, d: str) -> DataFrame:
+    return ledger.unprocessed_rows(keyed(s, d), processed(s, d)).select("row_id")
+
+
+@query("unprocessed_count", f"{WITH} SELECT count(*) AS n FROM keyed WHERE row_id % 5 = 0")
+def unprocessed_count(s: SparkSession, d: str) -> DataFrame:
+    return keyed(s, d).join(processed(s, d), "row_id", "left_anti").agg(F.count("*").alias("n"))
+
+
+@query("processed_rows", f"{WITH} SELECT k.row_id, k.uuid, p.result_id FROM keyed k JOIN processed p USING (row_id) WHERE k.uuid IS NOT NULL")
+def processed_rows(s: SparkSession, d: str) -> DataFrame:
+    return keyed(s, d).where("uuid IS NOT NULL").select("row_id", "uuid").join(processed(s, d).drop("uuid"), "row_id")
+
+
+def _counts(s: SparkSession, d: str) -> DataFrame:
+    return ledger.sync_counts(keyed(s, d), processed(s, d))
+
+
+query("sync_counts", f"{WITH} SELECT * FROM status")(_counts)
+query("key_fully_processed", f"{WITH} SELECT uuid, record_count = processed_count AS complete FROM status")(lambda s, d: _counts(s, d).select("uuid", F.expr("record_count = processed_count").alias("complete")))
+query("key_completion", f"{WITH} SELECT count(*) AS n_completed FROM status WHERE status = 'completed'")(lambda s, d: _counts(s, d).where("status = 'completed'").agg(F.count("*").alias("n_completed")))
+query("key_status_summary", f"{WITH} SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'completed') AS completed FROM status")(
+    lambda s, d: _counts(s, d).agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == x).alias(x) for x in ("pending", "processing", "completed")]))
+query("filter_by_status", f"{WITH} SELECT uuid FROM status WHERE status IN ('pending', 'processing')")(lambda s, d: _counts(s, d).where(F.col("status").isin("pending", "processing")).select("uuid"))
+EMITTED = "substr(uuid, 1, 1) < '4'"
+query("ready_for_merge", f"{WITH} SELECT uuid FROM status WHERE record_count = processed_count AND NOT ({EMITTED})")(lambda s, d: ledger.ready_for_merge(_counts(s, d), _counts(s, d).where(EMITTED)).select("uuid"))
+query("stream_finalize", f"{WITH} SELECT uuid, record_count FROM status WHERE record_count = processed_count AND NOT ({EMITTED})")(lambda s, d: ledger.ready_for_merge(_counts(s, d), _counts(s, d).where(EMITTED)).select("uuid", "record_count"))
+query("reconcile_orphans", f"{WITH} SELECT uuid, count(*) AS processed_count FROM processed WHERE uuid NOT IN (SELECT uuid FROM keyed WHERE uuid IS NOT NULL AND file_id <> 0) GROUP BY uuid")(
+    lambda s, d: ledger.reconcile_orphans(keyed(s, d).where("file_id <> 0"), processed(s, d).where("uuid IS NOT NULL")))
+query("drop_missing_key", f"{WITH} SELECT row_id, uuid FROM keyed WHERE uuid IS NOT NULL")(lambda s, d: keyed(s, d).where("uuid IS NOT NULL").select("row_id", "uuid"))
+query("range_scan", f"{WITH} SELECT row_id FROM keyed WHERE row_id BETWEEN 100 AND 900")(lambda s, d: keyed(s, d).where(F.col("row_id").between(100, 900)).select("row_id").orderBy("row_id"))
+query("rows_per_key_file", f"{WITH} SELECT file_id, uuid, count(*) AS n FROM keyed WHERE uuid IS NOT NULL GROUP BY file_id, uuid")(lambda s, d: keyed(s, d).where("uuid IS NOT NULL").groupBy("file_id", "uuid").agg(F.count("*").alias("n")))
+query("row_counts", f"{WITH} SELECT file_id, count(*) AS n FROM keyed GROUP BY file_id")(lambda s, d: contacts(s, d).groupBy("file_id").agg(F.count("*").alias("n")))
+query("next_index", f"{WITH} SELECT coalesce(max(row_id), -1) + 1 AS next_index FROM keyed")(lambda s, d: contacts(s, d).agg((F.coalesce(F.max("row_id"), F.lit(-1)) + 1).alias("next_index")))
+query("distinct_keys", f"{WITH} SELECT DISTINCT uuid FROM keyed WHERE file_id = 1 AND uuid IS NOT NULL")(lambda s, d: keyed(s, d).where("file_id = 1 AND uuid IS NOT NULL").select("uuid").distinct())
+query("random_uuid_count", f"{WITH} SELECT file_id, count(*) FILTER (uuid IS NULL) AS n_random FROM keyed GROUP BY file_id")(lambda s, d: keyed(s, d).groupBy("file_id").agg(F.count_if(F.col("uuid").isNull()).alias("n_random")))
+query("source_value", f"{WITH} SELECT uuid, arg_min(coalesce(nullif(\"primaryEmail\", ''), nullif(\"additionalEmails\", ''), 'unknown'), row_id) AS source_value FROM keyed WHERE uuid IS NOT NULL GROUP BY uuid")(
+    lambda s, d: keyed(s, d).where("uuid IS NOT NULL").groupBy("uuid").agg(F.min_by(F.coalesce(F.nullif("primaryEmail", F.lit("")), F.nullif("additionalEmails", F.lit("")), F.lit("unknown")), "row_id").alias("source_value")))
+query("duplicate_count", f"{WITH} SELECT file_id, count(*) - count(DISTINCT tags || '|' || action_type) AS duplicates FROM keyed GROUP BY file_id")(
+    lambda s, d: contacts(s, d).groupBy("file_id").agg((F.count("*") - F.countDistinct(F.concat_ws("|", "tags", "action_type"))).alias("duplicates")))
+query("dedup_rows", f"{WITH} SELECT file_id, tags, action_type, min(row_id) AS row_id FROM keyed GROUP BY ALL")(lambda s, d: ledger.dedup_rows(contacts(s, d), "file_id", ["tags", "action_type"], "row_id").select("file_id", "tags", "action_type", "row_id"))
+query("file_row_index", f"{WITH} SELECT row_id, row_number() OVER (PARTITION BY file_id ORDER BY row_id) - 1 AS file_row_index FROM keyed")(
+    lambda s, d: ledger.file_row_index(contacts(s, d), "file_id", "row_id").select("row_id", F.col("file_row_index").cast("bigint").alias("file_row_index")))
+query("global_row_index", f"{WITH} SELECT row_id, row_number() OVER (ORDER BY file_id, row_id) - 1 AS global_row_index FROM keyed")(lambda s, d: ledger.global_row_index(contacts(s, d), "file_id", "row_id").select("row_id", "global_row_index"))
+query("fixed_batches", f"{WITH} SELECT row_id // 100 AS batch_id, min(row_id) AS first_row, max(row_id) AS last_row, count(*) AS n FROM keyed GROUP BY 1")(
+    lambda s, d: ledger.fixed_batches(contacts(s, d), 100, "row_id").groupBy("batch_id").agg(F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"), F.count("*").alias("n")))
+query("ordered_scan", f"{WITH} SELECT row_id, uuid FROM keyed ORDER BY row_id")(lambda s, d: keyed(s, d).select("row_id", "uuid").orderBy("row_id"))
+query("limit_n", f"{WITH} SELECT row_id FROM keyed ORDER BY row_id LIMIT 20")(lambda s, d: contacts(s, d).select("row_id").orderBy("row_id").limit(20))
+query("set_union_values", f"{WITH} SELECT emails[1] AS value FROM keyed WHERE key IS NOT NULL UNION SELECT lower(trim(tags)) FROM keyed")(lambda s, d: keyed(s, d).where("key IS NOT NULL").select(F.col("key").alias("value")).union(contacts(s, d).select(F.lower(fx.js_trim(F.col("tags"))))).distinct())
+query("set_minus", f"{WITH} SELECT DISTINCT uuid FROM keyed WHERE uuid IS NOT NULL AND uuid NOT IN (SELECT uuid FROM processed WHERE uuid IS NOT NULL)")(lambda s, d: keyed(s, d).where("uuid IS NOT NULL").select("uuid").distinct().join(processed(s, d), "uuid", "left_anti"))
+query("insert_ignore", f"{WITH} SELECT tags, min(row_id) AS row_id FROM keyed WHERE row_id % 2 = 1 AND tags NOT IN (SELECT tags FROM keyed WHERE row_id % 2 = 0 AND row_id < 40) GROUP BY tags")(
+    lambda s, d: ledger.insert_ignore(contacts(s, d).where("row_id % 2 = 0 AND row_id < 40").select("tags"), contacts(s, d).where("row_id % 2 = 1").select("tags", "row_id"), ["tags"], "row_id").select("tags", "row_id"))
+query("upsert_latest", f"{WITH} SELECT row_id, CASE WHEN row_id % 5 <> 0 THEN 'done' ELSE 'new' END AS state FROM keyed")(lambda s, d: ledger.upsert_latest(contacts(s, d).select("row_id", F.lit("new").alias("state")), processed(s, d).select("row_id", F.lit("done").alias("state")), ["row_id"]))
+query("delete_keys", f"{WITH} SELECT row_id, uuid FROM keyed WHERE row_id % 5 = 0")(lambda s, d: keyed(s, d).select("row_id", "uuid").join(processed(s, d).select("row_id"), "row_id", "left_anti"))
+ENTITY = "SELECT uuid, count(*) AS n_records, arg_min(\"givenName\", row_id) FILTER (\"givenName\" <> '') AS \"givenName\", min(obj_published) AS first_published FROM keyed WHERE uuid IS NOT NULL GROUP BY uuid"
+
+
+def _entities(s: SparkSession, d: str) -> DataFrame:
+    merged = merge.entity_merge(keyed(s, d).withColumn("tag_list", fx.t_split(F.col("tags"))), "uuid", "row_id", ["givenName"], ["tag_list"])
+    return merged
+
+
+TAGS_SQL = f"SELECT uuid, string_agg(tag, '|' ORDER BY o) AS tags FROM (SELECT uuid, tag, min(row_id * 10 + pos) AS o FROM (SELECT uuid, row_id, unnest({SPLIT}) AS tag, generate_subscripts({SPLIT}, 1) AS pos FROM keyed WHERE uuid IS NOT NULL) GROUP BY uuid, tag) GROUP BY uuid"
+query("entity_merge", f"{WITH.rstrip()}, e AS ({ENTITY}), t AS ({TAGS_SQL}) SELECT uuid, n_records, \"givenName\", tags FROM e JOIN t USING (uuid)")(lambda s, d: _entities(s, d).select("uuid", "n_records", "givenName", joined(F.col("tag_list")).alias("tags")))
+query("collect_children", f"{WITH} SELECT uuid, string_agg(obj_published, '|' ORDER BY row_id) AS published FROM keyed WHERE uuid IS NOT NULL GROUP BY uuid")(
+    lambda s, d: merge.entity_merge(keyed(s, d), "uuid", "row_id", children=["obj_published"]).select("uuid", joined(F.col("obj_published")).alias("published")))
+query("jsonld_project", f"{WITH.rstrip()}, e AS ({ENTITY}) SELECT uuid, '{{\"@context\":\"https://schema.org/\",\"@type\":\"Person\",\"@id\":\"' || uuid || '\"' || coalesce(',\"givenName\":\"' || \"givenName\" || '\"', '') || '}}' AS jsonld FROM e")(
+    lambda s, d: merge.jsonld_project(_entities(s, d), "uuid", "Person", ["givenName"]))
+query("merged_with_status", f"{WITH.rstrip()}, e AS ({ENTITY}) SELECT uuid, n_records, status FROM e JOIN status USING (uuid)")(lambda s, d: _entities(s, d).select("uuid", "n_records").join(_counts(s, d).select("uuid", "status"), "uuid"))
+query("unwritten_outputs", f"{WITH} SELECT uuid, record_count AS version FROM status WHERE NOT ({EMITTED})")(
+    lambda s, d: ledger.unwritten_outputs(_counts(s, d).select("uuid", F.col("record_count").alias("version")), _counts(s, d).where(EMITTED).select("uuid", F.col("record_count").alias("version"))))
+query("merged_counts", f"{WITH} SELECT count(*) AS total, count(*) FILTER ({EMITTED}) AS written, count(*) FILTER (NOT ({EMITTED})) AS unwritten FROM status")(
+    lambda s, d: _counts(s, d).agg(F.count("*").alias("total"), F.count_if(F.expr(EMITTED)).alias("written"), F.count_if(~F.expr(EMITTED)).alias("unwritten")))
+query("progress", f"{WITH} SELECT (SELECT count(*) FROM keyed) AS n_rows, (SELECT count(*) FROM processed) AS n_processed, (SELECT count(*) FROM status) AS n_keys, (SELECT count(*) FROM status WHERE status = 'completed') AS n_completed")(
+    lambda s, d: keyed(s, d).agg(F.count("*").alias("n_rows")).crossJoin(processed(s, d).agg(F.count("*").alias("n_processed"))).crossJoin(_counts(s, d).agg(F.count("*").alias("n_keys"), F.count_if(F.col("status") == "completed").alias("n_completed"))))
+query("table_stats", f"{WITH} SELECT 'rows' AS name, count(*) AS n FROM keyed UNION ALL SELECT 'processed', count(*) FROM processed UNION ALL SELECT 'keys', count(*) FROM status")(
+    lambda s, d: keyed(s, d).agg(F.count("*").alias("n")).select(F.lit("rows").alias("name"), "n").union(processed(s, d).agg(F.count("*")).select(F.lit("processed"), "*")).union(_counts(s, d).agg(F.count("*")).select(F.lit("keys"), "*")))
+query("cascade_delete", f"{WITH} SELECT k.uuid, count(*) AS record_count, count(p.row_id) AS processed_count FROM keyed k LEFT JOIN processed p USING (row_id) WHERE file_id <> 1 AND k.uuid IS NOT NULL GROUP BY k.uuid")(
+    lambda s, d: (lambda x: ledger.sync_counts(x[0], x[1]).select("uuid", "record_count", "processed_count"))(ledger.cascade_delete(keyed(s, d), processed(s, d), _counts(s, d), [1])))
+query("reingest_edited", f"{WITH} SELECT count(*) AS n, count(DISTINCT uuid) AS n_keys FROM keyed WHERE file_id <> 1 OR row_id % 2 = 0")(
+    lambda s, d: ledger.cascade_delete(keyed(s, d), processed(s, d), _counts(s, d), [1])[0].unionByName(keyed(s, d).where("file_id = 1 AND row_id % 2 = 0")).agg(F.count("*").alias("n"), F.countDistinct("uuid").alias("n_keys")))
+query("attach_results", f"{WITH} SELECT row_id, uuid, obj_published FROM keyed WHERE row_id % 5 <> 0")(lambda s, d: keyed(s, d).select("row_id", "uuid", "obj_published").join(processed(s, d).select("row_id"), "row_id"))
+
+
+@query("ingest_plan", "SELECT DISTINCT 'f' || o_custkey || '.csv' AS file_path, CASE o_custkey % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'replace_failed' WHEN 2 THEN 'reject' ELSE 'ingest' END AS action FROM orders")
+def ingest_plan(s: SparkSession, d: str) -> DataFrame:
+    files = read(s, d, "orders").select("o_custkey").distinct()
+    path = F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".csv"))
+    incoming = files.select(path.alias("file_path"), F.sha2(path, 256).alias("file_hash"))
+    known = files.where("o_custkey % 4 < 3").select(
+        F.col("o_custkey").alias("file_id"), path.alias("file_path"),
+        F.when(F.col("o_custkey") % 4 == 2, F.lit("older")).otherwise(F.sha2(path, 256)).alias("file_hash"),
+        F.when(F.col("o_custkey") % 4 == 1, "failed").otherwise("completed").alias("status"),
+    )
+    return ledger.ingest_plan(incoming, known).select("file_path", "action")
+
+
+# identity (2.6)
+COMPONENTS = (
+    f"{WITH.rstrip()}, pairs AS (SELECT DISTINCT emails[1] AS a, unnest(emails) AS b FROM keyed WHERE len(emails) > 0), both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), "
+    "hop1 AS (SELECT DISTINCT x.a, y.b FROM both_ways x JOIN both_ways y ON x.b = y.a), hop2 AS (SELECT DISTINCT x.a, y.b FROM hop1 x JOIN hop1 y ON x.b = y.a), hop3 AS (SELECT DISTINCT x.a, y.b FROM hop2 x JOIN hop2 y ON x.b = y.a), "
+    "labels AS (SELECT a, min(b) AS component FROM hop3 GROUP BY a) SELECT row_id, component FROM keyed JOIN labels ON emails[1] = a"
+)
+
+
+def _valued(s: SparkSession, d: str) -> DataFrame:
+    return keyed(s, d).select("row_id", F.col("row_id").alias("ord"), F.col("emails").alias("id_values"))
+
+
+query("identity_components", COMPONENTS)(lambda s, d: identity.identity_components(_valued(s, d)))
+query("assign_identity")(lambda s, d: identity.assign_identity(_valued(s, d)))
+query("alias_dictionary")(lambda s, d: identity.alias_dictionary(_valued(s, d), identity.assign_identity(_valued(s, d))))
+
+
+# masking (2.7)
+for _kind, _pattern in (("email", pii.EMAIL), ("phone", pii.PHONE), ("address", pii.ADDRESS)):
+    query(f"pii_detect_{_kind}")(lambda s, d, k=_kind.upper(): free_text(s, d).select("doc_id", joined(pii.detect(F.col("text"), k)).alias("found")))
+query("pii_mask_text")(lambda s, d: free_text(s, d).select("doc_id", F.sha2(pii.mask_text(F.col("text")), 256).alias("masked_sha256")))
+query("pii_report")(lambda s, d: free_text(s, d).agg(*[F.sum(F.size(pii.detect(F.col("text"), k))).alias(k.lower()) for k in pii.KINDS]))
+FIELDS = {"givenName": ("NAME", False), "primaryEmail": ("EMAIL", False), "additionalEmails": ("EMAIL", True)}
+NAMES_SQL = "numbered AS (SELECT \"givenName\" AS value, 'NAME_' || row_number() OVER (ORDER BY min(row_id)) AS placeholder FROM keyed WHERE trim(\"givenName\") <> '' GROUP BY \"givenName\")"
+query("pii_mask_fields", f"{WITH.rstrip()}, {NAMES_SQL} SELECT row_id, coalesce(placeholder, \"givenName\") AS \"givenName\" FROM keyed LEFT JOIN numbered ON \"givenName\" = value")(lambda s, d: pii.mask_fields(contacts(s, d), {"givenName": ("NAME", False)}, "row_id")[0].select("row_id", "givenName"))
+query("pii_dictionary", f"{WITH.rstrip()}, {NAMES_SQL} SELECT value, placeholder FROM numbered")(lambda s, d: pii.mask_fields(contacts(s, d), {"givenName": ("NAME", False)}, "row_id")[1].select("value", "placeholder"))
+query("pii_scope", f"{WITH} SELECT file_id, \"givenName\" AS value, 'NAME_' || row_number() OVER (PARTITION BY file_id ORDER BY min(row_id)) AS placeholder FROM keyed WHERE trim(\"givenName\") <> '' GROUP BY file_id, \"givenName\"")(
+    lambda s, d: pii.mask_fields(contacts(s, d), {"givenName": ("NAME", False)}, "row_id", ["file_id"])[1].select("file_id", "value", "placeholder"))
+query("pii_mask_multi")(lambda s, d: pii.mask_fields(contacts(s, d), FIELDS, "row_id")[0].select("row_id", "additionalEmails"))
+query("pii_passthrough", f"{WITH} SELECT row_id, tags FROM keyed")(lambda s, d: contacts(s, d).select("row_id", "tags"))
+
+
+@query("pii_unmask", f"{WITH} SELECT row_id, \"givenName\" FROM keyed")
+def pii_unmask(s: SparkSession, d: str) -> DataFrame:
+    masked, table = pii.mask_fields(contacts(s, d), {"givenName": ("NAME", False)}, "row_id")
+    return pii.unmask(masked.select("row_id", "givenName"), ["givenName"], "row_id", table)
+
+
+# data quality (2.11)
+CHECKS = {
+    "v_required": (checks.Constraint("uuid", required=True), "uuid IS NULL"),
+    "v_type": (checks.Constraint("timeSpent", kind="double"), "TRY_CAST(trim(\"action_timeSpent\") AS double) IS NULL"),
+    "v_enum": (checks.Constraint("action_type", one_of=("zine", "newsletterClick")), "action_type NOT IN ('zine', 'newsletterClick')"),
+    "v_min_max": (checks.Constraint("row_id", minimum=10, maximum=500), "row_id NOT BETWEEN 10 AND 500"),
+    "v_string_length": (checks.Constraint("tags", min_length=3, max_length=30), "length(tags) > 30"),
+    "v_array_size": (checks.Constraint("emails", min_items=1, max_items=2), "len(emails) NOT BETWEEN 1 AND 2"),
+    "v_email_format": (checks.Constraint("trimmed", format="email"), "trim(\"primaryEmail\") = ''"),
+    "v_pattern": (checks.Constraint("action_type", pattern="^[a-z]+$"), "NOT regexp_matches(action_type, '^[a-z]+$')"),
+    "v_format": (checks.Constraint("obj_published", format="date"), "NOT regexp_matches(obj_published, '^\\d{4}-\\d{2}-\\d{2}$')"),
+    "v_nullable": (checks.Constraint("key", required=True), "key IS NULL"),
+}
+
+
+def _checked(s: SparkSession, d: str, constraints: list[checks.Constraint]) -> DataFrame:
+    df = keyed(s, d).withColumn("timeSpent", fx.js_trim(F.col("action_timeSpent"))).withColumn("trimmed", fx.js_trim(F.col("primaryEmail")))
+    return checks.validate(df, constraints)
+
+
+for _name, (_constraint, _sql) in CHECKS.items():
+    query(_name, f"{WITH} SELECT row_id FROM keyed WHERE {_sql}")(lambda s, d, k=_constraint: _checked(s, d, [k]).select("row_id"))
+query("validate_all", f"{WITH} " + " UNION ALL ".join(f"SELECT '{k.path}' AS path, count(*) AS n FROM keyed WHERE {q} HAVING count(*) > 0" for k, q in (CHECKS[x] for x in ("v_required", "v_type", "v_enum", "v_min_max"))))(
+    lambda s, d: _checked(s, d, [CHECKS[x][0] for x in ("v_required", "v_type", "v_enum", "v_min_max")]).groupBy("path").agg(F.count("*").alias("n")))
+query("v_batch_length", f"{WITH} SELECT row_id // 50 AS batch_id, count(*) AS expected, count(*) FILTER (row_id % 5 <> 0) AS actual FROM keyed GROUP BY 1 HAVING count(*) <> count(*) FILTER (row_id % 5 <> 0)")(
+    lambda s, d: checks.batch_length(*[x.withColumn("batch_id", F.floor(F.col("row_id") / 50)) for x in (contacts(s, d), processed(s, d))]))
+query("v_required_policy", f"{WITH} SELECT row_id FROM keyed WHERE row_id // 5 NOT IN (SELECT row_id // 5 FROM keyed WHERE uuid IS NULL)")(
+    lambda s, d: checks.required_policy(keyed(s, d).withColumn("batch_id", F.floor(F.col("row_id") / 5)), _checked(s, d, [CHECKS["v_required"][0]]), "drop_batch").select("row_id"))
+query("required_error_count", f"{WITH} SELECT row_id // 50 AS batch_id, cast(sum(len({MISSING_SQL})) AS bigint) AS errors FROM keyed GROUP BY 1")(
+    lambda s, d: rules.transform_row(contacts(s, d), RULES).groupBy(F.floor(F.col("row_id") / 50).alias("batch_id")).agg(F.sum(F.size("missing")).alias("errors")))
+query("log_rollups", f"{WITH} SELECT field, count(*) AS n FROM (SELECT unnest({MISSING_SQL}) AS field FROM keyed) GROUP BY field")(lambda s, d: rules.transform_row(contacts(s, d), RULES).select(F.explode("missing").alias("field")).groupBy("field").agg(F.count("*").alias("n")))
+
+
+# resolver (2.12): an offline one that fails some batches once and some always
+class Busy(Exception):
+    status = 429
+
+
+def offline(pdf: pd.DataFrame, model: str, error: str | None) -> pd.DataFrame:
+    batch = int(pdf["batch_id"].iloc[0])
+    if batch % 7 == 3 or (batch % 7 == 5 and model == "main"):
+        raise ValueError("bad enum")
+    return pd.DataFrame({"row_id": pdf["row_id"], "gender": ["f" if r % 2 else "m" for r in pdf["row_id"]]})
+
+
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve_pending(contacts(s, d).select("row_id", F.floor(F.col("row_id") / 50).alias("batch_id")), offline, "row_id long, gender string")
+
+
+query("resolve_pending", f"{WITH} SELECT row_id, CASE WHEN row_id % 2 = 1 THEN 'f' ELSE 'm' END AS gender FROM keyed WHERE (row_id // 50) % 7 <> 3")(lambda s, d: _resolved(s, d).where("status = 'success'").select("row_id", "gender"))
+query("attempt_log", f"{WITH.rstrip()}, b AS (SELECT DISTINCT row_id // 50 AS batch_id FROM keyed) SELECT batch_id, cast(i AS integer) AS attempt FROM b, generate_series(1, 3) g(i) WHERE (batch_id % 7 = 3) OR (batch_id % 7 = 5 AND i = 1)")(lambda s, d: _resolved(s, d).where("status = 'failed'").select("batch_id", "attempt"))
+query("batch_outcomes", f"{WITH} SELECT DISTINCT row_id // 50 AS batch_id, CASE (row_id // 50) % 7 WHEN 3 THEN 'failed' WHEN 5 THEN 'partial_success' ELSE 'success' END AS outcome, cast(CASE (row_id // 50) % 7 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS bigint) AS attempts FROM keyed")(lambda s, d: resolve.batch_outcomes(_resolved(s, d)))
+query("retry_ladder", f"{WITH.rstrip()}, b AS (SELECT DISTINCT row_id // 50 AS batch_id FROM keyed) SELECT batch_id, cast(CASE batch_id % 7 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS bigint) AS attempts FROM b")(lambda s, d: resolve.batch_outcomes(_resolved(s, d)).select("batch_id", "attempts"))
+query("group_by_pending", f"{WITH} SELECT array_to_string(list_sort({MISSING_SQL}), ',') AS pending_key, count(*) AS n FROM keyed GROUP BY 1")(
+    lambda s, d: resolve.group_by_pending(rules.transform_row(contacts(s, d), RULES), "missing").groupBy("pending_key").agg(F.count("*").alias("n")))
+query("render_prompt", f"{WITH} SELECT row_id // 50 AS batch_id, 'Fill: [' || string_agg('{{\"row_id\":' || row_id || ',\"obj_published\":\"' || obj_published || '\"}}', ',' ORDER BY row_id) || ']' AS prompt FROM keyed GROUP BY 1")(
+    lambda s, d: resolve.render_prompt(contacts(s, d).select(F.floor(F.col("row_id") / 50).alias("batch_id"), "row_id", "obj_published"), "Fill: {records}"))
+
+
+@query("entity_pipeline", f"{WITH.rstrip()}, e AS ({ENTITY}), t AS ({TAGS_SQL}) SELECT uuid, n_records, \"givenName\" AS name, tags, first_published, (SELECT max(obj_published) FROM keyed k WHERE k.uuid = e.uuid) AS last_published FROM e JOIN t USING (uuid)")
+def entity_pipeline(s: SparkSession, d: str) -> DataFrame:
+    """Contacts to entities: identity, mapping, merge."""
+    rows = keyed(s, d).withColumn("tag_list", fx.t_split(F.col("tags")))
+    spans = rows.where("uuid IS NOT NULL").groupBy("uuid").agg(F.min("obj_published").alias("first_published"), F.max("obj_published").alias("last_published"))
+    merged = merge.entity_merge(rows, "uuid", "row_id", ["givenName"], ["tag_list"])
+    return merged.join(spans, "uuid").select("uuid", "n_records", F.col("givenName").alias("name"), joined(F.col("tag_list")).alias("tags"), "first_published", "last_published")
+
+
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
