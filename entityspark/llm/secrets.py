@@ -198,7 +198,7 @@ def train(findings: DataFrame, sample_rows: int = 4_000) -> Forest:
     """A forest from at most ``sample_rows`` labelled findings of each label (a documented bound), the first by ``order``."""
     stored = keep(findings)
     rows = [r for y in (0, 1) for r in stored.where(F.col("label") == y).orderBy("order", "features").limit(sample_rows).collect()]
-    return Forest.fit(np.array([r["features"] for r in rows], dtype=np.float64).reshape(len(rows), -1), np.array([r["label"] for r in rows], dtype=np.float64))
+    return Forest.fit(np.array([r["features"] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES)), np.array([r["label"] for r in rows], dtype=np.float64))
 
 
 @dataclass

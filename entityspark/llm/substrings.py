@@ -236,7 +236,7 @@ def _surroundings(buckets: int, least: int):  # noqa: ANN202
                 start, end = np.maximum(at - side, offsets[row]), np.minimum(at + SEED_BYTES + side, offsets[row + 1])
                 place = start[:, None] + np.arange(whole)
                 around = np.where(place < end[:, None], np.append(raw, np.zeros(whole, np.uint8))[np.minimum(place, len(raw) + whole - 1)], 0).astype(np.uint8)
-                held.append((code >> 32, around, (end - start | (at - start) << 8).astype(np.uint16), piece.column(0).to_numpy()[row], piece.column(1).to_numpy()[row], start - offsets[row]))
+                held.append((code >> 32, around, (end - start | (at - start) << 8).astype(np.uint16), piece.column(0).to_numpy()[row], piece.column(1).fill_null(0).to_numpy()[row], start - offsets[row]))
             if not held:
                 continue
             bucket, around, shape, part, ids, start = (np.concatenate(x) for x in zip(*held))
