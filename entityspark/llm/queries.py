@@ -88,4 +88,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_winnowing": op10_winnowing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w"
+
+#: The others learn a model, hash with functions that SQL lacks, or pack in sequence; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op10_winnowing": f"""
+WITH d AS (SELECT doc_id, {_WORDS} FROM documents),
+b AS (SELECT DISTINCT cast(item_id AS varchar) AS item, {_WORDS} FROM benchmark WHERE item_id IS NOT NULL),
+spans AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS span FROM (SELECT item, w, least(len(w), 10) AS m, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM spans),
+lists AS (SELECT doc_id, m, list_transform(generate_series(1, len(w) - m + 1), lambda i: array_to_string(w[i:i + m - 1], ' ')) AS s FROM d, sizes WHERE len(w) >= m),
+starts AS (SELECT doc_id, m, unnest(s) AS span, generate_subscripts(s, 1) AS i FROM lists),
+hits AS (SELECT doc_id, m, i, item FROM starts JOIN spans USING (m, span)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM (SELECT DISTINCT doc_id, m, i FROM hits)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+}

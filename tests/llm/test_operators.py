@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -142,3 +143,14 @@ def test_disclosure_and_secrets(spark):
     flags = {r["doc_id"]: r["secret"] for r in secrets.scan(found, model).collect()}
     assert flags[3] and not flags[101] and 200 not in flags
     assert "[SECRET]" in secrets.redact(found, model).where(F.col("doc_id") == 3).first()["text"]
+
+
+def test_winnowing_equals_sql(spark):
+    from entityspark.llm import queries
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op10_winnowing"])
+    got = queries.QUERIES["op10_winnowing"](spark, folder).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
