@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EMAIL_FORMAT = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
@@ -84,3 +84,15 @@ def required_policy(df: DataFrame, violations: DataFrame, mode: str = "log", bat
             raise ValueError("required fields are missing")
         return df
     return df.join(df.join(bad.select(row_id).distinct(), row_id, "left_semi").select(batch).distinct(), batch, "left_anti")
+
+
+def places(rows: DataFrame, batch: str = "batch_id", row_id: str = "row_id") -> DataFrame:
+    """Adds ``place``, a row's index in its batch from 0."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(batch).orderBy(row_id)) - 1)
+
+
+def row_mapping(errors: DataFrame, placed: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Errors with paths ``results.<place>.<path>`` joined to their rows; ``path`` loses the prefix. Other paths are left out."""
+    form = r"^results\.([0-9]+)\.(.*)$"
+    parsed = errors.where(F.col("path").rlike(form)).withColumn("place", F.regexp_extract("path", form, 1).cast("int")).withColumn("path", F.regexp_extract("path", form, 2))
+    return parsed.join(placed, [batch, "place"])

@@ -41,6 +41,17 @@ def unwritten_outputs(entities: DataFrame, emitted: DataFrame) -> DataFrame:
     return entities.join(emitted.select("uuid", "version"), ["uuid", "version"], "left_anti")
 
 
+def invalidate_outputs(emitted: DataFrame, uuids: DataFrame | None = None) -> DataFrame:
+    """The emission records that stay: none, or those of keys that are not in ``uuids``."""
+    return emitted.where("false") if uuids is None else emitted.join(uuids.select("uuid").distinct(), "uuid", "left_anti")
+
+
+def latest_status(manifest: DataFrame, key: str = "file_id", version: str = "version") -> DataFrame:
+    """The newest record of each file in an append-only manifest."""
+    rest = [c for c in manifest.columns if c != key]
+    return manifest.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("r")).select(key, "r.*")
+
+
 def cascade_delete(rows: DataFrame, processed: DataFrame, entities: DataFrame, file_ids: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows, results and entities without the given files: affected keys lose their entity."""
     gone = rows.where(F.col("file_id").isin(file_ids))

@@ -37,3 +37,8 @@ def jsonld_project(entities: DataFrame, key: str, kind: str, columns: list[str],
     """``(key, jsonld)``: JSON-LD text per entity; nulls are left out, an empty id too."""
     identity = F.when(F.coalesce(F.col(key), F.lit("")) != "", F.col(key)).alias("@id")
     return entities.select(key, F.to_json(F.struct(F.lit(context).alias("@context"), F.lit(kind).alias("@type"), identity, *columns)).alias("jsonld"))
+
+
+def jsonld_array(items: Column, kind: str, columns: list[str]) -> Column:
+    """An array of structs as JSON-LD entities of a type, with the given columns only; null stays null."""
+    return F.transform(items, lambda x: F.struct(F.lit(kind).alias("@type"), *[x[c].alias(c) for c in columns]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,19 @@ def detect(c: Column, kind: str) -> Column:
     return F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)), valid)
 
 
-def replace_matches(c: Column, pattern: str, replacement) -> Column:  # noqa: ANN001
-    """``c`` with every match m replaced by ``replacement(m)``: gaps and matches zipped, no Python."""
-    gaps, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    return F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: F.concat(F.coalesce(x["g"], F.lit("")), F.coalesce(replacement(x["m"]), F.lit("")))), "")
+def once(c: Column, function: Callable[[Column], Column]) -> Column:
+    """``function(c)`` with ``c`` computed once, however often the function uses it."""
+    return F.get(F.transform(F.array(c), function), F.lit(0))
+
+
+def replace_matches(c: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
+    """``c`` with every match m replaced by ``replacement(m)``: gaps and matches zipped, no Python. Null stays null."""
+
+    def replaced(t: Column) -> Column:
+        gaps, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: F.concat(F.coalesce(x["g"], F.lit("")), F.coalesce(replacement(x["m"]), F.lit("")))), "")
+
+    return once(c, replaced)
 
 
 def written(template: Column, n: Column) -> Column:

@@ -202,6 +202,19 @@ def prune_schema(schema: T.StructType, paths: list[str]) -> T.StructType:
     return walk(schema, paths)
 
 
+def project(c: Column, schema: T.StructType) -> Column:
+    """The parts of a struct that ``schema`` has, through structs and arrays of structs; Catalyst prunes the scan alike."""
+
+    def part(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return project(x, kind)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            return F.transform(x, lambda e: project(e, kind.elementType))
+        return x
+
+    return F.when(c.isNotNull(), F.struct(*[part(c[f.name], f.dataType).alias(f.name) for f in schema.fields]))
+
+
 def wrap_required_schema(schema: T.StructType) -> T.StructType:
     """Required fields of each entity as {value, present}."""
     wrapped = lambda f: f if f.nullable else T.StructField(f.name, T.StructType([T.StructField("value", f.dataType), T.StructField("present", T.BooleanType())]), True)

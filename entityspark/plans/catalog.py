@@ -7,27 +7,14 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from entityspark.functions import text as fx
 from entityspark.operators import checks, identity, ledger, merge, pii, resolve, rules
 from entityspark.plans import views
+from entityspark.plans.registry import QUERIES, SQL, Query, query
 from entityspark.plans.views import WITH, contacts, free_text, keyed, processed, read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def over_contacts(name: str, value: Callable[[], Column] | Column, sql: str, where: str = "true") -> None:
     """A query of one computed column over all contacts."""
     make = value if callable(value) else lambda: value
@@ -82,6 +69,8 @@ for _name, _value, _sql in [
     ("uuid_v5", lambda: c("uuid"), "uuid"),
     ("uuid_random", lambda: fx.uuid_v5(F.concat(F.lit("row:"), c("row_id").cast("string"))).isNotNull() & c("uuid").isNull(), "uuid IS NULL"),
     ("identity_events", lambda: F.when(c("key").isNull(), "fallback_to_random").otherwise("generated"), "CASE WHEN key IS NULL THEN 'fallback_to_random' ELSE 'generated' END"),
+    ("comma_field_list", lambda: F.when(F.size(fx.t_split(F.nullif(c("additionalEmails"), F.lit("")))) > 0, joined(fx.t_split(c("additionalEmails")))), "CASE WHEN trim(\"additionalEmails\") <> '' THEN array_to_string(list_transform(string_split(\"additionalEmails\", ','), lambda x: trim(x)), '|') END"),
+    ("custom_rule", lambda: rules.value_of(["tags"], rules.Rule("tags", custom=lambda x: F.reverse(F.upper(x))))[0], "reverse(upper(tags))"),
     ("row_hash", lambda: F.sha2(F.concat_ws("|", "tags", "action_type"), 256), "sha256(tags || '|' || action_type)"),
 ]:
     over_contacts(_name, _value, _sql)
@@ -136,6 +125,15 @@ def pending_union(s: SparkSession, d: str) -> DataFrame:
     return out.groupBy("batch_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))), ",").alias("pending"))
 
 
+TARGET = T.StructType().add("person", T.StructType().add("name", "string").add("tags", T.ArrayType(T.StringType()))).add("action", T.StructType().add("type", "string").add("published", "string"))
+
+
+@query("prune_schema", f"{WITH} SELECT row_id, '{{\"person\":{{\"name\":\"' || {NAME_SQL} || '\"}},\"action\":{{\"type\":\"' || {TYPE_SQL} || '\"}}}}' AS kept FROM keyed")
+def prune_schema(s: SparkSession, d: str) -> DataFrame:
+    kept = rules.prune_schema(TARGET, ["person.name", "action.type"])
+    return rules.transform_row(contacts(s, d), RULES).select("row_id", F.to_json(rules.project(F.col("mapped"), kept)).alias("kept"))
+
+
 @query("deterministic_output", f"{WITH} SELECT row_id, {NAME_SQL} AS name, {TYPE_SQL} AS type FROM keyed WHERE len({MISSING_SQL}) = 1")
 def deterministic_output(s: SparkSession, d: str) -> DataFrame:
     return rules.transform_row(contacts(s, d), RULES).where(F.size("missing") == 1).select("row_id", "mapped.person.name", "mapped.action.type")
@@ -230,9 +228,13 @@ query("collect_children", f"{WITH} SELECT uuid, string_agg(obj_published, '|' OR
     lambda s, d: merge.entity_merge(keyed(s, d), "uuid", "row_id", children=["obj_published"]).select("uuid", joined(F.col("obj_published")).alias("published")))
 query("jsonld_project", f"{WITH.rstrip()}, e AS ({ENTITY}) SELECT uuid, '{{\"@context\":\"https://schema.org/\",\"@type\":\"Person\",\"@id\":\"' || uuid || '\"' || coalesce(',\"givenName\":\"' || \"givenName\" || '\"', '') || '}}' AS jsonld FROM e")(
     lambda s, d: merge.jsonld_project(_entities(s, d), "uuid", "Person", ["givenName"]))
+query("jsonld_project_array", f"{WITH} SELECT uuid, '[' || string_agg('{{\"@type\":\"Action\",\"published\":\"' || obj_published || '\"}}', ',' ORDER BY row_id) || ']' AS jsonld FROM keyed WHERE uuid IS NOT NULL GROUP BY uuid")(
+    lambda s, d: merge.entity_merge(keyed(s, d).withColumn("actions", F.struct(F.col("obj_published").alias("published"))), "uuid", "row_id", children=["actions"]).select("uuid", F.to_json(merge.jsonld_array(F.col("actions"), "Action", ["published"])).alias("jsonld")))
 query("merged_with_status", f"{WITH.rstrip()}, e AS ({ENTITY}) SELECT uuid, n_records, status FROM e JOIN status USING (uuid)")(lambda s, d: _entities(s, d).select("uuid", "n_records").join(_counts(s, d).select("uuid", "status"), "uuid"))
 query("unwritten_outputs", f"{WITH} SELECT uuid, record_count AS version FROM status WHERE NOT ({EMITTED})")(
     lambda s, d: ledger.unwritten_outputs(_counts(s, d).select("uuid", F.col("record_count").alias("version")), _counts(s, d).where(EMITTED).select("uuid", F.col("record_count").alias("version"))))
+query("invalidate_outputs", f"{WITH} SELECT uuid FROM status")(
+    lambda s, d: ledger.unwritten_outputs(_counts(s, d).withColumn("version", F.col("record_count")), ledger.invalidate_outputs(_counts(s, d).where(EMITTED).withColumn("version", F.col("record_count")))).select("uuid"))
 query("merged_counts", f"{WITH} SELECT count(*) AS total, count(*) FILTER ({EMITTED}) AS written, count(*) FILTER (NOT ({EMITTED})) AS unwritten FROM status")(
     lambda s, d: _counts(s, d).agg(F.count("*").alias("total"), F.count_if(F.expr(EMITTED)).alias("written"), F.count_if(~F.expr(EMITTED)).alias("unwritten")))
 query("progress", f"{WITH} SELECT (SELECT count(*) FROM keyed) AS n_rows, (SELECT count(*) FROM processed) AS n_processed, (SELECT count(*) FROM status) AS n_keys, (SELECT count(*) FROM status WHERE status = 'completed') AS n_completed")(
@@ -277,17 +279,47 @@ query("alias_dictionary")(lambda s, d: identity.alias_dictionary(_valued(s, d),
 
 
 # masking (2.7)
+FREE_TEXT = "WITH free_text AS (SELECT doc_id, coalesce(text, '') || chr(10) || doc_id || ' Maple Grove Street' AS text FROM documents)"
+VALID_SQL = {
+    "EMAIL": "len(string_split(m, '@')) = 2 AND split_part(m, '@', 1) <> '' AND contains(split_part(m, '@', -1), '.') AND left(split_part(m, '@', -1), 1) <> '.' AND right(m, 1) <> '.' AND length(split_part(m, '@', -1)) > 3",
+    "PHONE": "length(regexp_replace(m, '\\D', '', 'g')) BETWEEN 10 AND 15",
+    "ADDRESS": "regexp_matches(m, '\\d') AND length(trim(m, E' \\t\\n\\r')) > 10",
+}
+
+
+def detected_sql(kind: str) -> str:
+    return f"list_filter(regexp_extract_all(text, '{pii.KINDS[kind][0]}'), lambda m: {VALID_SQL[kind]})"
+
+
+def masked_sql() -> str:
+    """One pass a kind, each over the text of the one before."""
+    passes, source = [], "free_text"
+    for kind, (pattern, _) in pii.KINDS.items():
+        valid = VALID_SQL[kind].replace("m,", "x[2],").replace("(m", "(x[2]")
+        pieces = f"list_transform(list_zip(regexp_split_to_array(text, '{pattern}'), regexp_extract_all(text, '{pattern}')), lambda x: coalesce(x[1], '') || CASE WHEN x[2] IS NULL THEN '' WHEN {valid} THEN '[{kind}]' ELSE x[2] END)"
+        passes.append(f"masked_{kind.lower()} AS (SELECT doc_id, array_to_string({pieces}, '') AS text FROM {source})")
+        source = f"masked_{kind.lower()}"
+    return ", ".join(passes)
+
+
 for _kind, _pattern in (("email", pii.EMAIL), ("phone", pii.PHONE), ("address", pii.ADDRESS)):
-    query(f"pii_detect_{_kind}")(lambda s, d, k=_kind.upper(): free_text(s, d).select("doc_id", joined(pii.detect(F.col("text"), k)).alias("found")))
-query("pii_mask_text")(lambda s, d: free_text(s, d).select("doc_id", F.sha2(pii.mask_text(F.col("text")), 256).alias("masked_sha256")))
-query("pii_report")(lambda s, d: free_text(s, d).agg(*[F.sum(F.size(pii.detect(F.col("text"), k))).alias(k.lower()) for k in pii.KINDS]))
+    query(f"pii_detect_{_kind}", f"{FREE_TEXT} SELECT doc_id, array_to_string({detected_sql(_kind.upper())}, '|') AS found FROM free_text")(lambda s, d, k=_kind.upper(): free_text(s, d).select("doc_id", joined(pii.detect(F.col("text"), k)).alias("found")))
+query("pii_mask_text", f"{FREE_TEXT}, {masked_sql()} SELECT doc_id, sha256(text) AS masked_sha256 FROM masked_address")(lambda s, d: free_text(s, d).select("doc_id", F.sha2(pii.mask_text(F.col("text")), 256).alias("masked_sha256")))
+query("pii_report", f"{FREE_TEXT} SELECT " + ", ".join(f"cast(sum(len({detected_sql(k)})) AS bigint) AS {k.lower()}" for k in pii.KINDS) + " FROM free_text")(lambda s, d: free_text(s, d).agg(*[F.sum(F.size(pii.detect(F.col("text"), k))).alias(k.lower()) for k in pii.KINDS]))
 FIELDS = {"givenName": ("NAME", False), "primaryEmail": ("EMAIL", False), "additionalEmails": ("EMAIL", True)}
 NAMES_SQL = "numbered AS (SELECT \"givenName\" AS value, 'NAME_' || row_number() OVER (ORDER BY min(row_id)) AS placeholder FROM keyed WHERE trim(\"givenName\") <> '' GROUP BY \"givenName\")"
 query("pii_mask_fields", f"{WITH.rstrip()}, {NAMES_SQL} SELECT row_id, coalesce(placeholder, \"givenName\") AS \"givenName\" FROM keyed LEFT JOIN numbered ON \"givenName\" = value")(lambda s, d: pii.mask_fields(contacts(s, d), {"givenName": ("NAME", False)}, "row_id")[0].select("row_id", "givenName"))
 query("pii_dictionary", f"{WITH.rstrip()}, {NAMES_SQL} SELECT value, placeholder FROM numbered")(lambda s, d: pii.mask_fields(contacts(s, d), {"givenName": ("NAME", False)}, "row_id")[1].select("value", "placeholder"))
 query("pii_scope", f"{WITH} SELECT file_id, \"givenName\" AS value, 'NAME_' || row_number() OVER (PARTITION BY file_id ORDER BY min(row_id)) AS placeholder FROM keyed WHERE trim(\"givenName\") <> '' GROUP BY file_id, \"givenName\"")(
     lambda s, d: pii.mask_fields(contacts(s, d), {"givenName": ("NAME", False)}, "row_id", ["file_id"])[1].select("file_id", "value", "placeholder"))
-query("pii_mask_multi")(lambda s, d: pii.mask_fields(contacts(s, d), FIELDS, "row_id")[0].select("row_id", "additionalEmails"))
+MULTI_SQL = (
+    "items AS (SELECT row_id, 0 AS field, 0 AS pos, \"givenName\" AS value, 'NAME' AS template FROM keyed WHERE trim(\"givenName\") <> '' UNION ALL SELECT row_id, 1, 0, \"primaryEmail\", 'EMAIL' FROM keyed WHERE trim(\"primaryEmail\") <> '' "
+    "UNION ALL SELECT row_id, 2, generate_subscripts(v, 1), unnest(v), 'EMAIL' FROM (SELECT row_id, list_filter(list_transform(regexp_split_to_array(\"additionalEmails\", '[,|;]+'), lambda x: trim(x)), lambda x: x <> '') AS v FROM keyed)), "
+    "firsts AS (SELECT value, arg_min(template, (row_id, field, pos)) AS template, min((row_id, field, pos)) AS o FROM items GROUP BY value), "
+    "named AS (SELECT value, template || '_' || row_number() OVER (PARTITION BY template ORDER BY o) || CASE template WHEN 'EMAIL' THEN '@GMAIL.COM' ELSE '' END AS placeholder FROM firsts), "
+    "multi AS (SELECT row_id, string_agg(placeholder, ', ' ORDER BY pos) AS masked FROM items JOIN named USING (value) WHERE field = 2 GROUP BY row_id)"
+)
+query("pii_mask_multi", f"{WITH.rstrip()}, {MULTI_SQL} SELECT row_id, coalesce(masked, \"additionalEmails\") AS \"additionalEmails\" FROM keyed LEFT JOIN multi USING (row_id)")(lambda s, d: pii.mask_fields(contacts(s, d), FIELDS, "row_id")[0].select("row_id", "additionalEmails"))
 query("pii_passthrough", f"{WITH} SELECT row_id, tags FROM keyed")(lambda s, d: contacts(s, d).select("row_id", "tags"))
 
 
@@ -321,6 +353,16 @@ for _name, (_constraint, _sql) in CHECKS.items():
     query(_name, f"{WITH} SELECT row_id FROM keyed WHERE {_sql}")(lambda s, d, k=_constraint: _checked(s, d, [k]).select("row_id"))
 query("validate_all", f"{WITH} " + " UNION ALL ".join(f"SELECT '{k.path}' AS path, count(*) AS n FROM keyed WHERE {q} HAVING count(*) > 0" for k, q in (CHECKS[x] for x in ("v_required", "v_type", "v_enum", "v_min_max"))))(
     lambda s, d: _checked(s, d, [CHECKS[x][0] for x in ("v_required", "v_type", "v_enum", "v_min_max")]).groupBy("path").agg(F.count("*").alias("n")))
+query("v_row_mapping", f"{WITH} SELECT row_id, 'action_type' AS path FROM keyed WHERE {CHECKS['v_enum'][1]}")(lambda s, d: _row_mapping(s, d))
+
+
+def _row_mapping(s: SparkSession, d: str) -> DataFrame:
+    """Errors as a validator of whole batches reports them, taken back to their rows."""
+    placed = checks.places(contacts(s, d).select("row_id", F.floor(F.col("row_id") / 50).alias("batch_id")))
+    errors = _checked(s, d, [CHECKS["v_enum"][0]]).join(placed, "row_id").select("batch_id", F.concat(F.lit("results."), F.col("place").cast("string"), F.lit("."), "path").alias("path"))
+    return checks.row_mapping(errors, placed).select("row_id", "path")
+
+
 query("v_batch_length", f"{WITH} SELECT row_id // 50 AS batch_id, count(*) AS expected, count(*) FILTER (row_id % 5 <> 0) AS actual FROM keyed GROUP BY 1 HAVING count(*) <> count(*) FILTER (row_id % 5 <> 0)")(
     lambda s, d: checks.batch_length(*[x.withColumn("batch_id", F.floor(F.col("row_id") / 50)) for x in (contacts(s, d), processed(s, d))]))
 query("v_required_policy", f"{WITH} SELECT row_id FROM keyed WHERE row_id // 5 NOT IN (SELECT row_id // 5 FROM keyed WHERE uuid IS NULL)")(
