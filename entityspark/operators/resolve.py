@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entityspark.operators import checks, pii, rules
+
 Resolver = Callable[[pd.DataFrame, str, str | None], pd.DataFrame]
 
 
@@ -61,5 +63,29 @@ def batch_outcomes(log: DataFrame, batch: str = "batch_id") -> DataFrame:
     return log.groupBy(batch).agg(outcome.alias("outcome"), F.max("attempt").cast("bigint").alias("attempts"))
 
 
-def in_batches(function: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    return lambda frames: (function(f) for f in frames)
+def process_batch(rows: DataFrame, rule_set: rules.RuleSet, resolver: Resolver, schema: str, masked: dict[str, tuple[str, bool]], constraints: list[checks.Constraint], batch: str = "batch_id", row_id: str = "row_id", retries: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, violations, attempts): rules, masking, resolver, unmasking, overlay and checks.
+
+    Only rows with pending fields reach the resolver, with the ``masked`` columns alone and their
+    values replaced; ``schema`` starts with the row id. Rule values stay in ``mapped``; resolved
+    columns are null where the resolver failed or was not needed.
+    """
+    mapped = rules.transform_row(rows, rule_set)
+    hidden, table = pii.mask_fields(mapped.where(F.size("pending") > 0).select(batch, row_id, *masked), masked, row_id)
+    attempts = resolve_pending(hidden, resolver, schema, batch, retries)
+    names = [x.split()[0] for x in schema.split(",")][1:]
+    texts = [x.split()[0] for x in schema.split(",")[1:] if x.split()[1] == "string"]
+    answers = pii.unmask(attempts.where("status = 'success'").select(row_id, *names), texts, row_id, table)
+    results = mapped.join(answers, row_id, "left")
+    return results, checks.validate(results, constraints, row_id), attempts
+
+
+def log_datasets(mapped: DataFrame, violations: DataFrame, attempts: DataFrame, identities: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """All records of a run as ``(kind, batch_id, record)``: model_input, validation_error, retry_attempt, batch_outcome, uuid_event."""
+    def kind(name: str, df: DataFrame, key: str | None) -> DataFrame:
+        return df.select(F.lit(name).alias("kind"), (F.col(key) if key else F.lit(None)).cast("long").alias("batch_id"), F.to_json(F.struct("*")).alias("record"))
+
+    return (
+        kind("model_input", mapped.where(F.size("pending") > 0), batch).unionByName(kind("validation_error", violations, None)).unionByName(kind("retry_attempt", attempts.where("status = 'failed'"), batch))
+        .unionByName(kind("batch_outcome", batch_outcomes(attempts, batch), batch)).unionByName(kind("uuid_event", identities, None))
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +20,8 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 def csv_scan(spark: SparkSession, paths: str | list[str], columns: list[str], strict: bool = False) -> DataFrame:
     """Header CSV files as text columns, with ``file_path``, ``pos`` and ``_corrupt``.
 
-    Of columns that repeat a name the last one counts. ``strict`` fails at a malformed row, else
-    such rows carry their text in ``_corrupt``. Empty files give no rows.
+    Of columns that repeat a name the last one counts. An empty cell is empty text. ``strict``
+    fails at a malformed row, else such rows carry their text in ``_corrupt``. Empty files give no rows.
     """
     unique = [f"c{i}" for i in range(len(columns))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in unique] + [T.StructField("_corrupt", T.StringType())])
@@ -28,7 +29,7 @@ def csv_scan(spark: SparkSession, paths: str | list[str], columns: list[str], st
     reader = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     last = {name: unique[i] for i, name in enumerate(columns)}
     raw = reader.csv(paths)
-    return raw.select(*[F.col(c).alias(n) for n, c in last.items()], "_corrupt", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("pos"))
+    return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for n, c in last.items()], "_corrupt", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("pos"))
 
 
 def not_blank(columns: list[str]) -> Column:
@@ -36,8 +37,9 @@ def not_blank(columns: list[str]) -> Column:
 
 
 def split_malformed(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantined); blank rows are in neither."""
-    return rows.where(F.col("_corrupt").isNull() & not_blank(columns)).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull() & not_blank(columns))
+    """(good, quarantined); blank rows of full width are in neither."""
+    parsed = F.length(columns[0]) >= 0  # always so; Spark refuses scans of the corrupt text alone
+    return rows.where(F.col("_corrupt").isNull() & not_blank(columns)).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull() & parsed)
 
 
 def file_content_hash(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -46,7 +48,29 @@ def file_content_hash(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def taxonomy_scan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema("notation string, value string").json(path)
+    """``(notation, value)`` of a JSON array of entries; a missing file has none."""
+    schema = "notation string, value string"
+    try:
+        return spark.read.option("multiLine", True).schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def not_blank_count(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``(file_path, n)``: rows with a cell that is not blank, malformed ones too."""
+    return rows.where(F.col("_corrupt").isNotNull() | not_blank(columns)).groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+def multi_file_union(frames: list[DataFrame]) -> DataFrame:
+    """Files with different headers as one row set; columns that a file lacks are empty text."""
+    names = list(dict.fromkeys(c for f in frames for c in f.columns))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    text = dict(out.dtypes)
+    return out.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if text[c] == "string" and c != "_corrupt" else F.col(c) for c in names])
 
 
 def jsonld_sink(entities: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 from entityspark.operators.merge import entity_merge
 
 
-def completed_keys(results: DataFrame) -> DataFrame:
-    """Streaming aggregate: per key the expected and seen numbers of results; state is two numbers a key."""
-    return results.groupBy("uuid").agg(F.max("record_count").alias("record_count"), F.count("*").alias("seen"))
-
-
-def run_available(spark: SparkSession, source: str, schema: str, entities_path: str, checkpoint: str, scalars: list[str], lists: list[str]) -> None:
+def run_available(spark: SparkSession, source: str, schema: str, entities_path: str, checkpoint: str, scalars: list[str], lists: list[str] = (), max_files: int | None = None) -> None:
     """Consumes what is in ``source`` and writes a new version of each key that is complete.
 
+    ``schema`` has uuid, record_count (rows expected for the key) and ord besides the merged
+    columns; ``max_files`` bounds a micro-batch.
+
     Each micro-batch appends its results to a table of its own batch number (so a repeated batch
     overwrites itself), and merges only the keys it touched. A key with late rows is merged again
     under the next version; readers take the latest.
     """
-    stream = spark.readStream.schema(schema).parquet(source)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source)
 
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -39,3 +38,15 @@ def latest(spark: SparkSession, entities_path: str) -> DataFrame:
     every = spark.read.parquet(f"{entities_path}/entities").drop("batch")
     newest = every.groupBy("uuid").agg(F.max("version").alias("version"))
     return every.join(newest, ["uuid", "version"], "left_semi")
+
+
+def progress(spark: SparkSession, entities_path: str) -> DataFrame:
+    """One row: results and keys seen, keys complete, versions written."""
+    results, entities = spark.read.parquet(f"{entities_path}/results"), spark.read.parquet(f"{entities_path}/entities")
+    seen = results.agg(F.count("*").alias("n_results"), F.countDistinct("uuid").alias("n_keys"))
+    return seen.crossJoin(entities.agg(F.countDistinct("uuid").alias("n_completed"), F.count("*").alias("n_versions")))
+
+
+def restore(entities: DataFrame, emitted: DataFrame) -> DataFrame:
+    """After a restart: the latest entities whose version has not been emitted."""
+    return entities.join(emitted.select("uuid", "version"), ["uuid", "version"], "left_anti")

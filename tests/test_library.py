@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from entityspark.functions import text as fx
-from entityspark.operators import checks, identity, ledger, merge, pii, rules
-from entityspark.plans import catalog
+from entityspark.operators import checks, identity, ingest, ledger, merge, pii, resolve, rules
+from entityspark.plans import catalog, incremental, registry  # noqa: F401
+from entityspark.sources import files
+from entityspark.streaming import completion
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -44,14 +46,51 @@ def test_merge_rules_masking_and_checks(spark):
     assert {r["file_path"]: r["action"] for r in plan.collect()} == {"a": "skip", "b": "reject"}
 
 
-@pytest.mark.parametrize("name", ["entity_merge", "identity_components", "transform_row", "pii_unmask", "sync_counts", "validate_all", "batch_outcomes", "ingest_plan"])
+@pytest.mark.parametrize("name", ["entity_merge", "identity_components", "transform_row", "pii_unmask", "sync_counts", "validate_all", "batch_outcomes", "ingest_plan", "pii_mask_text", "csv_scan", "incremental_ingest"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "customer", "documents"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
-    got = catalog.queries()[name](spark, SMALL)
-    want = con.sql(catalog.oracle_sql()[name])
+    got = registry.QUERIES[name](spark, SMALL)
+    want = con.sql(registry.SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     key = lambda rows: sorted(map(str, rows))
     assert key(tuple(r[c] for c in columns) for r in got.collect()) == key(want.select(*[f'"{c}"' for c in columns]).fetchall())
+
+
+def test_csv_ingest(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('email,name,name\nx@y.zz,old,"a ""q"", b"\n,,\nx@y.zz,older,"a ""q"", b"\n4,5\nX@y.zz,old,c\n,n,\n,n,n\n,m,n\n')
+    out = ingest.ingest(spark, str(tmp_path), ["email", "name", "name"])
+    rows = {(r["file_row_index"], r["email"], r["name"]) for r in out.rows.collect()}
+    assert rows == {(0, "x@y.zz", 'a "q", b'), (2, "X@y.zz", "c"), (3, "", "n"), (4, "", "n")}
+    done = out.manifest.collect()[0]
+    assert (done["n_duplicates"], done["n_rejected"], done["status"], done["n_random"]) == (1, 1, "failed", 2)
+    assert [r["_corrupt"] for r in out.rejected.collect()] == ["4,5"]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "b.csv").write_text("email,name,name\n")
+    assert ingest.ingest(spark, str(tmp_path / "none"), ["email", "name", "name"]).manifest.count() == 0
+    assert files.taxonomy_scan(spark, str(tmp_path / "absent.json")).count() == 0
+
+
+def test_late_results_reopen_a_key(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "uuid string, record_count long, ord long, name string"
+    for k, rows in enumerate(([("k", 1, 2, "late"), ("m", 2, 1, "")], [("k", 2, 1, "early"), ("m", 2, 2, "M"), ("n", 9, 1, "x")])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        completion.run_available(spark, source, schema, out, f"{out}/checkpoint", ["name"])
+        got = {r["uuid"]: (r["n_records"], r["name"]) for r in completion.latest(spark, out).collect()}
+        assert got == ({"k": (1, "late")}, {"k": (2, "early"), "m": (2, "M")})[k]
+    assert completion.progress(spark, out).first()["n_results"] == 5
+
+
+def test_process_batch_masks_what_the_resolver_sees(spark):
+    seen = spark.createDataFrame([(1, 0, "Ann"), (2, 0, None), (3, 1, "Bob")], "row_id long, batch_id long, name string")
+
+    def resolver(pdf, model, error):
+        assert not set(pdf["name"].dropna()) & {"Ann", "Bob"}
+        return pdf[["row_id"]].assign(note=["hi " + n if n else None for n in pdf["name"]])
+
+    done, bad, log = resolve.process_batch(seen, rules.RuleSet({"p.name": rules.Rule("name")}, model_fields=("p.note",)), resolver, "row_id long, note string", {"name": ("NAME", False)}, [checks.Constraint("note", required=True)])
+    assert {r["row_id"]: r["note"] for r in done.collect()} == {1: "hi Ann", 2: None, 3: "hi Bob"}
+    assert [r["row_id"] for r in bad.collect()] == [2] and log.where("status = 'failed'").count() == 0
