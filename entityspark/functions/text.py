@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as scripts on the web trim it, for a regular expression (fixed values).
-SPACE = "[\\s\\u00A0\\uFEFF\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+#: White space as scripts on the web trim it (fixed values).
+SPACE = " \t\n\x0b\x0c\r\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Name space of version-5 identifiers, as hexadecimal (fixed value).
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 EMAIL_NAMES = ("email", "primaryemail", "mainemail", "useremail", "emailaddress")
@@ -17,7 +17,7 @@ MULTI_EMAIL_NAMES = ("additionalemails", "otheremails", "emails", "emailaddresse
 
 def js_trim(c: Column) -> Column:
     """Trims Unicode white space at both ends (plain trim keeps no-break spaces)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def is_blank(c: Column) -> Column:

@@ -21,6 +21,15 @@ def test_transforms(spark):
     assert list(row) == [["A", "b", "c"], ["a", "b"], 1000.0, "PT3S", "PT0S", "x"]
 
 
+def test_trim_and_masking_corner_cases(spark):
+    texts = ["\u00a0 x \u3000\ufeff", "", None, " \t", "a b", "é\u2003"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(fx.js_trim(F.col("t")).alias("v")).collect()
+    assert [r["v"] for r in got] == ["x", "", None, "", "a b", "é"]
+    texts = ["a@b.cd", "a@b.cd\x00 x@y.zz $0 \\", "x [EMAIL]@b.cd", "", "$1 no", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(pii.mask_text(F.col("t")).alias("v")).collect()
+    assert [r["v"] for r in got] == ["[EMAIL]", "[EMAIL]\x00 [EMAIL] $0 \\", "x [EMAIL]@b.cd", "", "$1 no", None]
+
+
 def test_ordered_identity_equals_global_pass(spark):
     rng = random.Random(1)
     rows = [(i, i, [f"v{rng.randrange(12)}" for _ in range(rng.randrange(4))]) for i in range(60)]
