@@ -15,14 +15,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entityspark.llm.textio import keep, steps, texts
+from entityspark.llm.textio import keep, quoted, steps, texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -72,6 +74,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def neighbours(text: str, spans: list[tuple[int, int, int]], reach: int = 8) -> Iterator[tuple[str, str, int, int, str]]:
     """(entity, term, start, end, surrounding) of the words within ``reach`` words of each entity."""
+    starts, farthest = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+    inside = lambda a, b: (k := bisect_left(starts, b)) > 0 and farthest[k - 1] > a  # noqa: E731  of some span
     for start, kind, end in spans:
         entity = f"{KINDS[kind]}:{text[start:end].lower()}"
         before = [(m.start(), m.end()) for m in _WORD.finditer(text, max(0, start - 32 * reach), start)][-reach:]
@@ -80,7 +84,7 @@ def neighbours(text: str, spans: list[tuple[int, int, int]], reach: int = 8) ->
             after.append((m.start(), m.end()))
             if len(after) == reach:
                 break
-        words = [(a, b) for a, b in before + after if not any(a < e and s < b for s, _, e in spans)]
+        words = [(a, b) for a, b in before + after if not inside(a, b)]
         around = hashlib.md5(" ".join(text[a:b].lower() for a, b in words).encode()).hexdigest()
         for a, b in words:
             yield entity, text[a:b].lower(), a, b, around
@@ -167,27 +171,29 @@ def generalised(term: str) -> str:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, removal: float = 0.95, support: int = 2) -> DataFrame:
     """``docs`` with entities replaced by their kind, disclosing terms generalised, or removed from ``removal`` on.
 
-    All columns stay. ``docs`` must give the same rows in the same order when read again (a stored table).
+    Null and empty texts stay; repeated rows are treated alike. All columns stay, in their order.
+    ``docs`` must give the same rows in the same order when read again (a stored table).
     """
-    spans = spans_of(docs, id_col, text_col, threshold, support).select(F.col("row").alias("__row"), "spans", "terms")
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    where = names.index(text_col)
+    marks_of = spans_of(docs, id_col, text_col, threshold, support).select("row", F.struct("spans", "terms").alias("marks"))
+    where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text_col):
+        for batch in batches:
+            rows = pa.RecordBatch.from_struct_array(batch.column(0))
             out = []
-            for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (where, len(names), len(names) + 1))):
-                marks = [(x["start"], x["end"], f"[{KINDS[x['kind']]}]") for x in base or []]
-                marks += [(x["start"], x["end"], "" if x["disclosure"] >= removal else generalised(text[x["start"] : x["end"]])) for x in terms or []]
+            for text, found in zip(rows.column(where).to_pylist(), batch.column(1).to_pylist()):
+                found = found or {}
+                marks = [(x["start"], x["end"], f"[{KINDS[x['kind']]}]") for x in found.get("spans") or []]
+                marks += [(x["start"], x["end"], "" if x["disclosure"] >= removal else generalised(text[x["start"] : x["end"]])) for x in found.get("terms") or []]
                 parts, done = [], 0
                 for start, end, label in sorted(marks):
                     if start >= done:
                         parts += [text[done:start], label]
                     done = max(done, end)
                 out.append(None if text is None else "".join(parts) + text[done:])
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[where] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = list(rows.columns)
+            columns[where] = pa.array(out, columns[where].type)
+            yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
 
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(spans, "__row", "left").select(*names, "spans", "terms").mapInArrow(run, fields)
+    own = docs.select(F.struct(*map(quoted, docs.columns)).alias("own"), F.monotonically_increasing_id().alias("row"))
+    return own.join(marks_of, "row", "left").select("own", "marks").mapInArrow(run, docs.schema)

@@ -175,10 +175,10 @@ def pack(found: DataFrame, window: int = 2048, id_col: str = "doc_id") -> DataFr
     runs = sorted(best_fit_decreasing(counts, window))
     columns = list(found.columns)
     buckets = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()] or [(0, 1)], "length long, buckets long")
-    dealt = found.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(id_col, "start"), F.col("buckets")))
+    dealt = found.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.col("buckets")))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = dealt.withColumn("place", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id_col, "start"))).join(offsets, ["length", "bucket"])
+    ranked = dealt.withColumn("place", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id_col, "start", "ids_crc32"))).join(offsets, ["length", "bucket"])
     ranked = ranked.select(*columns, (F.col("base") + F.col("place") - 1).alias("rank"))
 
     span = max([1, *counts.values()]) + 1  # one number orders (length, rank)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entityspark.llm.textio import steps, texts
+from entityspark.llm.textio import map_rows, steps, texts
 
 WORD_BITS = 15
 WORDS = 1 << WORD_BITS
@@ -168,7 +168,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, machine: FactorisationMachine, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is ``least`` or more, with all their columns."""
+    """The rows of ``docs`` whose score is ``least`` or more, with all their columns.
+
+    Null texts count as empty; equal texts are kept or rejected alike. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,4 +182,4 @@ def keep_good(docs: DataFrame, machine: FactorisationMachine, text_col: str = "t
             margin, _, _ = own.margins(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.cumsum(lengths) - lengths)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))) >= least))
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return map_rows(docs, run)

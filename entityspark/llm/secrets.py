@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entityspark.llm.lm import word_counts
-from entityspark.llm.textio import keep, steps, texts
+from entityspark.llm.textio import keep, map_rows, steps, texts
 
 #: Formats of well-known credentials (fixed values).
 PROVIDERS = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])")
@@ -36,13 +37,16 @@ FEATURES = ["length", "entropy", "transitions", "coverage", "digits", "upper", "
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number); a candidate inside an earlier kind's is left out."""
-    found: list[tuple[int, int, int]] = []
+    found: list[tuple[int, int, int]] = []  # in order, without overlaps: the last one that begins before an end reaches farthest
     for kind, pattern in ((3, PRIVATE), (0, PROVIDERS), (1, ASSIGNED), (2, LONG)):
+        fresh = []
         for m in pattern.finditer(text):
             start, end = m.span(m.re.groups)
-            if not any(s < end and start < e for s, e, k in found if k != kind):
-                found.append((start, end, kind))
-    return sorted(found)
+            before = bisect_left(found, (end,))
+            if not before or found[before - 1][1] <= start:
+                fresh.append((start, end, kind))
+        found = sorted(found + fresh)
+    return found
 
 
 @dataclass
@@ -247,7 +251,11 @@ def scan(docs: DataFrame, model: Scanner, id_col: str = "doc_id", text_col: str
 
 
 def redact(docs: DataFrame, model: Scanner, text_col: str = "text", path_col: str = "source", length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret replaced by ``mark``; all columns stay, ``length_col`` gets the new length."""
+    """``docs`` with every secret replaced by ``mark``; all columns stay, ``length_col`` gets a changed text's length.
+
+    Null and empty texts stay as they are, as do repeated rows; null paths count as empty. An empty
+    table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     text_at, path_at, length_at = names.index(text_col), names.index(path_col), names.index(length_col) if length_col else None
@@ -269,4 +277,4 @@ def redact(docs: DataFrame, model: Scanner, text_col: str = "text", path_col: st
                 columns[length_at] = pa.array([len(t) if i in changed else given[i] for i, t in enumerate(out)], columns[length_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return map_rows(docs, run)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entityspark.llm.textio import cut, steps, texts
+from entityspark.llm.textio import cut, quoted, steps, texts
 from entityspark.operators.components import connected_components
 
 #: Scattered references: the XXH64 of the numbers 0 to 15 as text, seed 7; eight distances fit in a long.
@@ -138,7 +138,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """``docs`` with one document of each near-duplicate component: the one with the smallest id.
 
     Rows without an id are kept, as nothing tells them apart; rows that repeat the kept id all stay.
+    An empty table gives no rows. All columns stay, in their order.
     """
     found = near_duplicates(docs, id_col, text_col, words, max_bits)
     drop = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    return docs.join(drop, id_col, "left_anti").select(*map(quoted, docs.columns))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entityspark.llm.textio import quoted
+
 #: What separates words: ASCII other than digits and letters (A-Z are lower-cased first).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,6 +97,9 @@ def _starts(words: Column, m: int) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """``docs`` without contaminated documents; rows with a null id stay."""
+    """``docs`` without contaminated documents, all columns in their order; rows with a null id stay.
+
+    Rows that repeat an id go together. No items, or no documents: nothing goes.
+    """
     hit = decontaminate(docs, items, id_col, text_col, **options).where("contaminated").select(id_col).distinct()
-    return docs.join(hit, id_col, "left_anti")
+    return docs.join(hit, id_col, "left_anti").select(*map(quoted, docs.columns))
