@@ -25,9 +25,15 @@ from entityspark.llm.textio import keep, map_rows, steps, texts
 
 #: Formats of well-known credentials (fixed values).
 PROVIDERS = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])")
-ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;]{6,256})")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,256}(?![A-Za-z0-9+/_=-])")
-PRIVATE = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;]{6,})")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+#: A key from its first line to its last one; without that to the end of its base64 lines, headers among them included.
+PRIVATE = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:"
+    r"(?:(?!-----BEGIN ).)*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:(?:\s|\\[nr])*(?:(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n]*(?=[\r\n])|[A-Za-z0-9+/]{16,}={0,2}))+(?:[ \t]*(?:[\r\n]|\\[nr])+[ \t]*[A-Za-z0-9+/]+={0,2}(?![^\s\"'\\]|[ \t]+\S))?)?)",
+    re.DOTALL,
+)
 PLACEHOLDER = re.compile(r"(?i)example|sample|change|dummy|placeholder|your|test|xxx|\*\*\*|<|\{|\$")
 KINDS = ("provider", "assigned", "long", "private")
 _NEXT = re.compile(r"[^\W_]+")
