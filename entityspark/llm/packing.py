@@ -42,30 +42,29 @@ def _byte_of_char() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[tiktoken.Encoding, Tokenizer]:
-    """The vocabulary of a byte-level BPE file in the faster library, and the file's own tokenizer.
+def _encoder(path: str) -> tuple[tiktoken.Encoding, Tokenizer, list[str]]:
+    """The vocabulary of a byte-level BPE file in the faster library, the file's own tokenizer, and its added tokens.
 
-    Both give the same ids; tests compare them.
+    Both give the same ids to a text without an added token's string; tests compare them.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec["added_tokens"]}
+    added = [x["content"] for x in spec["added_tokens"]]
     byte = _byte_of_char()
-    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), own
+    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path), added
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    """The ids of a text as uint32, special tokens' strings as ordinary text."""
-    fast, own = _encoder(path)
+    """The ids of a text as uint32, those of the file's tokenizer without tokens added around it."""
+    fast, own, added = _encoder(path)
     try:
-        return fast.encode_to_numpy(text, disallowed_special=())
+        if not any(token in text for token in added):
+            return fast.encode_to_numpy(text, disallowed_special=())
     except BaseException as e:  # the fast library's matcher gives up on some very long runs
         if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
-        return np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    return np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
