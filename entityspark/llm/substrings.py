@@ -10,6 +10,12 @@ In a group, surroundings are compared through a Burrows-Wheeler transform: inter
 are extended backwards breadth first, so common prefixes come out by increasing length, each
 boundary once; at ``least`` the expansion stops, and rows whose boundaries are still open share
 ``least`` bytes. Every removal is decided on the bytes themselves, never on a hash.
+
+A seed with many different surroundings would be one large group. The first shuffle counts them;
+beyond HOT, the seed's interval is extended by the remaining bytes where it is read: every string
+of ``least`` bytes that selected the seed is a group of its own, dealt by all of its bytes, and
+all that is left to find is the smallest id that has it. So no seed's surroundings meet in one
+place, and equal strings are one per task.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ from entityspark.llm.textio import keep, steps, text_buffer
 SEED_BYTES = 26
 #: Text bytes that one group of the shuffles stands for, about.
 GROUP_BYTES = 12 << 20
+#: Surroundings of one seed, told apart by 16 bits, beyond which its strings are dealt one by one.
+HOT = 2048
+#: Marks such a seed's code, and its strings among the surroundings.
+_HOT_CODE, _ALONE = 1 << 62, 255
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = np.array([(_BASE * (2 * b + 1) ^ (b << 40)) % (1 << 64) | 1 for b in range(256)], dtype=np.uint64)
 _TOP = np.uint64(2**64 - 1)
@@ -49,18 +59,38 @@ def _slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def minimizers(raw: np.ndarray, offsets: np.ndarray, least: int, seed: int = SEED_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the selected ``seed``-byte strings; none crosses two rows."""
-    n, window = len(raw) - seed + 1, least - seed + 1
-    if len(raw) < least:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    sums = np.cumsum(_VALUE[raw] * _powers(_BASE, len(raw)), dtype=np.uint64)
-    h = sums[seed - 1 :].copy()
-    h[1:] -= sums[: n - 1]
-    h *= _powers(pow(_BASE, -1, 1 << 64), n)
+def _scattered(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
+    return h
+
+
+class Hashes:
+    """Hashes of any strings of a buffer, from sums over its beginnings."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_VALUE[raw] * _powers(_BASE, len(raw)), dtype=np.uint64, out=self.sums[1:])
+        self.back = _powers(pow(_BASE, -1, 1 << 64), len(raw) + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _scattered((self.sums[end] - self.sums[start]) * self.back[start])
+
+    def all(self, size: int) -> np.ndarray:
+        n = len(self.sums) - size
+        return _scattered((self.sums[size:] - self.sums[:n]) * self.back[:n])
+
+
+def minimizers(raw: np.ndarray, offsets: np.ndarray, least: int, seed: int = SEED_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, Hashes]:
+    """Positions and hashes of the selected ``seed``-byte strings, none of which crosses two rows.
+
+    Also the hash that each ``least``-byte string selects (0 if it crosses two rows), and all sums.
+    """
+    n, window, sums = len(raw) - seed + 1, least - seed + 1, Hashes(raw)
+    if len(raw) < least:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), sums
+    h = sums.all(seed)
     crossing = np.zeros(len(raw) + 1, np.int32)  # strings that begin less than their length before a row's end
     for size, at in ((seed, 0), (least, 1)):
         marks = np.zeros(len(raw) + 1, np.int32)
@@ -72,7 +102,12 @@ def minimizers(raw: np.ndarray, offsets: np.ndarray, least: int, seed: int = SEE
     low[(crossing[: len(low)] & 2) > 0] = 0
     edge = np.zeros(window - 1, np.uint64)
     at = np.flatnonzero((_slide(np.concatenate([edge, low, edge]), window, np.maximum) == h) & (h != _TOP))
-    return at, h[at]
+    return at, h[at], low, sums
+
+
+def _bounds(at: np.ndarray, row: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the surroundings of seeds: all strings of ``least`` bytes that hold them, inside their rows."""
+    return np.maximum(at - (least - SEED_BYTES), offsets[row]), np.minimum(at + least, offsets[row + 1])
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -102,7 +137,7 @@ def shared_prefix_blocks(data: np.ndarray, least: int) -> tuple[np.ndarray, np.n
     length v is extended by every byte before them; the new interval's right boundary, if open,
     gets the common prefix length v and the interval is extended in the next round.
     """
-    order = suffix_order(data, 2 * least)
+    order = suffix_order(data, least)
     n = len(order)
     before = data[order - 1]  # the transform
     target = np.empty(n, np.int64)
@@ -162,25 +197,27 @@ def _gathered(names: list[str], kinds: list[type]):  # noqa: ANN202
 
 
 def _seed_rows(buckets: int, least: int):  # noqa: ANN202
-    """Per task and bucket: the selected hashes with the rows that have them."""
+    """Per task and bucket: the selected hashes with the rows that have them, and 16 bits that tell their surroundings apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            hashes, part = (np.concatenate(x) for x in zip(*held))
+            hashes, near, part = (np.concatenate(x) for x in zip(*held))
             bucket = (hashes % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             for chosen in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
                 names, who = np.unique(part[chosen], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[chosen[0]])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in ((hashes[chosen] >> np.uint64(32)).astype(np.uint32), who.astype(np.uint32), names))], names=["bucket", "codes", "who", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[chosen[0]])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in ((hashes[chosen] >> np.uint64(32)).astype(np.uint32), near[chosen], who.astype(np.uint32), names))], names=["bucket", "codes", "near", "who", "parts"])
 
         for batch in steps(batches, "t"):
             raw, offsets = text_buffer(batch.column(1))
-            at, hashes = minimizers(raw, offsets, least)
+            at, hashes, _, sums = minimizers(raw, offsets, least)
             if len(at):
-                held.append((hashes, batch.column(0).to_numpy()[np.searchsorted(offsets, at, "right") - 1]))
+                row = np.searchsorted(offsets, at, "right") - 1
+                near = (sums.of(*_bounds(at, row, offsets, least)) >> np.uint64(48)).astype(np.uint16)
+                held.append((hashes, near, batch.column(0).to_numpy()[row]))
                 size += len(at)
             if size > 4_000_000:
                 yield from out()
@@ -191,31 +228,39 @@ def _seed_rows(buckets: int, least: int):  # noqa: ANN202
     return run
 
 
-def _repeated_seeds(slots: int):  # noqa: ANN202
+def _repeated_seeds(slots: int, hot: int):  # noqa: ANN202
     """The hashes of a bucket that two different texts have, by text."""
-    return lambda group: _dealt(["part", "codes"], slots, *_seeds_of_two(group))
+    return lambda group: _dealt(["part", "codes"], slots, *_seeds_of_two(group, hot))
 
 
-def _seeds_of_two(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    code, part = [], []
-    for c, w, p in zip(*(group.column(x).to_pylist() for x in ("codes", "who", "parts"))):
-        code.append(np.frombuffer(c, np.uint32))
+def _seeds_of_two(group: pa.Table, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and codes; a code of more than ``hot`` different surroundings is marked."""
+    key, part = [], []
+    for c, n, w, p in zip(*(group.column(x).to_pylist() for x in ("codes", "near", "who", "parts"))):
+        key.append(np.frombuffer(c, np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(n, np.uint16))
         part.append(np.frombuffer(p, np.int64)[np.frombuffer(w, np.uint32)])
-    code, part = np.concatenate(code), np.concatenate(part)
-    by = np.argsort(code, kind="stable")
-    code, part = code[by], part[by]
+    key, part = np.concatenate(key), np.concatenate(part)
+    by = np.argsort(key)
+    key, part = key[by], part[by]
+    code = (key >> np.uint64(16)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    counts = np.diff(np.append(first, len(code)))
     many = np.minimum.reduceat(part, first) < np.maximum.reduceat(part, first)
-    chosen = np.repeat(many, np.diff(np.append(first, len(code))))
-    bucket = group.column("bucket")[0].as_py()
-    return part[chosen], np.int64(bucket) << 32 | code[chosen].astype(np.int64)
+    kinds = np.add.reduceat(np.concatenate([[True], key[1:] != key[:-1]]).astype(np.int64), first)
+    chosen = np.repeat(many, counts)
+    mark = np.repeat(np.where(kinds > hot, _HOT_CODE, 0), counts)
+    return part[chosen], np.int64(group.column("bucket")[0].as_py()) << 32 | code[chosen] | mark[chosen]
 
 
 def _surroundings(buckets: int, least: int):  # noqa: ANN202
-    """Per task and bucket: the distinct surroundings of repeated seeds, and where each occurs."""
+    """Per task and bucket: the distinct surroundings of repeated seeds, or the strings of hot ones, and where each occurs."""
     side = least - SEED_BYTES
     whole = SEED_BYTES + 2 * side
 
+    def taken(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        place = start[:, None] + np.arange(whole)
+        return np.where(place < end[:, None], raw[np.minimum(place, len(raw) - 1)], 0).astype(np.uint8)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "t", 8 << 20):
             held = []
@@ -223,20 +268,33 @@ def _surroundings(buckets: int, least: int):  # noqa: ANN202
                 raw, offsets = text_buffer(piece.column(2))
                 lists = piece.column(3)
                 own = piece.column(4).to_numpy(zero_copy_only=False)
-                if not len(raw) or not np.diff(lists.offsets.to_numpy())[own].sum():
+                begins = lists.offsets.to_numpy()
+                wanted = np.diff(begins) * own
+                if not len(raw) or not wanted.sum():
                     continue
-                at, hashes = minimizers(raw, offsets, least)
+                at, hashes, low, sums = minimizers(raw, offsets, least)
                 row = np.searchsorted(offsets, at, "right") - 1
                 code = (hashes % np.uint64(buckets)).astype(np.int64) << 32 | (hashes >> np.uint64(32)).astype(np.int64)
-                values, begins = lists.values.to_numpy(), lists.offsets.to_numpy()
-                chosen = np.concatenate([np.empty(0, np.int64), *(i + np.flatnonzero(np.isin(code[i:j], values[begins[r] : begins[r + 1]])) for r, i, j in zip(range(piece.num_rows), np.searchsorted(row, np.arange(piece.num_rows)), np.searchsorted(row, np.arange(piece.num_rows), "right")) if own[r] and begins[r] < begins[r + 1] and i < j)])
-                if not len(chosen):
-                    continue
-                at, row, code = at[chosen], row[chosen], code[chosen]
-                start, end = np.maximum(at - side, offsets[row]), np.minimum(at + SEED_BYTES + side, offsets[row + 1])
-                place = start[:, None] + np.arange(whole)
-                around = np.where(place < end[:, None], np.append(raw, np.zeros(whole, np.uint8))[np.minimum(place, len(raw) + whole - 1)], 0).astype(np.uint8)
-                held.append((code >> 32, around, (end - start | (at - start) << 8).astype(np.uint16), piece.column(0).to_numpy()[row], piece.column(1).fill_null(0).to_numpy()[row], start - offsets[row]))
+                # a row's own codes: pairs of row and code as one number (a chance match costs one more comparison)
+                paired = lambda r, c: _scattered((r.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE) ^ c.astype(np.uint64))
+                values = lists.values.to_numpy()[begins[0] : begins[-1]]
+                of_row = np.repeat(np.arange(piece.num_rows), np.diff(begins))
+                mine = own[of_row]
+                hot = values >= _HOT_CODE
+                pairs = paired(row, code)
+                is_hot = np.isin(pairs, paired(of_row[mine & hot], values[mine & hot] ^ _HOT_CODE))
+                cold = np.flatnonzero(np.isin(pairs, paired(of_row[mine & ~hot], values[mine & ~hot])) & ~is_hot)
+                part, ids = piece.column(0).to_numpy(), piece.column(1).fill_null(0).to_numpy()
+                if len(cold):
+                    start, end = _bounds(at[cold], row[cold], offsets, least)
+                    held.append((code[cold] >> 32, taken(raw, start, end), (end - start | (at[cold] - start) << 8).astype(np.uint16), part[row[cold]], ids[row[cold]], start - offsets[row[cold]]))
+                if is_hot.any():  # the strings that selected the seed; others that hold it selected another one
+                    start = at[is_hot][:, None] - np.arange(side + 1)
+                    fits = (start >= 0) & (start < len(low)) & (low[np.clip(start, 0, len(low) - 1)] == hashes[is_hot][:, None])
+                    start = np.unique(start[fits])
+                    of = np.searchsorted(offsets, start, "right") - 1
+                    bucket = (sums.of(start, start + least) % np.uint64(buckets)).astype(np.int64)
+                    held.append((bucket, taken(raw, start, start + least), np.full(len(start), least | _ALONE << 8, np.uint16), part[of], ids[of], start - offsets[of]))
             if not held:
                 continue
             bucket, around, shape, part, ids, start = (np.concatenate(x) for x in zip(*held))
@@ -319,27 +377,29 @@ def _decided(slots: int, least: int):  # noqa: ANN202
     return run
 
 
-def _by_seed(around: np.ndarray, shape: np.ndarray, limit: int = 1 << 20) -> Iterator[np.ndarray]:
+def _by_seed(around: np.ndarray, shape: np.ndarray, limit: int = 1 << 19) -> Iterator[np.ndarray]:
     """Portions, of about ``limit`` bytes, of the surroundings whose seed another one has as well.
 
-    Equal seeds are together. A surrounding that is alone with its seed needs no comparison.
+    Equal seeds are together. A surrounding that is alone with its seed needs no comparison, nor
+    does a hot seed's string: all its bytes are fixed.
     """
     lead = (shape >> 8).astype(np.int64)
-    seed = np.take_along_axis(around, lead[:, None] + np.arange(SEED_BYTES), axis=1)
+    compared = np.flatnonzero(lead != _ALONE)
+    seed = np.take_along_axis(around[compared], lead[compared][:, None] + np.arange(SEED_BYTES), axis=1)
     key = (_VALUE[seed] * _powers(_BASE, SEED_BYTES)).sum(axis=1, dtype=np.uint64)
     by = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))[: len(key)]
     counts = np.diff(np.append(first, len(by)))
-    by = by[np.repeat(counts > 1, counts)]
+    by = compared[by[np.repeat(counts > 1, counts)]]
     ends = np.cumsum(counts[counts > 1])
-    begin = 0
+    begin, last = 0, 0
     while begin < len(by):
-        end = int(ends[min(len(ends) - 1, np.searchsorted(ends, begin + limit // around.shape[1]))])
-        yield by[begin:end]
-        begin = end
+        last = max(last + 1, int(np.searchsorted(ends, begin + limit // around.shape[1], "right")))
+        yield by[begin : ends[last - 1]]
+        begin = int(ends[last - 1])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """``(id_col, n_bytes, n_removed, n_spans, kept_sha256)`` per row, and ``kept`` (bytes) on request.
 
     A byte goes if it lies in a string of ``least`` bytes that also starts in a row with a smaller
@@ -353,8 +413,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-int(total) // GROUP_BYTES))
     slotted = lambda kinds: ", ".join(["slot int", *(f"{k} binary" for k in kinds)])
-    seeds = given.where(F.col("id").isNotNull()).select("part", "t").mapInArrow(_seed_rows(buckets, least), "bucket int, codes binary, who binary, parts binary")
-    repeated = seeds.groupBy("bucket").applyInArrow(_repeated_seeds(buckets), slotted(("part", "codes")))
+    seeds = given.where(F.col("id").isNotNull()).select("part", "t").mapInArrow(_seed_rows(buckets, least), "bucket int, codes binary, near binary, who binary, parts binary")
+    repeated = seeds.groupBy("bucket").applyInArrow(_repeated_seeds(buckets, hot), slotted(("part", "codes")))
     of_text = repeated.groupBy("slot").applyInArrow(_gathered(["part", "codes"], [np.int64, np.int64]), "part long, codes array<long>")
     first = given.groupBy("part", "proof").agg(F.min("id").alias("first"))
     known = keep(first.join(of_text, "part", "left"))
