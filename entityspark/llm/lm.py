@@ -5,32 +5,39 @@ byte unknown to the longest known context escapes to the next shorter one (metho
 weighs as many as the context has different bytes); bytes that the longer context knows are
 excluded there, as they cannot be meant. The last resort is an even choice among bytes never
 seen. Because a context's bytes are known to all its suffixes, what is excluded depends on the
-longer context alone: every escape and every reduced denominator is a number per context, and a
-seen byte's code length is one look-up.
-
-Counts are made per task and summed by shuffles. The trie keeps contexts with a fixed share of
-all training bytes, which bounds its size whatever the input's; word counts are kept in full:
-the frequent ones (a share again) are sent to the tasks, all others are joined.
+longer context alone: every escape and every reduced denominator is a number per context.
+
+A byte's code length depends on itself and its four predecessors only, so it is a number per
+five-byte string. The trie of all training text is kept in full as a table of counts. The code
+lengths of the strings with a fixed share of the training bytes are sent to the tasks; those of
+all other strings that the scored texts hold are computed in groups that share the two bytes
+before the scored one, which hold all of their contexts of two bytes and more (shorter contexts
+are at most 65,792 numbers), and joined. Words are counted in full in the same way: the frequent
+ones are sent to the tasks, all others are joined.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entityspark.llm.textio import keep, steps, text_buffer, texts
 
 #: Bytes of context.
 ORDER = 4
-#: An n-gram of the trie makes up this share of the training bytes at least: at most 2 ** 20 of each length.
-LEAST_SHARE = 2.0**-20
+#: A frequent five-byte string makes up this share of the training bytes at least: at most 2 ** 22 strings.
+HEAD_GRAM_SHARE = 2.0**-22
+#: Five-byte strings of the trie that one group stands for, about.
+GROUP_GRAMS = 200_000
+#: Scored rare strings that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: A frequent word makes up this share of the training tokens at least: at most 200,000 words.
 HEAD_SHARE = 1 / 200_000
 _M = [np.uint64((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]
@@ -206,45 +213,97 @@ class ByteModel:
         return out
 
 
-def train_bytes(docs: DataFrame, text_col: str = "text", order: int = ORDER, least_share: float = LEAST_SHARE) -> ByteModel:
-    """Learns the byte model from all texts of ``docs`` (null counts as empty)."""
-    level = keep(gram_counts(docs, text_col))
-    levels = [level.select(F.lit(ORDER).alias("k"), "gram", "n")]
-    for k in range(ORDER - 1, -1, -1):
-        level = level.groupBy(F.col("gram").bitwiseAND(F.lit(int(_M[k])).cast("long")).alias("gram")).agg(F.sum("n").alias("n"))
-        levels.append(level.select(F.lit(k).alias("k"), "gram", "n"))
-    total = levels[0].agg(F.sum("n")).first()[0] or 0
-    found = pd.concat([x.where((F.col("k") <= order) & (F.col("n") >= max(1.0, total * least_share))).toPandas() for x in levels])
-    counts = []
-    for k in range(order + 1):
-        part = found[found["k"] == k].sort_values("gram")
-        counts.append((part["gram"].to_numpy(np.int64).astype(np.uint64), part["n"].to_numpy(np.float64)))
-    return ByteModel.of(counts)
-
-
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass
+class Trie:
+    """The stored counts of all five-byte strings ``(gram, n)``, their sum, and the counts of one and two bytes."""
+
+    grams: DataFrame
+    total: int
+    short: list[tuple[np.ndarray, np.ndarray]]
+
+    def _group(self, groups: int) -> Column:
+        """The group of a string: by the two bytes before its last one."""
+        return F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))), F.lit(groups))
+
+    def code_lengths(self, wanted: DataFrame) -> DataFrame:
+        """``(gram, log_p)``: the natural logarithm of the last byte's probability after the other four.
+
+        ``wanted`` holds each five-byte ``gram`` once.
+        """
+        groups = max(8, -(-self.grams.count() // GROUP_GRAMS))
+        shared = self.grams.sparkSession.sparkContext.broadcast(self.short)
+
+        def run(known: pa.Table, asked: pa.Table) -> pa.Table:
+            codes, n = (known.column(c).to_numpy() for c in ("gram", "n"))
+            model = ByteModel.of(shared.value + _suffix_counts(codes.astype(np.uint64), n.astype(np.float64))) if shared.value else ByteModel.of([])
+            grams = asked.column("gram").to_numpy()
+            out = np.concatenate([model.log_probability(grams[i : i + (1 << 20)].astype(np.uint64)) for i in range(0, len(grams), 1 << 20)] or [np.empty(0)])
+            return pa.Table.from_arrays([pa.array(grams), pa.array(out)], names=["gram", "log_p"])
+
+        sides = [x.withColumn("part", self._group(groups)).groupBy("part") for x in (self.grams, wanted.select("gram"))]
+        return sides[0].cogroup(sides[1]).applyInArrow(run, "gram long, log_p double")
+
+    def frequent(self, share: float = HEAD_GRAM_SHARE) -> tuple[np.ndarray, np.ndarray]:
+        """Strings and code lengths of those that make up ``share`` of the training bytes at least: their longest context knows them."""
+        context = F.shiftright("gram", 8)
+        of_context = self.grams.groupBy(context.alias("context")).agg((F.sum("n") + F.count("*")).alias("all"))
+        head = self.grams.where(F.col("n") >= self.total * share).withColumn("context", context)
+        rows = head.join(of_context, "context").select("gram", (F.log("n") - F.log("all")).alias("log_p")).toPandas()  # at most 1 / share rows
+        return rows["gram"].to_numpy(np.int64).astype(np.uint64), rows["log_p"].to_numpy(np.float64)
+
+
+def _suffix_counts(codes: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Strings and counts of three, four and five bytes, from those of five."""
+    out = []
+    for k in range(2, ORDER + 1):
+        names, where = np.unique(codes & _M[k], return_inverse=True)
+        out.append((names, np.bincount(where, weights=n, minlength=len(names))))
+    return out
+
+
+def train_bytes(docs: DataFrame, text_col: str = "text") -> Trie:
+    """Learns the trie from all texts of ``docs`` (null counts as empty)."""
+    grams = keep(gram_counts(docs, text_col))
+    pairs = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toPandas()  # at most 65,536 rows
+    codes, n = pairs["gram"].to_numpy(np.int64).astype(np.uint64), pairs["n"].to_numpy(np.float64)
+    single = np.bincount((codes & _M[0]).astype(np.int64), weights=n, minlength=256)
+    short = [(np.flatnonzero(single).astype(np.uint64), single[single > 0]), (codes, n)]
+    return Trie(grams, int(n.sum()), short if len(codes) else [])
+
+
+def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_grams: float = HEAD_GRAM_SHARE, head_words: float = HEAD_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(id_col, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs``.
 
     base_score is the smoothed unigram log10 probability of the tokens, score the byte model's
     log10 probability of the text. Null and empty texts have one token, the end. Without
     training rows every byte has probability 1/256 and no token is known. Repeated rows and
-    null ids are kept; other columns are not read.
+    null ids are kept; other columns are not read. The shares that make a string or a word frequent
+    decide how they are looked up, not what is learned.
     """
     spark = docs.sparkSession
     vocabulary = keep(word_counts(training, text_col))
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r["token"]): r["n"] for r in vocabulary.where(F.col("n") >= n * HEAD_SHARE).toPandas().to_dict("records")}  # at most 1 / HEAD_SHARE words
+    head = {bytes(r["token"]): r["n"] for r in vocabulary.where(F.col("n") >= n * head_words).toPandas().to_dict("records")}  # at most 1 / head_words words
     logs = {w: float(np.log10((c + 0.1) / (n + 0.1 * (v + 1)))) for w, c in head.items()}
     unknown = float(np.log10(0.1 / (n + 0.1 * (v + 1))))
-    shared = spark.sparkContext.broadcast((logs, train_bytes(training, text_col)))
+    trie = train_bytes(training, text_col)
+    shared = spark.sparkContext.broadcast((logs, *trie.frequent(head_grams)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
+        known, frequent, log_p = shared.value
+        table = Table.of(frequent)
         for batch in steps(batches, "t", 1 << 20):
             raw, offsets = text_buffer(batch.column(1))
-            sums = np.add.reduceat(np.append(model.log_probability(byte_grams(raw, offsets)), 0.0), offsets[:-1]) if len(raw) else np.zeros(batch.num_rows)
-            sums = np.where(np.diff(offsets) > 0, sums, 0.0) / np.log(10)
+            codes = byte_grams(raw, offsets)
+            at = table.find(codes)
+            lengths = np.append(np.where(at >= 0, log_p[at], 0.0) if len(log_p) else np.zeros(len(codes)), 0.0)
+            sums = np.where(np.diff(offsets) > 0, np.add.reduceat(lengths, offsets[:-1]), 0.0)
+            left = np.flatnonzero(at < 0)
+            of_row = np.searchsorted(offsets, left, "right") - 1
+            other, often = np.unique(of_row.astype(np.uint64) << np.uint64(40) | codes[left], return_counts=True)
+            cuts = pa.array(np.searchsorted(other >> np.uint64(40), np.arange(batch.num_rows + 1)).astype(np.int32))
+            strings = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int64))) for x in (other & _M[ORDER], often)]
             tokens, hits, base, rare, times = [], [], [], [], []
             for text in texts(batch, "t"):
                 words = [*text.lower().split(), b""]
@@ -257,19 +316,23 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 rare.append(list(other))
                 times.append(list(other.values()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(sums), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                names=["id", "row", "n_tokens", "hits", "base", "score", "rare", "times"],
+                [batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(sums), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), *strings],
+                names=["id", "row", "n_tokens", "hits", "base", "bytes", "rare", "times", "grams", "often"],
             )
 
     numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("row"))
-    scored = keep(numbered.mapInArrow(run, f"id {kind}, row long, n_tokens long, hits long, base double, score double, rare array<binary>, times array<long>"))
+    scored = keep(numbered.mapInArrow(run, f"id {kind}, row long, n_tokens long, hits long, base double, bytes double, rare array<binary>, times array<long>, grams array<long>, often array<long>"))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    counted = rare.join(vocabulary.where(F.col("n") < n * HEAD_SHARE), "token", "left")
+    counted = rare.join(vocabulary.where(F.col("n") < n * head_words), "token", "left")
     added = counted.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.coalesce(F.log10((F.col("n") + 0.1) / (n + 0.1 * (v + 1))), F.lit(unknown))).alias("rest"),
     )
-    return scored.join(added, "row", "left").select(
+    strings = scored.select("row", F.explode(F.arrays_zip("grams", "often")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.often").alias("often"))
+    lengths = keep(trie.code_lengths(strings.select("gram").distinct()))
+    lengths = F.broadcast(lengths) if lengths.count() <= broadcast_rows else lengths
+    further = strings.join(lengths, "gram").groupBy("row").agg(F.sum(F.col("often") * F.col("log_p")).alias("further"))
+    return scored.join(added, "row", "left").join(further, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), ((F.col("bytes") + F.coalesce("further", F.lit(0.0))) / math.log(10)).alias("score"),
     )

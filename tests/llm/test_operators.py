@@ -121,10 +121,13 @@ def test_language_and_quality(spark, docs, empty):
 
 
 def test_partial_matching(docs, empty):
-    model = lm.train_bytes(docs)
-    for history in (b"", b"alph", b"qqqq", b"a0 b"):
-        codes = np.array([int.from_bytes((b"\0" * 4 + history)[-4:] + bytes([s]), "big") for s in range(256)], dtype=np.uint64)
-        assert abs(np.exp(model.log_probability(codes)).sum() - 1) < 1e-9  # a distribution, so exclusion and escapes add up
+    spark = docs.sparkSession
+    for trained in (docs, empty):
+        trie = lm.train_bytes(trained)
+        asked = [(h, int.from_bytes((b"\0" * 4 + h)[-4:] + bytes([s]), "big")) for h in (b"", b"alph", b"qqqq", b"a0 b") for s in range(256)]
+        found = {r["gram"]: r["log_p"] for r in trie.code_lengths(spark.createDataFrame([(c,) for c in {c for _, c in asked}], "gram long")).collect()}
+        for h in (b"", b"alph", b"qqqq", b"a0 b"):
+            assert abs(sum(np.exp(found[c]) for x, c in asked if x == h) - 1) < 1e-9  # a distribution, so exclusion and escapes add up
     rows = lm.score(docs, docs).collect()
     assert len(rows) == len(TEXTS) and all(r["n_known"] == r["n_tokens"] for r in rows)
     assert {r["train_tokens"] for r in lm.score(docs, empty).collect()} == {0} and lm.score(empty, docs).count() == 0
