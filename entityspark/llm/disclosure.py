@@ -5,17 +5,17 @@ pointwise mutual information with the entity reaches the entity's own informatio
 
     PMI(t; e) / IC(e) = 1 + log(n(t, e) / n(t)) / log(N / n(e))
 
-with document counts over the whole corpus. Terms above a threshold, seen near the entity in at
-least ``support`` different surroundings (copies of one text count once), are generalised; those
-that reveal nearly all are removed. Counts are made in the tasks and joined by key; the texts
-themselves are never shuffled.
+with document counts over the whole corpus. Terms above a threshold that stand near the entity in
+at least ``support`` documents (one document alone is no estimate) are disclosing; all their
+occurrences in the entity's documents are generalised, those that reveal nearly all are removed.
+Counts are made in the tasks and joined by key; of the texts only those with disclosing terms meet
+their terms again.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from entityspark.llm.textio import keep, quoted, steps, texts
 
+#: Entities with disclosing terms that are broadcast with them; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -72,22 +74,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]], reach: int = 8) -> Iterator[tuple[str, str, int, int, str]]:
-    """(entity, term, start, end, surrounding) of the words within ``reach`` words of each entity."""
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the whole words that touch no span, in order."""
     starts, farthest = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
     inside = lambda a, b: (k := bisect_left(starts, b)) > 0 and farthest[k - 1] > a  # noqa: E731  of some span
+    return [m.span() for m in _WORD.finditer(text) if not inside(*m.span())]
+
+
+def neighbours(text: str, spans: list[tuple[int, int, int]], reach: int = 8) -> set[tuple[str, str]]:
+    """(entity, term) of the ``reach`` words before and after each entity, however long they are."""
+    words = free_words(text, spans)
+    begins, ends = [a for a, _ in words], [b for _, b in words]
+    out = set()
     for start, kind, end in spans:
         entity = f"{KINDS[kind]}:{text[start:end].lower()}"
-        before = [(m.start(), m.end()) for m in _WORD.finditer(text, max(0, start - 32 * reach), start)][-reach:]
-        after = []
-        for m in _WORD.finditer(text, end, end + 32 * reach):
-            after.append((m.start(), m.end()))
-            if len(after) == reach:
-                break
-        words = [(a, b) for a, b in before + after if not inside(a, b)]
-        around = hashlib.md5(" ".join(text[a:b].lower() for a, b in words).encode()).hexdigest()
-        for a, b in words:
-            yield entity, text[a:b].lower(), a, b, around
+        before, after = bisect_right(ends, start), bisect_left(begins, end)
+        out.update((entity, text[a:b].lower()) for a, b in words[max(0, before - reach) : before] + words[after : after + reach])
+    return out
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -108,49 +111,68 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8) -> DataFrame:
-    """``(row, id_col, n_*, spans, near)`` per row: base spans and the words around them."""
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, row_col: str | None = None) -> DataFrame:
+    """``(row, id_col, spans, near, t)`` per row: base spans, the pairs of entity and near term, and the text if there are any.
+
+    ``row_col`` numbers the rows; without it they are numbered here.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    near = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.string())])
+    near = pa.struct([("entity", pa.string()), ("term", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "t"):
-            spans, words = [], []
+            spans, pairs, whole = [], [], []
             for raw in texts(batch, "t"):
                 text = raw.decode("utf-8", "replace")
                 found = base_spans(text)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                words.append([dict(zip(("entity", "term", "start", "end", "around"), x)) for x in neighbours(text, found, reach)] if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(spans, pa.list_(span)), pa.array(words, pa.list_(near))], names=["row", id_col, "spans", "near"])
+                pairs.append([{"entity": e, "term": t} for e, t in sorted(neighbours(text, found, reach))] if found else [])
+                whole.append(text if pairs[-1] else None)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(spans, pa.list_(span)), pa.array(pairs, pa.list_(near)), pa.array(whole, pa.string())], names=["row", id_col, "spans", "near", "t"])
 
-    numbered = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
-    return numbered.mapInArrow(run, f"row long, `{id_col}` {kind}, spans array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int,around:string>>")
+    row = F.col(quoted(row_col)) if row_col else F.monotonically_increasing_id()
+    numbered = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("t"))
+    return numbered.mapInArrow(run, f"row long, `{id_col}` {kind}, spans array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string>>, t string")
 
 
 def disclosing_terms(found: DataFrame, frequencies: DataFrame, threshold: float = 0.6, support: int = 2) -> DataFrame:
     """``(entity, term, disclosure)`` of the terms that reveal ``threshold`` of an entity's information at least."""
     total = found.count()
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.around")
-    together = near.groupBy("entity", "term").agg(F.countDistinct("row").alias("both"), F.countDistinct("around").alias("surroundings")).where(F.col("surroundings") >= support)
-    alone = found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
+    together = found.select(F.explode("near").alias("x")).select("x.entity", "x.term").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    alone = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
     share = F.log2(F.least(F.lit(1.0), F.col("both") / F.col("n")))
     disclosure = 1 + share / F.greatest(F.log2(F.lit(float(max(total, 1))) / F.col("of_entity")), F.lit(1e-9))
     return together.join(alone, "entity").join(frequencies, "term").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, support: int = 2) -> DataFrame:
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``(row, t, spans, terms)``: where the terms occur as whole words outside the spans."""
+    term = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())])
+    for batch in steps(batches, "t"):
+        out = []
+        for text, spans, terms in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            worth: dict[str, float] = {}
+            for x in terms:
+                worth[x["term"]] = max(x["disclosure"], worth.get(x["term"], 0.0))
+            free = free_words(text, [(x["start"], x["kind"], x["end"]) for x in spans])
+            out.append([{"start": a, "kind": 4, "end": b, "disclosure": worth[w]} for a, b in free if (w := text[a:b].lower()) in worth])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(term))], names=["row", "terms"])
+
+
+def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, support: int = 2, row_col: str | None = None) -> DataFrame:
     """``(row, id_col, spans, terms)`` per row: base spans, and disclosing terms with their disclosure.
 
     Null and empty texts have no spans. Repeated rows and null ids are kept; an empty table gives
-    no rows. Other columns are not read.
+    no rows. Other columns are not read, but for ``row_col``, if given: the rows' numbers.
     """
-    found = keep(detect(docs, id_col, text_col))
+    found = keep(detect(docs, id_col, text_col, row_col=row_col))
     flagged = disclosing_terms(found, document_frequencies(docs, text_col), threshold, support)
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
-    added = near.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    listed = added.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure")).alias("terms"))
-    return found.drop("near").join(listed, "row", "left")
+    of_entity = keep(flagged.groupBy("entity").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms")))
+    entities = found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
+    of_row = entities.join(F.broadcast(of_entity) if of_entity.count() <= BROADCAST_ROWS else of_entity, "entity").groupBy("row").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    listed = found.select("row", "t", "spans").join(of_row, "row").mapInArrow(_occurrences, "row long, terms array<struct<start:int,kind:int,end:int,disclosure:double>>")
+    return found.drop("near", "t").join(listed, "row", "left")
 
 
 def digests(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -172,9 +194,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """``docs`` with entities replaced by their kind, disclosing terms generalised, or removed from ``removal`` on.
 
     Null and empty texts stay; repeated rows are treated alike. All columns stay, in their order.
-    ``docs`` must give the same rows in the same order when read again (a stored table).
+    The numbered documents are stored once, so that any table can be given.
     """
-    marks_of = spans_of(docs, id_col, text_col, threshold, support).select("row", F.struct("spans", "terms").alias("marks"))
+    own = keep(docs.select(F.struct(*map(quoted, docs.columns)).alias("own"), F.monotonically_increasing_id().alias("row")))
+    given = own.select("row", F.col(f"own.{quoted(id_col)}").alias("id"), F.col(f"own.{quoted(text_col)}").alias("text"))
+    marks_of = spans_of(given, "id", "text", threshold, support, row_col="row").select("row", F.struct("spans", "terms").alias("marks"))
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,5 +219,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             columns[where] = pa.array(out, columns[where].type)
             yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
 
-    own = docs.select(F.struct(*map(quoted, docs.columns)).alias("own"), F.monotonically_increasing_id().alias("row"))
     return own.join(marks_of, "row", "left").select("own", "marks").mapInArrow(run, docs.schema)
