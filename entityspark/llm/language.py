@@ -2,7 +2,7 @@
 
 One table of small words holds a Bloom filter per language, each in its own bit: looking an
 n-gram up with two hashes and combining the two words by AND returns all languages that contain
-it. A document's hits are counted per language, corrected for the filter's false positives and
+it (64 languages a word; beyond that, a table of words for each 64). A document's hits are counted per language, corrected for the filter's false positives and
 divided by what a text of that language is expected to hit.
 """
 
@@ -95,34 +95,37 @@ class BitslicedFilter:
 
     languages: list[str]
     bits: int
-    masks: np.ndarray
+    masks: list[np.ndarray]  # a table for every 64 languages
     false_rate: np.ndarray
     expected: np.ndarray
 
     @classmethod
     def build(cls, languages: list[str], lang: np.ndarray, gram: np.ndarray, expected: np.ndarray) -> BitslicedFilter:
-        if len(languages) > 64:
-            raise ValueError("a filter holds at most 64 languages")
         bits = max(10, int(8 * len(np.unique(gram)) or 1).bit_length())
         kind = np.uint8 if len(languages) <= 8 else np.uint64
-        masks = np.zeros(1 << bits, kind)
-        for k in (0, 1):
-            np.bitwise_or.at(masks, _mix(gram, k, bits).astype(np.int64), np.left_shift(kind(1), lang.astype(kind)))
-        fill = np.array([np.mean(masks >> kind(i) & kind(1)) for i in range(len(languages))])
-        return cls(languages, bits, masks, fill**2, np.maximum(expected, 1e-9))
-
-    def languages_of(self, codes: np.ndarray) -> np.ndarray:
-        """Bit mask of all languages that contain each n-gram."""
-        return self.masks[_mix(codes, 0, self.bits).astype(np.int64)] & self.masks[_mix(codes, 1, self.bits).astype(np.int64)]
+        masks, fill = [], []
+        for first in range(0, max(1, len(languages)), 64):
+            mine = (lang >= first) & (lang < first + 64)
+            table = np.zeros(1 << bits, kind)
+            for k in (0, 1):
+                np.bitwise_or.at(table, _mix(gram[mine], k, bits).astype(np.int64), np.left_shift(kind(1), (lang[mine] - first).astype(kind)))
+            masks.append(table)
+            fill += [np.mean(table >> kind(i) & kind(1)) for i in range(min(64, len(languages) - first))]
+        return cls(languages, bits, masks, np.array(fill) ** 2, np.maximum(expected, 1e-9))
+
+    def languages_of(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Bit masks of all languages that contain each n-gram, one for every 64 languages."""
+        slots = [_mix(codes, k, self.bits).astype(np.int64) for k in (0, 1)]
+        return [table[slots[0]] & table[slots[1]] for table in self.masks]
 
     def decide(self, codes: np.ndarray, rows: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """Per row: the language with the largest corrected share of hits, and its part of all shares."""
-        kind = self.masks.dtype.type
+        kind = self.masks[0].dtype.type
         masks = self.languages_of(codes)
         total = np.bincount(rows, minlength=count)
         shares = np.zeros((count, len(self.languages)))
         for i in range(len(self.languages)):
-            hits = np.bincount(rows, weights=(masks >> kind(i) & kind(1)), minlength=count)
+            hits = np.bincount(rows, weights=(masks[i // 64] >> kind(i % 64) & kind(1)), minlength=count)
             real = np.maximum(hits - total * self.false_rate[i], 0) / (1 - self.false_rate[i])
             shares[:, i] = real / np.maximum(total, 1) / self.expected[i]
         best = shares.argmax(axis=1)
@@ -135,8 +138,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
 
     A language contains an n-gram that makes up ``least_rate`` of its n-grams at least and is
     ``relative`` times as frequent as in the language that uses it most. So at most
-    1 / ``least_rate`` n-grams a language reach the driver. Languages are sorted by their share
-    of n-grams, the largest first, which decides ties.
+    1 / ``least_rate`` n-grams a language reach the driver. Languages are sorted by their number
+    of n-grams, the largest first, equal ones by name, which decides ties.
     """
     counts = keep(gram_counts(docs, text_col, lang_col))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
