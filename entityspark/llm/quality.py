@@ -110,19 +110,22 @@ class FactorisationMachine:
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample_rows: int = 8_000, factors: int = 8) -> FactorisationMachine:
-    """Fits a machine on at most ``sample_rows`` rows of ``labelled`` (a documented bound), as given.
+    """Fits a machine on at most ``sample_rows`` rows of ``labelled`` (a documented bound).
 
-    Rows with a null label are left out. Features are built in the tasks; only they reach the driver.
-    Without rows every score is 0.5.
+    The rows are put in the order of a hash of text and label, so that the same rows give the same
+    machine however they arrive. Rows with a null label are left out. Features are built in the
+    tasks; only they reach the driver. Without rows every score is 0.5.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "t"):
             rows = [row_features(t) for t in texts(batch, "t")]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float32())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["y", "i", "w", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float32())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["y", "at", "i", "w", "s"])
 
-    found = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).cast("double").alias("y")).limit(sample_rows)
-    table = found.mapInArrow(run, "y double, i array<int>, w array<float>, s array<double>").toArrow().combine_chunks()
+    found = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).cast("double").alias("y"))
+    found = found.withColumn("at", F.xxhash64("t", "y")).orderBy("at", "t", "y").limit(sample_rows)
+    table = found.mapInArrow(run, "y double, at long, i array<int>, w array<float>, s array<double>").toArrow().combine_chunks()
+    table = table.sort_by([("at", "ascending"), ("y", "ascending")])
     n = table.num_rows
     machine = FactorisationMachine(np.zeros((len(STATS), BINS - 1)), 0.0, np.zeros(FactorisationMachine.size(), np.float32), np.random.default_rng(0).normal(0, 0.01, (FactorisationMachine.size(), factors)).astype(np.float32))
     if n:
@@ -160,10 +163,11 @@ def score(docs: DataFrame, machine: FactorisationMachine, id_col: str = "doc_id"
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = 8_000, text_col: str = "text") -> DataFrame:
     """``(text, label)`` of at most ``sample_rows`` labelled documents, chosen by a hash of the id.
 
-    The ids are chosen first and sent to the documents (their number is the bound), so no text is shuffled.
+    An id with both labels says nothing and is left out. The ids are chosen first and sent to the documents (their number is the bound), so no text is shuffled.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("chosen_id"), F.col(label_col).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("chosen_id"), "label").limit(sample_rows).dropDuplicates(["chosen_id"])
+    chosen = chosen.groupBy("chosen_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+    chosen = chosen.orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(sample_rows)
     return docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("own_id") == F.col("chosen_id")).select("text", "label")
 
 
