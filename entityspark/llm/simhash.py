@@ -5,14 +5,16 @@ pivot p, |d(x, p) - d(y, p)| <= d(x, y): two fingerprints within ``max_bits`` di
 ``max_bits`` in every coordinate. Two kinds of references are used.
 
 * Zero and its 64 one-bit neighbours, in blocks. d(x, 0) - d(x, e_i) tells bit i of x, so a
-  block's coordinates are equal exactly if its bits are. Of ``max_bits + 2`` blocks, pairs within
-  ``max_bits`` agree in two at least: these coordinates are the key of an equi-join, which finds
-  every pair without comparing all.
+  block's coordinates are equal exactly if its bits are: they are read off the fingerprint
+  instead of being stored. Of ``max_bits + k`` blocks, pairs within ``max_bits`` agree in k at
+  least: these coordinates are the key of an equi-join, which finds every pair without comparing
+  all. k grows with the number of fingerprints, so that keys stay selective.
 * Sixteen scattered references. A candidate whose largest coordinate difference to its partner
   exceeds ``max_bits`` is discarded by them; survivors are verified by the distance itself.
 
-Equal fingerprints are one row of the search, so groups of copies of any size cost one row. A
-pair is emitted by the first two blocks in which it agrees only, so links are not repeated.
+Equal fingerprints are one row of the search, so groups of copies of any size cost one row. Of
+each key's fingerprints, all are compared with the smallest first; only those that these links
+leave apart are paired, so a dense group costs links in proportion to its size, not all pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -93,45 +96,76 @@ def _coordinates(column: Column) -> list[Column]:
     return [F.shiftrightunsigned(column, 8 * i).bitwiseAND(F.lit(255).cast("long")) for i in range(8)]
 
 
-def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, of distinct fingerprints within ``max_bits``, each once."""
-    blocks = _blocks(max_bits + 2)
+def block_count(prints: int, max_bits: int = 4) -> int:
+    """The number of blocks for which keys and expected chance candidates are fewest together."""
+
+    def cost(blocks: int) -> float:
+        agree = blocks - max_bits
+        return comb(blocks, agree) * (prints + prints**2 / 2.0 ** (64 * agree // blocks + 1))
+
+    return min(range(max_bits + 2, max_bits + 5), key=cost)
+
+
+def _keyed(table: DataFrame, blocks: list[tuple[int, int]], agree: int) -> DataFrame:
+    """``table`` with ``key`` and ``chosen``, once for each choice of ``agree`` blocks: their bits, and which they are."""
     keys = []
-    for t, (i, j) in enumerate(combinations(range(len(blocks)), 2)):
-        (si, ni), (sj, nj) = blocks[i], blocks[j]
-        part = lambda s, n: F.shiftrightunsigned("fp", s).bitwiseAND(_bits((1 << n) - 1))
-        key = F.shiftleft(part(si, ni), nj).bitwiseOR(part(sj, nj)).bitwiseOR(_bits(t << (ni + nj + 2)))
-        keys.append(F.struct(key.alias("key"), F.lit(1 << i | 1 << j).alias("pair")))
-    table = pivot_table(prints.select("fp").distinct())
-    keyed = table.select("fp", "d0", "d1", F.explode(F.array(*keys)).alias("k")).select("fp", "d0", "d1", "k.key", "k.pair")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.greatest(*[F.abs(x - y) for d in ("d0", "d1") for x, y in zip(_coordinates(F.col(f"a.{d}")), _coordinates(F.col(f"b.{d}")))]) <= max_bits
-    apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    equal = reduce(lambda x, y: x.bitwiseOR(y), [F.when(apart.bitwiseAND(_bits(((1 << n) - 1) << s)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, (s, n) in enumerate(blocks)])
-    first = equal.bitwiseAND(-equal)
-    rest = equal.bitwiseXOR(first)
-    here = first.bitwiseOR(rest.bitwiseAND(-rest)) == F.col("a.pair")
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.pair") == F.col("b.pair")) & (F.col("a.fp") < F.col("b.fp")) & near & (F.bit_count(apart) <= max_bits) & here)
-    return joined.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+    for chosen in combinations(range(len(blocks)), agree):
+        key = F.lit(0).cast("long")
+        for s, n in (blocks[i] for i in chosen):
+            key = F.shiftleft(key, n).bitwiseOR(F.shiftrightunsigned("fp", s).bitwiseAND(_bits((1 << n) - 1)))
+        keys.append(F.struct(key.alias("key"), F.lit(sum(1 << i for i in chosen)).alias("chosen")))
+    return table.withColumn("k", F.explode(F.array(*keys))).select(*table.columns, "k.key", "k.chosen")
+
+
+def _near(max_bits: int) -> Column:
+    """Of rows a and b: whether no pivot coordinate differs by more than ``max_bits``, and the distance neither."""
+    apart = F.greatest(*[F.abs(x - y) for d in ("d0", "d1") for x, y in zip(_coordinates(F.col(f"a.{d}")), _coordinates(F.col(f"b.{d}")))])
+    return (apart <= max_bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
+
+
+def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+    """Pairs ``(a, b)`` of distinct fingerprints within ``max_bits`` that connect all such pairs.
+
+    Two fingerprints within ``max_bits`` are linked, or joined by links of others.
+    """
+    table = cut(pivot_table(prints.select("fp").distinct()))
+    count = block_count(table.count(), max_bits)
+    blocks, agree = _blocks(count), count - max_bits
+    keyed = _keyed(table, blocks, agree)
+    leads = keyed.groupBy("key", "chosen").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).where("n > 1").select("key", "chosen", "fp")
+    leads = pivot_table(leads)
+    stars = keyed.alias("a").join(leads.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.chosen") == F.col("b.chosen")) & (F.col("a.fp") > F.col("b.fp")) & _near(max_bits))
+    first = cut(stars.select(F.col("b.fp").alias("a"), F.col("a.fp").alias("b")).distinct())
+    parts = connected_components(first, "a", "b").withColumnRenamed("id", "fp")
+    placed = _keyed(table.join(parts, "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component"), blocks, agree)
+    a, b = placed.alias("a"), placed.alias("b")
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.chosen") == F.col("b.chosen")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.part") != F.col("b.part")) & _near(max_bits))
+    return first.unionByName(rest.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct())
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, large: int = 1024) -> DataFrame:
     """``(id_col, fp, component_id)`` per row of ``docs``.
 
     component_id is the smallest id that links reach, the row's own included. Equal rows and
     ids stay as they are, each with its row. Rows without an id keep a null id and take part;
     a component of such rows alone has a null component_id. Null and empty texts have
     fingerprint zero and link like any other. An empty table gives no rows. Other columns of
-    ``docs`` are not read, so their names cannot clash.
+    ``docs`` are not read, so their names cannot clash. Fingerprints with ``large`` rows, and one
+    in 100,000 of all, are sent to their rows; the others are joined.
     """
     prints = cut(fingerprints(docs, id_col, text_col, words))
-    groups = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    groups = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(links(groups, max_bits), "a", "b").withColumnRenamed("id", "fp")
     linked = groups.join(roots, "fp")
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = linked.select("fp", "component").join(smallest, "component").select("fp", F.col("component_id").alias("linked_id"))
-    named = groups.join(of_print, "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = cut(groups.join(of_print, "fp", "left").select("fp", "n", F.coalesce("linked_id", "least").alias("component_id")))
+    often = F.col("n") >= max(large, -(-prints.count() // 100_000))  # at most 100,000 fingerprints
+    hot = named.where(often).select("fp", F.struct("component_id").alias("found"))
+    sent = prints.join(F.broadcast(hot), "fp", "left")
+    rest = sent.where("found is null").drop("found").join(named.where(~often).select("fp", "component_id"), "fp")
+    both = sent.where("found is not null").select("id", "fp", "found.component_id").unionByName(rest.select("id", "fp", "component_id"))
+    return both.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
