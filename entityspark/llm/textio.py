@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entityspark.operators.components import ensure_checkpoint_dir
+
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory.
 STEP_BYTES = 1 << 21
 
@@ -39,22 +40,15 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(modulus))
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's shared folder; sets a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet under the shared checkpoint folder and reads it back: a compressed checkpoint."""
-    checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
