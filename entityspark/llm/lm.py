@@ -248,8 +248,8 @@ class Trie:
         context = F.shiftright("gram", 8)
         of_context = self.grams.groupBy(context.alias("context")).agg((F.sum("n") + F.count("*")).alias("all"))
         head = self.grams.where(F.col("n") >= self.total * share).withColumn("context", context)
-        rows = head.join(of_context, "context").select("gram", (F.log("n") - F.log("all")).alias("log_p")).toPandas()  # at most 1 / share rows
-        return rows["gram"].to_numpy(np.int64).astype(np.uint64), rows["log_p"].to_numpy(np.float64)
+        rows = head.join(of_context, "context").select("gram", (F.log("n") - F.log("all")).alias("log_p")).toArrow()  # at most 1 / share rows
+        return rows.column("gram").to_numpy().astype(np.uint64), rows.column("log_p").to_numpy()
 
 
 def _suffix_counts(codes: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -264,8 +264,8 @@ def _suffix_counts(codes: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, n
 def train_bytes(docs: DataFrame, text_col: str = "text") -> Trie:
     """Learns the trie from all texts of ``docs`` (null counts as empty)."""
     grams = keep(gram_counts(docs, text_col))
-    pairs = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toPandas()  # at most 65,536 rows
-    codes, n = pairs["gram"].to_numpy(np.int64).astype(np.uint64), pairs["n"].to_numpy(np.float64)
+    pairs = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toArrow()  # at most 65,536 rows
+    codes, n = pairs.column("gram").to_numpy().astype(np.uint64), pairs.column("n").to_numpy().astype(np.float64)
     single = np.bincount((codes & _M[0]).astype(np.int64), weights=n, minlength=256)
     short = [(np.flatnonzero(single).astype(np.uint64), single[single > 0]), (codes, n)]
     return Trie(grams, int(n.sum()), short if len(codes) else [])
@@ -283,7 +283,8 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     vocabulary = keep(word_counts(training, text_col))
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r["token"]): r["n"] for r in vocabulary.where(F.col("n") >= n * head_words).toPandas().to_dict("records")}  # at most 1 / head_words words
+    often = vocabulary.where(F.col("n") >= n * head_words).toArrow()
+    head = dict(zip(often.column("token").to_pylist(), often.column("n").to_pylist()))  # at most 1 / head_words words
     logs = {w: float(np.log10((c + 0.1) / (n + 0.1 * (v + 1)))) for w, c in head.items()}
     unknown = float(np.log10(0.1 / (n + 0.1 * (v + 1))))
     trie = train_bytes(training, text_col)
