@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of the tables kept since each ``scratch`` that is open.
+_kept: list[list[str]] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet under the shared checkpoint folder and reads it back: a compressed checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _kept:
+        _kept[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(find: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Keeps the table that ``find`` returns and deletes those that it kept on the way."""
+
+    @wraps(find)
+    def run(*given: object, **options: object) -> DataFrame:
+        _kept.append([])
+        try:
+            found = find(*given, **options)
+            inner = list(_kept[-1])
+            found = keep(found)
+            result = [p for p in _kept[-1] if p not in inner]
+        finally:
+            paths = _kept.pop()
+        folder = found.sparkSession._jvm.org.apache.hadoop.fs.Path
+        for path in (p for p in paths if p not in result):
+            folder(path).getFileSystem(found.sparkSession._jsc.hadoopConfiguration()).delete(folder(path), True)
+        if _kept:
+            _kept[-1] += result
+        return found
+
+    return run
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A text column's UTF-8 bytes and n + 1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
