@@ -32,8 +32,8 @@ from entityspark.llm.textio import keep, steps, text_buffer, texts
 
 #: Bytes of context.
 ORDER = 4
-#: A frequent five-byte string makes up this share of the training bytes at least: at most 2 ** 22 strings.
-HEAD_GRAM_SHARE = 2.0**-22
+#: A frequent five-byte string makes up this share of the training bytes at least: at most 2 ** 23 strings.
+HEAD_GRAM_SHARE = 2.0**-23
 #: Five-byte strings of the trie that one group stands for, about.
 GROUP_GRAMS = 200_000
 #: Scored rare strings that are broadcast; more are joined by a shuffle.
@@ -112,7 +112,7 @@ class Table:
 
     @classmethod
     def of(cls, keys: np.ndarray) -> Table:
-        bits = max(4, (4 * len(keys)).bit_length())
+        bits = max(4, (2 * len(keys)).bit_length())
         table = cls(keys, np.full(1 << bits, -1, np.int32), 64 - bits)
         left, at = np.arange(len(keys)), table.home(keys)
         while len(left):
