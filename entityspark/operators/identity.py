@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityspark.functions.text import NAMESPACE, uuid_v5
@@ -36,21 +36,30 @@ def replay(pdf: pd.DataFrame) -> pd.DataFrame:
     """Assigns identities to one component's rows in order: the first known alias wins, else the first value names it."""
     known: dict[str, str] = {}
     out, seen = [], []
-    for values in pdf.sort_values("ord")["id_values"]:
+    for values in pdf.sort_values(["ord", "row_id"])["id_values"]:
         hit = next((known[v] for v in values if v in known), None)
         out.append(hit or _v5(values[0]))
         seen.append(hit is not None)
         known.update(dict.fromkeys(values, out[-1]))
-    ordered = pdf.sort_values("ord")
+    ordered = pdf.sort_values(["ord", "row_id"])
     return pd.DataFrame({"row_id": ordered["row_id"], "uuid": out, "event": ["cached" if s else "generated" for s in seen]})
 
 
+def _replayed(parts: DataFrame) -> DataFrame:
+    """The rows of components with different value lists; of rows in a row with equal lists only the first is replayed."""
+    so_far = Window.partitionBy("component").orderBy("ord", "row_id")
+    turns = parts.withColumn("turn", ~F.col("id_values").eqNullSafe(F.lag("id_values").over(so_far)))
+    named = turns.where("turn").groupBy("component").applyInPandas(lambda pdf: replay(pdf), "row_id long, uuid string, event string")
+    every = turns.join(named, "row_id", "left")
+    return every.select("row_id", F.last("uuid", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("uuid"), F.coalesce("event", F.lit("cached")).alias("event"))
+
+
 def assign_identity(rows: DataFrame, linking: str = "ordered", row_id: str = "row_id", order: str = "ord", values: str = "id_values", aliases: DataFrame | None = None) -> DataFrame:
     """``(row_id, uuid, event)`` of every row. ``linking``: first_value, ordered or transitive.
 
     ``ordered`` replays rows in order inside their component, which equals one global pass because
-    rows of different components share no value; only components of several distinct value lists
-    are replayed in Python. Rows without a value get an identity of their own from their id and
+    rows of different components share no value. Only components with different value lists are
+    replayed in Python, rows in a row with equal lists as one. Rows without a value get an identity of their own from their id and
     the event ``random``. ``aliases`` (value, uuid) are identities of earlier runs: a row takes
     the uuid of its first value that is among them.
     """
@@ -64,7 +73,10 @@ def assign_identity(rows: DataFrame, linking: str = "ordered", row_id: str = "ro
         if linking == "transitive":
             found = parts.select("row_id", uuid_v5("component").alias("uuid"), F.lit("generated").alias("event"))
         else:
-            found = parts.groupBy("component").applyInPandas(lambda pdf: replay(pdf), "row_id long, uuid string, event string")
+            lists = parts.groupBy("component").agg(F.min("id_values").alias("low"), F.max("id_values").alias("high"), F.min(F.struct("ord", "row_id")).alias("first"))
+            known = parts.join(lists.select("component", "first", (F.col("low") == F.col("high")).alias("alike")), "component")
+            event = F.when(F.struct("ord", "row_id") == F.col("first"), "generated").otherwise("cached")
+            found = known.where("alike").select("row_id", uuid_v5(F.col("id_values")[0]).alias("uuid"), event.alias("event")).unionByName(_replayed(known.where("not alike")))
     if aliases is not None:
         hits = some.select("row_id", F.posexplode("id_values").alias("pos", "value")).join(aliases, "value").groupBy("row_id").agg(F.min_by("uuid", "pos").alias("earlier"))
         found = found.join(hits, "row_id", "left").select("row_id", F.coalesce("earlier", "uuid").alias("uuid"), F.when(F.col("earlier").isNotNull(), "cached").otherwise(F.col("event")).alias("event"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def unprocessed_rows(rows: DataFrame, processed: DataFrame, limit: int | None = None) -> DataFrame:
-    found = rows.join(processed.select("row_id"), "row_id", "left_anti").orderBy("global_row_index")
-    return found.limit(limit) if limit else found
+    """Rows without a result; with ``limit`` the first ones in order, otherwise all in no order."""
+    found = rows.join(processed.select("row_id"), "row_id", "left_anti")
+    return found.orderBy("global_row_index").limit(limit) if limit else found
 
 
 def sync_counts(rows: DataFrame, processed: DataFrame) -> DataFrame:
@@ -60,12 +61,16 @@ def cascade_delete(rows: DataFrame, processed: DataFrame, entities: DataFrame, f
 
 
 def ingest_plan(incoming: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
-    """``(file_path, file_hash, action)``: skip, ingest, replace_failed, reingest or reject."""
+    """``(file_path, file_hash, action)``: skip, ingest, replace_failed, reingest or reject.
+
+    Equal content that was ingested is skipped, equal content that failed is replaced. Edited
+    content of a known path is ingested again only with ``force``, whether it had failed or not.
+    """
     by_hash = manifest.groupBy("file_hash").agg(F.max((F.col("status") == "completed").cast("int")).alias("done"), F.count("*").alias("n_hash"))
     by_path = manifest.groupBy("file_path").agg(F.max_by("status", "file_id").alias("path_status"))
     action = (
         F.when(F.col("done") == 1, "skip").when(F.col("n_hash") > 0, "replace_failed").when(F.col("path_status").isNull(), "ingest")
-        .when(F.col("path_status") != "completed", "replace_failed").otherwise("reingest" if force else "reject")
+        .otherwise("reingest" if force else "reject")
     )
     return incoming.join(by_hash, "file_hash", "left").join(by_path, "file_path", "left").select("file_path", "file_hash", action.alias("action"))
 

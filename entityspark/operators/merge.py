@@ -26,11 +26,25 @@ def collect_children(c: Column, order: Column) -> Column:
 def entity_merge(records: DataFrame, key: str, order: str, scalars: list[str] = (), lists: list[str] = (), children: list[str] = ()) -> DataFrame:
     """One row per key: scalars by first non-empty, lists by ordered distinct union, children collected; and ``n_records``.
 
-    Rows without a key are left out. One shuffle on the key.
+    Rows without a key are left out. List items are made distinct before they are collected, so a
+    key with very many records costs its different items only.
     """
     o = F.col(order)
-    aggregates = [first_nonempty(F.col(c), o).alias(c) for c in scalars] + [ordered_union(F.col(c), o).alias(c) for c in lists] + [collect_children(F.col(c), o).alias(c) for c in children]
-    return records.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_records"), *aggregates)
+    given = records.where(F.col(key).isNotNull())
+    aggregates = [first_nonempty(F.col(c), o).alias(c) for c in scalars] + [collect_children(F.col(c), o).alias(c) for c in children]
+    merged = given.groupBy(key).agg(F.count("*").alias("n_records"), *aggregates)
+    if lists:
+        tagged = [F.transform(F.coalesce(c, F.array().cast("array<string>")), _placed(k)) for k, c in enumerate(lists)]
+        items = given.select(key, o.alias("__o"), F.explode(F.concat(*tagged)).alias("x")).select(key, "__o", "x.*").where(F.col("__item").isNotNull())
+        first = items.groupBy(key, "__list", "__item").agg(F.min(F.struct("__o", "__at")).alias("__first"))
+        union = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("__list") == k, F.struct("__first", "__item")))), lambda x: x["__item"])
+        unions = first.groupBy(key).agg(*[union(k).alias(c) for k, c in enumerate(lists)])
+        merged = merged.join(unions, key, "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
+    return merged.select(key, "n_records", *scalars, *lists, *children)
+
+
+def _placed(k: int):  # noqa: ANN202
+    return lambda v, i: F.struct(F.lit(k).alias("__list"), i.alias("__at"), v.alias("__item"))
 
 
 def jsonld_project(entities: DataFrame, key: str, kind: str, columns: list[str], context: str = "https://schema.org/") -> DataFrame:

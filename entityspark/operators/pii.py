@@ -64,16 +64,21 @@ def written(template: Column, n: Column) -> Column:
     return F.concat(template, F.lit("_"), n.cast("string"), F.when(template == "EMAIL", F.lit("@GMAIL.COM")).otherwise(F.lit("")))
 
 
+#: Row numbers of one range of placeholders.
+RANGE_ROWS = 1 << 16
+
+
 def dictionary(found: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """``(scope.., value, template, n, placeholder)`` from occurrences (scope.., value, template, ord).
 
     A value gets one placeholder: the template of its first occurrence, numbered per scope and
-    template by first occurrence. Numbers come from counts of order ranges, so no window holds a
-    whole template.
+    template by first occurrence. ``ord`` is a struct whose first field, ``row``, is a number.
+    Numbers come from counts of ranges of RANGE_ROWS row numbers, so no window holds a whole
+    template, and the window over the ranges has one row for each of them.
     """
     scope = scope or []
     first = found.groupBy(*scope, "value").agg(F.min_by("template", "ord").alias("template"), F.min("ord").alias("ord"))
-    ranged = first.withColumn("range", F.floor(F.col("ord") / 4096))
+    ranged = first.withColumn("range", F.floor(F.col("ord.row") / RANGE_ROWS))
     key = [*scope, "template"]
     before = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranged.groupBy(*key, "range").agg(F.count("*").alias("c")).select(*key, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
@@ -92,7 +97,7 @@ def mask_fields(df: DataFrame, fields: dict[str, tuple[str, bool]], row_id: str,
     names = list(fields)
     items = [split_values(F.col(c)) if multi else F.filter(F.array(F.col(c)), lambda x: js_trim(x) != "") for c, (_, multi) in fields.items()]
     parts = [F.transform(x, _tagged(k, fields[c][0])) for k, (c, x) in enumerate(zip(names, items))]
-    flat = df.select(row_id, *scope, F.explode(F.concat(*parts)).alias("x")).select(row_id, *scope, "x.field", "x.pos", "x.value", "x.template", (F.col(row_id) * 1024 + F.col("x.field") * 64 + F.col("x.pos")).alias("ord"))
+    flat = df.select(row_id, *scope, F.explode(F.concat(*parts)).alias("x")).select(row_id, *scope, "x.field", "x.pos", "x.value", "x.template", F.struct(F.col(row_id).alias("row"), "x.field", "x.pos").alias("ord"))
     table = dictionary(flat, scope)
     named = flat.join(table.select(*scope, "value", "placeholder"), [*scope, "value"])
     text = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == k, F.struct("pos", "placeholder")))), lambda s: s["placeholder"]), ", ")

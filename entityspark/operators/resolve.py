@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entityspark.operators import checks, pii, rules
+from entityspark.operators.components import ensure_checkpoint_dir
 
 Resolver = Callable[[pd.DataFrame, str, str | None], pd.DataFrame]
 
@@ -28,12 +30,34 @@ def render_prompt(rows: DataFrame, template: str, batch: str = "batch_id", order
     return rows.groupBy(batch).agg(F.replace(F.lit(template), F.lit("{records}"), F.to_json(records)).alias("prompt"))
 
 
+class Invalid(ValueError):
+    """An answer that the caller's checks refuse; worth another try with the fallback model."""
+
+
+def _kind(e: Exception) -> tuple[str, str]:
+    """What an error is, and what follows: the same again, another model, or nothing."""
+    status = getattr(e, "status", None)
+    if status is not None:
+        return ("api_error", "retry_same" if status == 429 or status >= 500 else "failed")
+    return ("validation_error", "retry_with_fallback") if isinstance(e, ValueError) else ("unrecoverable_error", "failed")
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written once under the checkpoint folder, so that later plans and lost tasks read it instead of asking again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/attempts-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def resolve_pending(rows: DataFrame, resolver: Resolver, schema: str, batch: str = "batch_id", retries: int = 2) -> DataFrame:
-    """Calls ``resolver(batch, model, error)`` per batch; returns ``batch_id, attempt, status, error`` and the result rows.
+    """Calls ``resolver(batch, model, error)`` per batch; returns ``batch_id, attempt, status, error, action`` and the result rows.
 
     ``schema`` declares the resolver's columns; a failed attempt is a row with nulls there. An
-    error with status 429 or 5xx is tried again as it is; another one is tried with the fallback
-    model and the error's text; after ``retries`` more tries the batch has failed.
+    error with status 429 or 5xx is tried again as it is; an invalid answer (a ValueError) is
+    tried with the fallback model and the error's text; any other error ends the batch at once.
+    After ``retries`` more tries the batch has failed. The attempts are made here and stored once,
+    however many plans read them.
     """
     names = [x.split()[0] for x in schema.split(",")]
 
@@ -45,15 +69,17 @@ def resolve_pending(rows: DataFrame, resolver: Resolver, schema: str, batch: str
                 log += [{**r, batch: key, "attempt": attempt, "status": "success"} for r in result.to_dict("records")]
                 break
             except Exception as e:  # noqa: BLE001  the resolver's failures are data here
-                status = getattr(e, "status", None)
-                kind = "api_error" if status is not None and (status == 429 or status >= 500) else "validation_error"
-                log.append({batch: key, "attempt": attempt, "status": "failed", "error": kind})
-                if kind != "api_error":
+                kind, action = _kind(e)
+                action = action if attempt <= retries else "failed"
+                log.append({batch: key, "attempt": attempt, "status": "failed", "error": kind, "action": action})
+                if action == "failed":
+                    break
+                if action == "retry_with_fallback":
                     model, error = "fallback", str(e)
-        columns = [batch, "attempt", "status", "error", *names]
+        columns = [batch, "attempt", "status", "error", "action", *names]
         return pd.DataFrame({c: pd.Series([r.get(c) for r in log], dtype=object) for c in columns})
 
-    return rows.groupBy(batch).applyInPandas(one, f"{batch} long, attempt int, status string, error string, {schema}")
+    return _stored(rows.groupBy(batch).applyInPandas(one, f"{batch} long, attempt int, status string, error string, action string, {schema}"))
 
 
 def batch_outcomes(log: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -68,7 +94,8 @@ def process_batch(rows: DataFrame, rule_set: rules.RuleSet, resolver: Resolver,
 
     Only rows with pending fields reach the resolver, with the ``masked`` columns alone and their
     values replaced; ``schema`` starts with the row id. Rule values stay in ``mapped``; resolved
-    columns are null where the resolver failed or was not needed.
+    columns are null where the resolver failed or was not needed. The resolver is called here,
+    once per attempt.
     """
     mapped = rules.transform_row(rows, rule_set)
     hidden, table = pii.mask_fields(mapped.where(F.size("pending") > 0).select(batch, row_id, *masked), masked, row_id)

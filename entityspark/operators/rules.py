@@ -114,7 +114,10 @@ def is_empty(c: Column, kind: str) -> Column:
 
 
 def value_of(columns: list[str], rule: Rule) -> tuple[Column, str]:
-    """A rule's value and kind: literal or source, transforms, fallback, taxonomy, under its conditions."""
+    """A rule's value and kind: literal or source, transforms, fallback, taxonomy, under its conditions.
+
+    A value that is still empty after the fallback is null.
+    """
     absent = F.lit(None).cast("string")
     pick = lambda n: F.col(n).cast("string") if n in columns else absent
     if rule.literal is not None:
@@ -126,6 +129,7 @@ def value_of(columns: list[str], rule: Rule) -> tuple[Column, str]:
     if rule.fallback is not None:
         given = F.array(F.lit(rule.fallback)) if kind == "list" else F.lit(rule.fallback).cast("double" if kind == "number" else "string")
         c = F.when(is_empty(c, kind), given).otherwise(c)
+    c = F.when(~is_empty(c, kind), c)
     if rule.taxonomy:
         c = F.transform(c, lambda x: taxonomy_normalize(x, rule.taxonomy)) if kind == "list" else taxonomy_normalize(c, rule.taxonomy)
     if rule.when:

@@ -92,7 +92,7 @@ PUBLISHED_SQL = "CASE WHEN regexp_matches(tags, '1-|2-') THEN obj_published END"
 MISSING_SQL = f"list_filter([CASE WHEN {NAME_SQL} = '' THEN 'person.name' END, CASE WHEN {PUBLISHED_SQL} IS NULL THEN 'action.published' END, 'person.userID'], lambda x: x IS NOT NULL)"
 
 
-@query("transform_row", f"{WITH} SELECT row_id, {NAME_SQL} AS name, {TYPE_SQL} AS type, 'PT' || cast(cast(TRY_CAST(trim(\"action_timeSpent\") AS double) AS bigint) AS varchar) || 'S' AS duration, {PUBLISHED_SQL} AS published, array_to_string({MISSING_SQL}, ',') AS missing FROM keyed")
+@query("transform_row", f"{WITH} SELECT row_id, nullif({NAME_SQL}, '') AS name, {TYPE_SQL} AS type, 'PT' || cast(cast(TRY_CAST(trim(\"action_timeSpent\") AS double) AS bigint) AS varchar) || 'S' AS duration, {PUBLISHED_SQL} AS published, array_to_string({MISSING_SQL}, ',') AS missing FROM keyed")
 def transform_row(s: SparkSession, d: str) -> DataFrame:
     out = rules.transform_row(contacts(s, d), RULES)
     return out.select("row_id", "mapped.person.name", "mapped.action.type", "mapped.action.duration", "mapped.action.published", F.array_join("missing", ",").alias("missing"))
@@ -128,13 +128,13 @@ def pending_union(s: SparkSession, d: str) -> DataFrame:
 TARGET = T.StructType().add("person", T.StructType().add("name", "string").add("tags", T.ArrayType(T.StringType()))).add("action", T.StructType().add("type", "string").add("published", "string"))
 
 
-@query("prune_schema", f"{WITH} SELECT row_id, '{{\"person\":{{\"name\":\"' || {NAME_SQL} || '\"}},\"action\":{{\"type\":\"' || {TYPE_SQL} || '\"}}}}' AS kept FROM keyed")
+@query("prune_schema", f"{WITH} SELECT row_id, '{{\"person\":{{' || coalesce('\"name\":\"' || nullif({NAME_SQL}, '') || '\"', '') || '}},\"action\":{{\"type\":\"' || {TYPE_SQL} || '\"}}}}' AS kept FROM keyed")
 def prune_schema(s: SparkSession, d: str) -> DataFrame:
     kept = rules.prune_schema(TARGET, ["person.name", "action.type"])
     return rules.transform_row(contacts(s, d), RULES).select("row_id", F.to_json(rules.project(F.col("mapped"), kept)).alias("kept"))
 
 
-@query("deterministic_output", f"{WITH} SELECT row_id, {NAME_SQL} AS name, {TYPE_SQL} AS type FROM keyed WHERE len({MISSING_SQL}) = 1")
+@query("deterministic_output", f"{WITH} SELECT row_id, nullif({NAME_SQL}, '') AS name, {TYPE_SQL} AS type FROM keyed WHERE len({MISSING_SQL}) = 1")
 def deterministic_output(s: SparkSession, d: str) -> DataFrame:
     return rules.transform_row(contacts(s, d), RULES).where(F.size("missing") == 1).select("row_id", "mapped.person.name", "mapped.action.type")
 
@@ -248,15 +248,16 @@ query("reingest_edited", f"{WITH} SELECT count(*) AS n, count(DISTINCT uuid) AS
 query("attach_results", f"{WITH} SELECT row_id, uuid, obj_published FROM keyed WHERE row_id % 5 <> 0")(lambda s, d: keyed(s, d).select("row_id", "uuid", "obj_published").join(processed(s, d).select("row_id"), "row_id"))
 
 
-@query("ingest_plan", "SELECT DISTINCT 'f' || o_custkey || '.csv' AS file_path, CASE o_custkey % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'replace_failed' WHEN 2 THEN 'reject' ELSE 'ingest' END AS action FROM orders")
+@query("ingest_plan", "SELECT DISTINCT 'f' || o_custkey || '.csv' AS file_path, CASE o_custkey % 5 WHEN 0 THEN 'skip' WHEN 1 THEN 'replace_failed' WHEN 2 THEN 'reject' WHEN 3 THEN 'reject' ELSE 'ingest' END AS action FROM orders")
 def ingest_plan(s: SparkSession, d: str) -> DataFrame:
+    """Equal content done and failed, edited content of a done and of a failed file, and new files."""
     files = read(s, d, "orders").select("o_custkey").distinct()
     path = F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".csv"))
     incoming = files.select(path.alias("file_path"), F.sha2(path, 256).alias("file_hash"))
-    known = files.where("o_custkey % 4 < 3").select(
+    known = files.where("o_custkey % 5 < 4").select(
         F.col("o_custkey").alias("file_id"), path.alias("file_path"),
-        F.when(F.col("o_custkey") % 4 == 2, F.lit("older")).otherwise(F.sha2(path, 256)).alias("file_hash"),
-        F.when(F.col("o_custkey") % 4 == 1, "failed").otherwise("completed").alias("status"),
+        F.when((F.col("o_custkey") % 5).isin(2, 3), F.concat(F.lit("older"), path)).otherwise(F.sha2(path, 256)).alias("file_hash"),
+        F.when((F.col("o_custkey") % 5).isin(1, 3), "failed").otherwise("completed").alias("status"),
     )
     return ledger.ingest_plan(incoming, known).select("file_path", "action")
 
@@ -384,14 +385,47 @@ def offline(pdf: pd.DataFrame, model: str, error: str | None) -> pd.DataFrame:
     return pd.DataFrame({"row_id": pdf["row_id"], "gender": ["f" if r % 2 else "m" for r in pdf["row_id"]]})
 
 
-def _resolved(s: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve_pending(contacts(s, d).select("row_id", F.floor(F.col("row_id") / 50).alias("batch_id")), offline, "row_id long, gender string")
+def moody(pdf: pd.DataFrame, model: str, error: str | None) -> pd.DataFrame:
+    """As ``offline``, with batches that are always too busy, and some that break."""
+    batch = int(pdf["batch_id"].iloc[0])
+    if batch % 7 == 4:
+        raise Busy("later")
+    if batch % 7 == 2:
+        raise KeyError("no such column")
+    return offline(pdf, model, error)
+
+
+def _resolved(s: SparkSession, d: str, resolver: resolve.Resolver = offline) -> DataFrame:
+    return resolve.resolve_pending(contacts(s, d).select("row_id", F.floor(F.col("row_id") / 50).alias("batch_id")), resolver, "row_id long, gender string")
 
 
 query("resolve_pending", f"{WITH} SELECT row_id, CASE WHEN row_id % 2 = 1 THEN 'f' ELSE 'm' END AS gender FROM keyed WHERE (row_id // 50) % 7 <> 3")(lambda s, d: _resolved(s, d).where("status = 'success'").select("row_id", "gender"))
-query("attempt_log", f"{WITH.rstrip()}, b AS (SELECT DISTINCT row_id // 50 AS batch_id FROM keyed) SELECT batch_id, cast(i AS integer) AS attempt FROM b, generate_series(1, 3) g(i) WHERE (batch_id % 7 = 3) OR (batch_id % 7 = 5 AND i = 1)")(lambda s, d: _resolved(s, d).where("status = 'failed'").select("batch_id", "attempt"))
+@query(
+    "attempt_log",
+    f"""{WITH.rstrip()}, b AS (SELECT DISTINCT row_id // 50 AS batch_id FROM keyed)
+SELECT batch_id, cast(i AS integer) AS attempt, CASE batch_id % 7 WHEN 2 THEN 'unrecoverable_error' WHEN 4 THEN 'api_error' ELSE 'validation_error' END AS error,
+  CASE WHEN batch_id % 7 = 2 OR i = 3 THEN 'failed' WHEN batch_id % 7 = 4 THEN 'retry_same' ELSE 'retry_with_fallback' END AS action
+FROM b, generate_series(1, 3) g(i) WHERE batch_id % 7 = 3 OR (batch_id % 7 = 5 AND i = 1) OR (batch_id % 7 = 4 AND i <= 3) OR (batch_id % 7 = 2 AND i = 1)""",
+)
+def attempt_log(s: SparkSession, d: str) -> DataFrame:
+    return _resolved(s, d, moody).where("status = 'failed'").select("batch_id", "attempt", "error", "action")
+
+
 query("batch_outcomes", f"{WITH} SELECT DISTINCT row_id // 50 AS batch_id, CASE (row_id // 50) % 7 WHEN 3 THEN 'failed' WHEN 5 THEN 'partial_success' ELSE 'success' END AS outcome, cast(CASE (row_id // 50) % 7 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS bigint) AS attempts FROM keyed")(lambda s, d: resolve.batch_outcomes(_resolved(s, d)))
-query("retry_ladder", f"{WITH.rstrip()}, b AS (SELECT DISTINCT row_id // 50 AS batch_id FROM keyed) SELECT batch_id, cast(CASE batch_id % 7 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS bigint) AS attempts FROM b")(lambda s, d: resolve.batch_outcomes(_resolved(s, d)).select("batch_id", "attempts"))
+@query(
+    "retry_ladder",
+    f"""{WITH.rstrip()}, b AS (SELECT DISTINCT row_id // 50 AS batch_id FROM keyed)
+SELECT batch_id, cast(CASE WHEN batch_id % 7 IN (3, 4) THEN 3 WHEN batch_id % 7 = 5 THEN 2 ELSE 1 END AS bigint) AS attempts,
+  CASE batch_id % 7 WHEN 2 THEN 'failed' WHEN 3 THEN 'retry_with_fallback,retry_with_fallback,failed' WHEN 4 THEN 'retry_same,retry_same,failed' WHEN 5 THEN 'retry_with_fallback' ELSE '' END AS steps
+FROM b""",
+)
+def retry_ladder(s: SparkSession, d: str) -> DataFrame:
+    """What was done after each failed attempt, in order, per batch."""
+    tries = _resolved(s, d, moody).groupBy("batch_id", "attempt").agg(F.max("action").alias("action"))
+    steps = F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("attempt", "action"))), lambda x: x["action"]))
+    return tries.groupBy("batch_id").agg(F.max("attempt").cast("bigint").alias("attempts"), F.array_join(steps, ",").alias("steps"))
+
+
 query("group_by_pending", f"{WITH} SELECT array_to_string(list_sort({MISSING_SQL}), ',') AS pending_key, count(*) AS n FROM keyed GROUP BY 1")(
     lambda s, d: resolve.group_by_pending(rules.transform_row(contacts(s, d), RULES), "missing").groupBy("pending_key").agg(F.count("*").alias("n")))
 query("render_prompt", f"{WITH} SELECT row_id // 50 AS batch_id, 'Fill: [' || string_agg('{{\"row_id\":' || row_id || ',\"obj_published\":\"' || obj_published || '\"}}', ',' ORDER BY row_id) || ']' AS prompt FROM keyed GROUP BY 1")(

@@ -177,7 +177,7 @@ def _processed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return resolve.process_batch(rows, catalog.RULES, greet, "row_id long, greeting string", {"givenName": ("NAME", False)}, [checks.Constraint("greeting", required=True)])
 
 
-@query("process_batch", f"{WITH} SELECT row_id, {catalog.NAME_SQL} AS name, CASE WHEN (row_id // 50) % 7 <> 3 THEN 'Dear ' || \"givenName\" END AS greeting, (row_id // 50) % 7 = 3 AS violated FROM keyed")
+@query("process_batch", f"{WITH} SELECT row_id, nullif({catalog.NAME_SQL}, '') AS name, CASE WHEN (row_id // 50) % 7 <> 3 THEN 'Dear ' || \"givenName\" END AS greeting, (row_id // 50) % 7 = 3 AS violated FROM keyed")
 def process_batch(s: SparkSession, d: str) -> DataFrame:
     results, violations, _ = _processed(s, d)
     bad = violations.select("row_id", F.lit(True).alias("violated")).distinct()

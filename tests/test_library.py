@@ -35,6 +35,10 @@ def test_ordered_identity_equals_global_pass(spark):
     rows = [(i, i, [f"v{rng.randrange(12)}" for _ in range(rng.randrange(4))]) for i in range(60)]
     got = identity.assign_identity(spark.createDataFrame(rows, "row_id long, ord long, id_values array<string>")).where("event <> 'random'").collect()
     assert {r["row_id"]: r["uuid"] for r in got} == identity.sequential((i, v) for i, _, v in rows)
+    rows = [(i, i, ["shared"] if i % 50 else ["shared", f"w{i}"]) for i in range(500)] + [(900 + i, i, [f"alone{i // 3}"]) for i in range(9)]
+    got = identity.assign_identity(spark.createDataFrame(rows, "row_id long, ord long, id_values array<string>")).collect()
+    assert {r["row_id"]: r["uuid"] for r in got} == identity.sequential((i, v) for i, _, v in rows)
+    assert sorted(r["row_id"] for r in got if r["event"] == "generated") == [0, 900, 903, 906]
 
 
 def test_merge_rules_masking_and_checks(spark):
@@ -44,8 +48,8 @@ def test_merge_rules_masking_and_checks(spark):
     assert out[0]["missing"] == ["a.b"] and out[0]["mapped"]["a"]["c"] == "f" and out[1]["missing"] == []
     with pytest.raises(ValueError):
         rules.compile_rules(rules.RuleSet({"a": rules.Rule()}))
-    text = spark.createDataFrame([("Contact John at john@example.com or call (555) 123-4567",), (None,)], "t string").select(pii.mask_text(F.col("t")).alias("m")).collect()
-    assert text[0]["m"] == "Contact John at [EMAIL] or call [PHONE]" and text[1]["m"] is None
+    text = spark.createDataFrame([("Write to mira.k@mail-host.org, else ring (212) 867-5309 after six",), (None,)], "t string").select(pii.mask_text(F.col("t")).alias("m")).collect()
+    assert text[0]["m"] == "Write to [EMAIL], else ring [PHONE] after six" and text[1]["m"] is None
     table = spark.createDataFrame([("EMAIL_1@GMAIL.COM", "a@b.cd"), ("EMAIL_10@GMAIL.COM", "x@y.zz")], "placeholder string, value string")
     masked = spark.createDataFrame([(1, "EMAIL_10@GMAIL.COM, EMAIL_1@GMAIL.COM")], "id long, t string")
     assert pii.unmask(masked, ["t"], "id", table).first()["t"] == "x@y.zz, a@b.cd"
@@ -55,6 +59,56 @@ def test_merge_rules_masking_and_checks(spark):
     assert {r["file_path"]: r["action"] for r in plan.collect()} == {"a": "skip", "b": "reject"}
 
 
+def test_values_empty_after_the_fallback_are_null(spark):
+    rows = spark.createDataFrame([(1, " ", ""), (2, "x", "a;b"), (3, None, None)], "o long, name string, tags string")
+    rule_set = rules.RuleSet({"name": rules.Rule("name", transforms=("trim",)), "given": rules.Rule("name", fallback="f"), "tags": rules.Rule("tags", transforms=({"type": "split", "delimiter": ";"}, "filterEmpty"))}, required=("name",))
+    out = {r["o"]: r for r in rules.transform_row(rows, rule_set).collect()}
+    assert [tuple(out[i]["mapped"]) for i in (1, 2, 3)] == [(None, "f", None), ("x", "x", ["a", "b"]), (None, "f", None)]
+    assert [out[i]["missing"] for i in (1, 2, 3)] == [["name"], [], ["name"]]
+
+
+def test_ingest_plan_refuses_edited_files(spark):
+    known = spark.createDataFrame([(1, "a", "1", "failed"), (2, "b", "2", "failed"), (3, "c", "3", "completed")], "file_id long, file_path string, file_hash string, status string")
+    incoming = spark.createDataFrame([("a", "1"), ("b", "9"), ("c", "9"), ("d", "4")], "file_path string, file_hash string")
+    plan = lambda force: {r["file_path"]: r["action"] for r in ledger.ingest_plan(incoming, known, force).collect()}
+    assert plan(False) == {"a": "replace_failed", "b": "reject", "c": "reject", "d": "ingest"}
+    assert plan(True) == {"a": "replace_failed", "b": "reingest", "c": "reingest", "d": "ingest"}
+
+
+def test_resolver_is_called_once_per_attempt(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def resolver(pdf, model, error):
+        batch = int(pdf["batch_id"].iloc[0])
+        with open(f"{calls}/{batch}", "a") as f:
+            f.write(f"{model}\n")
+        if batch == 1:
+            raise KeyError("gone")
+        if batch == 2 and model == "main":
+            raise resolve.Invalid("not one of the allowed values")
+        if batch == 3:
+            raise ConnectionError
+        return pdf[["row_id"]].assign(note="n")
+
+    rows = spark.createDataFrame([(i, i // 3, f"v{i}") for i in range(12)], "row_id long, batch_id long, name string")
+    done, bad, log = resolve.process_batch(rows, rules.RuleSet({"name": rules.Rule("name")}, model_fields=("note",)), resolver, "row_id long, note string", {"name": ("NAME", False)}, [checks.Constraint("note", required=True)])
+    assert done.where("note is not null").count() == 6 and bad.count() == 6 and resolve.batch_outcomes(log).count() == 4
+    assert {r["batch_id"]: (r["error"], r["action"]) for r in log.where("status = 'failed'").collect()} == {1: ("unrecoverable_error", "failed"), 2: ("validation_error", "retry_with_fallback"), 3: ("unrecoverable_error", "failed")}
+    assert {b: (tmp_path / str(b)).read_text().split() for b in range(4)} == {0: ["main"], 1: ["main"], 2: ["main", "fallback"], 3: ["main"]}
+
+
+def test_placeholders_follow_rows_then_items(spark):
+    rows = spark.createDataFrame([(0, ";".join(f"a{i}@x.yz" for i in range(1100))), (1, "late@x.yz;a5@x.yz"), (1 << 40, "last@x.yz")], "row_id long, mails string")
+    masked, table = pii.mask_fields(rows, {"mails": ("EMAIL", True)}, "row_id")
+    assert {r["value"]: r["n"] for r in table.collect()} == {**{f"a{i}@x.yz": i + 1 for i in range(1100)}, "late@x.yz": 1101, "last@x.yz": 1102}
+    assert masked.where("row_id = 1").first()["mails"] == "EMAIL_1101@GMAIL.COM, EMAIL_6@GMAIL.COM"
+
+
+def test_lists_of_a_key_with_many_records(spark):
+    records = spark.range(20_000).selectExpr("'k' as k", "id as o", "if(id = 7, null, array(concat('t', id % 5), null, 'x')) as l", "cast(null as array<string>) as m")
+    assert merge.entity_merge(records, "k", "o", [], ["l", "m"]).first().asDict() == {"k": "k", "n_records": 20_000, "l": ["t0", "x", "t1", "t2", "t3", "t4"], "m": []}
+
+
 @pytest.mark.parametrize("name", ["entity_merge", "identity_components", "transform_row", "pii_unmask", "sync_counts", "validate_all", "batch_outcomes", "ingest_plan", "pii_mask_text", "csv_scan", "incremental_ingest"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
