@@ -92,11 +92,12 @@ def test_many_candidates_and_entities_in_one_text():
         found += [(*m.span(m.re.groups), kind) for m in pattern.finditer(text) if not any(s < m.end(m.re.groups) and m.start(m.re.groups) < e for s, e, k in found if k != kind)]
     assert secrets.candidates(text) == sorted(found) and len(found) > 50
     spans = disclosure.base_spans(text)
-    terms = {(a, b) for _, _, a, b, _ in disclosure.neighbours(text, spans)}
-    assert terms and not any(a < e and s < b for a, b in terms for s, _, e in spans)
+    free = disclosure.free_words(text, spans)
+    assert free and not any(a < e and s < b for a, b in free for s, _, e in spans)
+    assert {t for _, t in disclosure.neighbours(text, spans)} <= {text[a:b].lower() for a, b in free}
     assert len(secrets.candidates((text + " ") * 300)) >= 300 * 50
     long = (text + " ") * 100
-    assert sum(1 for _ in disclosure.neighbours(long, disclosure.base_spans(long))) > 10_000
+    assert len(disclosure.free_words(long, disclosure.base_spans(long))) > 10_000 and disclosure.neighbours(long, disclosure.base_spans(long))
 
 
 def test_held_out_accuracy(spark):
