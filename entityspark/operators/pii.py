@@ -121,6 +121,66 @@ def _label(kind: str, valid):  # noqa: ANN001, ANN202
     return lambda m: F.when(valid(m), F.lit(f"[{kind}]")).otherwise(m)
 
 
+#: Stands for a number not yet given; it and the escape are escaped in the texts.
+MARK, ESCAPE = "\x02", "\x03"
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit(ESCAPE), F.lit(ESCAPE + "\x05")), F.lit(MARK), F.lit(ESCAPE + "\x04"))
+
+
+def _plain(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit(ESCAPE + "\x04"), F.lit(MARK)), F.lit(ESCAPE + "\x05"), F.lit(ESCAPE))
+
+
+def _mark(kind: str) -> str:  # like a placeholder, so that later kinds see no word boundary before its number
+    return f"{kind}_{MARK}_1" + ("@GMAIL.COM" if kind == "EMAIL" else "")
+
+
+def mask_texts(df: DataFrame, columns: list[str], row_id: str, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Free text with numbered placeholders that ``unmask`` restores; returns the masked frame and its dictionary.
+
+    Emails, then phones, then addresses, each in what the kind before left. A value has one
+    placeholder in all rows and columns, numbered by row, column, kind and place. ``row_id`` is a
+    unique number. Null and empty texts stay, and so do texts without matches. Texts are searched
+    twice, for the dictionary and for the result, rather than stored.
+    """
+    scope = scope or []
+    kinds = list(KINDS)
+    marked, found = df, []
+    for k, c in enumerate(columns):
+        marked = marked.withColumn(f"__t{k}", _escaped(F.col(c)))
+        for j, kind in enumerate(kinds):
+            pattern, valid = KINDS[kind]
+            marked = marked.withColumn(f"__v{k}_{j}", detect(F.col(f"__t{k}"), kind))
+            marked = marked.withColumn(f"__t{k}", replace_matches(F.col(f"__t{k}"), pattern, _marked(kind, valid)))
+            found.append(F.transform(F.col(f"__v{k}_{j}"), _placed(k, j, kind)))
+    flat = marked.select(row_id, *scope, F.explode(F.concat(*found)).alias("x")).select(row_id, *scope, "x.*")
+    flat = flat.withColumn("ord", F.struct(F.col(row_id).alias("row"), "field", "kind", "pos"))
+    table = dictionary(flat, scope)
+    named = flat.join(table.select(*scope, "value", "placeholder"), [*scope, "value"])
+    each = [(k, j) for k in range(len(columns)) for j in range(len(kinds))]
+    of = lambda k, j: F.transform(F.array_sort(F.collect_list(F.when((F.col("field") == k) & (F.col("kind") == j), F.struct("pos", "placeholder")))), lambda x: x["placeholder"])
+    joined = marked.join(named.groupBy(row_id).agg(*[of(k, j).alias(f"__p{k}_{j}") for k, j in each]), row_id, "left")
+
+    def rebuilt(k: int, c: str) -> Column:
+        text = F.col(f"__t{k}")
+        for j, kind in enumerate(kinds):
+            pairs = F.arrays_zip(F.split(text, rf"\Q{_mark(kind)}\E", -1).alias("gap"), F.col(f"__p{k}_{j}").alias("name"))
+            text = F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.coalesce(x["name"], F.lit("")))), "")
+        return F.coalesce(_plain(text), F.col(c)).alias(c)
+
+    return joined.select(*[rebuilt(columns.index(c), c) if c in columns else F.col(c) for c in df.columns]), table
+
+
+def _marked(kind: str, valid: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda m: F.when(valid(m), F.lit(_mark(kind))).otherwise(m)
+
+
+def _placed(k: int, j: int, kind: str) -> Callable[[Column, Column], Column]:
+    return lambda v, i: F.struct(F.lit(k).alias("field"), F.lit(j).alias("kind"), i.alias("pos"), _plain(v).alias("value"), F.lit(kind).alias("template"))
+
+
 def unmask(df: DataFrame, columns: list[str], row_id: str, table: DataFrame) -> DataFrame:
     """Restores every placeholder of ``table`` in text columns; others stay. Placeholders are whole matches, so _1 never hits _10."""
     found = df.select(row_id, F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(PLACEHOLDER), F.lit(0)) for c in columns])))).alias("placeholder"))

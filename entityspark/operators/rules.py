@@ -184,6 +184,33 @@ def schema_fields(schema: T.StructType, prefix: str = "") -> list[tuple[str, boo
     return out
 
 
+SCALARS = {"string": T.StringType(), "number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType()}
+
+
+def _property_type(spec: dict) -> T.DataType:
+    """A property's type; what has no type of its own, such as a bare enumeration, is text."""
+    if spec.get("properties"):
+        return _properties(spec["properties"])
+    if spec.get("type") == "array" or "items" in spec:
+        items = spec.get("items", {})
+        return T.ArrayType(_property_type(items), items.get("required") is not True)
+    return SCALARS.get(spec.get("type", "string"), T.StringType())
+
+
+def _properties(properties: dict[str, dict]) -> T.StructType:
+    constraints = lambda spec: {k: v for k, v in spec.items() if k not in ("type", "required", "items", "properties")}
+    return T.StructType([T.StructField(name, _property_type(spec), spec.get("required") is not True, constraints(spec)) for name, spec in properties.items()])
+
+
+def target_struct_type(schema: dict) -> T.StructType:
+    """A target schema ``{"entities": {name: {"properties": {..}}}}`` as a typed struct of entities, for ``from_json``.
+
+    All properties are there, those not required are nullable; enumerations, patterns and other
+    constraints are the fields' metadata. An entity without properties is an empty struct.
+    """
+    return T.StructType([T.StructField(name, _properties(entity.get("properties", {})), True) for name, entity in schema["entities"].items()])
+
+
 def prune_schema(schema: T.StructType, paths: list[str]) -> T.StructType:
     """The parts of a schema under the given paths, through arrays and structs; no paths: all of it."""
     if not paths:

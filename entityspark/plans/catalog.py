@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityspark.functions import text as fx
-from entityspark.operators import checks, identity, ledger, merge, pii, resolve, rules
+from entityspark.operators import checks, identity, ledger, merge, pii, resolve, rules, runs
 from entityspark.plans import views
 from entityspark.plans.registry import QUERIES, SQL, Query, query
 from entityspark.plans.views import WITH, contacts, free_text, keyed, processed, read
@@ -330,6 +330,72 @@ def pii_unmask(s: SparkSession, d: str) -> DataFrame:
     return pii.unmask(masked.select("row_id", "givenName"), ["givenName"], "row_id", table)
 
 
+TEXT_DICTIONARY_SQL = (
+    "found AS (SELECT doc_id, 0 AS kind, generate_subscripts(v, 1) AS pos, unnest(v) AS value, 'EMAIL' AS template FROM (SELECT doc_id, {EMAIL} AS v FROM free_text) "
+    "UNION ALL SELECT doc_id, 1, generate_subscripts(v, 1), unnest(v), 'PHONE' FROM (SELECT doc_id, {PHONE} AS v FROM masked_email) "
+    "UNION ALL SELECT doc_id, 2, generate_subscripts(v, 1), unnest(v), 'ADDRESS' FROM (SELECT doc_id, {ADDRESS} AS v FROM masked_phone))"
+)
+for _kind in pii.KINDS:
+    TEXT_DICTIONARY_SQL = TEXT_DICTIONARY_SQL.replace(f"{{{_kind}}}", detected_sql(_kind))
+
+
+@query(
+    "pii_text_dictionary",
+    f"""{FREE_TEXT}, {masked_sql()}, {TEXT_DICTIONARY_SQL}, firsts AS (SELECT value, arg_min(template, (doc_id, kind, pos)) AS template, min((doc_id, kind, pos)) AS o FROM found GROUP BY value)
+SELECT value, template || '_' || row_number() OVER (PARTITION BY template ORDER BY o) || CASE template WHEN 'EMAIL' THEN '@GMAIL.COM' ELSE '' END AS placeholder FROM firsts""",
+)
+def pii_text_dictionary(s: SparkSession, d: str) -> DataFrame:
+    return pii.mask_texts(free_text(s, d), ["text"], "doc_id")[1].select("value", "placeholder")
+
+
+@query("pii_text_roundtrip", f"{FREE_TEXT}, {masked_sql()}, {TEXT_DICTIONARY_SQL}, n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY 1) SELECT doc_id, sha256(text) AS text_sha256, coalesce(n, 0) AS n_masked FROM free_text LEFT JOIN n USING (doc_id)")
+def pii_text_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Free text masked, its placeholders counted, and restored."""
+    masked, table = pii.mask_texts(free_text(s, d).select("doc_id", "text"), ["text"], "doc_id")
+    counted = masked.withColumn("n_masked", F.size(F.regexp_extract_all("text", F.lit(pii.PLACEHOLDER), F.lit(0))).cast("bigint"))
+    return pii.unmask(counted, ["text"], "doc_id", table).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "n_masked")
+
+
+# runs (2.13)
+RUN_SQL = (
+    "runs AS (SELECT DISTINCT row_id // 50 AS run_id FROM keyed), decided AS (SELECT run_id, CASE WHEN run_id % 4 = 0 OR run_id % 3 = 2 THEN 'fresh' "
+    "WHEN run_id % 4 = 1 THEN 'resume' WHEN run_id % 3 = 1 THEN 'error' ELSE 'fresh' END AS action FROM runs)"
+)
+
+
+def _runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a run each 50, and what is decided of the runs: a quarter new, a quarter unchanged, the others changed."""
+    rows = contacts(s, d).withColumn("run_id", F.floor(F.col("row_id") / 50))
+    ids = rows.select("run_id").distinct()
+    path = lambda changed: F.concat(F.lit("out"), F.when(changed, "_old").otherwise(""), F.col("run_id").cast("string")).alias("output_path")
+    log = ids.where("run_id % 4 > 0").select("run_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), path(F.col("run_id") % 5 == 0))
+    log = log.withColumn("fingerprint", runs.fingerprint(F.when((F.col("version") == 2) & (F.col("run_id") % 4 == 1), 50).otherwise(10)))
+    mode = F.element_at(F.array(F.lit("auto"), F.lit("resume"), F.lit("fresh")), (F.col("run_id") % 3 + 1).cast("int"))
+    current = ids.select("run_id", runs.fingerprint(F.lit(50)).alias("fingerprint"), path(F.lit(False)), mode.alias("mode"), (F.col("run_id") % 7 > 0).alias("output_exists"))
+    return rows, runs.resume_run(current, log)
+
+
+@query("resume_run", f"{WITH.rstrip()}, {RUN_SQL} SELECT run_id, action, count(*) FILTER (action = 'fresh' OR (action = 'resume' AND row_id % 5 = 0)) AS n_remaining FROM keyed JOIN decided ON run_id = row_id // 50 GROUP BY run_id, action")
+def resume_run(s: SparkSession, d: str) -> DataFrame:
+    rows, decided = _runs(s, d)
+    left = runs.remaining_rows(rows, processed(s, d), decided).groupBy("run_id").agg(F.count("*").alias("n"))
+    return decided.join(left, "run_id", "left").select("run_id", "action", F.coalesce("n", F.lit(0)).alias("n_remaining"))
+
+
+query("output_mode", f"{WITH.rstrip()}, {RUN_SQL} SELECT run_id, CASE WHEN action = 'error' THEN NULL WHEN action = 'resume' AND run_id % 5 <> 0 AND run_id % 7 <> 0 THEN 'append' ELSE 'rewrite' END AS output FROM decided")(lambda s, d: _runs(s, d)[1].select("run_id", "output"))
+
+TARGET_SCHEMA = {"entities": {"person": {"properties": {"name": {"type": "string", "required": True}, "tags": {"type": "array", "items": {"type": "string"}}}}, "action": {"properties": {"seconds": {"type": "number"}, "place": {"type": "object", "properties": {"row": {"type": "integer", "required": True}}}}}}}
+
+
+@query("target_struct_type", f"{WITH} SELECT row_id, \"givenName\" AS name, 1 AS n_tags, TRY_CAST(trim(\"action_timeSpent\") AS double) AS seconds, row_id AS place_row FROM keyed")
+def target_struct_type(s: SparkSession, d: str) -> DataFrame:
+    """Results as JSON text, read with the struct of a target schema."""
+    person = F.struct(F.col("givenName").alias("name"), F.array("tags").alias("tags"))
+    action = F.struct(fx.t_to_number(F.col("action_timeSpent")).alias("seconds"), F.struct(F.col("row_id").alias("row")).alias("place"))
+    read_back = F.from_json(F.to_json(F.struct(person.alias("person"), action.alias("action"))), rules.target_struct_type(TARGET_SCHEMA))
+    return contacts(s, d).select("row_id", read_back.alias("r")).select("row_id", "r.person.name", F.size("r.person.tags").alias("n_tags"), "r.action.seconds", F.col("r.action.place.row").alias("place_row"))
+
+
 # data quality (2.11)
 CHECKS = {
     "v_required": (checks.Constraint("uuid", required=True), "uuid IS NULL"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entityspark.functions import text as fx
-from entityspark.operators import checks, identity, ingest, ledger, merge, pii, resolve, rules
+from entityspark.operators import checks, identity, ingest, ledger, merge, pii, resolve, rules, runs
 from entityspark.plans import catalog, incremental, registry  # noqa: F401
 from entityspark.sources import files
 from entityspark.streaming import completion
@@ -109,7 +109,7 @@ def test_lists_of_a_key_with_many_records(spark):
     assert merge.entity_merge(records, "k", "o", [], ["l", "m"]).first().asDict() == {"k": "k", "n_records": 20_000, "l": ["t0", "x", "t1", "t2", "t3", "t4"], "m": []}
 
 
-@pytest.mark.parametrize("name", ["entity_merge", "identity_components", "transform_row", "pii_unmask", "sync_counts", "validate_all", "batch_outcomes", "ingest_plan", "pii_mask_text", "csv_scan", "incremental_ingest"])
+@pytest.mark.parametrize("name", ["entity_merge", "identity_components", "transform_row", "pii_unmask", "sync_counts", "validate_all", "batch_outcomes", "ingest_plan", "pii_mask_text", "csv_scan", "incremental_ingest", "pii_text_dictionary", "pii_text_roundtrip", "resume_run", "output_mode", "target_struct_type"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "customer", "documents"):
@@ -157,3 +157,38 @@ def test_process_batch_masks_what_the_resolver_sees(spark):
     done, bad, log = resolve.process_batch(seen, rules.RuleSet({"p.name": rules.Rule("name")}, model_fields=("p.note",)), resolver, "row_id long, note string", {"name": ("NAME", False)}, [checks.Constraint("note", required=True)])
     assert {r["row_id"]: r["note"] for r in done.collect()} == {1: "hi Ann", 2: None, 3: "hi Bob"}
     assert [r["row_id"] for r in bad.collect()] == [2] and log.where("status = 'failed'").count() == 0
+
+
+def test_texts_get_numbered_placeholders_and_come_back(spark):
+    texts = ["Ask b@c.de or 415-555-2671x, then b@c.de", None, "", "415-555-2671 \x02 \x03\x04 b@c.de9, q@c.de;77 Old Mill Road, \x03", "PHONE_\x02_1 and EMAIL_\x02_1@GMAIL.COM"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("u", F.lit("b@c.de"))
+    masked, table = pii.mask_texts(rows, ["t", "u"], "id")
+    got = {r["id"]: r for r in masked.collect()}
+    assert got[0]["t"] == "Ask EMAIL_1@GMAIL.COM or PHONE_1x, then EMAIL_1@GMAIL.COM"
+    assert got[1]["t"] is None and got[2]["t"] == "" and {r["u"] for r in got.values()} == {"EMAIL_1@GMAIL.COM"}
+    assert "PHONE_1" in got[3]["t"] and "ADDRESS_1" in got[3]["t"] and "Mill" not in got[3]["t"]
+    back = {r["id"]: (r["t"], r["u"]) for r in pii.unmask(masked, ["t", "u"], "id", table).collect()}
+    assert back == {i: (t, "b@c.de") for i, t in enumerate(texts)}
+    assert pii.mask_texts(rows.limit(0), ["t"], "id")[0].count() == 0
+
+
+def test_runs_resume_or_start_afresh(spark):
+    log = spark.createDataFrame([(1, "f", "o", 1), (2, "old", "o", 1), (3, "old", "o", 1), (4, "f", "p", 1), (5, "old", "o", 1), (5, "f", "o", 2), (6, "f", "o", 1), (7, "f", None, 1)], "run_id long, fingerprint string, output_path string, version int")
+    now = spark.createDataFrame([(0, "resume", "o", False), (1, "fresh", "o", True), (2, "auto", "o", True), (3, "resume", "o", True), (4, "auto", "o", True), (5, "auto", "o", True), (6, "resume", "o", False), (7, "auto", None, False)], "run_id long, mode string, output_path string, output_exists boolean").withColumn("fingerprint", F.lit("f"))
+    decided = runs.resume_run(now, log)
+    got = {r["run_id"]: (r["action"], r["output"]) for r in decided.collect()}
+    assert got == {0: ("fresh", "rewrite"), 1: ("fresh", "rewrite"), 2: ("fresh", "rewrite"), 3: ("error", None), 4: ("resume", "rewrite"), 5: ("resume", "append"), 6: ("resume", "rewrite"), 7: ("resume", "append")}
+    with pytest.raises(ValueError):
+        runs.check_runs(decided)
+    rows = spark.createDataFrame([(r, 10 * r + i) for r in (2, 3, 5) for i in range(3)], "run_id long, row_id long")
+    done = spark.createDataFrame([(20,), (51,), (51,)], "row_id long")
+    assert {r["row_id"] for r in runs.remaining_rows(rows, done, runs.check_runs(decided.where("run_id <> 3"))).collect()} == {20, 21, 22, 50, 52}
+
+
+def test_target_schema_as_struct(spark):
+    schema = {"entities": {"p": {"properties": {"n": {"type": "string", "required": True, "enum": ["a"]}, "l": {"type": "array", "items": {"type": "object", "properties": {"k": {"type": "integer"}}}}, "b": {"type": "boolean"}}}, "q": {}}}
+    kind = rules.target_struct_type(schema)
+    assert kind.simpleString() == "struct<p:struct<n:string,l:array<struct<k:bigint>>,b:boolean>,q:struct<>>"
+    assert [f.nullable for f in kind["p"].dataType] == [False, True, True] and kind["p"].dataType["n"].metadata == {"enum": ["a"]}
+    assert {path for path, required, _ in rules.schema_fields(kind) if required} == {"p.n"}
+    assert rules.wrap_required_schema(kind)["p"].dataType["n"].dataType.simpleString() == "struct<value:string,present:boolean>"
