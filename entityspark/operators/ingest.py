@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entityspark.functions import text as fx
 from entityspark.operators import ledger
+from entityspark.operators.components import ensure_checkpoint_dir
+from entityspark.sources import files
 from entityspark.sources.files import csv_scan, split_malformed
 
 
@@ -45,6 +48,56 @@ def ingest(spark: SparkSession, paths: str | list[str], columns: list[str], key_
     return Ingested(kept, bad, manifest)
 
 
+MANIFEST = "file_path string, file_hash string, ingest_id string, version long, n_rows long, n_duplicates long, n_keys long, n_random long, n_rejected long, status string"
+
+
+def live_files(manifest: DataFrame) -> DataFrame:
+    """The records of an append-only manifest that no later one of the same path or content replaces."""
+    newest = lambda key: F.max("version").over(Window.partitionBy(key))
+    ranked = manifest.withColumn("__path", newest("file_path")).withColumn("__hash", newest("file_hash"))
+    return ranked.where("version = __path AND version = __hash").drop("__path", "__hash")
+
+
+def ingest_new(spark: SparkSession, paths: str | list[str], columns: list[str], state: str, key_column: str | None = None, force: bool = False) -> DataFrame:
+    """Ingests the files that are new against the folder ``state``; returns ``(file_path, file_hash, action)`` of all.
+
+    The plan is ``ledger.ingest_plan`` against the live records; of files with equal content in
+    one call the first path counts, the others are skipped. Rows and malformed rows are written
+    under a new ``ingest_id``, the manifest last: it is the commit, so what a broken run left
+    behind is never read, and rows of replaced files vanish without a delete. One call at a time.
+    The paths of the files to read reach the driver, which lists them anyway. A file without
+    rows is completed with none.
+    """
+    known = files.stored(spark, f"{state}/manifest", MANIFEST)
+    found = spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("file_path"), F.sha2("content", 256).alias("file_hash"))
+    planned = ledger.ingest_plan(found, live_files(known).withColumnRenamed("version", "file_id"), force)
+    first = F.row_number().over(Window.partitionBy("file_hash").orderBy("file_path")) == 1
+    plan = planned.withColumn("action", F.when(first, F.col("action")).otherwise("skip")).join(found.select("path", "file_path"), "file_path")
+    ensure_checkpoint_dir(spark)
+    plan = plan.checkpoint()  # made once: the manifest it is made from changes below
+    todo = plan.where(F.col("action").isin("ingest", "replace_failed", "reingest"))
+    names = [r["path"] for r in todo.select("path").collect()]
+    if names:
+        ingest_id = uuid.uuid4().hex
+        version = (known.agg(F.max("version")).first()[0] or 0) + 1
+        done = ingest(spark, names, columns, key_column)
+        done.rows.withColumn("ingest_id", F.lit(ingest_id)).write.mode("append").partitionBy("ingest_id").parquet(f"{state}/rows")
+        done.rejected.withColumn("ingest_id", F.lit(ingest_id)).write.mode("append").partitionBy("ingest_id").parquet(f"{state}/rejected")
+        counts = ("n_rows", "n_duplicates", "n_keys", "n_random", "n_rejected")
+        records = todo.join(done.manifest, "file_path", "left").select(
+            "file_path", "file_hash", F.lit(ingest_id).alias("ingest_id"), F.lit(version).cast("long").alias("version"),
+            *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("status", F.lit("completed")).alias("status"),
+        )
+        records.coalesce(1).write.mode("append").parquet(f"{state}/manifest")
+    return plan.select("file_path", "file_hash", "action")
+
+
+def current_rows(spark: SparkSession, state: str) -> DataFrame:
+    """The rows of all completed live files, with ``version``, the number of the ingest that read them."""
+    live = live_files(files.stored(spark, f"{state}/manifest", MANIFEST)).where("status = 'completed'")
+    return spark.read.parquet(f"{state}/rows").join(live.select("file_path", "ingest_id", "version"), ["file_path", "ingest_id"])
+
+
 def ingestion_summary(manifest: DataFrame) -> DataFrame:
     """``(file_path, n_rows, status)`` of every file, and a last record with the totals under the path ``total``."""
     total = manifest.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.count("*").alias("n")).select(F.lit("total").alias("file_path"), "n_rows", F.concat(F.col("n").cast("string"), F.lit(" files")).alias("status"))

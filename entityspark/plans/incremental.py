@@ -163,6 +163,17 @@ query("ingestion_summary", f"{WITH.rstrip()}, {INGEST_SQL} SELECT file, n_rows,
     lambda s, d: ingest.ingestion_summary(_ingested(s, d).manifest).select(F.when(F.col("file_path") != "total", F.regexp_extract("file_path", "file=([0-9]+)", 1)).cast("long").alias("file"), "n_rows", "status"))
 
 
+@query("incremental_state", f"{WITH} SELECT row_id, \"givenName\", CASE WHEN row_id % 3 = 2 THEN 2 ELSE 1 END AS version, CASE WHEN row_id % 3 = 2 THEN 'ingest' ELSE 'skip' END AS action FROM keyed")
+def incremental_state(s: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the files ingested, then all of them: the known ones are skipped."""
+    source, state = scratch(s, "arriving"), scratch(s, "state")
+    rows = contacts(s, d).select(F.col("row_id").cast("string").alias("row_id"), "givenName", "primaryEmail", (F.floor(F.col("row_id") / FILE_KEYS) * 3 + F.col("row_id") % 3).alias("file"))
+    for where in ("file % 3 < 2", "file % 3 = 2"):
+        rows.where(where).repartition("file").write.mode("append").partitionBy("file").options(**(QUOTED | {"header": "true"})).csv(source)
+        plan = ingest.ingest_new(s, f"{source}/file=*/*.csv", ["row_id", "givenName", "primaryEmail"], state)
+    return ingest.current_rows(s, state).join(plan, "file_path").select(F.col("row_id").cast("long").alias("row_id"), "givenName", F.col("version").cast("int").alias("version"), "action")
+
+
 # resolver (2.12)
 def greet(pdf: pd.DataFrame, model: str, error: str | None) -> pd.DataFrame:
     """An offline resolver that sees masked names only; some batches fail always, some once."""

@@ -58,6 +58,16 @@ def taxonomy_scan(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table; one that is not there yet has no rows."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def not_blank_count(rows: DataFrame, columns: list[str]) -> DataFrame:
     """``(file_path, n)``: rows with a cell that is not blank, malformed ones too."""
     return rows.where(F.col("_corrupt").isNotNull() | not_blank(columns)).groupBy("file_path").agg(F.count("*").alias("n"))
