@@ -57,7 +57,7 @@ for _name, _value, _sql in [
     ("when_all", lambda: fx.all_of([rules.condition(["tags", "givenName"], {"type": "notEmpty", "column": "givenName"}), rules.condition(["tags"], {"type": "matches", "column": "tags", "value": "1-"})]), "trim(\"givenName\") <> '' AND regexp_matches(tags, '1-')"),
     ("is_empty_value", lambda: fx.is_blank(c("givenName")), "trim(\"givenName\") = ''"),
     ("check_not_empty", lambda: c("givenName").isNotNull() & (c("givenName") != ""), "\"givenName\" <> ''"),
-    ("map_source", lambda: rules.value_of(["givenName"], rules.Rule("givenName"))[0], '"givenName"'),
+    ("map_source", lambda: rules.value_of(["givenName"], rules.Rule("givenName"))[0], "CASE WHEN trim(\"givenName\") <> '' THEN \"givenName\" END"),
     ("map_coalesce_sources", lambda: rules.value_of(["givenName", "action_type", "tags"], rules.Rule(["givenName", "action_type", "tags"]))[0], "CASE WHEN trim(\"givenName\") <> '' THEN \"givenName\" WHEN trim(action_type) <> '' THEN action_type ELSE tags END"),
     ("map_literal", lambda: rules.value_of(["tags"], rules.Rule("tags", literal="crm"))[0], "'crm'"),
     ("map_fallback", lambda: rules.value_of(["action_type"], rules.Rule("action_type", fallback="web_read"))[0], "CASE WHEN trim(action_type) = '' THEN 'web_read' ELSE action_type END"),
