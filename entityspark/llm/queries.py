@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityspark.llm import disclosure, exact, language, lm, packing, quality, secrets, simhash, substrings, telephony, winnowing
+from entityspark.llm import disclosure, exact, language, lm, packing, quality, secrets, simhash, substrings, telephony, whitening, winnowing
 from entityspark.llm.textio import fold, table
 
 
@@ -80,6 +80,12 @@ def op11_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every vector."""
+    found = whitening.whitened_components(table(spark, sf_dir, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_language_bitmask": op2_language_bitmask,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_backward_extension": op9_backward_extension,
     "op10_winnowing": op10_winnowing,
     "op11_patricia_owners": op11_patricia_owners,
+    "op13_polarisation_whitening": op13_polarisation_whitening,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w"
