@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityspark.llm import disclosure, exact, language, lm, packing, quality, secrets, simhash, substrings, telephony, whitening, winnowing
+from entityspark.llm import alignment, disclosure, exact, language, lm, packing, quality, secrets, simhash, substrings, telephony, whitening, winnowing
 from entityspark.llm.textio import fold, table
 
 
@@ -80,6 +80,11 @@ def op11_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_text_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned over every document."""
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight whitened components of every vector."""
     found = whitening.whitened_components(table(spark, sf_dir, "embeddings"), components=8)
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_backward_extension": op9_backward_extension,
     "op10_winnowing": op10_winnowing,
     "op11_patricia_owners": op11_patricia_owners,
+    "op12_exact_text_alignment": op12_exact_text_alignment,
     "op13_polarisation_whitening": op13_polarisation_whitening,
 }
 
