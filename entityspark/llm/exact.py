@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from entityspark.llm.textio import keep, quoted, steps, texts
 
 #: A task's trie is emitted and begun anew once it holds so many bytes or has taken so many documents.
-HOLD_BYTES, HOLD_ROWS = 1 << 25, 1 << 18
+HOLD_BYTES, HOLD_ROWS = 1 << 23, 1 << 17
 
 
 class RadixTrie:
