@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityspark.functions.text import js_trim, split_values
+from entityspark.operators import nested
 
 #: Patterns of free-text detection (fixed values).
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -181,10 +182,53 @@ def _placed(k: int, j: int, kind: str) -> Callable[[Column, Column], Column]:
     return lambda v, i: F.struct(F.lit(k).alias("field"), F.lit(j).alias("kind"), i.alias("pos"), _plain(v).alias("value"), F.lit(kind).alias("template"))
 
 
-def unmask(df: DataFrame, columns: list[str], row_id: str, table: DataFrame) -> DataFrame:
-    """Restores every placeholder of ``table`` in text columns; others stay. Placeholders are whole matches, so _1 never hits _10."""
-    found = df.select(row_id, F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(PLACEHOLDER), F.lit(0)) for c in columns])))).alias("placeholder"))
-    maps = found.join(table.select("placeholder", "value"), "placeholder").groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("__map"))
+def unmask(df: DataFrame, columns: list[str], row_id: str, table: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Restores every placeholder of ``table`` in all texts of the columns, at any depth; others stay.
+
+    Placeholders are whole matches, so _1 never hits _10. One map a row holds what it needs, so
+    structs, arrays and maps are rewritten where they are. ``scope`` columns, in both frames, keep
+    placeholders of one scope from another's. ``row_id`` is unique.
+    """
+    scope, kinds = scope or [], {f.name: f.dataType for f in df.schema}
+    every = F.flatten(F.array(*[nested.texts(F.col(c), kinds[c]) for c in columns]))
+    named = F.array_distinct(F.flatten(F.transform(every, lambda t: F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(0)))))
+    found = df.select(row_id, *scope, F.explode(named).alias("placeholder"))
+    maps = found.join(table.select(*scope, "placeholder", "value"), [*scope, "placeholder"]).groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("__map"))
     joined = df.join(maps, row_id, "left")
-    restored = lambda c: F.when(F.col("__map").isNull(), F.col(c)).otherwise(replace_matches(F.col(c), PLACEHOLDER, lambda m: F.coalesce(F.try_element_at(F.col("__map"), m), m)))
-    return joined.select(*[restored(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+    restored = lambda t: replace_matches(t, PLACEHOLDER, lambda m: F.coalesce(F.try_element_at(F.col("__map"), m), m))
+    whole = lambda c: F.when(F.col("__map").isNull(), F.col(c)).otherwise(nested.rewrite_text(F.col(c), kinds[c], restored))
+    return joined.select(*[whole(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def mask_nested(df: DataFrame, fields: dict[str, tuple[str, bool]], row_id: str, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Masks the texts under paths such as ``people[].email``; returns the masked frame and its dictionary.
+
+    ``fields``: path to (template, multi), as in ``mask_fields``, which this equals on plain
+    columns; of a struct, array or map under a path all texts are masked. Placeholders are
+    numbered by row, path and place. Blank texts and nulls stay. ``row_id`` is a unique number.
+    """
+    scope, kinds = scope or [], {f.name: f.dataType for f in df.schema}
+    paths = {p: nested.segments(p) for p in fields}
+
+    def items(path: str) -> Column:
+        whole = nested.values_at(F.col(paths[path][0]), kinds[paths[path][0]], paths[path][1:])
+        return F.flatten(F.transform(whole, split_values)) if fields[path][1] else F.filter(whole, lambda x: js_trim(x) != "")
+
+    parts = [F.transform(items(p), _tagged(k, fields[p][0])) for k, p in enumerate(paths)]
+    flat = df.select(row_id, *scope, F.explode(F.concat(*parts)).alias("x")).select(row_id, *scope, "x.field", "x.pos", "x.value", "x.template", F.struct(F.col(row_id).alias("row"), "x.field", "x.pos").alias("ord"))
+    table = dictionary(flat, scope)
+    own = flat.select(row_id, *scope, "value").distinct().join(table.select(*scope, "value", "placeholder"), [*scope, "value"])
+    joined = df.join(own.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("value", "placeholder"))).alias("__map")), row_id, "left")
+    named = lambda v: F.coalesce(F.try_element_at(F.col("__map"), v), v)
+
+    def masked(path: str) -> Callable[[Column, object], Column]:
+        one = lambda t: named(t)
+        many = lambda t: F.when(F.size(split_values(t)) > 0, F.array_join(F.transform(split_values(t), named), ", ")).otherwise(t)
+        change = many if fields[path][1] else one
+        return lambda c, kind: nested.rewrite_text(c, kind, lambda t: F.when(t.isNotNull(), change(t)))
+
+    columns = {}
+    for path, steps in paths.items():
+        columns[steps[0]] = nested.at_path(columns.get(steps[0], F.col(steps[0])), kinds[steps[0]], steps[1:], masked(path))
+    whole = lambda c: F.when(F.col("__map").isNull(), F.col(c)).otherwise(columns[c]).alias(c)
+    return joined.select(*[whole(c) if c in columns else F.col(c) for c in df.columns]), table
