@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Name space of version-5 identifiers, as hexadecimal (fixed value).
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+#: Names of columns with one address and with several, without case and punctuation (fixed values).
 EMAIL_NAMES = ("email", "primaryemail", "mainemail", "useremail", "emailaddress")
 MULTI_EMAIL_NAMES = ("additionalemails", "otheremails", "emails", "emailaddresses")
 
@@ -102,13 +103,17 @@ def emails_of(columns: list[str]) -> Column:
     return F.filter(F.flatten(F.array(*parts)), lambda x: x != "") if parts else F.array().cast("array<string>")
 
 
-def id_values(columns: list[str], key_column: str | None = None) -> Column:
-    """Values of the key column (split if it has a comma), or the addresses where it is missing or empty."""
-    emails = emails_of(columns)
+def key_values(columns: list[str], key_column: str | None) -> Column:
+    """Values of the key column, split if it has a comma; none if it is missing or blank."""
     if key_column is None or key_column not in columns:
-        return emails
+        return F.array().cast("array<string>")
     key = F.lower(js_trim(F.coalesce(F.col(key_column), F.lit(""))))
-    values = F.when(key.contains(","), split_values(key)).when(key != "", F.array(key)).otherwise(F.array().cast("array<string>"))
+    return F.when(key.contains(","), split_values(key)).when(key != "", F.array(key)).otherwise(F.array().cast("array<string>"))
+
+
+def id_values(columns: list[str], key_column: str | None = None) -> Column:
+    """Values of the key column, or the addresses where it is missing or empty."""
+    values, emails = key_values(columns, key_column), emails_of(columns)
     return F.when(F.size(values) > 0, values).otherwise(emails)
 
 

@@ -25,6 +25,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage through a reliable checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, component)`` of every vertex that has an edge; component is the smallest id.
 

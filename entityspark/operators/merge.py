@@ -23,15 +23,18 @@ def collect_children(c: Column, order: Column) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
-def entity_merge(records: DataFrame, key: str, order: str, scalars: list[str] = (), lists: list[str] = (), children: list[str] = ()) -> DataFrame:
+def entity_merge(records: DataFrame, key: str, order: str, scalars: list[str] = (), lists: list[str] = (), children: list[str] = (), spans: list[str] = ()) -> DataFrame:
     """One row per key: scalars by first non-empty, lists by ordered distinct union, children collected; and ``n_records``.
 
+    Of ``spans`` the smallest and largest value, as ``first_`` and ``last_`` of the column.
+
     Rows without a key are left out. List items are made distinct before they are collected, so a
     key with very many records costs its different items only.
     """
     o = F.col(order)
     given = records.where(F.col(key).isNotNull())
     aggregates = [first_nonempty(F.col(c), o).alias(c) for c in scalars] + [collect_children(F.col(c), o).alias(c) for c in children]
+    aggregates += [f(c).alias(f"{n}_{c}") for c in spans for n, f in (("first", F.min), ("last", F.max))]
     merged = given.groupBy(key).agg(F.count("*").alias("n_records"), *aggregates)
     if lists:
         tagged = [F.transform(F.coalesce(c, F.array().cast("array<string>")), _placed(k)) for k, c in enumerate(lists)]
@@ -40,7 +43,7 @@ def entity_merge(records: DataFrame, key: str, order: str, scalars: list[str] =
         union = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("__list") == k, F.struct("__first", "__item")))), lambda x: x["__item"])
         unions = first.groupBy(key).agg(*[union(k).alias(c) for k, c in enumerate(lists)])
         merged = merged.join(unions, key, "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
-    return merged.select(key, "n_records", *scalars, *lists, *children)
+    return merged.select(key, "n_records", *scalars, *lists, *children, *[f"{n}_{c}" for c in spans for n in ("first", "last")])
 
 
 def _placed(k: int):  # noqa: ANN202

@@ -68,7 +68,6 @@ for _name, _value, _sql in [
     ("extract_id_values", lambda: joined(fx.id_values(["primaryEmail", "additionalEmails", "givenName"], "givenName")), "CASE WHEN trim(\"givenName\") <> '' THEN lower(trim(\"givenName\")) ELSE array_to_string(emails, '|') END"),
     ("uuid_v5", lambda: c("uuid"), "uuid"),
     ("uuid_random", lambda: fx.uuid_v5(F.concat(F.lit("row:"), c("row_id").cast("string"))).isNotNull() & c("uuid").isNull(), "uuid IS NULL"),
-    ("identity_events", lambda: F.when(c("key").isNull(), "fallback_to_random").otherwise("generated"), "CASE WHEN key IS NULL THEN 'fallback_to_random' ELSE 'generated' END"),
     ("comma_field_list", lambda: F.when(F.size(fx.t_split(F.nullif(c("additionalEmails"), F.lit("")))) > 0, joined(fx.t_split(c("additionalEmails")))), "CASE WHEN trim(\"additionalEmails\") <> '' THEN array_to_string(list_transform(string_split(\"additionalEmails\", ','), lambda x: trim(x)), '|') END"),
     ("custom_rule", lambda: rules.value_of(["tags"], rules.Rule("tags", custom=lambda x: F.reverse(F.upper(x))))[0], "reverse(upper(tags))"),
     ("row_hash", lambda: F.sha2(F.concat_ws("|", "tags", "action_type"), 256), "sha256(tags || '|' || action_type)"),
@@ -196,8 +195,16 @@ query("row_counts", f"{WITH} SELECT file_id, count(*) AS n FROM keyed GROUP BY f
 query("next_index", f"{WITH} SELECT coalesce(max(row_id), -1) + 1 AS next_index FROM keyed")(lambda s, d: contacts(s, d).agg((F.coalesce(F.max("row_id"), F.lit(-1)) + 1).alias("next_index")))
 query("distinct_keys", f"{WITH} SELECT DISTINCT uuid FROM keyed WHERE file_id = 1 AND uuid IS NOT NULL")(lambda s, d: keyed(s, d).where("file_id = 1 AND uuid IS NOT NULL").select("uuid").distinct())
 query("random_uuid_count", f"{WITH} SELECT file_id, count(*) FILTER (uuid IS NULL) AS n_random FROM keyed GROUP BY file_id")(lambda s, d: keyed(s, d).groupBy("file_id").agg(F.count_if(F.col("uuid").isNull()).alias("n_random")))
-query("source_value", f"{WITH} SELECT uuid, arg_min(coalesce(nullif(\"primaryEmail\", ''), nullif(\"additionalEmails\", ''), 'unknown'), row_id) AS source_value FROM keyed WHERE uuid IS NOT NULL GROUP BY uuid")(
-    lambda s, d: keyed(s, d).where("uuid IS NOT NULL").groupBy("uuid").agg(F.min_by(F.coalesce(F.nullif("primaryEmail", F.lit("")), F.nullif("additionalEmails", F.lit("")), F.lit("unknown")), "row_id").alias("source_value")))
+query("source_value", f"{WITH} SELECT file_id, uuid, arg_min(coalesce(nullif(trim(CASE WHEN row_id % 3 = 0 THEN action_type ELSE '' END), ''), nullif(\"primaryEmail\", ''), nullif(\"additionalEmails\", ''), 'unknown'), row_id) AS source_value FROM keyed WHERE uuid IS NOT NULL GROUP BY file_id, uuid")(lambda s, d: _source_values(s, d))
+
+
+def _source_values(s: SparkSession, d: str) -> DataFrame:
+    """What named each person first in each file; some rows have a key column, some no address in the main column."""
+    rows = keyed(s, d).withColumn("member", F.when(F.col("row_id") % 3 == 0, fx.js_trim(F.col("action_type"))).otherwise(""))
+    value = identity.source_value(["member", "primaryEmail", "additionalEmails", "tags", "userID"], "member")
+    return rows.where("uuid IS NOT NULL").groupBy("file_id", "uuid").agg(F.min_by(value, "row_id").alias("source_value"))
+
+
 query("duplicate_count", f"{WITH} SELECT file_id, count(*) - count(DISTINCT tags || '|' || action_type) AS duplicates FROM keyed GROUP BY file_id")(
     lambda s, d: contacts(s, d).groupBy("file_id").agg((F.count("*") - F.countDistinct(F.concat_ws("|", "tags", "action_type"))).alias("duplicates")))
 query("dedup_rows", f"{WITH} SELECT file_id, tags, action_type, min(row_id) AS row_id FROM keyed GROUP BY ALL")(lambda s, d: ledger.dedup_rows(contacts(s, d), "file_id", ["tags", "action_type"], "row_id").select("file_id", "tags", "action_type", "row_id"))
@@ -275,8 +282,53 @@ def _valued(s: SparkSession, d: str) -> DataFrame:
 
 
 query("identity_components", COMPONENTS)(lambda s, d: identity.identity_components(_valued(s, d)))
-query("assign_identity")(lambda s, d: identity.assign_identity(_valued(s, d)))
-query("alias_dictionary")(lambda s, d: identity.alias_dictionary(_valued(s, d), identity.assign_identity(_valued(s, d))))
+def identity_sql(values: str, aliases: str = "SELECT NULL AS value, NULL AS uuid WHERE false") -> str:
+    """``WITH`` up to ``ids`` (row_id, uuid, event): rows point to the last earlier row with their first known value."""
+    return (
+        WITH.rstrip().replace("WITH", "WITH RECURSIVE", 1) + f""", vals AS (SELECT row_id, {values} AS v FROM keyed), aliases AS ({aliases}),
+occ AS (SELECT row_id, value, min(pos) AS pos FROM (SELECT row_id, generate_subscripts(v, 1) AS pos, unnest(v) AS value FROM vals) GROUP BY row_id, value),
+pred AS (SELECT row_id, pos, lag(row_id) OVER (PARTITION BY value ORDER BY row_id) AS prev, a.uuid AS alias FROM occ LEFT JOIN aliases a USING (value)),
+via AS (SELECT row_id, arg_min({{'prev': prev, 'alias': alias}}, pos) AS x FROM pred WHERE prev IS NOT NULL OR alias IS NOT NULL GROUP BY row_id),
+own AS (SELECT row_id, h, x, {views._UUID} AS uuid FROM (SELECT row_id, sha1(unhex('{fx.NAMESPACE}') || encode(coalesce(v[1], 'row:' || row_id))) AS h FROM vals) LEFT JOIN via USING (row_id)),
+up AS (SELECT row_id, CASE WHEN x IS NULL THEN uuid ELSE x.alias END AS uuid FROM own WHERE x.prev IS NULL UNION ALL SELECT v.row_id, up.uuid FROM via v JOIN up ON v.x.prev = up.row_id),
+ids AS (SELECT row_id, up.uuid, CASE WHEN len(v) = 0 THEN 'random' WHEN own.x IS NULL THEN 'generated' ELSE 'cached' END AS event FROM up JOIN own USING (row_id) JOIN vals USING (row_id))"""
+    )
+
+
+KNOWN_SQL = "SELECT 'user' || c_custkey || '@example.com' AS value, 'known-' || c_custkey AS uuid FROM customer WHERE c_custkey % 5 = 0"
+
+
+def _known(s: SparkSession, d: str) -> DataFrame:
+    """Identities of an earlier run for a fifth of the customers' addresses."""
+    key = F.col("c_custkey").cast("string")
+    return read(s, d, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("user"), key, F.lit("@example.com")).alias("value"), F.concat(F.lit("known-"), key).alias("uuid"))
+
+
+query("assign_identity", f"{identity_sql('emails')} SELECT row_id, uuid, event FROM ids")(lambda s, d: identity.assign_identity(_valued(s, d)))
+query("assign_identity_aliases", f"{identity_sql('emails', KNOWN_SQL)} SELECT row_id, uuid, event FROM ids")(lambda s, d: identity.assign_identity(_valued(s, d), aliases=_known(s, d)))
+
+
+@query("alias_dictionary", f"{identity_sql('emails', KNOWN_SQL)}, now AS (SELECT value, arg_max(uuid, row_id) AS uuid FROM occ JOIN ids USING (row_id) GROUP BY value) SELECT value, uuid FROM now UNION ALL SELECT value, uuid FROM aliases WHERE value NOT IN (SELECT value FROM now)")
+def alias_dictionary(s: SparkSession, d: str) -> DataFrame:
+    rows, known = _valued(s, d), _known(s, d)
+    return identity.alias_dictionary(rows, identity.assign_identity(rows, aliases=known), known)
+
+
+@query(
+    "identity_events",
+    f"""{identity_sql("CASE WHEN row_id % 4 = 0 THEN emails ELSE ['m' || row_id // 8, 'm' || row_id % 1000] END")}
+SELECT row_id, CASE event WHEN 'random' THEN 'fallback_to_random' ELSE event END AS event, array_to_string(v, '|') AS input_values, uuid FROM ids JOIN vals USING (row_id)
+UNION ALL SELECT row_id, 'column_empty', array_to_string(emails, '|'), NULL FROM keyed WHERE row_id % 4 = 0 UNION ALL SELECT row_id, 'column_missing', array_to_string(emails, '|'), NULL FROM keyed""",
+)
+def identity_events(s: SparkSession, d: str) -> DataFrame:
+    """Rows identified by a member column, empty in a quarter of them, or else by address; and what a missing column gives."""
+    member = F.when(F.col("row_id") % 4 == 0, " ").otherwise(F.concat(F.lit("M"), F.floor(F.col("row_id") / 8).cast("string"), F.lit(", m"), (F.col("row_id") % 1000).cast("string")))
+    rows = contacts(s, d).withColumn("member", member)
+    valued = rows.select("row_id", F.col("row_id").alias("ord"), fx.id_values(rows.columns, "member").alias("id_values"))
+    named = identity.assign_identity(valued)
+    found = identity.identity_events(rows, named, rows.columns, "member")
+    absent = identity.identity_events(contacts(s, d), named, contacts(s, d).columns, "customer_no").where("event = 'column_missing'")
+    return found.unionByName(absent).select("row_id", "event", joined(F.col("input_values")).alias("input_values"), "uuid")
 
 
 # masking (2.7)
@@ -498,13 +550,20 @@ query("render_prompt", f"{WITH} SELECT row_id // 50 AS batch_id, 'Fill: [' || st
     lambda s, d: resolve.render_prompt(contacts(s, d).select(F.floor(F.col("row_id") / 50).alias("batch_id"), "row_id", "obj_published"), "Fill: {records}"))
 
 
-@query("entity_pipeline", f"{WITH.rstrip()}, e AS ({ENTITY}), t AS ({TAGS_SQL}) SELECT uuid, n_records, \"givenName\" AS name, tags, first_published, (SELECT max(obj_published) FROM keyed k WHERE k.uuid = e.uuid) AS last_published FROM e JOIN t USING (uuid)")
+LINKED = f"{identity_sql('emails')}, linked AS (SELECT k.* EXCLUDE (uuid), i.uuid FROM keyed k JOIN ids i USING (row_id) WHERE key IS NOT NULL)"
+
+
+@query(
+    "entity_pipeline",
+    f"""{LINKED}, e AS ({ENTITY.replace("FROM keyed", "FROM linked")}), t AS ({TAGS_SQL.replace("FROM keyed", "FROM linked")}), x AS (SELECT uuid, max(obj_published) AS last_published FROM linked GROUP BY uuid)
+SELECT uuid, n_records, "givenName" AS name, tags, first_published, last_published FROM e JOIN t USING (uuid) JOIN x USING (uuid)""",
+)
 def entity_pipeline(s: SparkSession, d: str) -> DataFrame:
-    """Contacts to entities: identity, mapping, merge."""
-    rows = keyed(s, d).withColumn("tag_list", fx.t_split(F.col("tags")))
-    spans = rows.where("uuid IS NOT NULL").groupBy("uuid").agg(F.min("obj_published").alias("first_published"), F.max("obj_published").alias("last_published"))
-    merged = merge.entity_merge(rows, "uuid", "row_id", ["givenName"], ["tag_list"])
-    return merged.join(spans, "uuid").select("uuid", "n_records", F.col("givenName").alias("name"), joined(F.col("tag_list")).alias("tags"), "first_published", "last_published")
+    """Contacts to entities: linked identity, mapping, merge."""
+    rows = keyed(s, d).where("key IS NOT NULL").drop("uuid").withColumn("tag_list", fx.t_split(F.col("tags")))
+    linked = rows.join(identity.assign_identity(_valued(s, d)).select("row_id", "uuid"), "row_id")
+    merged = merge.entity_merge(linked, "uuid", "row_id", ["givenName"], ["tag_list"], spans=["obj_published"])
+    return merged.select("uuid", "n_records", F.col("givenName").alias("name"), joined(F.col("tag_list")).alias("tags"), F.col("first_obj_published").alias("first_published"), F.col("last_obj_published").alias("last_published"))
 
 
 def queries() -> dict[str, Query]:

@@ -30,17 +30,6 @@ def test_trim_and_masking_corner_cases(spark):
     assert [r["v"] for r in got] == ["[EMAIL]", "[EMAIL]\x00 [EMAIL] $0 \\", "x [EMAIL]@b.cd", "", "$1 no", None]
 
 
-def test_ordered_identity_equals_global_pass(spark):
-    rng = random.Random(1)
-    rows = [(i, i, [f"v{rng.randrange(12)}" for _ in range(rng.randrange(4))]) for i in range(60)]
-    got = identity.assign_identity(spark.createDataFrame(rows, "row_id long, ord long, id_values array<string>")).where("event <> 'random'").collect()
-    assert {r["row_id"]: r["uuid"] for r in got} == identity.sequential((i, v) for i, _, v in rows)
-    rows = [(i, i, ["shared"] if i % 50 else ["shared", f"w{i}"]) for i in range(500)] + [(900 + i, i, [f"alone{i // 3}"]) for i in range(9)]
-    got = identity.assign_identity(spark.createDataFrame(rows, "row_id long, ord long, id_values array<string>")).collect()
-    assert {r["row_id"]: r["uuid"] for r in got} == identity.sequential((i, v) for i, _, v in rows)
-    assert sorted(r["row_id"] for r in got if r["event"] == "generated") == [0, 900, 903, 906]
-
-
 def test_merge_rules_masking_and_checks(spark):
     rows = spark.createDataFrame([("k", 1, "", ["x"]), ("k", 2, "Jane", ["x", "q"]), ("k", 3, "J.", ["y"]), (None, 4, "z", None)], "k string, o long, name string, l array<string>")
     assert merge.entity_merge(rows, "k", "o", ["name"], ["l"]).collect()[0].asDict() == {"k": "k", "n_records": 3, "name": "Jane", "l": ["x", "q", "y"]}
