@@ -185,7 +185,6 @@ query("key_status_summary", f"{WITH} SELECT count(*) AS total, count(*) FILTER (
 query("filter_by_status", f"{WITH} SELECT uuid FROM status WHERE status IN ('pending', 'processing')")(lambda s, d: _counts(s, d).where(F.col("status").isin("pending", "processing")).select("uuid"))
 EMITTED = "substr(uuid, 1, 1) < '4'"
 query("ready_for_merge", f"{WITH} SELECT uuid FROM status WHERE record_count = processed_count AND NOT ({EMITTED})")(lambda s, d: ledger.ready_for_merge(_counts(s, d), _counts(s, d).where(EMITTED)).select("uuid"))
-query("stream_finalize", f"{WITH} SELECT uuid, record_count FROM status WHERE record_count = processed_count AND NOT ({EMITTED})")(lambda s, d: ledger.ready_for_merge(_counts(s, d), _counts(s, d).where(EMITTED)).select("uuid", "record_count"))
 query("reconcile_orphans", f"{WITH} SELECT uuid, count(*) AS processed_count FROM processed WHERE uuid NOT IN (SELECT uuid FROM keyed WHERE uuid IS NOT NULL AND file_id <> 0) GROUP BY uuid")(
     lambda s, d: ledger.reconcile_orphans(keyed(s, d).where("file_id <> 0"), processed(s, d).where("uuid IS NOT NULL")))
 query("drop_missing_key", f"{WITH} SELECT row_id, uuid FROM keyed WHERE uuid IS NOT NULL")(lambda s, d: keyed(s, d).where("uuid IS NOT NULL").select("row_id", "uuid"))

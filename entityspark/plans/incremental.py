@@ -213,11 +213,12 @@ def _results(rows: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.where("uuid IS NOT NULL").join(expected.select("uuid", "record_count"), "uuid").select("uuid", "record_count", F.col("row_id").alias("ord"), "givenName")
 
 
-def _streamed(s: SparkSession, d: str) -> str:
-    """All processed rows run through the stream in several micro-batches."""
+def _streamed(s: SparkSession, d: str, orphan: str = "false") -> str:
+    """All processed rows run through the stream in several micro-batches; nobody has announced ``orphan`` keys."""
     source, out = scratch(s, "results"), scratch(s, "stream")
     done = keyed(s, d).join(processed(s, d).select("row_id"), "row_id", "left_semi")
-    _results(done, catalog._counts(s, d)).repartition(4, "ord").write.parquet(source)
+    results = _results(done, catalog._counts(s, d)).withColumn("record_count", F.expr(f"if({orphan}, 0, record_count)"))
+    results.repartition(4, "ord").write.parquet(source)
     completion.run_available(s, source, RESULT, out, f"{out}/checkpoint", ["givenName"], max_files=2)
     return out
 
@@ -225,13 +226,34 @@ def _streamed(s: SparkSession, d: str) -> str:
 COMPLETED = f"{WITH.rstrip()}, e AS ({catalog.ENTITY}), done AS (SELECT uuid, n_records, \"givenName\" FROM e JOIN status USING (uuid) WHERE record_count = processed_count)"
 query("stream_key_completion", f"{COMPLETED} SELECT * FROM done")(lambda s, d: completion.latest(s, _streamed(s, d)).select("uuid", "n_records", "givenName"))
 query("stream_progress", f"{COMPLETED} SELECT (SELECT count(*) FROM processed WHERE uuid IS NOT NULL) AS n_results, (SELECT count(DISTINCT uuid) FROM processed) AS n_keys, (SELECT count(*) FROM done) AS n_completed")(lambda s, d: completion.progress(s, _streamed(s, d)).select("n_results", "n_keys", "n_completed"))
+ORPHAN = "uuid >= 'c'"
 
 
-@query("stream_restore", f"{COMPLETED} SELECT uuid, n_records FROM done WHERE NOT ({catalog.EMITTED})")
+@query("stream_restore", f"{COMPLETED} SELECT uuid, n_records FROM done WHERE NOT ({catalog.EMITTED}) AND NOT ({ORPHAN}) UNION ALL SELECT uuid, count(*) FROM processed WHERE {ORPHAN} GROUP BY uuid")
 def stream_restore(s: SparkSession, d: str) -> DataFrame:
-    """A run that stopped before it had emitted every entity: the rest."""
-    latest = completion.latest(s, _streamed(s, d))
-    return completion.restore(latest, latest.where(catalog.EMITTED)).select("uuid", "n_records")
+    """A run that stopped before it had emitted every entity: the rest, and keys that nobody had announced."""
+    out = _streamed(s, d, ORPHAN)
+    return completion.restore(s, out, completion.latest(s, out).where(catalog.EMITTED)).select("uuid", "n_records")
+
+
+@query("stream_finalize", f"{COMPLETED} SELECT uuid, n_records FROM done WHERE NOT ({catalog.EMITTED})")
+def stream_finalize(s: SparkSession, d: str) -> DataFrame:
+    """The end of a stream that had emitted some entities: all others that are complete."""
+    out = _streamed(s, d)
+    return completion.finalize(s, out, completion.latest(s, out).where(catalog.EMITTED)).select("uuid", "n_records")
+
+
+TAGGED = RESULT + ", tag_list array<string>"
+
+
+@query("stream_entity_lists", f"{WITH.rstrip()}, t AS ({catalog.TAGS_SQL}), n AS (SELECT uuid, count(*) AS n_records FROM keyed WHERE uuid IS NOT NULL GROUP BY uuid) SELECT uuid, n_records, tags FROM n JOIN t USING (uuid)")
+def stream_entity_lists(s: SparkSession, d: str) -> DataFrame:
+    """All rows in several micro-batches, the later ones first; lists are united in the order of the rows."""
+    source, out = scratch(s, "results"), scratch(s, "stream")
+    rows = keyed(s, d).where("uuid IS NOT NULL").join(catalog._counts(s, d).select("uuid", "record_count"), "uuid")
+    rows.select("uuid", "record_count", (F.col("row_id")).alias("ord"), "givenName", fx.t_split(F.col("tags")).alias("tag_list")).repartition(4, "ord").write.parquet(source)
+    completion.run_available(s, source, TAGGED, out, f"{out}/checkpoint", ["givenName"], ["tag_list"], max_files=2)
+    return completion.latest(s, out).select("uuid", "n_records", F.array_join("tag_list", "|").alias("tags"))
 
 
 @query("stream_upsert_entities", f"{WITH.rstrip()}, e AS ({catalog.ENTITY}) SELECT uuid, n_records, \"givenName\" FROM e")

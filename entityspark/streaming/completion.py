@@ -1,52 +1,149 @@
-"""Incremental completion of keys over a stream of results."""
+"""Completion of keys over a stream of results, in keyed state.
+
+A micro-batch reads and writes the state of the keys that it touches, nothing else: what came
+earlier is in the state store, never read again as rows. Scalars are a streaming aggregation
+inside the JVM. Lists, whose items are united in order, need a state of their own per key, which
+holds the different items only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from entityspark.operators.merge import entity_merge
+from entityspark.operators.merge import first_nonempty
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def run_available(spark: SparkSession, source: str, schema: str, entities_path: str, checkpoint: str, scalars: list[str], lists: list[str] = (), max_files: int | None = None) -> None:
-    """Consumes what is in ``source`` and writes a new version of each key that is complete.
 
-    ``schema`` has uuid, record_count (rows expected for the key) and ord besides the merged
-    columns; ``max_files`` bounds a micro-batch.
+def _merged(stream: DataFrame, scalars: list[str]) -> DataFrame:
+    """All records so far of every key that a batch touches, as one."""
+    values = [first_nonempty(F.col(c), F.col("ord")).alias(c) for c in scalars]
+    return stream.groupBy("uuid").agg(F.count("*").alias("n_records"), F.max("record_count").alias("record_count"), *values)
+
+
+class Merging(StatefulProcessor):
+    """One person's state: counts, the first value of each scalar, the first place of each list item."""
+
+    STATE = "n long, expected long, orders array<long>, texts array<string>, lists array<int>, items array<string>, ords array<long>, places array<long>"
+
+    def __init__(self, scalars: list[str], lists: list[str]) -> None:
+        self.scalars, self.lists = scalars, lists
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("merged", self.STATE)
+
+    def _load(self) -> tuple[int, int | None, list, list, dict]:
+        if not self.state.exists():
+            return 0, None, [None] * len(self.scalars), [None] * len(self.scalars), {}
+        n, expected, orders, texts, lists, items, ords, places = self.state.get()
+        return n, expected, list(orders), list(texts), {(k, x): (o, p) for k, x, o, p in zip(lists, items, ords, places)}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
+        n, expected, orders, texts, found = self._load()
+        for part in rows:
+            n += len(part)
+            wanted = part["record_count"].dropna()
+            if len(wanted):
+                expected = max(int(wanted.max()), expected if expected is not None else int(wanted.max()))
+            for i, c in enumerate(self.scalars):
+                given = part[part[c].notna() & (part[c] != "")]
+                if len(given):
+                    at = given["ord"].idxmin()
+                    if orders[i] is None or given["ord"][at] < orders[i]:
+                        orders[i], texts[i] = int(given["ord"][at]), given[c][at]
+            for k, c in enumerate(self.lists):
+                for order, values in zip(part["ord"], part[c]):
+                    for place, item in enumerate(values if values is not None else []):
+                        if item is not None:
+                            found[k, item] = min(found.get((k, item), (int(order), place)), (int(order), place))
+        entries = [(k, x, o, p) for (k, x), (o, p) in found.items()]
+        self.state.update((n, expected, orders, texts, *([e[i] for e in entries] for i in range(4))))
+        united = [[x for _, x in sorted((at, x) for (j, x), at in found.items() if j == k)] for k in range(len(self.lists))]
+        yield pd.DataFrame({"uuid": [key[0]], "n_records": [n], "record_count": pd.array([expected], "Int64"), **{c: [t] for c, t in zip(self.scalars, texts)}, **{c: [u] for c, u in zip(self.lists, united)}})
+
+
+def _united(stream: DataFrame, scalars: list[str], lists: list[str]) -> DataFrame:
+    out = T.StructType([T.StructField("uuid", T.StringType()), T.StructField("n_records", T.LongType()), T.StructField("record_count", T.LongType())])
+    for c in scalars:
+        out = out.add(c, "string")
+    for c in lists:
+        out = out.add(c, T.ArrayType(T.StringType()))
+    return stream.groupBy("uuid").transformWithStateInPandas(Merging(list(scalars), list(lists)), outputStructType=out, outputMode="Update", timeMode="None")
+
 
-    Each micro-batch appends its results to a table of its own batch number (so a repeated batch
-    overwrites itself), and merges only the keys it touched. A key with late rows is merged again
-    under the next version; readers take the latest.
+def is_complete() -> Column:
+    """Results are expected, and all are there."""
+    return F.coalesce((F.col("record_count") > 0) & (F.col("n_records") >= F.col("record_count")), F.lit(False))
+
+
+def run_available(spark: SparkSession, source: str, schema: str, entities_path: str, checkpoint: str, scalars: list[str], lists: list[str] = (), max_files: int | None = None) -> StreamingQuery:
+    """Consumes what is in ``source`` and writes a new version of each key that it touches; returns the finished query.
+
+    ``schema`` has uuid, record_count (rows expected for the key) and ord besides the merged
+    columns, which are text, or lists of text; ``max_files`` bounds a micro-batch. Results
+    without a key are left out. A version is ``complete`` once all expected results are there; a
+    key with late rows, or for which more are expected, is open again until they are. A repeated
+    batch overwrites its own folder, and a restart goes on from the checkpoint with the state as
+    it was. The state is kept in RocksDB, so it may exceed memory; it is dealt over as many
+    partitions as spark.sql.shuffle.partitions was at the first start.
     """
     reader = spark.readStream.schema(schema)
-    stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source)
+    stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source).where("uuid IS NOT NULL")
+    merged = _united(stream, list(scalars), list(lists)) if lists else _merged(stream, list(scalars))
 
     def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{entities_path}/results/batch={number}")
-        every = session.read.schema(schema).parquet(f"{entities_path}/results").drop("batch")
-        touched = every.join(batch.select("uuid").distinct(), "uuid", "left_semi")
-        complete = touched.groupBy("uuid").agg(F.count("*").alias("n"), F.max("record_count").alias("m")).where("n >= m").select("uuid")
-        merged = entity_merge(touched.join(complete, "uuid", "left_semi"), "uuid", "ord", scalars, lists)
-        merged.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{entities_path}/entities/batch={number}")
+        versions = batch.select("uuid", "n_records", "record_count", *scalars, *lists, is_complete().alias("complete"), F.lit(number).alias("version"))
+        versions.write.mode("overwrite").parquet(f"{entities_path}/entities/batch={number}")
+
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = merged.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    query.awaitTermination()
+    return query
+
 
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def _newest(versions: DataFrame) -> DataFrame:
+    newest = versions.groupBy("uuid").agg(F.max("version").alias("version"))
+    return versions.join(newest, ["uuid", "version"], "left_semi")
+
+
+def _versions(spark: SparkSession, entities_path: str) -> DataFrame:
+    return spark.read.parquet(f"{entities_path}/entities").drop("batch")
 
 
 def latest(spark: SparkSession, entities_path: str) -> DataFrame:
-    """The latest version of every entity that the stream has written."""
-    every = spark.read.parquet(f"{entities_path}/entities").drop("batch")
-    newest = every.groupBy("uuid").agg(F.max("version").alias("version"))
-    return every.join(newest, ["uuid", "version"], "left_semi")
+    """The latest complete version of every entity that the stream has written."""
+    return _newest(_versions(spark, entities_path).where("complete"))
 
 
 def progress(spark: SparkSession, entities_path: str) -> DataFrame:
-    """One row: results and keys seen, keys complete, versions written."""
-    results, entities = spark.read.parquet(f"{entities_path}/results"), spark.read.parquet(f"{entities_path}/entities")
-    seen = results.agg(F.count("*").alias("n_results"), F.countDistinct("uuid").alias("n_keys"))
-    return seen.crossJoin(entities.agg(F.countDistinct("uuid").alias("n_completed"), F.count("*").alias("n_versions")))
+    """One row: results and keys seen, keys complete at some time, complete versions written."""
+    of_key = _versions(spark, entities_path).groupBy("uuid").agg(F.max("n_records").alias("n"), F.count_if("complete").alias("c"))
+    return of_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_results"), F.count("*").alias("n_keys"), F.count_if(F.col("c") > 0).alias("n_completed"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_versions"))
+
+
+def restore(spark: SparkSession, entities_path: str, emitted: DataFrame) -> DataFrame:
+    """After a restart: what is to be emitted. Latest complete versions that have not been, and orphans.
+
+    An orphan is a key with results that nobody announced (record_count null or 0): it is
+    adopted, as if the results it has were all that it expects. ``emitted`` has uuid and version.
+    """
+    orphans = _newest(_versions(spark, entities_path)).where("coalesce(record_count, 0) = 0")
+    due = latest(spark, entities_path).unionByName(orphans.withColumn("complete", F.lit(True)).withColumn("record_count", F.col("n_records")))
+    return due.join(emitted.select("uuid", "version"), ["uuid", "version"], "left_anti")
 
 
-def restore(entities: DataFrame, emitted: DataFrame) -> DataFrame:
-    """After a restart: the latest entities whose version has not been emitted."""
-    return entities.join(emitted.select("uuid", "version"), ["uuid", "version"], "left_anti")
+def finalize(spark: SparkSession, entities_path: str, emitted: DataFrame) -> DataFrame:
+    """At the end: every key whose newest version is complete and that has not been emitted at all."""
+    return _newest(_versions(spark, entities_path)).where("complete").join(emitted.select("uuid").distinct(), "uuid", "left_anti")

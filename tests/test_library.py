@@ -10,7 +10,6 @@ from entityspark.functions import text as fx
 from entityspark.operators import checks, identity, ingest, ledger, merge, pii, resolve, rules, runs
 from entityspark.plans import catalog, incremental, registry  # noqa: F401
 from entityspark.sources import files
-from entityspark.streaming import completion
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -125,17 +124,6 @@ def test_csv_ingest(spark, tmp_path):
     assert files.taxonomy_scan(spark, str(tmp_path / "absent.json")).count() == 0
 
 
-def test_late_results_reopen_a_key(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "uuid string, record_count long, ord long, name string"
-    for k, rows in enumerate(([("k", 1, 2, "late"), ("m", 2, 1, "")], [("k", 2, 1, "early"), ("m", 2, 2, "M"), ("n", 9, 1, "x")])):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
-        completion.run_available(spark, source, schema, out, f"{out}/checkpoint", ["name"])
-        got = {r["uuid"]: (r["n_records"], r["name"]) for r in completion.latest(spark, out).collect()}
-        assert got == ({"k": (1, "late")}, {"k": (2, "early"), "m": (2, "M")})[k]
-    assert completion.progress(spark, out).first()["n_results"] == 5
-
-
 def test_process_batch_masks_what_the_resolver_sees(spark):
     seen = spark.createDataFrame([(1, 0, "Ann"), (2, 0, None), (3, 1, "Bob")], "row_id long, batch_id long, name string")
 
