@@ -14,6 +14,8 @@ from entityspark.operators import nested
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?:\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})\b|(?:\+\d{1,3}[-.\s]?)?\(?[0-9]{1,4}\)?[-.\s]?[0-9]{1,4}[-.\s]?[0-9]{1,9}"
 ADDRESS = r"(?i)\b\d+\s+[A-Za-z0-9\s,.-]+\s+(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Place|Pl\.?|Boulevard|Blvd\.?|Way|Circle|Cir\.?|Highway|Hwy\.?|Parkway|Pkwy\.?)(?:\s|,|$)"
+#: The beginning of a run of the characters that an address is made of, with the one before it, up to the last street word in it.
+STREETS = r"(?i)(?:^|[^A-Za-z0-9\s,.-])[A-Za-z0-9\s,.-]*\s" + ADDRESS[ADDRESS.index("(?:Street") :]
 PLACEHOLDER = r"(?:NAME|EMAIL|PHONE|ADDRESS|ID)_[0-9]+(?:@GMAIL\.COM)?"
 
 
@@ -33,10 +35,29 @@ def valid_address(c: Column) -> Column:
 KINDS = {"EMAIL": (EMAIL, valid_email), "PHONE": (PHONE, valid_phone), "ADDRESS": (ADDRESS, valid_address)}
 
 
+def matches(c: Column, kind: str) -> Column:
+    """Matches of a kind's pattern, valid or not, in order; null text has none.
+
+    An address goes from the first number of a run to the last street word of it, so the pattern is
+    tried only up to there: time stays linear also in long runs of numbers and plain words.
+    """
+    given, pattern = F.coalesce(c, F.lit("")), F.lit(KINDS[kind][0])
+    if kind != "ADDRESS":
+        return F.regexp_extract_all(given, pattern, F.lit(0))
+    return F.flatten(F.transform(F.regexp_extract_all(given, F.lit(STREETS), F.lit(0)), lambda run: F.regexp_extract_all(run, pattern, F.lit(0))))
+
+
+def replace_kind(c: Column, kind: str, replacement: Callable[[Column], Column]) -> Column:
+    """``c`` with every match of a kind's pattern replaced."""
+    pattern = KINDS[kind][0]
+    if kind != "ADDRESS":
+        return replace_matches(c, pattern, replacement)
+    return replace_matches(c, STREETS, lambda run: replace_matches(run, pattern, replacement))
+
+
 def detect(c: Column, kind: str) -> Column:
     """Valid matches of a kind, in order; null text has none."""
-    pattern, valid = KINDS[kind]
-    return F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)), valid)
+    return F.filter(matches(c, kind), KINDS[kind][1])
 
 
 def once(c: Column, function: Callable[[Column], Column]) -> Column:
@@ -113,8 +134,8 @@ def _tagged(k: int, template: str):  # noqa: ANN202
 
 def mask_text(c: Column) -> Column:
     """Free text with valid emails, then phones, then addresses replaced by their kind."""
-    for kind, (pattern, valid) in KINDS.items():
-        c = replace_matches(c, pattern, _label(kind, valid))
+    for kind, (_, valid) in KINDS.items():
+        c = replace_kind(c, kind, _label(kind, valid))
     return c
 
 
@@ -122,8 +143,10 @@ def _label(kind: str, valid):  # noqa: ANN001, ANN202
     return lambda m: F.when(valid(m), F.lit(f"[{kind}]")).otherwise(m)
 
 
-#: Stands for a number not yet given; it and the escape are escaped in the texts.
+#: Stands for a number not yet given; it and the escape are escaped in the texts. After a placeholder it parts it from a digit.
 MARK, ESCAPE = "\x02", "\x03"
+#: What in a text looks like a placeholder; it is masked like anything else, so that it comes back.
+LITERAL = "LITERAL"
 
 
 def _escaped(c: Column) -> Column:
@@ -134,27 +157,29 @@ def _plain(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit(ESCAPE + "\x04"), F.lit(MARK)), F.lit(ESCAPE + "\x05"), F.lit(ESCAPE))
 
 
-def _mark(kind: str) -> str:  # like a placeholder, so that later kinds see no word boundary before its number
-    return f"{kind}_{MARK}_1" + ("@GMAIL.COM" if kind == "EMAIL" else "")
+def _mark(kind: str) -> str:  # like a placeholder, so that later kinds see no word boundary before its number; of the first kind, nothing that they could match
+    return MARK + MARK if kind == LITERAL else f"{kind}_{MARK}_1" + ("@GMAIL.COM" if kind == "EMAIL" else "")
 
 
 def mask_texts(df: DataFrame, columns: list[str], row_id: str, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Free text with numbered placeholders that ``unmask`` restores; returns the masked frame and its dictionary.
 
-    Emails, then phones, then addresses, each in what the kind before left. A value has one
-    placeholder in all rows and columns, numbered by row, column, kind and place. ``row_id`` is a
+    What already looks like a placeholder, then emails, phones and addresses, each in what the
+    kind before left. A value has one placeholder in all rows and columns, numbered by row,
+    column, kind and place. A digit that follows a placeholder is parted from it. ``row_id`` is a
     unique number. Null and empty texts stay, and so do texts without matches. Texts are searched
     twice, for the dictionary and for the result, rather than stored.
     """
     scope = scope or []
-    kinds = list(KINDS)
+    kinds = [LITERAL, *KINDS]
     marked, found = df, []
     for k, c in enumerate(columns):
         marked = marked.withColumn(f"__t{k}", _escaped(F.col(c)))
         for j, kind in enumerate(kinds):
-            pattern, valid = KINDS[kind]
-            marked = marked.withColumn(f"__v{k}_{j}", detect(F.col(f"__t{k}"), kind))
-            marked = marked.withColumn(f"__t{k}", replace_matches(F.col(f"__t{k}"), pattern, _marked(kind, valid)))
+            text = F.col(f"__t{k}")
+            values = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PLACEHOLDER), F.lit(0)) if kind == LITERAL else detect(text, kind)
+            hidden = replace_matches(text, PLACEHOLDER, lambda _: F.lit(_mark(LITERAL))) if kind == LITERAL else replace_kind(text, kind, _marked(kind, KINDS[kind][1]))
+            marked = marked.withColumn(f"__v{k}_{j}", values).withColumn(f"__t{k}", hidden)
             found.append(F.transform(F.col(f"__v{k}_{j}"), _placed(k, j, kind)))
     flat = marked.select(row_id, *scope, F.explode(F.concat(*found)).alias("x")).select(row_id, *scope, "x.*")
     flat = flat.withColumn("ord", F.struct(F.col(row_id).alias("row"), "field", "kind", "pos"))
@@ -167,8 +192,9 @@ def mask_texts(df: DataFrame, columns: list[str], row_id: str, scope: list[str]
     def rebuilt(k: int, c: str) -> Column:
         text = F.col(f"__t{k}")
         for j, kind in enumerate(kinds):
-            pairs = F.arrays_zip(F.split(text, rf"\Q{_mark(kind)}\E", -1).alias("gap"), F.col(f"__p{k}_{j}").alias("name"))
-            text = F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.coalesce(x["name"], F.lit("")))), "")
+            gaps = F.split(text, rf"\Q{_mark(kind)}\E", -1)
+            pairs = F.arrays_zip(gaps.alias("gap"), F.slice(gaps, 2, F.size(gaps)).alias("next"), F.col(f"__p{k}_{j}").alias("name"))
+            text = F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.coalesce(F.concat(x["name"], F.when(x["next"].rlike(f"^([0-9@]|{ESCAPE}\x04)"), MARK).otherwise("")), F.lit("")))), "")
         return F.coalesce(_plain(text), F.col(c)).alias(c)
 
     return joined.select(*[rebuilt(columns.index(c), c) if c in columns else F.col(c) for c in df.columns]), table
@@ -179,13 +205,14 @@ def _marked(kind: str, valid: Callable[[Column], Column]) -> Callable[[Column],
 
 
 def _placed(k: int, j: int, kind: str) -> Callable[[Column, Column], Column]:
-    return lambda v, i: F.struct(F.lit(k).alias("field"), F.lit(j).alias("kind"), i.alias("pos"), _plain(v).alias("value"), F.lit(kind).alias("template"))
+    template = lambda v: F.regexp_extract(v, "^[A-Z]+", 0) if kind == LITERAL else F.lit(kind)
+    return lambda v, i: F.struct(F.lit(k).alias("field"), F.lit(j).alias("kind"), i.alias("pos"), _plain(v).alias("value"), template(v).alias("template"))
 
 
 def unmask(df: DataFrame, columns: list[str], row_id: str, table: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Restores every placeholder of ``table`` in all texts of the columns, at any depth; others stay.
 
-    Placeholders are whole matches, so _1 never hits _10. One map a row holds what it needs, so
+    Placeholders are whole matches, so _1 never hits _10; the sign that parts one from a digit goes. One map a row holds what it needs, so
     structs, arrays and maps are rewritten where they are. ``scope`` columns, in both frames, keep
     placeholders of one scope from another's. ``row_id`` is unique.
     """
@@ -195,7 +222,7 @@ def unmask(df: DataFrame, columns: list[str], row_id: str, table: DataFrame, sco
     found = df.select(row_id, *scope, F.explode(named).alias("placeholder"))
     maps = found.join(table.select(*scope, "placeholder", "value"), [*scope, "placeholder"]).groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("__map"))
     joined = df.join(maps, row_id, "left")
-    restored = lambda t: replace_matches(t, PLACEHOLDER, lambda m: F.coalesce(F.try_element_at(F.col("__map"), m), m))
+    restored = lambda t: replace_matches(t, PLACEHOLDER + f"{MARK}?", lambda m: F.coalesce(F.try_element_at(F.col("__map"), F.rtrim(m, F.lit(MARK))), m))
     whole = lambda c: F.when(F.col("__map").isNull(), F.col(c)).otherwise(nested.rewrite_text(F.col(c), kinds[c], restored))
     return joined.select(*[whole(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
