@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,12 @@ def ingest(spark: SparkSession, paths: str | list[str], columns: list[str], key_
     Rows without a value get an identity of their own and so are never repeats. A file with
     malformed rows is ``failed`` in the manifest, which is to be written last. No rows: no records.
     """
+    return _ingested(csv_scan(spark, paths, columns), columns, key_column)
+
+
+def _ingested(scanned: DataFrame, columns: list[str], key_column: str | None) -> Ingested:
     cells = list(dict.fromkeys(columns))
-    good, bad = split_malformed(csv_scan(spark, paths, columns), cells)
+    good, bad = split_malformed(scanned, cells)
     indexed = ledger.file_row_index(good, "file_path", "pos").drop("pos")
     first = F.try_element_at(fx.id_values(cells, key_column), F.lit(1))
     own = F.concat_ws(":", F.lit("row"), "file_path", "file_row_index")
@@ -58,44 +63,141 @@ def live_files(manifest: DataFrame) -> DataFrame:
     return ranked.where("version = __path AND version = __hash").drop("__path", "__hash")
 
 
-def ingest_new(spark: SparkSession, paths: str | list[str], columns: list[str], state: str, key_column: str | None = None, force: bool = False) -> DataFrame:
+class Conflict(RuntimeError):
+    """Others committed first, again and again."""
+
+
+def _path(spark: SparkSession, name: str):  # noqa: ANN202
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = _path(spark, name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def committed(spark: SparkSession, state: str) -> tuple[int, DataFrame]:
+    """The last version committed, 0 if there is none, and the records of all versions up to it."""
+    commits = files.stored(spark, f"{state}/commits", "version long, ingest_id string")
+    last = commits.agg(F.max("version")).first()[0] or 0
+    return last, files.stored(spark, f"{state}/manifest/*", MANIFEST).join(commits.where(F.col("version") <= last), ["version", "ingest_id"], "left_semi")
+
+
+def commit(spark: SparkSession, state: str, version: int, ingest_id: str) -> bool:
+    """Makes ``ingest_id`` the commit of ``version`` unless there is one: a finished file is moved to a name that only one can have."""
+    mine, name = f"{state}/staged-{ingest_id}", f"{state}/commits/{version:012d}.parquet"
+    spark.createDataFrame([(version, ingest_id)], "version long, ingest_id string").coalesce(1).write.parquet(mine)
+    conf, fs = spark._jsc.hadoopConfiguration(), _path(spark, state).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(_path(spark, f"{state}/commits"))
+    part = next(x.getPath() for x in fs.listStatus(_path(spark, mine)) if x.getPath().getName().startswith("part-"))
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(_path(spark, name)), options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+            raise
+        return False
+    finally:
+        _delete(spark, mine)
+    return True
+
+
+def _discard(spark: SparkSession, state: str, ingest_id: str) -> None:
+    for table in ("rows", "rejected"):
+        _delete(spark, f"{state}/{table}/ingest_id={ingest_id}")
+
+
+def ingest_new(spark: SparkSession, paths: str | list[str], columns: list[str], state: str, key_column: str | None = None, force: bool = False, attempts: int = 5) -> DataFrame:
     """Ingests the files that are new against the folder ``state``; returns ``(file_path, file_hash, action)`` of all.
 
     The plan is ``ledger.ingest_plan`` against the live records; of files with equal content in
-    one call the first path counts, the others are skipped. Rows and malformed rows are written
-    under a new ``ingest_id``, the manifest last: it is the commit, so what a broken run left
-    behind is never read, and rows of replaced files vanish without a delete. One call at a time.
-    The paths of the files to read reach the driver, which lists them anyway. A file without
-    rows is completed with none.
+    one call the first path counts, the others are skipped. Files are read once, into a table of
+    this call. Rows, malformed rows and manifest records are written under a new ``ingest_id``
+    and count once a commit names it, so what a broken run left behind is never read, and rows
+    of replaced files vanish at once (``vacuum`` deletes them). If another call has committed
+    the version first, what this one wrote is discarded and the plan made anew, ``attempts``
+    times at most; then it is a ``Conflict``. A file without rows is completed with none.
+
+    The paths of the files to read reach the driver, which lists them anyway.
     """
-    known = files.stored(spark, f"{state}/manifest", MANIFEST)
-    found = spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("file_path"), F.sha2("content", 256).alias("file_hash"))
-    planned = ledger.ingest_plan(found, live_files(known).withColumnRenamed("version", "file_id"), force)
-    first = F.row_number().over(Window.partitionBy("file_hash").orderBy("file_path")) == 1
-    plan = planned.withColumn("action", F.when(first, F.col("action")).otherwise("skip")).join(found.select("path", "file_path"), "file_path")
     ensure_checkpoint_dir(spark)
-    plan = plan.checkpoint()  # made once: the manifest it is made from changes below
-    todo = plan.where(F.col("action").isin("ingest", "replace_failed", "reingest"))
-    names = [r["path"] for r in todo.select("path").collect()]
-    if names:
-        ingest_id = uuid.uuid4().hex
-        version = (known.agg(F.max("version")).first()[0] or 0) + 1
-        done = ingest(spark, names, columns, key_column)
-        done.rows.withColumn("ingest_id", F.lit(ingest_id)).write.mode("append").partitionBy("ingest_id").parquet(f"{state}/rows")
-        done.rejected.withColumn("ingest_id", F.lit(ingest_id)).write.mode("append").partitionBy("ingest_id").parquet(f"{state}/rejected")
-        counts = ("n_rows", "n_duplicates", "n_keys", "n_random", "n_rejected")
-        records = todo.join(done.manifest, "file_path", "left").select(
-            "file_path", "file_hash", F.lit(ingest_id).alias("ingest_id"), F.lit(version).cast("long").alias("version"),
-            *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("status", F.lit("completed")).alias("status"),
-        )
-        records.coalesce(1).write.mode("append").parquet(f"{state}/manifest")
-    return plan.select("file_path", "file_hash", "action")
+    for _ in range(attempts):
+        version, known = committed(spark, state)
+        found = spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("file_path")).join(files.file_content_hash(spark, paths), "file_path")
+        planned = ledger.ingest_plan(found, live_files(known).withColumnRenamed("version", "file_id"), force)
+        first = F.row_number().over(Window.partitionBy("file_hash").orderBy("file_path")) == 1
+        plan = planned.withColumn("action", F.when(first, F.col("action")).otherwise("skip")).join(found.select("path", "file_path"), "file_path").checkpoint()
+        todo = plan.where(F.col("action").isin("ingest", "replace_failed", "reingest"))
+        names = [r["path"] for r in todo.select("path").collect()]
+        if not names or _write(spark, names, columns, state, key_column, todo, version + 1):
+            return plan.select("file_path", "file_hash", "action")
+    raise Conflict(f"{attempts} times another call committed first")
+
+
+def _write(spark: SparkSession, names: list[str], columns: list[str], state: str, key_column: str | None, todo: DataFrame, version: int) -> bool:
+    ingest_id = uuid.uuid4().hex
+    scan = f"{state}/scans/{ingest_id}"
+    csv_scan(spark, names, columns).write.parquet(scan)
+    done = _ingested(spark.read.parquet(scan), columns, key_column)
+    done.rows.write.parquet(f"{state}/rows/ingest_id={ingest_id}")  # a folder of its own: calls at once share none
+    done.rejected.write.parquet(f"{state}/rejected/ingest_id={ingest_id}")
+    counts = ("n_rows", "n_duplicates", "n_keys", "n_random", "n_rejected")
+    records = todo.join(done.manifest, "file_path", "left").select(
+        "file_path", "file_hash", F.lit(ingest_id).alias("ingest_id"), F.lit(version).cast("long").alias("version"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("status", F.lit("completed")).alias("status"),
+    )
+    records.coalesce(1).write.parquet(f"{state}/manifest/{ingest_id}")
+    _delete(spark, scan)
+    if commit(spark, state, version, ingest_id):
+        return True
+    _discard(spark, state, ingest_id)
+    return False
+
+
+def manifest(spark: SparkSession, state: str) -> DataFrame:
+    """The live record of every file."""
+    return live_files(committed(spark, state)[1])
 
 
 def current_rows(spark: SparkSession, state: str) -> DataFrame:
-    """The rows of all completed live files, with ``version``, the number of the ingest that read them."""
-    live = live_files(files.stored(spark, f"{state}/manifest", MANIFEST)).where("status = 'completed'")
-    return spark.read.parquet(f"{state}/rows").join(live.select("file_path", "ingest_id", "version"), ["file_path", "ingest_id"])
+    """The rows of all completed live files, with ``version``, the number of the ingest that read them. There must be one."""
+    live = manifest(spark, state).where("status = 'completed'")
+    return _of_ingests(spark, state, "rows", [r["ingest_id"] for r in live.select("ingest_id").distinct().collect()]).join(live.select("file_path", "ingest_id", "version"), ["file_path", "ingest_id"])
+
+
+def _of_ingests(spark: SparkSession, state: str, table: str, ingests: list[str]) -> DataFrame:
+    """The rows that some ingests wrote; no other folder is read. There is one ingest at least."""
+    return spark.read.option("basePath", f"{state}/{table}").parquet(*[f"{state}/{table}/ingest_id={i}" for i in ingests])
+
+
+def vacuum(spark: SparkSession, state: str) -> int:
+    """Deletes rows that no live file has any more; returns how many ingests' folders went.
+
+    Ingests of which some files are still live are rewritten without the others under a new
+    commit first. For a time when nobody reads or ingests: readers of an older plan lose their
+    files, and a call that commits meanwhile makes this one a ``Conflict``.
+    """
+    version, known = committed(spark, state)
+    live = live_files(known)
+    of_ingest = known.groupBy("ingest_id").agg(F.count("*").alias("n")).join(live.groupBy("ingest_id").agg(F.count("*").alias("n_live")), "ingest_id", "left")
+    fs = _path(spark, state).getFileSystem(spark._jsc.hadoopConfiguration())
+    dead = of_ingest.where("coalesce(n_live, 0) < n").collect()  # one for each ingest
+    stale = [(r["ingest_id"], r["n_live"]) for r in dead if fs.exists(_path(spark, f"{state}/rows/ingest_id={r['ingest_id']}"))]
+    mixed = [i for i, n_live in stale if n_live]
+    if mixed:
+        fresh = uuid.uuid4().hex
+        moved = live.where(F.col("ingest_id").isin(mixed))
+        for table in ("rows", "rejected"):
+            kept = _of_ingests(spark, state, table, mixed).join(moved.select("file_path", "ingest_id"), ["file_path", "ingest_id"], "left_semi")
+            kept.drop("ingest_id").write.parquet(f"{state}/{table}/ingest_id={fresh}")
+        records = moved.withColumns({"ingest_id": F.lit(fresh), "version": F.lit(version + 1).cast("long")}).select(*[c.split()[0] for c in MANIFEST.split(", ")])
+        records.coalesce(1).write.parquet(f"{state}/manifest/{fresh}")
+        if not commit(spark, state, version + 1, fresh):
+            _discard(spark, state, fresh)
+            raise Conflict("another call committed meanwhile")
+    for ingest_id, _ in stale:
+        _discard(spark, state, ingest_id)
+    return len(stale)
 
 
 def ingestion_summary(manifest: DataFrame) -> DataFrame:

@@ -75,8 +75,17 @@ def ingest_plan(incoming: DataFrame, manifest: DataFrame, force: bool = False) -
     return incoming.join(by_hash, "file_hash", "left").join(by_path, "file_path", "left").select("file_path", "file_hash", action.alias("action"))
 
 
+#: Orders of one range of a file's row index: no window holds more.
+RANGE_ROWS = 1 << 20
+
+
 def file_row_index(rows: DataFrame, file_id: str = "file_id", order: str = "pos") -> DataFrame:
-    return rows.withColumn("file_row_index", F.row_number().over(Window.partitionBy(file_id).orderBy(order)) - 1)
+    """Adds ``file_row_index``, from 0 in each file. ``order`` is a number without ties; ranges of it are numbered apart and added up, so a large file is many tasks."""
+    ranged = rows.withColumn("__range", F.floor(F.col(order) / RANGE_ROWS))
+    before = Window.partitionBy(file_id).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy(file_id, "__range").agg(F.count("*").alias("__c")).select(file_id, "__range", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(file_id, "__range").orderBy(order)) - 1
+    return ranged.withColumn("__place", place).join(bases, [file_id, "__range"]).withColumn("file_row_index", F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")
 
 
 def global_row_index(rows: DataFrame, file_id: str = "file_id", order: str = "pos") -> DataFrame:

@@ -76,6 +76,22 @@ query("nonblank_count", f"{WITH} SELECT {FILE} AS file, cast(sum(1 + (row_id % 1
     lambda s, d: files.not_blank_count(_scanned(s, d)[0], list(dict.fromkeys(HEADER))).select(file_of(F.col("file_path")).alias("file"), "n"))
 
 
+BROKEN = "CASE WHEN row_id % 5 = 0 THEN 'a \"' || \"givenName\" || '\",' || chr(10) || chr(10) || tags ELSE tags END"
+
+
+@query("csv_scan_split", f"{WITH} SELECT {FILE} AS file, row_id, {BROKEN} AS note, \"givenName\" FROM keyed")
+def csv_scan_split(s: SparkSession, d: str) -> DataFrame:
+    """Files whose cells hold quotes and line breaks, read as large files are: by parts."""
+    broken = F.concat(F.lit('a "'), "givenName", F.lit('",\n\n'), "tags")
+    rows = contacts(s, d).withColumn("note", F.when(F.col("row_id") % 5 == 0, broken).otherwise(F.col("tags")))
+    line = F.to_csv(F.struct(F.col("row_id").cast("string").alias("a"), F.col("note").alias("b"), F.col("givenName").alias("c")), QUOTED)
+    body = rows.select(F.floor(F.col("row_id") / FILE_KEYS).alias("file"), F.col("row_id").alias("ord"), line.alias("line"))
+    head = rows.select(F.floor(F.col("row_id") / FILE_KEYS).alias("file")).distinct().select("file", F.lit(-1).cast("long").alias("ord"), F.lit("row_id,note,givenName").alias("line"))
+    path = write_lines(body.unionByName(head), scratch(s, "broken"))
+    found = files.csv_scan(s, f"{path}/file=*", ["row_id", "note", "givenName"], split_bytes=0).where("_corrupt IS NULL")
+    return found.select(file_of(F.col("file_path")).alias("file"), F.col("row_id").cast("long").alias("row_id"), "note", "givenName")
+
+
 @query("multi_file_union", f"{WITH} SELECT row_id, CASE WHEN row_id % 2 = 0 THEN \"givenName\" ELSE '' END AS \"givenName\", CASE WHEN row_id % 2 = 1 THEN tags ELSE '' END AS tags FROM keyed")
 def multi_file_union(s: SparkSession, d: str) -> DataFrame:
     """Two exports with different headers read as one."""
@@ -94,6 +110,14 @@ def file_content_hash(s: SparkSession, d: str) -> DataFrame:
     return files.file_content_hash(s, f"{path}/file=*").select(file_of(F.col("file_path")).alias("file"), "file_hash")
 
 
+@query("file_hash_streamed", f"{WITH} SELECT {FILE} AS file, sha256(string_agg(row_id || ',' || obj_published || chr(10), '' ORDER BY row_id)) AS file_hash FROM keyed GROUP BY 1")
+def file_hash_streamed(s: SparkSession, d: str) -> DataFrame:
+    """As ``file_content_hash``, the way files beyond memory take."""
+    lines = contacts(s, d).select(F.floor(F.col("row_id") / FILE_KEYS).alias("file"), F.col("row_id").alias("ord"), F.concat_ws(",", "row_id", "obj_published").alias("line"))
+    path = write_lines(lines, scratch(s, "hashed"))
+    return files.file_content_hash(s, f"{path}/file=*", 0).select(file_of(F.col("file_path")).alias("file"), "file_hash")
+
+
 @query("taxonomy_scan", f"{WITH} SELECT trim(action_type) AS notation, lower(trim(action_type)) AS value, count(*) AS n FROM keyed WHERE trim(action_type) <> '' GROUP BY ALL")
 def taxonomy_scan(s: SparkSession, d: str) -> DataFrame:
     """The distinct action types stored as a taxonomy, read back and joined."""
@@ -157,8 +181,14 @@ def _ingested(s: SparkSession, d: str) -> ingest.Ingested:
 
 
 INGEST_SQL = f"ingested AS (SELECT {FILE} AS file, count(*) AS n_rows, count(*) FILTER ({REPEATED}) AS n_duplicates, count(DISTINCT uuid) + count(*) FILTER (uuid IS NULL) AS n_keys, count(*) FILTER (uuid IS NULL) AS n_random, count(*) FILTER (row_id % 101 = 0) AS n_rejected FROM keyed GROUP BY 1)"
-query("incremental_ingest", f"{WITH.rstrip()}, {INGEST_SQL} SELECT *, CASE WHEN n_rejected > 0 THEN 'failed' ELSE 'completed' END AS status FROM ingested")(
-    lambda s, d: _ingested(s, d).manifest.select(file_of(F.col("file_path")).alias("file"), "n_rows", "n_duplicates", "n_keys", "n_random", "n_rejected", "status"))
+@query("incremental_ingest", f"{WITH.rstrip()}, {INGEST_SQL} SELECT *, CASE WHEN n_rejected > 0 THEN 'failed' ELSE 'completed' END AS status, 'ingest' AS action FROM ingested")
+def incremental_ingest(s: SparkSession, d: str) -> DataFrame:
+    """Exported files ingested into a new state: what was planned, and what its manifest says."""
+    plan = ingest.ingest_new(s, f"{export(s, d)}/file=*", HEADER, state := scratch(s, "state"))
+    found = ingest.manifest(s, state).join(plan.select("file_path", "action"), "file_path")
+    return found.select(file_of(F.col("file_path")).alias("file"), "n_rows", "n_duplicates", "n_keys", "n_random", "n_rejected", "status", "action")
+
+
 query("ingestion_summary", f"{WITH.rstrip()}, {INGEST_SQL} SELECT file, n_rows, CASE WHEN n_rejected > 0 THEN 'failed' ELSE 'completed' END AS status FROM ingested UNION ALL SELECT NULL, cast(sum(n_rows) AS bigint), count(*) || ' files' FROM ingested")(
     lambda s, d: ingest.ingestion_summary(_ingested(s, d).manifest).select(F.when(F.col("file_path") != "total", F.regexp_extract("file_path", "file=([0-9]+)", 1)).cast("long").alias("file"), "n_rows", "status"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entityspark.functions import text as fx
-from entityspark.operators import checks, identity, ingest, ledger, merge, pii, resolve, rules, runs
+from entityspark.operators import checks, ingest, ledger, merge, pii, resolve, rules, runs
 from entityspark.plans import catalog, incremental, registry  # noqa: F401
 from entityspark.sources import files
 
@@ -149,23 +149,6 @@ def test_texts_get_numbered_placeholders_and_come_back(spark):
     assert pii.mask_texts(rows.limit(0), ["t"], "id")[0].count() == 0
 
 
-def test_ingest_against_a_state(spark, tmp_path):
-    source, state = tmp_path / "in put", str(tmp_path / "state")
-    source.mkdir()
-
-    def run(force=False, **texts):
-        for name, text in texts.items():
-            (source / f"{name}.csv").write_text("email,n\n" + text)
-        plan = {r["file_path"].rsplit("/", 1)[-1]: r["action"] for r in ingest.ingest_new(spark, str(source), ["email", "n"], state, force=force).collect()}
-        return plan, sorted(r["n"] for r in ingest.current_rows(spark, state).collect())
-
-    assert run(a="x@y.zz,1\n", b="x@y.zz,2\nbad\n", e="") == ({"a.csv": "ingest", "b.csv": "ingest", "e.csv": "ingest"}, ["1"])
-    assert run(c="x@y.zz,1\n") == ({"a.csv": "skip", "b.csv": "replace_failed", "c.csv": "skip", "e.csv": "skip"}, ["1"])
-    assert run(a="x@y.zz,3\n", b="x@y.zz,2\n")[0] == {"a.csv": "reject", "b.csv": "reject", "c.csv": "skip", "e.csv": "skip"}
-    assert run(force=True) == ({"a.csv": "reingest", "b.csv": "reingest", "c.csv": "skip", "e.csv": "skip"}, ["2", "3"])
-    assert run()[0]["c.csv"] == "ingest" and run() == ({f"{x}.csv": "skip" for x in "abce"}, ["1", "2", "3"])
-
-
 def test_runs_resume_or_start_afresh(spark):
     log = spark.createDataFrame([(1, "f", "o", 1), (2, "old", "o", 1), (3, "old", "o", 1), (4, "f", "p", 1), (5, "old", "o", 1), (5, "f", "o", 2), (6, "f", "o", 1), (7, "f", None, 1)], "run_id long, fingerprint string, output_path string, version int")
     now = spark.createDataFrame([(0, "resume", "o", False), (1, "fresh", "o", True), (2, "auto", "o", True), (3, "resume", "o", True), (4, "auto", "o", True), (5, "auto", "o", True), (6, "resume", "o", False), (7, "auto", None, False)], "run_id long, mode string, output_path string, output_exists boolean").withColumn("fingerprint", F.lit("f"))
