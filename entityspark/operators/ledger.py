@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +104,26 @@ def dedup_rows(rows: DataFrame, file_id: str, cells: list[str], order: str) -> D
 
 def fixed_batches(rows: DataFrame, size: int, index: str = "global_row_index") -> DataFrame:
     return rows.withColumn("batch_id", F.floor(F.col(index) / size))
+
+
+def _tagged(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(name, status)`` of every row of several tables; status is null where a table has none."""
+    parts = [df.select(F.lit(name).alias("name"), (F.col("status") if "status" in df.columns else F.lit(None)).cast("string").alias("status")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def progress(files: DataFrame, rows: DataFrame, results: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of eight counts, by one aggregate over all four tables; ``files`` and ``keys`` have a status."""
+    name, status = F.col("name"), F.col("status")
+    return _tagged({"files": files, "rows": rows, "results": results, "keys": keys}).agg(
+        F.count_if(name == "files").alias("total_files"), F.count_if((name == "files") & (status == "completed")).alias("completed_files"), F.count_if((name == "files") & (status == "failed")).alias("failed_files"),
+        F.count_if(name == "rows").alias("total_rows"), F.count_if(name == "results").alias("processed_rows"),
+        F.count_if(name == "keys").alias("total_keys"), F.count_if((name == "keys") & (status == "completed")).alias("completed_keys"), F.count_if((name == "keys") & status.isin("pending", "processing")).alias("pending_keys"),
+    )
+
+
+def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(name, n)``: the number of rows of each table, empty ones too; one aggregate."""
+    names = list(tables)
+    counts = _tagged(tables).agg(*[F.count_if(F.col("name") == n).alias(n) for n in names])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in names])).alias("x")).select("x.*")

@@ -243,10 +243,6 @@ query("invalidate_outputs", f"{WITH} SELECT uuid FROM status")(
     lambda s, d: ledger.unwritten_outputs(_counts(s, d).withColumn("version", F.col("record_count")), ledger.invalidate_outputs(_counts(s, d).where(EMITTED).withColumn("version", F.col("record_count")))).select("uuid"))
 query("merged_counts", f"{WITH} SELECT count(*) AS total, count(*) FILTER ({EMITTED}) AS written, count(*) FILTER (NOT ({EMITTED})) AS unwritten FROM status")(
     lambda s, d: _counts(s, d).agg(F.count("*").alias("total"), F.count_if(F.expr(EMITTED)).alias("written"), F.count_if(~F.expr(EMITTED)).alias("unwritten")))
-query("progress", f"{WITH} SELECT (SELECT count(*) FROM keyed) AS n_rows, (SELECT count(*) FROM processed) AS n_processed, (SELECT count(*) FROM status) AS n_keys, (SELECT count(*) FROM status WHERE status = 'completed') AS n_completed")(
-    lambda s, d: keyed(s, d).agg(F.count("*").alias("n_rows")).crossJoin(processed(s, d).agg(F.count("*").alias("n_processed"))).crossJoin(_counts(s, d).agg(F.count("*").alias("n_keys"), F.count_if(F.col("status") == "completed").alias("n_completed"))))
-query("table_stats", f"{WITH} SELECT 'rows' AS name, count(*) AS n FROM keyed UNION ALL SELECT 'processed', count(*) FROM processed UNION ALL SELECT 'keys', count(*) FROM status")(
-    lambda s, d: keyed(s, d).agg(F.count("*").alias("n")).select(F.lit("rows").alias("name"), "n").union(processed(s, d).agg(F.count("*")).select(F.lit("processed"), "*")).union(_counts(s, d).agg(F.count("*")).select(F.lit("keys"), "*")))
 query("cascade_delete", f"{WITH} SELECT k.uuid, count(*) AS record_count, count(p.row_id) AS processed_count FROM keyed k LEFT JOIN processed p USING (row_id) WHERE file_id <> 1 AND k.uuid IS NOT NULL GROUP BY k.uuid")(
     lambda s, d: (lambda x: ledger.sync_counts(x[0], x[1]).select("uuid", "record_count", "processed_count"))(ledger.cascade_delete(keyed(s, d), processed(s, d), _counts(s, d), [1])))
 query("reingest_edited", f"{WITH} SELECT count(*) AS n, count(DISTINCT uuid) AS n_keys FROM keyed WHERE file_id <> 1 OR row_id % 2 = 0")(
@@ -487,7 +483,6 @@ query("v_required_policy", f"{WITH} SELECT row_id FROM keyed WHERE row_id // 5 N
     lambda s, d: checks.required_policy(keyed(s, d).withColumn("batch_id", F.floor(F.col("row_id") / 5)), _checked(s, d, [CHECKS["v_required"][0]]), "drop_batch").select("row_id"))
 query("required_error_count", f"{WITH} SELECT row_id // 50 AS batch_id, cast(sum(len({MISSING_SQL})) AS bigint) AS errors FROM keyed GROUP BY 1")(
     lambda s, d: rules.transform_row(contacts(s, d), RULES).groupBy(F.floor(F.col("row_id") / 50).alias("batch_id")).agg(F.sum(F.size("missing")).alias("errors")))
-query("log_rollups", f"{WITH} SELECT field, count(*) AS n FROM (SELECT unnest({MISSING_SQL}) AS field FROM keyed) GROUP BY field")(lambda s, d: rules.transform_row(contacts(s, d), RULES).select(F.explode("missing").alias("field")).groupBy("field").agg(F.count("*").alias("n")))
 
 
 # resolver (2.12): an offline one that fails some batches once and some always
@@ -520,7 +515,7 @@ query("resolve_pending", f"{WITH} SELECT row_id, CASE WHEN row_id % 2 = 1 THEN '
 @query(
     "attempt_log",
     f"""{WITH.rstrip()}, b AS (SELECT DISTINCT row_id // 50 AS batch_id FROM keyed)
-SELECT batch_id, cast(i AS integer) AS attempt, CASE batch_id % 7 WHEN 2 THEN 'unrecoverable_error' WHEN 4 THEN 'api_error' ELSE 'validation_error' END AS error,
+SELECT batch_id, cast(i AS integer) AS attempt, CASE batch_id % 7 WHEN 2 THEN 'network_error' WHEN 4 THEN 'api_error' ELSE 'validation_error' END AS error,
   CASE WHEN batch_id % 7 = 2 OR i = 3 THEN 'failed' WHEN batch_id % 7 = 4 THEN 'retry_same' ELSE 'retry_with_fallback' END AS action
 FROM b, generate_series(1, 3) g(i) WHERE batch_id % 7 = 3 OR (batch_id % 7 = 5 AND i = 1) OR (batch_id % 7 = 4 AND i <= 3) OR (batch_id % 7 = 2 AND i = 1)""",
 )
@@ -528,7 +523,7 @@ def attempt_log(s: SparkSession, d: str) -> DataFrame:
     return _resolved(s, d, moody).where("status = 'failed'").select("batch_id", "attempt", "error", "action")
 
 
-query("batch_outcomes", f"{WITH} SELECT DISTINCT row_id // 50 AS batch_id, CASE (row_id // 50) % 7 WHEN 3 THEN 'failed' WHEN 5 THEN 'partial_success' ELSE 'success' END AS outcome, cast(CASE (row_id // 50) % 7 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS bigint) AS attempts FROM keyed")(lambda s, d: resolve.batch_outcomes(_resolved(s, d)))
+query("batch_outcomes", f"{WITH} SELECT DISTINCT row_id // 50 AS batch_id, CASE (row_id // 50) % 7 WHEN 3 THEN 'failed' WHEN 5 THEN 'partial_success' ELSE 'success' END AS outcome, cast(CASE (row_id // 50) % 7 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS bigint) AS attempts FROM keyed")(lambda s, d: resolve.batch_outcomes(_resolved(s, d)).drop("ms"))
 @query(
     "retry_ladder",
     f"""{WITH.rstrip()}, b AS (SELECT DISTINCT row_id // 50 AS batch_id FROM keyed)
@@ -543,10 +538,55 @@ def retry_ladder(s: SparkSession, d: str) -> DataFrame:
     return tries.groupBy("batch_id").agg(F.max("attempt").cast("bigint").alias("attempts"), F.array_join(steps, ",").alias("steps"))
 
 
-query("group_by_pending", f"{WITH} SELECT array_to_string(list_sort({MISSING_SQL}), ',') AS pending_key, count(*) AS n FROM keyed GROUP BY 1")(
-    lambda s, d: resolve.group_by_pending(rules.transform_row(contacts(s, d), RULES), "missing").groupBy("pending_key").agg(F.count("*").alias("n")))
-query("render_prompt", f"{WITH} SELECT row_id // 50 AS batch_id, 'Fill: [' || string_agg('{{\"row_id\":' || row_id || ',\"obj_published\":\"' || obj_published || '\"}}', ',' ORDER BY row_id) || ']' AS prompt FROM keyed GROUP BY 1")(
-    lambda s, d: resolve.render_prompt(contacts(s, d).select(F.floor(F.col("row_id") / 50).alias("batch_id"), "row_id", "obj_published"), "Fill: {records}"))
+FORM_SIZE = 40
+FORMS = f"forms AS (SELECT row_id, obj_published, array_to_string(list_sort(['person.gender'] || {MISSING_SQL}), ',') AS pending_key FROM keyed), batches AS (SELECT *, pending_key || '#' || (row_number() OVER (PARTITION BY pending_key ORDER BY row_id) - 1) // {FORM_SIZE} AS batch_id FROM forms)"
+FORM_SCHEMA = {"entities": {"person": {"properties": {"name": {"type": "string"}, "gender": {"type": "string", "enum": ["f", "m"]}, "userID": {"type": "string", "required": True}, "tags": {"type": "array", "items": {"type": "string"}}}}, "action": {"properties": {"published": {"type": "string"}, "type": {"type": "string"}}}}}
+FORM_TEMPLATE = "Fill this in: <<<SCHEMA>>> Additional important rules: none"
+
+
+def _form_batches(s: SparkSession, d: str) -> DataFrame:
+    return resolve.form_batches(rules.transform_row(contacts(s, d), RULES), FORM_SIZE)
+
+
+query("group_by_pending", f"{WITH.rstrip()}, {FORMS} SELECT pending_key, count(*) AS n, count(DISTINCT batch_id) AS n_batches FROM batches GROUP BY 1")(
+    lambda s, d: _form_batches(s, d).groupBy("pending_key").agg(F.count("*").alias("n"), F.countDistinct("batch_id").alias("n_batches")))
+HAS = "list_contains(string_split(pending_key, ','), '{}')"
+ACTION_FORM = "CASE WHEN " + HAS.format("action.published") + " THEN ',\"action\":{\"type\":\"object\",\"properties\":{\"published\":{\"type\":\"string\"}},\"required\":[\"published\"]}' ELSE '' END"
+FORM_JSON = (
+    "'{\"type\":\"object\",\"properties\":{\"person\":{\"type\":\"object\",\"properties\":{' || CASE WHEN " + HAS.format("person.name") + " THEN '\"name\":{\"type\":\"string\"},' ELSE '' END || "
+    "'\"gender\":{\"type\":\"string\",\"enum\":[\"f\",\"m\"]},\"userID\":{\"type\":\"string\"}},\"required\":[' || CASE WHEN " + HAS.format("person.name") + " THEN '\"name\",' ELSE '' END || '\"gender\",\"userID\"]}' || "
+    + ACTION_FORM + " || '},\"required\":[\"person\"' || CASE WHEN " + HAS.format("action.published") + " THEN ',\"action\"' ELSE '' END || ']}'"
+)
+
+
+@query(
+    "render_prompt",
+    f"""{WITH.rstrip()}, {FORMS} SELECT batch_id, 'Fillthisin:' || {FORM_JSON} || 'Additionalimportantrules:Inputfilename:"contacts"ThisfilenamemayprovidecontextforfieldslikedataSource-youcaninferappropriatevaluesfromit.none' AS instructions,
+  '[' || string_agg('{{"row_id":' || row_id || ',"obj_published":"' || obj_published || '"}}', ',' ORDER BY row_id) || ']' AS records FROM batches GROUP BY batch_id, pending_key""",
+)
+def render_prompt(s: SparkSession, d: str) -> DataFrame:
+    """Prompts of all batches of all forms; white space of the instructions is left out of the comparison."""
+    found = resolve.form_prompts(_form_batches(s, d), FORM_SCHEMA, FORM_TEMPLATE, ["row_id", "obj_published"], "in/contacts.csv")
+    return found.select("batch_id", F.regexp_replace("instructions", r"\s+", "").alias("instructions"), "records")
+
+
+def by_form(pdf: pd.DataFrame, schema: dict, model: str, error: str | None) -> pd.DataFrame:
+    """An offline resolver that says what it was asked for; a third of the batches are too much for the main model."""
+    if model == "main" and int(pdf["row_id"].min()) % 3 == 0:
+        raise resolve.Invalid("Required field 'gender' is missing or null")
+    asked = [f"{entity}.{name}" for entity, spec in schema["properties"].items() for name in spec["properties"]]
+    return pd.DataFrame({"row_id": pdf["row_id"], "asked": ",".join(sorted(asked)), "n": len(pdf)})
+
+
+@query(
+    "resolve_forms",
+    f"""{WITH.rstrip()}, {FORMS}, sizes AS (SELECT batch_id, count(*) AS n, min(row_id) % 3 = 0 AS odd FROM batches GROUP BY 1)
+SELECT row_id, pending_key AS asked, n, CASE WHEN odd THEN 2 ELSE 1 END AS attempt, odd AS missed FROM batches JOIN sizes USING (batch_id)""",
+)
+def resolve_forms(s: SparkSession, d: str) -> DataFrame:
+    tries = resolve.resolve_forms(_form_batches(s, d).select("row_id", "pending_key", "batch_id"), FORM_SCHEMA, by_form, "row_id long, asked string, n long")
+    missed = tries.where("error = 'required_field_error'").select("batch_id", F.lit(True).alias("missed"))
+    return tries.where("status = 'success'").join(missed, "batch_id", "left").select("row_id", "asked", "n", "attempt", F.coalesce("missed", F.lit(False)).alias("missed"))
 
 
 LINKED = f"{identity_sql('emails')}, linked AS (SELECT k.* EXCLUDE (uuid), i.uuid FROM keyed k JOIN ids i USING (row_id) WHERE key IS NOT NULL)"

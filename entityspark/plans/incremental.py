@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entityspark.functions import text as fx
-from entityspark.operators import checks, ingest, ledger, merge, resolve
+from entityspark.operators import checks, identity, ingest, ledger, merge, resolve
 from entityspark.operators.components import ensure_checkpoint_dir
 from entityspark.plans import catalog
 from entityspark.plans.registry import query
@@ -175,6 +175,17 @@ query("file_status_summary", f"{WITH.rstrip()}, {MANIFEST_SQL} SELECT count(*) A
     lambda s, d: _manifest(s, d).agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == x).alias(x) for x in STATUSES]))
 
 
+@query("progress", f"{WITH.rstrip()}, {MANIFEST_SQL} SELECT (SELECT count(*) FROM manifest) AS total_files, (SELECT count(*) FROM manifest WHERE status = 'completed') AS completed_files, (SELECT count(*) FROM manifest WHERE status = 'failed') AS failed_files, (SELECT count(*) FROM keyed) AS total_rows, (SELECT count(*) FROM processed) AS processed_rows, (SELECT count(*) FROM status) AS total_keys, (SELECT count(*) FROM status WHERE status = 'completed') AS completed_keys, (SELECT count(*) FROM status WHERE status IN ('pending', 'processing')) AS pending_keys")
+def progress(s: SparkSession, d: str) -> DataFrame:
+    return ledger.progress(_manifest(s, d), keyed(s, d), processed(s, d), catalog._counts(s, d))
+
+
+@query("table_stats", f"{WITH.rstrip()}, {MANIFEST_SQL} SELECT 'files' AS name, count(*) AS n FROM manifest UNION ALL SELECT 'raw_rows', count(*) FROM keyed UNION ALL SELECT 'keys', count(*) FROM status UNION ALL SELECT 'processed_results', count(*) FROM processed UNION ALL SELECT 'merged_output', count(*) FROM status WHERE status = 'completed' UNION ALL SELECT 'rejected', 0")
+def table_stats(s: SparkSession, d: str) -> DataFrame:
+    merged = catalog._entities(s, d).join(catalog._counts(s, d).where("status = 'completed'"), "uuid", "left_semi")
+    return ledger.table_stats({"files": _manifest(s, d), "raw_rows": keyed(s, d), "keys": catalog._counts(s, d), "processed_results": processed(s, d), "merged_output": merged, "rejected": keyed(s, d).where("false")})
+
+
 # incremental ingest (2.13)
 def _ingested(s: SparkSession, d: str) -> ingest.Ingested:
     return ingest.ingest(s, export(s, d), HEADER)
@@ -234,6 +245,28 @@ def log_datasets(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).groupBy(F.col("kind").cast("string").alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _logs(s: SparkSession, d: str) -> DataFrame:
+    """All records of a run, with identities as assigned."""
+    results, violations, attempts = _processed(s, d)
+    rows = contacts(s, d)
+    named = identity.assign_identity(catalog._valued(s, d))
+    return resolve.log_datasets(results, violations, attempts, identity.identity_events(rows, named, rows.columns))
+
+
+@query(
+    "log_rollups",
+    f"""{catalog.identity_sql('emails')}, b AS (SELECT row_id // 50 AS id, count(*) AS n FROM keyed GROUP BY 1)
+SELECT 'missing_field' AS measure, 'greeting' AS value, cast(sum(n) AS bigint) AS n FROM b WHERE id % 7 = 3
+UNION ALL SELECT 'retry', 'retry_with_fallback', cast(sum(CASE id % 7 WHEN 3 THEN 2 WHEN 5 THEN 1 END) AS bigint) FROM b UNION ALL SELECT 'retry', 'failed', count(*) FROM b WHERE id % 7 = 3
+UNION ALL SELECT 'retry_error', 'validation_error', cast(sum(CASE id % 7 WHEN 3 THEN 3 WHEN 5 THEN 1 END) AS bigint) FROM b
+UNION ALL SELECT 'outcome', CASE id % 7 WHEN 3 THEN 'failed' WHEN 5 THEN 'partial_success' ELSE 'success' END, count(*) FROM b GROUP BY 2
+UNION ALL SELECT 'event', CASE event WHEN 'random' THEN 'fallback_to_random' ELSE event END, count(*) FROM ids GROUP BY 2
+UNION ALL SELECT 'fallback', 'No valid UUID values found (no email or email columns), generating random UUID', count(*) FROM ids WHERE event = 'random'""",
+)
+def log_rollups(s: SparkSession, d: str) -> DataFrame:
+    return resolve.log_rollups(_logs(s, d))
+
+
 # streams (2.13)
 RESULT = "uuid string, record_count long, ord long, givenName string"
 

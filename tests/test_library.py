@@ -81,7 +81,7 @@ def test_resolver_is_called_once_per_attempt(spark, tmp_path):
     rows = spark.createDataFrame([(i, i // 3, f"v{i}") for i in range(12)], "row_id long, batch_id long, name string")
     done, bad, log = resolve.process_batch(rows, rules.RuleSet({"name": rules.Rule("name")}, model_fields=("note",)), resolver, "row_id long, note string", {"name": ("NAME", False)}, [checks.Constraint("note", required=True)])
     assert done.where("note is not null").count() == 6 and bad.count() == 6 and resolve.batch_outcomes(log).count() == 4
-    assert {r["batch_id"]: (r["error"], r["action"]) for r in log.where("status = 'failed'").collect()} == {1: ("unrecoverable_error", "failed"), 2: ("validation_error", "retry_with_fallback"), 3: ("unrecoverable_error", "failed")}
+    assert {r["batch_id"]: (r["error"], r["action"]) for r in log.where("status = 'failed'").collect()} == {1: ("network_error", "failed"), 2: ("validation_error", "retry_with_fallback"), 3: ("network_error", "failed")}
     assert {b: (tmp_path / str(b)).read_text().split() for b in range(4)} == {0: ["main"], 1: ["main"], 2: ["main", "fallback"], 3: ["main"]}
 
 
