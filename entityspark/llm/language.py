@@ -8,18 +8,19 @@ divided by what a text of that language is expected to hit.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entityspark.llm.textio import keep, steps, texts
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter is of Unicode category L: neither digits of any script nor superscripts, fractions or numerals.
+LETTER = regex.compile(r"\p{L}")
 
 #: Bytes that n-grams keep: a-z and everything above ASCII; all others count as a blank.
 _KEPT = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)

@@ -110,8 +110,9 @@ def test_winnowing(spark, docs, empty):
 def test_language_and_quality(spark, docs, empty):
     train = spark.createDataFrame([("der und die ist nicht " * 20, "de"), ("the and of is not " * 20, "en"), (None, "en"), ("z", None)], "text string, lang string")
     model = language.train(train)
-    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(spark.createDataFrame([(1, "und nicht die"), (2, "the of and"), (3, "12 !"), (4, None)], "doc_id long, text string"), model).collect()}
-    assert got == {1: "de", 2: "en", 3: "und", 4: "und"}
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(spark.createDataFrame([(1, "und nicht die"), (2, "the of and"), (3, "12 !"), (4, None), (5, "x\u00b2"), (6, "\u00b2\u00bd \u2167 \u0663 _"), (7, "")], "doc_id long, text string"), model).collect()}
+    assert got.pop(5) in ("de", "en")
+    assert got == {1: "de", 2: "en", 3: "und", 4: "und", 6: "und", 7: "und"}
     assert {r["lang_pred"] for r in language.predict(docs, language.train(docs.where("false"))).collect()} == {"und"}
     labelled = spark.createDataFrame([(f"a calm sentence number {i}. ", 1.0) for i in range(60)] + [(f"BUY!! NOW!! {i}!! ", 0.0) for i in range(60)], "text string, label double")
     machine = quality.train(labelled)
