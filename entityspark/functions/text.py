@@ -91,6 +91,11 @@ def uuid_v5(value: Column, namespace: str = NAMESPACE) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def row_hash(uuid: Column, columns: list[str]) -> Column:
+    """SHA-256 of a row's identity and cells as JSON; equal rows of one person have equal hashes."""
+    return F.sha2(F.to_json(F.struct(uuid.alias("uuid"), F.struct(*columns).alias("rawData"))), 256)
+
+
 def emails_of(columns: list[str]) -> Column:
     """All addresses of the email-like columns among ``columns``, in column order, trimmed and lower-cased."""
     plain = lambda n: "".join(ch for ch in n if ch.isalnum() and ch.isascii()).lower()

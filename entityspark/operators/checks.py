@@ -125,6 +125,22 @@ def required_constraints(df: DataFrame, columns: list[str]) -> list[Constraint]:
     return [Constraint(p, required=True) for p in nested.wrapped_paths(df.select(*columns).schema)]
 
 
+def nullability_constraints(schema: T.StructType, prefix: str = "") -> list[Constraint]:
+    """A ``required`` constraint for every field, at any depth, that a schema does not let be null."""
+    out = []
+    for f in schema:
+        path, inner, nullable = prefix + f.name, f.dataType, f.nullable
+        while True:
+            if not nullable:
+                out.append(Constraint(path, required=True))
+            if not isinstance(inner, T.ArrayType):
+                break
+            path, nullable, inner = path + "[]", inner.containsNull, inner.elementType
+        if isinstance(inner, T.StructType):
+            out += nullability_constraints(inner, path + ".")
+    return out
+
+
 def described(violations: DataFrame) -> DataFrame:
     """Adds ``message``, what is wrong in words."""
     field = F.regexp_extract("path", r"([^.]*)$", 1)

@@ -36,6 +36,25 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: list[str], order: st
     return first.join(existing.select(*key).distinct(), key, "left_anti")
 
 
+def insert_counts(existing: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
+    """``(inserted, ignored)`` of ``insert_ignore``, one row."""
+    added = insert_ignore(existing, new, key, order).select(F.lit(1).alias("added"))
+    both = added.unionByName(new.select(F.lit(0).alias("added")))
+    inserted = F.count_if(F.col("added") == 1)
+    return both.agg(inserted.alias("inserted"), (F.count_if(F.col("added") == 0) - inserted).alias("ignored"))
+
+
+def attach_results(rows: DataFrame, results: DataFrame, batch: str = "batch_id") -> tuple[DataFrame, DataFrame]:
+    """(rows with their results, refused batches): by ``row_id``; a batch with another number of results than rows is refused whole.
+
+    Of the refused, ``(batch, n_rows, n_results)``.
+    """
+    counts = [x.groupBy(batch).agg(F.count("*").alias(n)) for x, n in ((rows, "n_rows"), (results, "n_results"))]
+    both = counts[0].join(counts[1], batch, "full").select(batch, *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_rows", "n_results")])
+    refused = both.where("n_rows <> n_results")
+    return rows.join(results, [batch, "row_id"]).join(refused.select(batch), batch, "left_anti"), refused
+
+
 def upsert_latest(base: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return base.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 

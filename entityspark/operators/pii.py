@@ -227,6 +227,15 @@ def unmask(df: DataFrame, columns: list[str], row_id: str, table: DataFrame, sco
     return joined.select(*[whole(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def mask(df: DataFrame, fields: dict[str, tuple[str, bool]], row_id: str, scope: list[str] | None = None, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``mask_nested``, or, where masking is switched off, the frame as it is and an empty dictionary."""
+    if enabled:
+        return mask_nested(df, fields, row_id, scope)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    columns = "".join(f"`{c}` {kinds[c]}, " for c in scope or [])
+    return df, df.sparkSession.createDataFrame([], f"{columns}value string, template string, n long, placeholder string")
+
+
 def mask_nested(df: DataFrame, fields: dict[str, tuple[str, bool]], row_id: str, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Masks the texts under paths such as ``people[].email``; returns the masked frame and its dictionary.
 

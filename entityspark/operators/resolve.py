@@ -192,6 +192,19 @@ def log_rollups(logs: DataFrame) -> DataFrame:
     return logs.select(F.explode(F.array_compact(F.array(*found)).cast(ROLLUP)).alias("x")).groupBy("x.measure", "x.value").agg(F.count("*").alias("n"))
 
 
+def overlay(mapped: DataFrame, answers: DataFrame, batch: str = "batch_id", row_id: str = "row_id") -> DataFrame:
+    """``(batch, row_id, result)``: answers with what rules gave laid over them, value by value.
+
+    ``mapped`` and ``answers`` have structs of these names and of one type. Batches whose numbers
+    of rows differ keep their answers as they are; rows without an answer have none.
+    """
+    counts = [x.groupBy(batch).agg(F.count("*").alias(n)) for x, n in ((mapped, "rows"), (answers, "got"))]
+    alike = counts[0].join(counts[1], batch).where(F.col("rows") == F.col("got")).select(batch, F.lit(True).alias("alike"))
+    both = answers.join(mapped.select(batch, row_id, "mapped"), [batch, row_id], "left").join(alike, batch, "left")
+    whole = rules.merge_deep(F.col("answers"), F.col("mapped"), answers.schema["answers"].dataType)
+    return both.select(batch, row_id, F.when(F.coalesce("alike", F.lit(False)), whole).otherwise(F.col("answers")).alias("result"))
+
+
 def process_batch(rows: DataFrame, rule_set: rules.RuleSet, resolver: Resolver, schema: str, masked: dict[str, tuple[str, bool]], constraints: list[checks.Constraint], batch: str = "batch_id", row_id: str = "row_id", retries: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, violations, attempts): rules, masking, resolver, unmasking, overlay and checks.
 

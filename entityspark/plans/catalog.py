@@ -62,15 +62,12 @@ for _name, _value, _sql in [
     ("map_literal", lambda: rules.value_of(["tags"], rules.Rule("tags", literal="crm"))[0], "'crm'"),
     ("map_fallback", lambda: rules.value_of(["action_type"], rules.Rule("action_type", fallback="web_read"))[0], "CASE WHEN trim(action_type) = '' THEN 'web_read' ELSE action_type END"),
     ("taxonomy_normalize", lambda: rules.taxonomy_normalize(c("action_type"), views.ACTIONS), CANON),
-    ("wrap_required", lambda: F.to_json(F.struct(c("tags").alias("value"), c("tags").isNotNull().alias("present"))), "'{\"value\":\"' || tags || '\",\"present\":true}'"),
     ("unwrap_required", lambda: rules.unwrap_required(F.struct(c("tags").alias("value"), (c("row_id") % 2 == 0).alias("present"))), "CASE WHEN row_id % 2 = 0 THEN tags END"),
     ("extract_emails", lambda: joined(c("emails")), "array_to_string(emails, '|')"),
     ("extract_id_values", lambda: joined(fx.id_values(["primaryEmail", "additionalEmails", "givenName"], "givenName")), "CASE WHEN trim(\"givenName\") <> '' THEN lower(trim(\"givenName\")) ELSE array_to_string(emails, '|') END"),
     ("uuid_v5", lambda: c("uuid"), "uuid"),
-    ("uuid_random", lambda: fx.uuid_v5(F.concat(F.lit("row:"), c("row_id").cast("string"))).isNotNull() & c("uuid").isNull(), "uuid IS NULL"),
     ("comma_field_list", lambda: F.when(F.size(fx.t_split(F.nullif(c("additionalEmails"), F.lit("")))) > 0, joined(fx.t_split(c("additionalEmails")))), "CASE WHEN trim(\"additionalEmails\") <> '' THEN array_to_string(list_transform(string_split(\"additionalEmails\", ','), lambda x: trim(x)), '|') END"),
     ("custom_rule", lambda: rules.value_of(["tags"], rules.Rule("tags", custom=lambda x: F.reverse(F.upper(x))))[0], "reverse(upper(tags))"),
-    ("row_hash", lambda: F.sha2(F.concat_ws("|", "tags", "action_type"), 256), "sha256(tags || '|' || action_type)"),
 ]:
     over_contacts(_name, _value, _sql)
 
@@ -112,12 +109,6 @@ def pending_fields(s: SparkSession, d: str) -> DataFrame:
     return rules.transform_row(contacts(s, d), RULES).select("row_id", F.array_join("pending", ",").alias("pending"))
 
 
-@query("split_resolved_pending", f"{WITH} SELECT len({MISSING_SQL}) = 1 AS resolved, count(*) AS n FROM keyed GROUP BY 1")
-def split_resolved_pending(s: SparkSession, d: str) -> DataFrame:
-    done, rest = resolve.split_resolved(rules.transform_row(contacts(s, d), RULES).withColumn("left", F.array_except("missing", F.array(F.lit("person.userID")))), "left")
-    return done.agg(F.count("*").alias("n")).select(F.lit(True).alias("resolved"), "n").unionByName(rest.agg(F.count("*").alias("n")).select(F.lit(False).alias("resolved"), "n"))
-
-
 @query("pending_union", f"{WITH} SELECT row_id // 50 AS batch_id, array_to_string(list_sort(list_distinct(flatten(list({MISSING_SQL})))), ',') AS pending FROM keyed GROUP BY 1")
 def pending_union(s: SparkSession, d: str) -> DataFrame:
     out = rules.transform_row(contacts(s, d), RULES).withColumn("batch_id", F.floor(F.col("row_id") / 50))
@@ -133,30 +124,90 @@ def prune_schema(s: SparkSession, d: str) -> DataFrame:
     return rules.transform_row(contacts(s, d), RULES).select("row_id", F.to_json(rules.project(F.col("mapped"), kept)).alias("kept"))
 
 
-@query("deterministic_output", f"{WITH} SELECT row_id, nullif({NAME_SQL}, '') AS name, {TYPE_SQL} AS type FROM keyed WHERE len({MISSING_SQL}) = 1")
-def deterministic_output(s: SparkSession, d: str) -> DataFrame:
-    return rules.transform_row(contacts(s, d), RULES).where(F.size("missing") == 1).select("row_id", "mapped.person.name", "mapped.action.type")
-
-
 @query("merge_deep", f"{WITH} SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'x' ELSE tags END AS tags, \"givenName\" AS name FROM keyed")
 def merge_deep(s: SparkSession, d: str) -> DataFrame:
     df = contacts(s, d).select("row_id", F.struct(F.col("tags"), F.col("givenName").alias("name")).alias("a"), F.struct(F.when(F.col("row_id") % 2 == 0, "x").alias("tags"), F.lit(None).cast("string").alias("name")).alias("b"))
     return df.select("row_id", rules.merge_deep(F.col("a"), F.col("b"), df.schema["a"].dataType).alias("m")).select("row_id", "m.tags", "m.name")
 
 
-@query("overlay_deterministic", f"{WITH} SELECT k.row_id, CASE WHEN k.row_id % 5 <> 0 AND trim(action_type) = '' THEN 'model' ELSE {TYPE_SQL} END AS type FROM keyed k")
-def overlay_deterministic(s: SparkSession, d: str) -> DataFrame:
-    ruled = rules.transform_row(contacts(s, d), RULES).select("row_id", F.col("mapped.action.type").alias("ruled"), "action_type")
-    model = processed(s, d).select("row_id", F.lit("model").alias("model"))
-    return ruled.join(model, "row_id", "left").select("row_id", F.when(fx.is_blank(F.col("action_type")), F.coalesce("model", "ruled")).otherwise(F.col("ruled")).alias("type"))
-
-
 @query("taxonomy_join", f"{WITH} SELECT row_id, {CANON} AS value FROM keyed")
 def taxonomy_join(s: SparkSession, d: str) -> DataFrame:
     entries = s.createDataFrame([(k.lower(), v) for n, v in views.ACTIONS.items() for k in (n, v)], "k string, canonical string")
     return contacts(s, d).join(F.broadcast(entries), F.lower(fx.js_trim(F.col("action_type"))) == F.col("k"), "left").select("row_id", F.coalesce("canonical", "action_type").alias("value"))
 
 
+# rules whose required fields all have one, so that rows can be resolved without a model
+SETTLED = rules.RuleSet(RULES.fields, required=("person.name", "action.published"))
+SETTLED_SQL = f"trim(\"givenName\") <> '' AND {PUBLISHED_SQL} IS NOT NULL"
+
+
+@query("split_resolved_pending", f"{WITH} SELECT row_id, {SETTLED_SQL} AS resolved FROM keyed")
+def split_resolved_pending(s: SparkSession, d: str) -> DataFrame:
+    done, rest = resolve.split_resolved(rules.transform_row(contacts(s, d), SETTLED))
+    return done.select("row_id", F.lit(True).alias("resolved")).unionByName(rest.select("row_id", F.lit(False).alias("resolved")))
+
+
+@query("deterministic_output", f"{WITH} SELECT row_id, nullif({NAME_SQL}, '') AS name, {TYPE_SQL} AS type, {PUBLISHED_SQL} AS published FROM keyed WHERE {SETTLED_SQL}")
+def deterministic_output(s: SparkSession, d: str) -> DataFrame:
+    done, _ = resolve.split_resolved(rules.transform_row(contacts(s, d), SETTLED))
+    return done.select("row_id", "mapped.person.name", "mapped.action.type", "mapped.action.published")
+
+
+@query(
+    "wrap_required",
+    f"""{WITH} SELECT row_id, '{{"person":{{"name":{{' || CASE WHEN {NAME_SQL} <> '' THEN '"value":"' || {NAME_SQL} || '",' ELSE '' END || '"present":' || ({NAME_SQL} <> '') || '}}}},"action":{{"type":"' || {TYPE_SQL} || '","published":{{'
+  || coalesce('"value":"' || {PUBLISHED_SQL} || '",', '') || '"present":' || ({PUBLISHED_SQL} IS NOT NULL) || '}}}}}}' AS wrapped FROM keyed""",
+)
+def wrap_required(s: SparkSession, d: str) -> DataFrame:
+    """Mapped rows with their required values as {value, present}."""
+    kept = {p: RULES.fields[p] for p in ("person.name", "action.type", "action.published")}
+    return rules.transform_row(contacts(s, d), rules.RuleSet(kept, SETTLED.required), wrap=True).select("row_id", F.to_json("mapped").alias("wrapped"))
+
+
+@query(
+    "overlay_deterministic",
+    f"""{WITH.rstrip()}, got AS (SELECT row_id, row_id // 50 AS batch_id FROM keyed WHERE (row_id // 50) % 3 > 0 OR row_id % 5 <> 0), sizes AS (SELECT row_id // 50 AS batch_id, count(*) AS n, count(*) FILTER ((row_id // 50) % 3 > 0 OR row_id % 5 <> 0) AS m FROM keyed GROUP BY 1)
+SELECT k.row_id, CASE WHEN n = m AND {NAME_SQL} <> '' THEN {NAME_SQL} ELSE 'model name' END AS name, CASE WHEN n = m THEN {TYPE_SQL} ELSE 'model' END AS type, CASE WHEN n = m THEN coalesce({PUBLISHED_SQL}, 'some day') ELSE 'some day' END AS published
+FROM keyed k JOIN got USING (row_id) JOIN sizes USING (batch_id)""",
+)
+def overlay_deterministic(s: SparkSession, d: str) -> DataFrame:
+    """Rule values over a model's; a third of the batches lost answers and keep what the model said."""
+    kept = {p: RULES.fields[p] for p in ("person.name", "action.type", "action.published")}
+    mapped = rules.transform_row(contacts(s, d), rules.RuleSet(kept)).withColumn("batch_id", F.floor(F.col("row_id") / 50))
+    said = F.struct(F.struct(F.lit("model name").alias("name")).alias("person"), F.struct(F.lit("model").alias("type"), F.lit("some day").alias("published")).alias("action"))
+    answers = mapped.where("batch_id % 3 > 0 OR row_id % 5 <> 0").select("batch_id", "row_id", said.alias("answers"))
+    return resolve.overlay(mapped, answers).select("row_id", "result.person.name", "result.action.type", "result.action.published")
+
+
+query("uuid_random", f"{WITH} SELECT row_id, {views._UUID} AS uuid FROM (SELECT row_id, sha1(unhex('{fx.NAMESPACE}') || encode('row:' || row_id)) AS h FROM keyed WHERE key IS NULL)")(
+    lambda s, d: identity.assign_identity(_valued(s, d), "first_value").where("event = 'random'").select("row_id", "uuid"))
+query("row_hash", f"{WITH} SELECT row_id, sha256('{{' || coalesce('\"uuid\":\"' || uuid || '\",', '') || '\"rawData\":{{\"tags\":\"' || tags || '\",\"action_type\":\"' || action_type || '\"}}}}') AS value FROM keyed")(
+    lambda s, d: keyed(s, d).select("row_id", fx.row_hash(F.col("uuid"), ["tags", "action_type"]).alias("value")))
+query("pii_passthrough", f"{WITH} SELECT row_id, \"givenName\", \"primaryEmail\", \"additionalEmails\", tags, cast(0 AS bigint) AS n_placeholders FROM keyed")(lambda s, d: _passed(s, d))
+
+
+def _passed(s: SparkSession, d: str) -> DataFrame:
+    """Masking switched off: rows as they are, an empty dictionary."""
+    rows, table = pii.mask(contacts(s, d), FIELDS, "row_id", enabled=False)
+    return rows.select("row_id", "givenName", "primaryEmail", "additionalEmails", "tags", F.lit(table.count()).cast("long").alias("n_placeholders"))
+
+
+EXISTING = "row_id % 2 = 0 AND row_id % 3 > 0"
+query("insert_ignore", f"{WITH} SELECT \"givenName\", action_type, min(row_id) AS row_id FROM keyed k WHERE row_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM keyed o WHERE o.row_id % 2 = 0 AND o.row_id % 3 > 0 AND o.\"givenName\" = k.\"givenName\" AND o.action_type = k.action_type) GROUP BY ALL")(
+    lambda s, d: ledger.insert_ignore(contacts(s, d).where(EXISTING), contacts(s, d).where("row_id % 2 = 1"), ["givenName", "action_type"], "row_id").select("givenName", "action_type", "row_id"))
+query("insert_counts", f"{WITH.rstrip()}, added AS (SELECT DISTINCT \"givenName\", action_type FROM keyed WHERE row_id % 2 = 1 EXCEPT SELECT \"givenName\", action_type FROM keyed WHERE {EXISTING}) SELECT (SELECT count(*) FROM added) AS inserted, (SELECT count(*) FROM keyed WHERE row_id % 2 = 1) - (SELECT count(*) FROM added) AS ignored")(
+    lambda s, d: ledger.insert_counts(contacts(s, d).where(EXISTING), contacts(s, d).where("row_id % 2 = 1"), ["givenName", "action_type"], "row_id"))
+
+
+@query("attach_results", f"{WITH.rstrip()}, b AS (SELECT *, row_id // 50 AS batch_id FROM keyed) SELECT batch_id, row_id, uuid, 'done ' || obj_published AS result, NULL AS n_results FROM b WHERE batch_id % 4 > 0 UNION ALL SELECT batch_id, NULL, NULL, NULL, count(*) FILTER (row_id % 5 <> 0) FROM b WHERE batch_id % 4 = 0 GROUP BY 1")
+def attach_results(s: SparkSession, d: str) -> DataFrame:
+    """Results of batches, a quarter of which lost some and are refused."""
+    rows = keyed(s, d).withColumn("batch_id", F.floor(F.col("row_id") / 50))
+    results = rows.where("batch_id % 4 > 0 OR row_id % 5 <> 0").select("batch_id", "row_id", F.concat(F.lit("done "), "obj_published").alias("result"))
+    found, refused = ledger.attach_results(rows.select("batch_id", "row_id", "uuid"), results)
+    return found.withColumn("n_results", F.lit(None).cast("long")).unionByName(refused.select("batch_id", "n_results"), allowMissingColumns=True)
+
+
 # joins, counts and states (2.8 - 2.10)
 @query("unprocessed_rows", f"{WITH} SELECT row_id FROM keyed WHERE row_id NOT IN (SELECT row_id FROM processed)")
 def unprocessed_rows(s: SparkSession, d: str) -> DataFrame:
@@ -216,8 +267,6 @@ query("ordered_scan", f"{WITH} SELECT row_id, uuid FROM keyed ORDER BY row_id")(
 query("limit_n", f"{WITH} SELECT row_id FROM keyed ORDER BY row_id LIMIT 20")(lambda s, d: contacts(s, d).select("row_id").orderBy("row_id").limit(20))
 query("set_union_values", f"{WITH} SELECT emails[1] AS value FROM keyed WHERE key IS NOT NULL UNION SELECT lower(trim(tags)) FROM keyed")(lambda s, d: keyed(s, d).where("key IS NOT NULL").select(F.col("key").alias("value")).union(contacts(s, d).select(F.lower(fx.js_trim(F.col("tags"))))).distinct())
 query("set_minus", f"{WITH} SELECT DISTINCT uuid FROM keyed WHERE uuid IS NOT NULL AND uuid NOT IN (SELECT uuid FROM processed WHERE uuid IS NOT NULL)")(lambda s, d: keyed(s, d).where("uuid IS NOT NULL").select("uuid").distinct().join(processed(s, d), "uuid", "left_anti"))
-query("insert_ignore", f"{WITH} SELECT tags, min(row_id) AS row_id FROM keyed WHERE row_id % 2 = 1 AND tags NOT IN (SELECT tags FROM keyed WHERE row_id % 2 = 0 AND row_id < 40) GROUP BY tags")(
-    lambda s, d: ledger.insert_ignore(contacts(s, d).where("row_id % 2 = 0 AND row_id < 40").select("tags"), contacts(s, d).where("row_id % 2 = 1").select("tags", "row_id"), ["tags"], "row_id").select("tags", "row_id"))
 query("upsert_latest", f"{WITH} SELECT row_id, CASE WHEN row_id % 5 <> 0 THEN 'done' ELSE 'new' END AS state FROM keyed")(lambda s, d: ledger.upsert_latest(contacts(s, d).select("row_id", F.lit("new").alias("state")), processed(s, d).select("row_id", F.lit("done").alias("state")), ["row_id"]))
 query("delete_keys", f"{WITH} SELECT row_id, uuid FROM keyed WHERE row_id % 5 = 0")(lambda s, d: keyed(s, d).select("row_id", "uuid").join(processed(s, d).select("row_id"), "row_id", "left_anti"))
 ENTITY = "SELECT uuid, count(*) AS n_records, arg_min(\"givenName\", row_id) FILTER (\"givenName\" <> '') AS \"givenName\", min(obj_published) AS first_published FROM keyed WHERE uuid IS NOT NULL GROUP BY uuid"
@@ -247,9 +296,6 @@ query("cascade_delete", f"{WITH} SELECT k.uuid, count(*) AS record_count, count(
     lambda s, d: (lambda x: ledger.sync_counts(x[0], x[1]).select("uuid", "record_count", "processed_count"))(ledger.cascade_delete(keyed(s, d), processed(s, d), _counts(s, d), [1])))
 query("reingest_edited", f"{WITH} SELECT count(*) AS n, count(DISTINCT uuid) AS n_keys FROM keyed WHERE file_id <> 1 OR row_id % 2 = 0")(
     lambda s, d: ledger.cascade_delete(keyed(s, d), processed(s, d), _counts(s, d), [1])[0].unionByName(keyed(s, d).where("file_id = 1 AND row_id % 2 = 0")).agg(F.count("*").alias("n"), F.countDistinct("uuid").alias("n_keys")))
-query("attach_results", f"{WITH} SELECT row_id, uuid, obj_published FROM keyed WHERE row_id % 5 <> 0")(lambda s, d: keyed(s, d).select("row_id", "uuid", "obj_published").join(processed(s, d).select("row_id"), "row_id"))
-
-
 @query("ingest_plan", "SELECT DISTINCT 'f' || o_custkey || '.csv' AS file_path, CASE o_custkey % 5 WHEN 0 THEN 'skip' WHEN 1 THEN 'replace_failed' WHEN 2 THEN 'reject' WHEN 3 THEN 'reject' ELSE 'ingest' END AS action FROM orders")
 def ingest_plan(s: SparkSession, d: str) -> DataFrame:
     """Equal content done and failed, edited content of a done and of a failed file, and new files."""
@@ -368,9 +414,6 @@ MULTI_SQL = (
     "multi AS (SELECT row_id, string_agg(placeholder, ', ' ORDER BY pos) AS masked FROM items JOIN named USING (value) WHERE field = 2 GROUP BY row_id)"
 )
 query("pii_mask_multi", f"{WITH.rstrip()}, {MULTI_SQL} SELECT row_id, coalesce(masked, \"additionalEmails\") AS \"additionalEmails\" FROM keyed LEFT JOIN multi USING (row_id)")(lambda s, d: pii.mask_fields(contacts(s, d), FIELDS, "row_id")[0].select("row_id", "additionalEmails"))
-query("pii_passthrough", f"{WITH} SELECT row_id, tags FROM keyed")(lambda s, d: contacts(s, d).select("row_id", "tags"))
-
-
 @query("pii_unmask", f"{WITH} SELECT row_id, \"givenName\" FROM keyed")
 def pii_unmask(s: SparkSession, d: str) -> DataFrame:
     masked, table = pii.mask_fields(contacts(s, d), {"givenName": ("NAME", False)}, "row_id")
@@ -443,6 +486,16 @@ def target_struct_type(s: SparkSession, d: str) -> DataFrame:
     return contacts(s, d).select("row_id", read_back.alias("r")).select("row_id", "r.person.name", F.size("r.person.tags").alias("n_tags"), "r.action.seconds", F.col("r.action.place.row").alias("place_row"))
 
 
+@query("v_nullable", f"{WITH} SELECT row_id, 'r.person.name' AS path FROM keyed WHERE trim(\"givenName\") = '' UNION ALL SELECT row_id, 'r.action.place.row' FROM keyed WHERE row_id % 9 = 0 AND row_id % 10 > 0")
+def v_nullable(s: SparkSession, d: str) -> DataFrame:
+    """Nulls, anywhere in results, that the target schema does not allow; below a place that is absent nothing is asked for."""
+    kind = rules.target_struct_type(TARGET_SCHEMA)
+    place = F.when(F.col("row_id") % 10 > 0, F.struct(F.when(F.col("row_id") % 9 > 0, F.col("row_id")).alias("row")))
+    said = F.struct(F.struct(F.when(~fx.is_blank(F.col("givenName")), F.col("givenName")).alias("name")).alias("person"), F.struct(place.alias("place")).alias("action"))
+    results = contacts(s, d).select("row_id", F.from_json(F.to_json(said, {"ignoreNullFields": "false"}), kind).alias("r"))
+    return checks.validate(results, checks.nullability_constraints(T.StructType([T.StructField("r", kind)]))).select("row_id", "path")
+
+
 # data quality (2.11)
 CHECKS = {
     "v_required": (checks.Constraint("uuid", required=True), "uuid IS NULL"),
@@ -454,7 +507,6 @@ CHECKS = {
     "v_email_format": (checks.Constraint("trimmed", format="email"), "trim(\"primaryEmail\") = ''"),
     "v_pattern": (checks.Constraint("action_type", pattern="^[a-z]+$"), "NOT regexp_matches(action_type, '^[a-z]+$')"),
     "v_format": (checks.Constraint("obj_published", format="date"), "NOT regexp_matches(obj_published, '^\\d{4}-\\d{2}-\\d{2}$')"),
-    "v_nullable": (checks.Constraint("key", required=True), "key IS NULL"),
 }
 
 
