@@ -28,7 +28,7 @@ def entity_merge(records: DataFrame, key: str, order: str, scalars: list[str] =
 
     Of ``spans`` the smallest and largest value, as ``first_`` and ``last_`` of the column.
 
-    Rows without a key are left out. List items are made distinct before they are collected, so a
+    Lists in lists are taken apart once. Rows without a key are left out. List items are made distinct before they are collected, so a
     key with very many records costs its different items only.
     """
     o = F.col(order)
@@ -37,7 +37,9 @@ def entity_merge(records: DataFrame, key: str, order: str, scalars: list[str] =
     aggregates += [f(c).alias(f"{n}_{c}") for c in spans for n, f in (("first", F.min), ("last", F.max))]
     merged = given.groupBy(key).agg(F.count("*").alias("n_records"), *aggregates)
     if lists:
-        tagged = [F.transform(F.coalesce(c, F.array().cast("array<string>")), _placed(k)) for k, c in enumerate(lists)]
+        kinds = dict(records.dtypes)
+        flat = {c: F.flatten(F.array_compact(c)) if kinds[c].startswith("array<array<") else F.col(c) for c in lists}
+        tagged = [F.transform(F.coalesce(flat[c], F.array().cast("array<string>")), _placed(k)) for k, c in enumerate(lists)]
         items = given.select(key, o.alias("__o"), F.explode(F.concat(*tagged)).alias("x")).select(key, "__o", "x.*").where(F.col("__item").isNotNull())
         first = items.groupBy(key, "__list", "__item").agg(F.min(F.struct("__o", "__at")).alias("__first"))
         union = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("__list") == k, F.struct("__first", "__item")))), lambda x: x["__item"])
@@ -46,6 +48,12 @@ def entity_merge(records: DataFrame, key: str, order: str, scalars: list[str] =
     return merged.select(key, "n_records", *scalars, *lists, *children, *[f"{n}_{c}" for c in spans for n in ("first", "last")])
 
 
+def identified(merged: DataFrame, key: str) -> DataFrame:
+    """Merged entities with ``userID`` and ``@id``, the key; an entity of one record is as that was, without."""
+    own = F.when(F.col("n_records") > 1, F.col(key))
+    return merged.withColumns({"userID": own, "@id": own})
+
+
 def _placed(k: int):  # noqa: ANN202
     return lambda v, i: F.struct(F.lit(k).alias("__list"), i.alias("__at"), v.alias("__item"))
 

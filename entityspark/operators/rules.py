@@ -63,6 +63,41 @@ def model_field_set(schema_fields: list[str], default: bool, listed: list[str],
     return [f for f in schema_fields if (f in chosen or f in include) and f not in exclude]
 
 
+def with_taxonomies(schema: dict, taxonomies: dict[str, dict[str, str]]) -> dict:
+    """A target schema whose properties that name a taxonomy list its values; one that is not there allows none."""
+
+    def one(spec: dict) -> dict:
+        out = {k: v for k, v in spec.items() if k != "enumFromTaxonomy"}
+        if "enumFromTaxonomy" in spec:
+            out["enum"] = list(dict.fromkeys(taxonomies.get(spec["enumFromTaxonomy"], {}).values()))
+        if "properties" in spec:
+            out["properties"] = {n: one(p) for n, p in spec["properties"].items()}
+        return out | {"items": one(spec["items"])} if "items" in spec else out
+
+    return schema | {"entities": {name: one(entity) for name, entity in schema["entities"].items()}}
+
+
+def rules_of(config: dict, schema: dict, taxonomies: dict[str, dict[str, str]] | None = None, include: list[str] = (), exclude: list[str] = (), custom: dict[str, Callable[[Column], Column]] | None = None) -> RuleSet:
+    """The rules of a configuration ``{"fields": {path: rule}, "llm": {"default", "fields"}}`` for a target schema.
+
+    A rule has source, literal, transforms, taxonomy (a name), fallback, when and custom (the name
+    of a function of ``custom``). Rules of paths that the schema lacks are left out; faulty ones
+    are errors, and so are names of functions that are not given. Required paths are the
+    schema's; a resolver fills what ``llm`` says, with ``include`` and without ``exclude``.
+    """
+    named = {path: required for path, required, _ in schema_fields(target_struct_type(schema))}
+    fields = {}
+    for path, spec in config.get("fields", {}).items():
+        if path not in named:
+            continue
+        taxonomy = (taxonomies or {}).get(spec["taxonomy"]) if spec.get("taxonomy") else None
+        function = (custom or {})[spec["custom"]] if spec.get("custom") else None
+        fields[path] = Rule(spec.get("source"), spec.get("literal"), tuple(spec.get("transforms") or ()), taxonomy, spec.get("fallback"), tuple(spec.get("when") or ()), function)
+    asked = config.get("llm") or {}
+    model = model_field_set(list(named), asked.get("default", True), asked.get("fields") or [], include, exclude)
+    return compile_rules(RuleSet(fields, tuple(p for p, required in named.items() if required), tuple(model), tuple(named)))
+
+
 def condition(columns: list[str], spec: dict) -> Column:
     """A condition as a Column that is never null; unknown types are false."""
     name, kind = spec["column"], spec["type"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entityspark.functions import text as fx
-from entityspark.operators import checks, identity, ingest, ledger, merge, resolve
+from entityspark.operators import checks, identity, ingest, ledger, merge, resolve, rules
 from entityspark.operators.components import ensure_checkpoint_dir
 from entityspark.plans import catalog
 from entityspark.plans.registry import query
@@ -127,6 +128,48 @@ def taxonomy_scan(s: SparkSession, d: str) -> DataFrame:
     return kinds.join(files.taxonomy_scan(s, path), "notation").groupBy("notation", "value").agg(F.count("*").alias("n"))
 
 
+# rules from their files (2.1, 2.4)
+RULES_FILE = {
+    "fields": {
+        "person.name": {"source": "givenName", "transforms": ["trim"]}, "person.id": {"source": ["primaryEmail", "additionalEmails"], "transforms": ["trim", "lowercase"]}, "person.unknown": {"literal": "never"},
+        "action.type": {"source": "action_type", "taxonomy": "kinds", "fallback": "none"}, "action.note": {"source": "tags", "custom": "backwards", "when": [{"type": "columnExists", "column": "tags"}]},
+        "action.absent": {"source": "tags", "when": [{"type": "columnExists", "column": "no_such"}]},
+    },
+    "llm": {"default": False, "fields": ["person.gender", "person.mood", "nowhere"]},
+}
+SCHEMA_FILE = {
+    "entities": {
+        "person": {"properties": {"name": {"type": "string", "required": True}, "id": {"type": "string", "required": True}, "gender": {"type": "string"}, "mood": {"type": "string"}}},
+        "action": {"properties": {"type": {"type": "string", "enumFromTaxonomy": "kinds"}, "note": {"type": "string"}, "absent": {"type": "string"}}},
+    }
+}
+
+
+@query(
+    "rules_from_files",
+    f"""{WITH.rstrip()}, m AS (SELECT row_id, nullif(trim("givenName"), '') AS name, lower(trim(CASE WHEN trim("primaryEmail") <> '' THEN "primaryEmail" ELSE "additionalEmails" END)) AS id, CASE WHEN trim(action_type) = '' THEN 'none' WHEN lower(trim(action_type)) IN ('zine', 'a zine') THEN 'A Zine' ELSE action_type END AS type, reverse(tags) AS note FROM keyed)
+SELECT row_id, name, nullif(id, '') AS id, type, note, NULL AS absent, 'person.gender,person.mood,action.note' || CASE WHEN name IS NULL THEN ',person.name' ELSE '' END || CASE WHEN id = '' THEN ',person.id' ELSE '' END AS pending, type NOT IN ('A Zine') AS odd FROM m""",
+)
+def rules_from_files(s: SparkSession, d: str) -> DataFrame:
+    """A rule set, its schema and a taxonomy written as files, loaded and applied; types outside the taxonomy are found by the schema's list."""
+    folder = scratch(s, "rules")
+    for name, content in (("rules", RULES_FILE), ("schema", SCHEMA_FILE), ("taxonomies/kinds", [{"notation": "zine", "value": "A Zine"}])):
+        s.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(f"{folder}/{name}.json")
+    loaded, schema = files.load_rules(s, f"{folder}/rules.json", f"{folder}/schema.json", f"{folder}/taxonomies", include=["action.note", "bogus"], custom={"backwards": F.reverse})
+    mapped = rules.transform_row(contacts(s, d), loaded)
+    allowed = schema["entities"]["action"]["properties"]["type"]["enum"]
+    odd = checks.validate(mapped, [checks.Constraint("mapped.action.type", one_of=tuple(allowed))]).select("row_id", F.lit(True).alias("odd"))
+    return mapped.join(odd, "row_id", "left").select("row_id", "mapped.person.name", "mapped.person.id", "mapped.action.type", "mapped.action.note", "mapped.action.absent", F.array_join("pending", ",").alias("pending"), F.coalesce("odd", F.lit(False)).alias("odd"))
+
+
+@query("entity_merge_identified", f"{WITH.rstrip()}, t AS ({catalog.TAGS_SQL}), n AS (SELECT uuid, count(*) AS n_records FROM keyed WHERE uuid IS NOT NULL GROUP BY uuid) SELECT uuid, CASE WHEN n_records > 1 THEN uuid END AS \"userID\", CASE WHEN n_records > 1 THEN uuid END AS \"@id\", tags FROM n JOIN t USING (uuid)")
+def entity_merge_identified(s: SparkSession, d: str) -> DataFrame:
+    """Lists in lists united, and the identity of those merged."""
+    tags = fx.t_split(F.col("tags"))
+    rows = keyed(s, d).withColumn("tag_list", F.array(F.slice(tags, 1, 1), F.slice(tags, 2, 100), F.lit(None).cast("array<string>")))
+    return merge.identified(merge.entity_merge(rows, "uuid", "row_id", lists=["tag_list"]), "uuid").select("uuid", "userID", "@id", F.array_join("tag_list", "|").alias("tags"))
+
+
 # sinks and state tables (2.2)
 def _jsonld(s: SparkSession, d: str) -> DataFrame:
     return merge.jsonld_project(catalog._entities(s, d), "uuid", "Person", ["givenName"])

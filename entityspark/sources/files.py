@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entityspark.functions.text import is_blank
+from entityspark.operators import rules
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
@@ -164,6 +166,29 @@ def taxonomy_scan(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def json_file(spark: SparkSession, path: str) -> dict:
+    """A small JSON file, as configurations, schemas and taxonomies are."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def load_rules(spark: SparkSession, rules_path: str, schema_path: str, taxonomy_folder: str | None = None, include: list[str] = (), exclude: list[str] = (), custom: dict | None = None) -> tuple[rules.RuleSet, dict]:
+    """(rules, schema) from their files. Taxonomies that either names are ``<name>.json`` in a folder; one that is missing is empty."""
+    config, schema = json_file(spark, rules_path), json_file(spark, schema_path)
+
+    def named(spec: object) -> set[str]:
+        if isinstance(spec, list):
+            return set().union(*map(named, spec)) if spec else set()
+        if not isinstance(spec, dict):
+            return set()
+        own = {spec[k] for k in ("taxonomy", "enumFromTaxonomy") if isinstance(spec.get(k), str)}
+        return own.union(*map(named, spec.values()))
+
+    found = {}
+    for name in sorted(named(config) | named(schema)) if taxonomy_folder else ():
+        found[name] = {r["notation"]: r["value"] for r in taxonomy_scan(spark, f"{taxonomy_folder}/{name}.json").collect()}  # a list of terms, small
+    return rules.rules_of(config, schema, found, include, exclude, custom), rules.with_taxonomies(schema, found)
+
+
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table; one that is not there yet has no rows."""
     try:
