@@ -2,7 +2,7 @@
 
 The forest looks at a candidate's length, its character transitions, how much of it the corpus's
 frequent words cover, its document's path and the words next to it. It is trained from labelled
-findings: the caller's, or by default those that a provider's format, a placeholder or plain
+findings: the caller's (``given_findings``), or by default those that a provider's format, a placeholder or plain
 wording labels beyond doubt. Candidates, features and decisions are made inside the row's task.
 """
 
@@ -14,9 +14,11 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ PRIVATE = re.compile(
 )
 PLACEHOLDER = re.compile(r"(?i)example|sample|change|dummy|placeholder|your|test|xxx|\*\*\*|<|\{|\$")
 KINDS = ("provider", "assigned", "long", "private")
-_NEXT = re.compile(r"[^\W_]+")
+_NEXT, _LAST = re.compile(r"[^\W_]+"), regex.compile(r"(?r)[^\W_]+")
 NEIGHBOURS = 16
 FEATURES = ["length", "entropy", "transitions", "coverage", "digits", "upper", "lower", "other", "changes", "hex", "assigned", "quoted", "alone", "path", *(f"before{i}" for i in range(NEIGHBOURS)), *(f"after{i}" for i in range(NEIGHBOURS // 2))]
 
@@ -61,6 +63,7 @@ class Wording:
 
     words: frozenset[bytes]
     transitions: np.ndarray
+    longest: int
 
     @classmethod
     def of(cls, counts: dict[bytes, int]) -> Wording:
@@ -68,7 +71,8 @@ class Wording:
         for word, n in counts.items():
             letters = _letters(word)
             np.add.at(table, (letters[:-1], letters[1:]), n)
-        return cls(frozenset(w for w in counts if len(w) >= 3 and w.isalpha()), np.log(table / table.sum(axis=1, keepdims=True)))
+        words = frozenset(w for w in counts if len(w) >= 3 and w.isalpha())
+        return cls(words, np.log(table / table.sum(axis=1, keepdims=True)), max(map(len, words), default=0))
 
 
 def _letters(word: bytes) -> np.ndarray:
@@ -84,16 +88,24 @@ def wording(docs: DataFrame, text_col: str = "text", least_share: float = 2e-5)
     return Wording.of({bytes(t): int(n) for t, n in zip(rows["token"], rows["n"])})
 
 
-def coverage(value: bytes, words: frozenset[bytes]) -> float:
-    """Share of the bytes that frequent words cover, longest first from the left."""
+def coverage(value: bytes, known: Wording) -> float:
+    """Share of the bytes that frequent words, of any length, cover, longest first from the left."""
+    words = known.words
     value, at, covered = value.lower(), 0, 0
     while at < len(value):
-        size = next((k for k in range(min(12, len(value) - at), 2, -1) if value[at : at + k] in words), 0)
+        size = next((k for k in range(min(known.longest, len(value) - at), 2, -1) if value[at : at + k] in words), 0)
         covered += size
         at += size or 1
     return covered / max(1, len(value))
 
 
+def neighbours(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The two whole words before a candidate, the nearer first, and the one after it, however far or long."""
+    before = [m.group() for m in islice(_LAST.finditer(text, 0, start), 2)]
+    after = _NEXT.search(text, end)
+    return before, [after.group()] if after else []
+
+
 def features(text: str, start: int, end: int, kind: int, path: str, known: Wording) -> list[float]:
     """The numbers that the forest sees, in the order of FEATURES."""
     value = text[start:end]
@@ -103,14 +115,15 @@ def features(text: str, start: int, end: int, kind: int, path: str, known: Wordi
     shares = counts[counts > 0] / len(raw)
     classes = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
     by = [classes.count(k) / n for k in range(4)]
+    words_before, words_after = neighbours(text, start, end)
     before = [0.0] * NEIGHBOURS
-    for w in _NEXT.findall(text[max(0, start - 40) : start])[-2:]:
+    for w in words_before:
         before[zlib.crc32(w.lower().encode()) % NEIGHBOURS] = 1.0
     after = [0.0] * (NEIGHBOURS // 2)
-    for w in _NEXT.findall(text[end : end + 30])[:1]:
+    for w in words_after:
         after[zlib.crc32(w.lower().encode()) % (NEIGHBOURS // 2)] = 1.0
     return [
-        n, float(-(shares * np.log2(shares)).sum()), float(known.transitions[letters[:-1], letters[1:]].mean()) if n > 1 else 0.0, coverage(raw, known.words), *by,
+        n, float(-(shares * np.log2(shares)).sum()), float(known.transitions[letters[:-1], letters[1:]].mean()) if n > 1 else 0.0, coverage(raw, known), *by,
         sum(a != b for a, b in zip(classes, classes[1:])) / n, float(all(c in "0123456789abcdefABCDEF" for c in value)), float(kind == 1 or text[max(0, start - 2) : start].strip()[-1:] in ("=", ":")),
         float(text[start - 1 : start] in ("'", '"')), float(text[start - 1 : start].isspace() and text[end : end + 1].isspace()), zlib.crc32(path.encode()) % 64, *before, *after,
     ]
@@ -185,7 +198,10 @@ class Forest:
 
 
 def labelled_findings(docs: DataFrame, known: Wording, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``(label, order, features)`` of all candidates that ``weak_label`` labels; order is a hash that mixes them."""
+    """``(label, order, features)`` of all candidates that ``weak_label`` labels; order is a hash that mixes them.
+
+    Null and empty texts have none, null paths count as empty, an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +220,31 @@ def labelled_findings(docs: DataFrame, known: Wording, text_col: str = "text", p
     return docs.select(F.col(text_col).alias("t"), F.col(path_col).cast("string").alias("p")).mapInArrow(run, "label int, order long, features array<double>")
 
 
+def given_findings(docs: DataFrame, findings: DataFrame, known: Wording, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """``(label, order, features)`` of findings that someone has labelled: ``(id_col, start, end, label)``, in code points, label 0 or 1.
+
+    Findings of absent documents, null texts or places outside a text are left out. Ids are unique.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "t"):
+            label, order, numbers = [], [], []
+            for raw, path, found in zip(texts(batch, "t"), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                text = raw.decode("utf-8", "replace")
+                kinds = {(start, end): kind for start, end, kind in candidates(text)}
+                for f in found:
+                    if 0 <= f["start"] < f["end"] <= len(text):
+                        label.append(f["label"])
+                        order.append(zlib.crc32(text[max(0, f["start"] - 20) : f["end"] + 20].encode("utf-8", "replace")))
+                        numbers.append(features(text, f["start"], f["end"], kinds.get((f["start"], f["end"]), 2), path or "", shared.value))
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(order, pa.int64()), pa.array(numbers, pa.list_(pa.float64()))], names=["label", "order", "features"])
+
+    of_doc = findings.groupBy(F.col(id_col).alias("id")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("label").cast("int").alias("label"))).alias("found"))
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(path_col).cast("string").alias("p"))
+    return given.join(of_doc, "id").select("t", "p", "found").mapInArrow(run, "label int, order long, features array<double>")
+
+
 def train(findings: DataFrame, sample_rows: int = 4_000) -> Forest:
     """A forest from at most ``sample_rows`` labelled findings of each label (a documented bound), the first by ``order``."""
     stored = keep(findings)
@@ -229,10 +270,16 @@ class Scanner:
         return where, spans, self.forest.score(np.array(numbers).reshape(len(numbers), len(FEATURES)))
 
 
-def scanner(docs: DataFrame, training: DataFrame, text_col: str = "text", path_col: str = "source") -> Scanner:
-    """Learns wording from ``docs`` and the forest from ``training``'s own labelled findings."""
+def scanner(docs: DataFrame, training: DataFrame, text_col: str = "text", path_col: str = "source", findings: DataFrame | None = None, id_col: str = "doc_id") -> Scanner:
+    """Learns wording from ``docs`` and the forest from labelled findings in ``training``.
+
+    ``findings`` (id_col, start, end, label) are someone's; without them, they are those that
+    ``weak_label`` labels. Null texts have no words and no findings; without any findings, or
+    documents, the forest has no trees and removes nothing.
+    """
     known = wording(docs, text_col)
-    return Scanner(known, train(labelled_findings(training, known, text_col, path_col)))
+    labelled = labelled_findings(training, known, text_col, path_col) if findings is None else given_findings(training, findings, known, id_col, text_col, path_col)
+    return Scanner(known, train(labelled))
 
 
 def scan(docs: DataFrame, model: Scanner, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
