@@ -15,6 +15,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,18 +125,24 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
 
     found = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).cast("double").alias("y"))
     found = found.withColumn("at", F.xxhash64("t", "y")).orderBy("at", "t", "y").limit(sample_rows)
-    table = found.mapInArrow(run, "y double, at long, i array<int>, w array<float>, s array<double>").toArrow().combine_chunks()
-    table = table.sort_by([("at", "ascending"), ("y", "ascending")])
+    table = found.mapInArrow(run, "y double, at long, i array<int>, w array<float>, s array<double>").toArrow()
     n = table.num_rows
     machine = FactorisationMachine(np.zeros((len(STATS), BINS - 1)), 0.0, np.zeros(FactorisationMachine.size(), np.float32), np.random.default_rng(0).normal(0, 0.01, (FactorisationMachine.size(), factors)).astype(np.float32))
     if n:
-        columns = {c: table.column(c).combine_chunks() for c in ("i", "w", "s")}
-        stats = columns["s"].flatten().to_numpy().reshape(n, -1)
+        stats = np.concatenate([c.flatten().to_numpy() for c in table.column("s").chunks]).reshape(n, -1)
         machine.edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T
-        cuts = columns["i"].offsets.to_numpy()
-        index, weight = columns["i"].values.to_numpy(), columns["w"].values.to_numpy()
-        rows = [machine.features(index[a:b], weight[a:b], s) for a, b, s in zip(cuts, cuts[1:], stats)]
-        machine.fit(rows, table.column("y").to_numpy())
+        labels = table.column("y").to_numpy()
+        order = np.lexsort((labels, table.column("at").to_numpy()))
+        parts, rows = table.to_batches()[::-1], []
+        del table
+        while parts:  # each is let go once its rows are built, so that the sample is in memory once
+            part = parts.pop()
+            index, weight = (part.column(c).flatten().to_numpy() for c in ("i", "w"))
+            cuts = np.cumsum([0, *pc.list_value_length(part.column("i")).to_pylist()])
+            rows += [machine.features(index[a:b], weight[a:b], s) for a, b, s in zip(cuts, cuts[1:], stats[len(rows) :])]
+        del part, index, weight
+        pa.default_memory_pool().release_unused()
+        machine.fit([rows[i] for i in order], labels[order])
     else:
         machine.factors[:] = 0
     return machine
