@@ -16,7 +16,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates: five-word Jaccard of 0.8 or more."""
+    """One document, that with the smallest id, of each group of near-duplicates: five-word Jaccard of 0.8 or more.
+
+    SimHash's pivot tables link the nearest first; an exact search finds the pairs that its radius misses.
+    """
     return jaccard.keep_one(docs, words=5, least=(4, 5))
 
 
@@ -36,8 +39,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
-#: The near-duplicate stage finds every pair of five-word Jaccard 0.8 or more by prefix filtering; the links of
-#: SimHash fingerprints miss most of these pairs (figures in the README).
+#: The near-duplicate stage links SimHash fingerprints within 4 bits, as op1 does, and verifies these links. They miss
+#: most pairs of five-word Jaccard 0.8 (figures in the README); prefix filtering finds these between what is still apart.
 STAGES = [
     ("quality_classifier", good_quality),
     ("simhash_near_dedup", one_of_each),

@@ -1,4 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles; every pair is found.
+"""Near-duplicates by SimHash, and every pair of the Jaccard similarity of word shingles that it misses.
+
+SimHash comes first: the 64-bit fingerprints of the sets of shingles are linked within MAX_BITS
+through pivot distance tables (``simhash.links``), and each link is verified by the similarity of
+the whole sets. Fingerprints of similarity 0.8 differ in about ten bits, so this finds the nearest
+copies alone. An exact search completes it, between sets that these links leave apart.
 
 Prefix filtering: let all shingles have one order. Sets of similarity t at least share one of
 their first n - ceil(t n) + 1 shingles, so an equi-join of these prefixes misses no pair. The
@@ -10,9 +15,12 @@ discarded. A sketch has at least a bit a shingle, else long sets could not diffe
 them; halves of a sketch, one laid on the other, are the sketch of half as many bits, so all
 sizes compare. The others are verified by the similarity of the whole sets.
 
-Equal sets are one row of the search. Of each prefix shingle's sets, all are compared with the
-smallest first; what these links connect need not be compared again, so a large group of near
-copies costs comparisons in proportion to its size. Only sets that are still apart are paired.
+Equal sets are one row of the search. Of each prefix shingle's sets, all are compared with a
+leading one first (the smallest by one of LEADERS hashes, chosen by the shingle, so that a group
+that shares many shingles has several); what these links connect need not be compared again, so a
+large group of near copies costs comparisons in proportion to its size. Only sets that are still
+apart are paired. A pair with many common shingles is made at the first of them: an entry has the
+EARLIER shingles before it, and a pair whose entries have one of these in common is made there.
 
 Shingles and sets are told apart by 64-bit hashes.
 """
@@ -28,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entityspark.llm import simhash
 from entityspark.llm.textio import keep, quoted, scratch, steps, texts
 from entityspark.operators.components import connected_components
 
@@ -37,6 +46,10 @@ LEAST = (4, 5)
 SAMPLED, COMMON = 8, 1 << 19
 #: Longs of the shortest sketch, and of the folded one that is compared first; both powers of two.
 SKETCH, FOLDED = 16, 8
+#: Bits in which linked SimHashes differ at most, as in op1.
+MAX_BITS = 4
+#: Hashes by which leading sets are chosen, and shingles that an entry has of those before it.
+LEADERS, EARLIER = 4, 4
 #: Candidates that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -89,7 +102,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, words: int, common: tuple[np.ndarray, np.ndarray] | None = None, least: tuple[int, int] = LEAST) -> DataFrame:
-    """``(id, key, n, sketch, hashes)`` of ``(id, t)``: the set's hash, size and sketch, and all of its shingles or, given the common ones, its prefix."""
+    """``(id, key, n, fp, sketch, hashes)`` of ``(id, t)``: the set's hash, size, SimHash and sketch, and all of its shingles or, given the common ones, its prefix in order."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,13 +110,14 @@ def _sets(docs: DataFrame, words: int, common: tuple[np.ndarray, np.ndarray] | N
             found = [shingles(t, words) for t in texts(batch, "t")]
             keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
             sizes = np.array([len(x) for x in found], np.int64)
+            prints = np.array([simhash.majority(x) for x in found], np.uint64).view(np.int64)
             sketches = _lists([_sketch(x) for x in found])
             if shared.value is not None:
                 found = [_prefix(x, *shared.value, least) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes), sketches, _lists(found)], names=["id", "key", "n", "sketch", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes), pa.array(prints), sketches, _lists(found)], names=["id", "key", "n", "fp", "sketch", "hashes"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "t").mapInArrow(run, f"id {kind}, key long, n long, sketch array<bigint>, hashes array<bigint>")
+    return docs.select("id", "t").mapInArrow(run, f"id {kind}, key long, n long, fp long, sketch array<bigint>, hashes array<bigint>")
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,17 +174,58 @@ def _verified(pairs: DataFrame, found: DataFrame, texts_of: DataFrame, words: in
 
 @scratch
 def _documents(given: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """``(id, key, least, n, sketch, q, hashes)`` of every row of ``(id, t)``.
+    """``(id, key, least, n, fp, sketch, q, hashes)`` of every row of ``(id, t)``.
 
-    n, the sketch, the folded one (q) and the prefix are those of the first row of each set, null
+    n, the SimHash, the sketch, the folded one (q) and the prefix are those of the first row of each set, null
     in the others; least is the smallest id of the set there. Stored once, what leads to it is not.
     """
     prints = keep(_sets(given, words, _common(given, words), least).withColumn("row", F.monotonically_increasing_id()))
     groups = keep(prints.groupBy("key").agg(F.min("id").alias("least"), F.min("row").alias("row")).select("row", "least", F.lit(True).alias("first")))
-    of_first = [F.when(F.col("first"), c).alias(name) for name, c in (("n", F.col("n")), ("sketch", F.col("sketch")), ("q", _folded(F.col("sketch"), F.lit(FOLDED))), ("hashes", F.col("hashes")))]
+    of_first = [F.when(F.col("first"), c).alias(name) for name, c in (("n", F.col("n")), ("fp", F.col("fp")), ("sketch", F.col("sketch")), ("q", _folded(F.col("sketch"), F.lit(FOLDED))), ("hashes", F.col("hashes")))]
     return prints.join(groups, "row", "left").select("id", "key", "least", *of_first)
 
 
+def _print_links(found: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of keys that connect the sets whose SimHashes do, through op1's pivot tables."""
+    first = keep(found.groupBy("fp").agg(F.min("key").alias("key")))
+    links = simhash.links(first.select("fp"), MAX_BITS)
+    for end in ("a", "b"):
+        links = links.join(first.select(F.col("fp").alias(end), F.col("key").alias(f"key_{end}")), end)
+    equal = found.select("fp", F.col("key").alias("key_b")).join(first.select("fp", F.col("key").alias("key_a")), "fp").where("key_a < key_b")
+    both = links.select("key_a", "key_b").unionByName(equal.select("key_a", "key_b"))
+    return both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+
+
+def _placed(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """``entries`` with ``part``: the smallest key that the links reach from their own."""
+    parts = connected_components(links, "a", "b").withColumnRenamed("id", "key")
+    return entries.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
+
+
+def _pair() -> tuple[Column, Column]:
+    return F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")
+
+
+def _columns() -> list[Column]:
+    return [F.col("q")[i].alias(f"q{i}") for i in range(FOLDED)]
+
+
+def _candidates(least: tuple[int, int]) -> Column:
+    """Of entries a and b: whether they share their shingle, are apart, and may have the similarity."""
+    bits = reduce(Column.__add__, [F.bit_count(F.col(f"a.q{i}").bitwiseXOR(F.col(f"b.q{i}"))) for i in range(FOLDED)])
+    return (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.part") != F.col("b.part")) & _may(bits, F.col("a.n"), F.col("b.n"), least)
+
+
+def _apart_pairs(placed: DataFrame, found: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Candidates ``(a, b)`` of different parts, each at the first shingle that both have, or a few more."""
+    open_at = placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
+    before = F.slice("hashes", F.greatest(F.col("at") - EARLIER, F.lit(0)) + 1, F.least("at", F.lit(EARLIER)))
+    sized = found.select("key", "n", "hashes", *_columns())
+    apart = placed.join(open_at, "shingle", "left_semi").join(sized, "key").withColumn("before", before).drop("hashes", "at")
+    once = ~F.arrays_overlap("a.before", "b.before") & (F.col("a.key") < F.col("b.key"))
+    return apart.alias("a").join(apart.alias("b"), _candidates(least) & once).select(*_pair())
+
+
 @scratch
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
     """``(id_col, key, component_id)`` per row of ``docs``.
@@ -183,29 +238,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     prints = _documents(given, words, least)
-    found = prints.where("n IS NOT NULL").select("key", "n", "sketch", F.col("least").alias("id"), "q", "hashes")
+    found = prints.where("n IS NOT NULL").select("key", "n", "fp", "sketch", F.col("least").alias("id"), "q", "hashes")
     groups = found.select("key", F.col("id").alias("least"))
+    near = keep(_verified(keep(_print_links(found)), found, given, words, least))
+
     # a set stays if the next smaller or larger one of its shingle has a size that the similarity allows
     by_size = Window.partitionBy("shingle").orderBy("n")
     below, above = F.lag("n").over(by_size), F.lead("n").over(by_size)
-    entries = found.select(F.explode("hashes").alias("shingle"), "key", "n").withColumns({"below": below, "above": above})
-    shared = keep(entries.where((F.col("below") * least[1] >= F.col("n") * least[0]) | (F.col("n") * least[1] >= F.col("above") * least[0])).select("shingle", "key"))
-    sized = found.select("key", "n", *[F.col("q")[i].alias(f"q{i}") for i in range(FOLDED)])
-    apart_in = reduce(Column.__add__, [F.bit_count(F.col(f"a.q{i}").bitwiseXOR(F.col(f"b.q{i}"))) for i in range(FOLDED)])
-    may = _may(apart_in, F.col("a.n"), F.col("b.n"), least)
-
-    lead = shared.groupBy("shingle").agg(F.min("key").alias("key")).join(sized, "key")
-    a, b = shared.join(sized, "key").alias("a"), lead.alias("b")
-    stars = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") > F.col("b.key")) & may).select(F.col("b.key").alias("a"), F.col("a.key").alias("b"))
-    first = keep(_verified(stars.distinct(), found, given, words, least))
-
-    parts = connected_components(first, "a", "b").withColumnRenamed("id", "key")
-    placed = keep(shared.join(parts, "key", "left").select("shingle", "key", F.coalesce("component", "key").alias("part")))
-    open_at = placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
-    apart = placed.join(open_at, "shingle", "left_semi").join(sized, "key")
-    a, b = apart.alias("a"), apart.alias("b")
-    rest = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & may)
-    second = _verified(keep(rest.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()), found, given, words, least)
+    entries = found.select("key", "n", F.posexplode("hashes").alias("at", "shingle")).withColumns({"below": below, "above": above})
+    kept = entries.where((F.col("below") * least[1] >= F.col("n") * least[0]) | (F.col("n") * least[1] >= F.col("above") * least[0]))
+    shared = keep(_placed(kept.select("shingle", "key", "at"), near))
+    sized = found.select("key", "n", *_columns())
+    by_hash = F.min_by(F.struct("key", "part"), F.xxhash64("key", F.pmod("shingle", F.lit(LEADERS))))
+    lead = shared.groupBy("shingle").agg(by_hash.alias("first")).select("shingle", "first.*").join(sized, "key")
+    stars = shared.join(sized, "key").alias("a").join(lead.alias("b"), _candidates(least)).select(*_pair())
+    first = keep(_verified(keep(stars.distinct()), found, given, words, least)).unionByName(near)
+
+    placed = keep(_placed(shared.drop("part"), first))
+    second = _verified(keep(_apart_pairs(placed, found, least).distinct()), found, given, words, least)
 
     roots = connected_components(first.unionByName(second), "a", "b").withColumnRenamed("id", "key")
     linked = groups.join(roots, "key")

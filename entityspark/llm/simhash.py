@@ -37,6 +37,14 @@ from entityspark.operators.components import connected_components
 PIVOTS = [xxhash.xxh64_intdigest(str(i), 7) for i in range(16)]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes: a bit is 1 if over half of them have it; zero of none."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def simhash(text: bytes, words: int = 4, seed: int = 42) -> int:
     """The unsigned 64-bit SimHash of a text's word shingles (repeats included).
 
@@ -53,10 +61,7 @@ def simhash(text: bytes, words: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(lengths)
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip((ends - lengths)[: n - words + 1].tolist(), (ends[words - 1 :] - 1).tolist())], dtype="<u8")
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        total += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:

@@ -91,3 +91,59 @@ def test_sketches_of_different_lengths(spark, shingles):
     got = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select(jaccard._differing(F.col("a"), F.col("b"))).first()[0]
     assert got == int((odd(a) != odd(b)).sum())
     assert got <= len(a) + len(b) - 2 * (shingles * 3 // 4)
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """Without the exact search the components are those of SimHashes within four bits, verified."""
+    placed = jaccard._placed
+    monkeypatch.setattr(jaccard, "_placed", lambda entries, links: placed(entries, links).where(F.lit(False)))
+    r = random.Random(4)
+    found = []
+    for _ in range(50):
+        own = [r.choice(WORDS) for _ in range(r.randint(100, 200))]
+        found.append(" ".join(own))
+        for _ in range(3):
+            copy = list(own)
+            copy[r.randrange(len(copy))] = "changed"
+            found.append(" ".join(copy))
+    sets = [jaccard.shingles(t.encode()) for t in found]
+    prints = [sum(1 << b for b in range(64) if 2 * int((x >> np.uint64(b) & np.uint64(1)).sum()) > len(x)) for x in sets]
+    of = [set(x.tolist()) for x in sets]
+    root = list(range(len(found)))
+    links = 0
+    for i in range(len(found)):
+        for j in range(i):
+            if of[i] == of[j] or (prints[i] ^ prints[j]).bit_count() <= 4 and 5 * len(of[i] & of[j]) >= 4 * len(of[i] | of[j]):
+                links += of[i] != of[j]
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+            else:
+                assert (prints[i] ^ prints[j]).bit_count() > 4  # no link that verification takes back
+    assert links > 60 and root != brute(found)
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(found))] == root
+
+
+def test_pairs_of_a_group_are_made_once(spark, monkeypatch):
+    """Sets that are no near copies but share most of their first shingles."""
+    r = random.Random(5)
+    base, texts = [r.choice(WORDS) + str(i) for i in range(300)], []
+    for _ in range(60):
+        copy = list(base)
+        for at in r.sample(range(300), 4):
+            copy[at] = f"{r.choice(WORDS)}{r.random()}"
+        texts.append(" ".join(copy))
+    made_rows, pairs = [], jaccard._apart_pairs
+
+    def counted(*given):
+        found = pairs(*given)
+        made_rows.append((found.count(), found.distinct().count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "_apart_pairs", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(60)] == brute(texts)
+    rows, different = made_rows[0]
+    assert different > 100 and rows <= 3 * different
