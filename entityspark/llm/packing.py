@@ -173,7 +173,9 @@ def pack(found: DataFrame, window: int = 2048, id_col: str = "doc_id") -> DataFr
     counts = {int(r["length"]): int(r["n"]) for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     runs = sorted(best_fit_decreasing(counts, window))
     columns = list(found.columns)
-    buckets = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()] or [(0, 1)], "length long, buckets long")
+    sizes = counts or {0: 1}
+    dealt_to = {"length": pa.array(sizes.keys(), pa.int64()), "buckets": pa.array([-(-n // BUCKET_ROWS) for n in sizes.values()], pa.int64())}
+    buckets = spark.createDataFrame(pa.table(dealt_to))  # from Arrow: a list would start a second Python daemon on each executor, which stays
     dealt = found.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.col("buckets")))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
