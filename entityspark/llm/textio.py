@@ -98,7 +98,10 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds at most ``limit`` bytes of text (or a single row)."""
+    """Cuts batches so that each holds at most ``limit`` bytes of text (or a single row).
+
+    What Arrow has freed goes back to the system after each batch: a worker is used again, and would keep it.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -108,6 +111,8 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
