@@ -157,8 +157,8 @@ def _plain(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit(ESCAPE + "\x04"), F.lit(MARK)), F.lit(ESCAPE + "\x05"), F.lit(ESCAPE))
 
 
-def _mark(kind: str) -> str:  # like a placeholder, so that later kinds see no word boundary before its number; of the first kind, nothing that they could match
-    return MARK + MARK if kind == LITERAL else f"{kind}_{MARK}_1" + ("@GMAIL.COM" if kind == "EMAIL" else "")
+def _mark(kind: str) -> str:  # like ``mask_text``'s label to later kinds: a number next to it begins and ends there; of the first kind, nothing that they could match
+    return MARK + MARK if kind == LITERAL else f"{MARK}{kind}]"
 
 
 def mask_texts(df: DataFrame, columns: list[str], row_id: str, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
