@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from entityspark.functions.text import js_trim, split_values
 from entityspark.operators import nested
+from entityspark.operators.components import stored
 
 #: Patterns of free-text detection (fixed values).
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -16,7 +17,7 @@ PHONE = r"(?:\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})\b|(
 ADDRESS = r"(?i)\b\d+\s+[A-Za-z0-9\s,.-]+\s+(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Place|Pl\.?|Boulevard|Blvd\.?|Way|Circle|Cir\.?|Highway|Hwy\.?|Parkway|Pkwy\.?)(?:\s|,|$)"
 #: The beginning of a run of the characters that an address is made of, with the one before it, up to the last street word in it.
 STREETS = r"(?i)(?:^|[^A-Za-z0-9\s,.-])[A-Za-z0-9\s,.-]*\s" + ADDRESS[ADDRESS.index("(?:Street") :]
-PLACEHOLDER = r"(?:NAME|EMAIL|PHONE|ADDRESS|ID)_[0-9]+(?:@GMAIL\.COM)?"
+PLACEHOLDER = r"(?=[AEINP])(?:NAME|EMAIL|PHONE|ADDRESS|ID)_[0-9]+(?:@GMAIL\.COM)?"
 
 
 def valid_email(c: Column) -> Column:
@@ -161,6 +162,29 @@ def _mark(kind: str) -> str:  # like ``mask_text``'s label to later kinds: a num
     return MARK + MARK if kind == LITERAL else f"{MARK}{kind}]"
 
 
+def _pieces(t: Column, pattern: str, found: Callable[[Column], Column]) -> Column:
+    """``t`` cut at the matches of a pattern: pieces (text, found) in order, where ``found(m)`` is of a match m and false of what lies between."""
+    piece = lambda x, is_found: F.struct(x.alias("text"), is_found.alias("found"))
+    gaps, matched = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    zipped = F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), matched.alias("m")), lambda x: F.array(piece(x["g"], F.lit(False)), piece(F.coalesce(x["m"], F.lit("")), x["m"].isNotNull() & F.coalesce(found(x["m"]), F.lit(False))))))
+    marked = F.split(F.regexp_replace(t, pattern, "\x00$0\x00"), "\x00", -1)  # one search instead of two
+    return F.when(t.contains("\x00"), zipped).otherwise(F.transform(marked, lambda x, i: piece(x, (i % 2 == 1) & F.coalesce(found(x), F.lit(False)))))
+
+
+def _found(t: Column, kind: str) -> Column:
+    """The pieces of a text and whether they are valid matches of a kind, as ``detect`` finds them, by one search; null has none."""
+    none = F.when(t.isNotNull(), F.array(F.struct(t.alias("text"), F.lit(False).alias("found"))))
+    if kind == LITERAL:
+        return F.when(t.contains("_"), _pieces(t, PLACEHOLDER, lambda _: F.lit(True))).otherwise(none)
+    pattern, valid = KINDS[kind]
+    if kind == "ADDRESS":
+        whole = lambda x: F.array(F.struct(x["text"].alias("text"), F.lit(False).alias("found")))
+        return F.flatten(F.transform(_pieces(t, STREETS, lambda _: F.lit(True)), lambda x: F.when(x["found"], _pieces(x["text"], pattern, valid)).otherwise(whole(x))))
+    if kind == "PHONE":
+        return _pieces(t, f"(?=[0-9+(])(?:{pattern})", valid)  # what its matches begin with is tried first
+    return F.when(t.contains("@"), _pieces(t, pattern, valid)).otherwise(none)
+
+
 def mask_texts(df: DataFrame, columns: list[str], row_id: str, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Free text with numbered placeholders that ``unmask`` restores; returns the masked frame and its dictionary.
 
@@ -168,7 +192,7 @@ def mask_texts(df: DataFrame, columns: list[str], row_id: str, scope: list[str]
     kind before left. A value has one placeholder in all rows and columns, numbered by row,
     column, kind and place. A digit that follows a placeholder is parted from it. ``row_id`` is a
     unique number. Null and empty texts stay, and so do texts without matches. Texts are searched
-    twice, for the dictionary and for the result, rather than stored.
+    here, once, and stored with what was found, which the dictionary and the masked frame read.
     """
     scope = scope or []
     kinds = [LITERAL, *KINDS]
@@ -176,32 +200,39 @@ def mask_texts(df: DataFrame, columns: list[str], row_id: str, scope: list[str]
     for k, c in enumerate(columns):
         marked = marked.withColumn(f"__t{k}", _escaped(F.col(c)))
         for j, kind in enumerate(kinds):
-            text = F.col(f"__t{k}")
-            values = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PLACEHOLDER), F.lit(0)) if kind == LITERAL else detect(text, kind)
-            hidden = replace_matches(text, PLACEHOLDER, lambda _: F.lit(_mark(LITERAL))) if kind == LITERAL else replace_kind(text, kind, _marked(kind, KINDS[kind][1]))
-            marked = marked.withColumn(f"__v{k}_{j}", values).withColumn(f"__t{k}", hidden)
+            marked = marked.withColumn("__pieces", _found(F.col(f"__t{k}"), kind))
+            values = F.transform(F.filter("__pieces", lambda x: x["found"]), lambda x: x["text"])
+            mark = _mark(kind)
+            hidden = F.array_join(F.transform("__pieces", lambda x: F.when(x["found"], mark).otherwise(x["text"])), "")
+            marked = marked.withColumns({f"__v{k}_{j}": F.coalesce(values, F.array().cast("array<string>")), f"__t{k}": hidden})
             found.append(F.transform(F.col(f"__v{k}_{j}"), _placed(k, j, kind)))
-    flat = marked.select(row_id, *scope, F.explode(F.concat(*found)).alias("x")).select(row_id, *scope, "x.*")
+    texts = [f"__t{k}" for k in range(len(columns))]
+    marked = stored(marked.select(*[c for c in df.columns if c not in columns], *texts, F.concat(*found).alias("__found")), "marked")
+    flat = marked.select(row_id, *scope, F.explode("__found").alias("x")).select(row_id, *scope, "x.*")
     flat = flat.withColumn("ord", F.struct(F.col(row_id).alias("row"), "field", "kind", "pos"))
     table = dictionary(flat, scope)
     named = flat.join(table.select(*scope, "value", "placeholder"), [*scope, "value"])
     each = [(k, j) for k in range(len(columns)) for j in range(len(kinds))]
     of = lambda k, j: F.transform(F.array_sort(F.collect_list(F.when((F.col("field") == k) & (F.col("kind") == j), F.struct("pos", "placeholder")))), lambda x: x["placeholder"])
-    joined = marked.join(named.groupBy(row_id).agg(*[of(k, j).alias(f"__p{k}_{j}") for k, j in each]), row_id, "left")
+    joined = marked.drop("__found").join(named.groupBy(row_id).agg(*[of(k, j).alias(f"__p{k}_{j}") for k, j in each]), row_id, "left")
 
     def rebuilt(k: int, c: str) -> Column:
         text = F.col(f"__t{k}")
         for j, kind in enumerate(kinds):
-            gaps = F.split(text, rf"\Q{_mark(kind)}\E", -1)
-            pairs = F.arrays_zip(gaps.alias("gap"), F.slice(gaps, 2, F.size(gaps)).alias("next"), F.col(f"__p{k}_{j}").alias("name"))
-            text = F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.coalesce(F.concat(x["name"], F.when(x["next"].rlike(f"^([0-9@]|{ESCAPE}\x04)"), MARK).otherwise("")), F.lit("")))), "")
-        return F.coalesce(_plain(text), F.col(c)).alias(c)
+            text = once(text, _filled(_mark(kind), F.col(f"__p{k}_{j}")))
+        return _plain(text).alias(c)
 
     return joined.select(*[rebuilt(columns.index(c), c) if c in columns else F.col(c) for c in df.columns]), table
 
 
-def _marked(kind: str, valid: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda m: F.when(valid(m), F.lit(_mark(kind))).otherwise(m)
+def _filled(mark: str, names: Column) -> Callable[[Column], Column]:
+    """What puts names in the place of the marks of a text, each parted from what could be taken for a part of it."""
+
+    def joined(gaps: Column) -> Column:
+        pairs = F.arrays_zip(gaps.alias("gap"), F.slice(gaps, 2, F.size(gaps)).alias("next"), names.alias("name"))
+        return F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.coalesce(F.concat(x["name"], F.when(x["next"].rlike(f"^([0-9@]|{ESCAPE}\x04)"), MARK).otherwise("")), F.lit("")))), "")
+
+    return lambda t: F.when(t.contains(mark), once(F.split(t, rf"\Q{mark}\E", -1), joined)).otherwise(t)
 
 
 def _placed(k: int, j: int, kind: str) -> Callable[[Column, Column], Column]:

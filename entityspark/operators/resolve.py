@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entityspark.operators import checks, ledger, pii, rules
-from entityspark.operators.components import ensure_checkpoint_dir
+from entityspark.operators.components import stored
 
 Resolver = Callable[[pd.DataFrame, str, str | None], pd.DataFrame]
 
@@ -45,14 +44,6 @@ def _kind(e: Exception) -> tuple[str, str]:
     return ("api_error", "retry_same") if busy else ("network_error", "failed")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` written once under the checkpoint folder, so that later plans and lost tasks read it instead of asking again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/attempts-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def resolve_pending(rows: DataFrame, resolver: Resolver, schema: str, batch: str = "batch_id", retries: int = 2) -> DataFrame:
     """Calls ``resolver(batch, model, error)`` per batch; returns ``batch_id, attempt, status, error, action, ms`` and the result rows.
 
@@ -85,7 +76,7 @@ def resolve_pending(rows: DataFrame, resolver: Resolver, schema: str, batch: str
         columns = [batch, "attempt", "status", "error", "action", "ms", *names]
         return pd.DataFrame({c: pd.Series([r.get(c) for r in log], dtype=object) for c in columns})
 
-    return _stored(rows.groupBy(batch).applyInPandas(one, f"{batch} {rows.schema[batch].dataType.simpleString()}, attempt int, status string, error string, action string, ms long, {schema}"))
+    return stored(rows.groupBy(batch).applyInPandas(one, f"{batch} {rows.schema[batch].dataType.simpleString()}, attempt int, status string, error string, action string, ms long, {schema}"), "attempts")
 
 
 def batch_outcomes(log: DataFrame, batch: str = "batch_id") -> DataFrame:

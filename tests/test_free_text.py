@@ -53,3 +53,18 @@ def test_numbers_next_to_what_was_masked(spark):
     found = {r["value"] for r in table.collect()}
     assert {"61 4080166431094", "600 Elm. Von.\n44 Maple Grove Street", "x@y.zz", "4 Old Mill Road", "600 Oak Road"} <= found
     assert {r["id"]: r["t"] for r in pii.unmask(masked, ["t"], "id", table).collect()} == dict(enumerate(texts))
+
+
+def test_texts_are_searched_once(spark):
+    """The dictionary, the masked texts and the restored ones read what one search has stored; no kind's pattern is in their plans."""
+    texts = made(300, 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    masked, table = pii.mask_texts(df, ["t"], "id")
+    back = pii.unmask(masked, ["t"], "id", table)
+    for frame in (masked, table, back):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(word in plan for word in ("A-Za-z0-9._%+-", "[0-9]{1,4}", "Boulevard"))
+    for kind in pii.KINDS:
+        found = F.transform(F.filter(pii._found(F.col("t"), kind), lambda x: x["found"]), lambda x: x["text"])
+        assert df.where(found != pii.detect(F.col("t"), kind)).collect() == []
+    assert {r["id"]: r["t"] for r in back.collect()} == dict(enumerate(texts))
