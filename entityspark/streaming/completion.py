@@ -8,6 +8,7 @@ holds the different items only.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,45 +30,55 @@ def _merged(stream: DataFrame, scalars: list[str]) -> DataFrame:
     return stream.groupBy("uuid").agg(F.count("*").alias("n_records"), F.max("record_count").alias("record_count"), *values)
 
 
-class Merging(StatefulProcessor):
-    """One person's state: counts, the first value of each scalar, the first place of each list item."""
+#: Keys are handled by buckets of their hash, each a call: a call for each key costs more than its rows. The keys of a batch and bucket are held at once.
+BUCKETS = 4096
+
 
-    STATE = "n long, expected long, orders array<long>, texts array<string>, lists array<int>, items array<string>, ords array<long>, places array<long>"
+class Merging(StatefulProcessor):
+    """One bucket's persons. The state of each: counts, the first value of each scalar, the first place of each list item."""
 
     def __init__(self, scalars: list[str], lists: list[str]) -> None:
         self.scalars, self.lists = scalars, lists
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("merged", self.STATE)
-
-    def _load(self) -> tuple[int, int | None, list, list, dict]:
-        if not self.state.exists():
-            return 0, None, [None] * len(self.scalars), [None] * len(self.scalars), {}
-        n, expected, orders, texts, lists, items, ords, places = self.state.get()
-        return n, expected, list(orders), list(texts), {(k, x): (o, p) for k, x, o, p in zip(lists, items, ords, places)}
+        self.states = handle.getMapState("persons", "uuid string", "state string")
+
+    def _load(self, key: str, is_known: bool) -> list:
+        stored = self.states.getValue((key,)) if is_known else None
+        if stored is None:
+            return [0, None, [None] * len(self.scalars), [None] * len(self.scalars), {}]
+        n, expected, orders, texts, items = json.loads(stored[0])
+        return [n, expected, orders, texts, {(k, x): (o, p) for k, x, o, p in items}]
+
+    def _merge(self, state: list, count: float | None, order: int, values: tuple) -> None:
+        _, expected, orders, texts, found = state
+        state[0] += 1
+        if count is not None and count == count and (expected is None or count > expected):
+            state[1] = int(count)
+        for i, text in enumerate(values[: len(orders)]):
+            if text is not None and text == text and text != "" and (orders[i] is None or order < orders[i]):
+                orders[i], texts[i] = int(order), text
+        for k, items in enumerate(values[len(orders) :]):
+            for place, item in enumerate(items if items is not None and not isinstance(items, float) else ()):
+                if item is not None and ((at := found.get((k, item))) is None or (order, place) < at):
+                    found[k, item] = int(order), place
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
-        n, expected, orders, texts, found = self._load()
+        is_known, states = self.states.exists(), {}
         for part in rows:
-            n += len(part)
-            wanted = part["record_count"].dropna()
-            if len(wanted):
-                expected = max(int(wanted.max()), expected if expected is not None else int(wanted.max()))
-            for i, c in enumerate(self.scalars):
-                given = part[part[c].notna() & (part[c] != "")]
-                if len(given):
-                    at = given["ord"].idxmin()
-                    if orders[i] is None or given["ord"][at] < orders[i]:
-                        orders[i], texts[i] = int(given["ord"][at]), given[c][at]
-            for k, c in enumerate(self.lists):
-                for order, values in zip(part["ord"], part[c]):
-                    for place, item in enumerate(values if values is not None else []):
-                        if item is not None:
-                            found[k, item] = min(found.get((k, item), (int(order), place)), (int(order), place))
-        entries = [(k, x, o, p) for (k, x), (o, p) in found.items()]
-        self.state.update((n, expected, orders, texts, *([e[i] for e in entries] for i in range(4))))
-        united = [[x for _, x in sorted((at, x) for (j, x), at in found.items() if j == k)] for k in range(len(self.lists))]
-        yield pd.DataFrame({"uuid": [key[0]], "n_records": [n], "record_count": pd.array([expected], "Int64"), **{c: [t] for c, t in zip(self.scalars, texts)}, **{c: [u] for c, u in zip(self.lists, united)}})
+            columns = [part[c].tolist() for c in ("uuid", "record_count", "ord", *self.scalars, *self.lists)]
+            for one, count, order, *values in zip(*columns):
+                if one not in states:
+                    states[one] = self._load(one, is_known)
+                self._merge(states[one], count, order, values)
+        for one, (*known, found) in states.items():
+            self.states.updateValue((one,), (json.dumps([*known, [[k, x, o, p] for (k, x), (o, p) in found.items()]]),))
+        out = {"uuid": list(states), "n_records": [x[0] for x in states.values()], "record_count": pd.array([x[1] for x in states.values()], "Int64")}
+        for i, c in enumerate(self.scalars):
+            out[c] = pd.Series([x[3][i] for x in states.values()], dtype=object)
+        for k, c in enumerate(self.lists):
+            out[c] = pd.Series([[x for _, x in sorted((at, x) for (j, x), at in state[4].items() if j == k)] for state in states.values()], dtype=object)
+        yield pd.DataFrame(out)
 
 
 def _united(stream: DataFrame, scalars: list[str], lists: list[str]) -> DataFrame:
@@ -76,7 +87,8 @@ def _united(stream: DataFrame, scalars: list[str], lists: list[str]) -> DataFram
         out = out.add(c, "string")
     for c in lists:
         out = out.add(c, T.ArrayType(T.StringType()))
-    return stream.groupBy("uuid").transformWithStateInPandas(Merging(list(scalars), list(lists)), outputStructType=out, outputMode="Update", timeMode="None")
+    dealt = stream.withColumn("__bucket", F.pmod(F.xxhash64("uuid"), F.lit(BUCKETS)))
+    return dealt.groupBy("__bucket").transformWithStateInPandas(Merging(list(scalars), list(lists)), outputStructType=out, outputMode="Update", timeMode="None")
 
 
 def is_complete() -> Column:

@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from entityspark.operators import merge
@@ -56,3 +57,39 @@ def test_work_of_a_batch_stays_flat(spark, tmp_path, lists, batches):
     want = {x["uuid"]: x for x in merge.entity_merge(every, "uuid", "ord", ["name"], list(lists)).collect()}
     got = {x["uuid"]: x for x in completion.latest(spark, out).collect()}
     assert {k: (x["n_records"], x["name"], *(x[c] for c in lists)) for k, x in got.items()} == {k: (x["n_records"], x["name"], *(x[c] for c in lists)) for k, x in want.items()}
+
+
+class Held:
+    """A map state and what is asked of it."""
+
+    def __init__(self):
+        self.of, self.asked = {}, []
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return bool(self.of)
+
+    def getValue(self, key):  # noqa: N802
+        self.asked.append(("get", key[0]))
+        return self.of.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.asked.append(("put", key[0]))
+        self.of[key] = value
+
+
+def test_keys_of_a_bucket_are_one_call():
+    """One frame for all keys of a call; only the keys that it touches are read and written, each once."""
+    merging, held = completion.Merging(["name"], ["tags"]), Held()
+    merging.init(held)
+    part = lambda keys, order: pd.DataFrame([(f"k{i}", 3.0 if i else None, order, "" if i % 2 else f"n{order}", [f"t{order}", None, "x"]) for i in keys], columns=["uuid", "record_count", "ord", "name", "tags"])
+    (first,) = merging.handleInputRows((0,), iter([part(range(1000), 7), part(range(500), 5)]), None)
+    assert len(first) == 1000 and sorted(held.asked) == sorted(("put", f"k{i}") for i in range(1000))
+    held.asked.clear()
+    (late,) = merging.handleInputRows((0,), iter([part((0, 1, 700, 2000), 6)]), None)
+    assert sorted(held.asked) == sorted((what, f"k{i}") for what in ("get", "put") for i in (0, 1, 700, 2000))
+    got = {r.uuid: (r.n_records, r.record_count, r.name_, r.tags) for r in late.rename(columns={"name": "name_"}).itertuples()}
+    assert got["k0"][0] == 3 and pd.isna(got["k0"][1]) and got["k0"][2:] == ("n5", ["t5", "x", "t6", "t7"])
+    assert got["k1"] == (3, 3, None, ["t5", "x", "t6", "t7"]) and got["k700"] == (2, 3, "n6", ["t6", "x", "t7"]) and got["k2000"] == (1, 3, "n6", ["t6", "x"])
