@@ -166,6 +166,8 @@ def resolve_forms(batches: DataFrame, schema: dict, resolver: FormResolver, resu
 
 
 ROLLUP = "array<struct<measure:string,value:string>>"
+#: The kinds of records that a measure of ``log_rollups`` counts; of the others no record is made.
+MEASURED = ("validation_error", "retry_attempt", "batch_outcome", "uuid_event")
 
 
 def log_rollups(logs: DataFrame) -> DataFrame:
@@ -180,7 +182,7 @@ def log_rollups(logs: DataFrame) -> DataFrame:
         part("validation_error", "missing_field", F.when(field("rule") == "required", field("path"))), part("retry_attempt", "retry", field("action")), part("retry_attempt", "retry_error", field("error")),
         part("batch_outcome", "outcome", field("outcome")), part("uuid_event", "event", field("event")), part("uuid_event", "fallback", field("reason")),
     ]
-    return logs.select(F.explode(F.array_compact(F.array(*found)).cast(ROLLUP)).alias("x")).groupBy("x.measure", "x.value").agg(F.count("*").alias("n"))
+    return logs.where(F.col("kind").isin(*MEASURED)).select(F.explode(F.array_compact(F.array(*found)).cast(ROLLUP)).alias("x")).groupBy("x.measure", "x.value").agg(F.count("*").alias("n"))
 
 
 def overlay(mapped: DataFrame, answers: DataFrame, batch: str = "batch_id", row_id: str = "row_id") -> DataFrame:

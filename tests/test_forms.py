@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from entityspark.operators import ledger, resolve
 
@@ -69,6 +70,19 @@ def test_rollups(spark):
     assert [r["batch_id"] for r in resolve.slowest_batches(outcomes, 4).collect()] == [3, 7, 11, 2]
 
 
+def test_rollups_make_no_record_that_they_do_not_count(spark):
+    """What the model was asked is no measure: its rows, here ones that cannot be computed, are not made."""
+    dear = F.when(F.col("id") >= 0, F.raise_error(F.lit("computed"))).cast("string")
+    mapped = spark.range(4).select(F.col("id").alias("batch_id"), F.array(F.lit("a")).alias("pending"), dear.alias("x"))
+    violations = spark.createDataFrame([(1, "a", "required")], "row_id long, path string, rule string")
+    attempts = spark.createDataFrame([(0, 1, "failed", "validation_error", "failed", 5), (1, 1, "success", None, None, 5)], "batch_id long, attempt int, status string, error string, action string, ms long")
+    events = spark.createDataFrame([(1, "cached", None)], "row_id long, event string, reason string")
+    logs = resolve.log_datasets(mapped, violations, attempts, events)
+    got = {(r["measure"], r["value"]): r["n"] for r in resolve.log_rollups(logs).collect()}
+    assert got == {("missing_field", "a"): 1, ("retry", "failed"): 1, ("retry_error", "validation_error"): 1, ("outcome", "failed"): 1, ("outcome", "success"): 1, ("event", "cached"): 1}
+    assert logs.groupBy("kind").count().where("kind = 'model_input'").first()["count"] == 4
+
+
 def test_counts_of_empty_tables(spark):
     empty = spark.createDataFrame([], "a int, status string")
     assert set(ledger.progress(empty, empty.drop("status"), empty, empty).first()) == {0}
